@@ -78,7 +78,7 @@ class Bpe:
     `most` bounds the words (and token pairs) that are kept; beyond it the tables start anew, which costs time only.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most: int = 300_000, decodes: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -101,7 +101,7 @@ class Bpe:
             self.final = self.inner
         self.split = Splitter(self.specials)
         self.bytes_as = self._byte_symbols()
-        self.most = most
+        self.most, self.decodes = most, decodes
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
@@ -150,7 +150,8 @@ class Bpe:
         tokens[k], lengths[k]: last token of path[:k]. A node's candidates are the tokens that end there, longest first;
         exactly one of them fits after the last token before it.
         """
-        new = words - self.ids.keys()
+        ids_of = self.ids
+        new = [w for w in words if w not in ids_of]
         if len(self.ids) + len(new) > self.most:
             # the words of this block and those used lately stay; the rest is learned anew when it comes again
             self.ids, self.texts = {w: self.ids[w] for w in words if w in self.ids}, {w: self.texts[w] for w in words if w in self.texts}
@@ -201,7 +202,8 @@ class Bpe:
     def _keep(self, word: str, ids: list[int]) -> None:
         names = self.names
         self.ids[word] = pack(f"<{len(ids)}I", *ids)
-        self.texts[word] = " ".join([names[i] for i in ids]).encode()
+        if self.decodes:
+            self.texts[word] = " ".join([names[i] for i in ids]).encode()
 
     def encode_words(self, text: str) -> list[str]:
         return self.split(text)
@@ -211,7 +213,7 @@ class Bpe:
         self.learn(set(words))
         return [int.from_bytes(self.ids[w][i : i + 4], "little") for w in words for i in range(0, len(self.ids[w]), 4)]
 
-    def packed(self, texts: list[str], decoded: bool = True) -> list[tuple[bytes, bytes]]:
+    def packed(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Per text: ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8 (decoder-less files join
         tokens with blanks)."""
         out = []
@@ -221,7 +223,7 @@ class Bpe:
             self.learn({w for words in part for w in words})
             ids, names = self.ids, self.texts
             for words in part:
-                out.append((b"".join([ids[w] for w in words]), b" ".join([names[w] for w in words]) if decoded else b""))
+                out.append((b"".join([ids[w] for w in words]), b" ".join([names[w] for w in words]) if self.decodes else b""))
         return out
 
     def _parts(self, lists: list[list[str]]) -> list[list[list[str]]]:
@@ -235,14 +237,15 @@ class Bpe:
         return [lists[a:b] for a, b in zip(ends, [*ends[1:], len(lists)])]
 
 
-_LOADED: dict[str, Bpe] = {}
+_LOADED: dict[tuple, Bpe] = {}
 
 
-def loaded(path: str) -> Bpe:
-    """One encoder per Python worker and file."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+def loaded(path: str, most: int = 600_000, decodes: bool = True) -> Bpe:
+    """One encoder per Python worker, file and use."""
+    key = (path, most, decodes)
+    if key not in _LOADED:
+        _LOADED[key] = Bpe(path, most, decodes)
+    return _LOADED[key]
 
 
 

@@ -85,14 +85,14 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bpe, part = loaded(path), TaskContext.get().partitionId()
+        bpe, part = loaded(path, 800_000, decodes=False), TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
 
         def run(batches):
             docs_, starts, lengths, crcs, totals, blobs = [], [], [], [], [], []
             for b in chunks(batches, "text"):
                 texts = [t or "" for t in b.column("text").to_pylist()]
-                for doc, (ids, _) in zip(b.column("doc_id").to_pylist(), bpe.packed(texts, decoded=False)):
+                for doc, (ids, _) in zip(b.column("doc_id").to_pylist(), bpe.packed(texts)):
                     ids += end
                     total = len(ids) // 4
                     for at in range(0, total, window):
