@@ -7,6 +7,7 @@ rather than to every executor: the trees grow with the corpus, so they have no b
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,19 @@ def shingle_hashes(text: bytes, width: int, seed: int):
     return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(start.tolist(), last.tolist())], "u8")
 
 
+def remixed(hashes, table: int):
+    """Independent hashes from hashes; table 0 is the hashes themselves."""
+    import numpy as np
+
+    if not table or not len(hashes):
+        return hashes
+    u = np.uint64
+    x = hashes ^ u(0x9E3779B97F4A7C15 * table % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> u(shift))) * u(factor)
+    return x ^ (x >> u(31))
+
+
 def majority(hashes) -> int:
     """The bits set in over half the hashes; 0 for none."""
     import numpy as np
@@ -46,8 +60,10 @@ def majority(hashes) -> int:
     return int(np.packbits((2 * (counts @ bits) > len(hashes)).ravel(), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp long (the 64 bits, signed) of every row; a null or word-less text has fingerprint 0."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, tables: int = 0) -> DataFrame:
+    """doc_id, fp long (the 64 bits, signed) of every row; a null or word-less text has fingerprint 0.
+
+    With tables, also wide array<long>: as many fingerprints of independent hashes (the first is fp)."""
 
     def make():
         import numpy as np
@@ -56,12 +72,23 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
         def run(batches):
             for b in chunks(batches, "text"):
                 texts = b.column("text").cast(pa.binary()).to_pylist()
-                fp = np.array([majority(shingle_hashes(t or b"", width, seed)) for t in texts], "u8").view("i8")
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+                hashes = (shingle_hashes(t or b"", width, seed) for t in texts)
+                fp = np.array([[majority(remixed(h, k)) for k in range(max(1, tables))] for h in hashes], "u8").view("i8").reshape(len(texts), -1)
+                cols = [b.column("doc_id"), pa.array(fp[:, 0].copy())]
+                if tables:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * tables, pa.int32()), pa.array(fp.ravel())))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "wide"][: len(cols)])
 
         return run
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, fp long" + ", wide array<long>" * bool(tables))
+
+
+def apart(a, b):
+    """Differing bits of fingerprints, rows of one or more words."""
+    import numpy as np
+
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype="i8")
 
 
 class Forest:
@@ -81,7 +108,7 @@ class Forest:
         self.root = np.maximum.accumulate(np.where(first, np.arange(n), 0))
         at, rows = self.root.copy(), np.flatnonzero(~first)
         while len(rows):
-            d = np.bitwise_count(fps[rows] ^ fps[at[rows]]).astype("i8")
+            d = apart(fps[rows], fps[at[rows]])
             order = np.lexsort((rows, d, at[rows]))
             r, d = rows[order], d[order]
             a = at[r]
@@ -93,31 +120,52 @@ class Forest:
         below = np.flatnonzero(parent >= 0)
         order = below[np.lexsort((edge[below], parent[below]))]
         self.children, self.edge = order, edge[order]
-        self.slot = parent[order] * 128 + self.edge  # ascending: a range of edges of a node is a range of slots
+        self.slot = parent[order] << 16 | self.edge  # ascending: a range of edges of a node is a range of slots
 
-    def links(self, radius: int, most: int = 1 << 20):
-        """Blocks of (row, other row) within radius, following only edges that differ from the node's distance by no
-        more than the radius. A row is searched for once per smaller row: pairs come in both orders."""
+    def links(self, radius: int, rows, most: int = 1 << 20):
+        """Blocks of (row, other row) within radius of the given rows, following only edges that differ from the node's
+        distance by no more than the radius."""
         import numpy as np
 
         step = 1 << 14
-        for a in range(0, len(self.fps), step):
-            stack = [(q := np.arange(a, min(a + step, len(self.fps))), self.root[q])]
+        for a in range(0, len(rows), step):
+            stack = [(q := rows[a : a + step], self.root[q])]
             while stack:
                 q, node = stack.pop()
                 if len(q) > most:
                     stack += [(q[most:], node[most:])]
                     q, node = q[:most], node[:most]
-                d = np.bitwise_count(self.fps[q] ^ self.fps[node]).astype("i8")
+                d = apart(self.fps[q], self.fps[node])
                 hit = (d <= radius) & (q != node)
                 yield q[hit], node[hit]
-                low = np.searchsorted(self.slot, node * 128 + np.maximum(d - radius, 0), "left")
-                n = np.searchsorted(self.slot, node * 128 + np.minimum(d + radius, 64), "right") - low
+                low = np.searchsorted(self.slot, node << 16 | np.maximum(d - radius, 0), "left")
+                n = np.searchsorted(self.slot, node << 16 | (d + radius), "right") - low
                 if total := int(n.sum()):
                     child = np.repeat(low - np.cumsum(n) + n, n) + np.arange(total)
                     stack.append((np.repeat(q, n), self.children[child]))
 
 
+def leaders(keys, fps, radius: int):
+    """(rows, their leaders, whether a row has one). Of four rows of a key the one with most rows of the key in its radius
+    leads these: they are one component already, so none of them needs a search of its own."""
+    import numpy as np
+
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.concatenate((first, [len(keys)])))
+    group = np.repeat(np.arange(len(first)), size)
+    best, most = np.zeros(len(keys), bool), np.zeros(len(first), "i8")
+    lead = np.zeros(len(first), "i8")
+    for part in range(4):
+        who = first + size * part // 4
+        near = apart(fps, fps[who[group]]) <= radius
+        n = np.bincount(group, near, minlength=len(first)).astype("i8")
+        better = n > most
+        most, lead = np.where(better, n, most), np.where(better, who, lead)
+        best = np.where(better[group], near, best)
+    rows = np.flatnonzero(best)
+    return rows, lead[group[rows]], best
+
+
 def joined(n: int, blocks) -> object:
     """Roots of the components of n rows under blocks of links (vectorised union by smallest row)."""
     import numpy as np
@@ -143,24 +191,10 @@ def joined(n: int, blocks) -> object:
     return root
 
 
-def near_duplicates(prints: DataFrame, radius: int = 4, most: int = 400_000) -> DataFrame:
-    """doc_id, fp, component_id: the smallest doc_id reachable over links of at most `radius` (up to 4) differing bits.
-
-    prints: (doc_id, fp). Equal fingerprints are one class before any search; rows of a class meet only in map-side
-    combined minima. Null doc_ids link like others but name no component (a class of nulls only has component null).
-    Each shuffle partition searches its trees in runs of about `most` rows that end between keys, so its memory is
-    bounded by that and the largest single tree of distinct fingerprints; what leaves a task are star edges, one per
-    fingerprint and key at most, never the pairs of a group.
-    """
-    if not 0 <= radius <= 4:
-        raise ValueError("six blocks, two of them equal: the radius must be 0 to 4")
-    prints = checkpointed(prints.select("doc_id", "fp"))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    low = [sum(BLOCKS[:i]) for i in range(6)]
-    block = [F.shiftrightunsigned("fp", low[i]).bitwiseAND((1 << BLOCKS[i]) - 1) for i in range(6)]
-    keys = [F.lit(c << 22) + block[i] * (1 << 11) + block[j] for c, (i, j) in enumerate(combinations(range(6), 2))]
-    keyed = classes.where("rep is not null").select(F.explode(F.array(*keys)).alias("key"), "fp", "rep")
-    keyed = keyed.repartition("key").sortWithinPartitions("key", "fp")
+def _components_of(classes: DataFrame, keys: list, words: list[str], radius: int, most: int) -> DataFrame:
+    """(node, component) of the reps of `classes` that link with another under one of the keys."""
+    keyed = classes.where("rep is not null").select(F.explode(F.array_distinct(F.array(*keys))).alias("key"), *words, "rep")
+    keyed = keyed.repartition("key").sortWithinPartitions("key", words[0])
 
     def make():
         import numpy as np
@@ -173,10 +207,17 @@ def near_duplicates(prints: DataFrame, radius: int = 4, most: int = 400_000) ->
             k, f, r = keys[~alone], fps[~alone], reps[~alone]
             if not len(k):
                 return None
+            rows, lead, led = leaders(k, f, radius)
             forest = Forest(k, f)
-            root = joined(len(k), forest.links(radius))
+
+            def blocks():
+                yield rows, lead
+                yield from forest.links(radius, np.flatnonzero(~led))
+
+            root = joined(len(k), blocks())
             far = root != np.arange(len(k))
-            return pa.RecordBatch.from_arrays([pa.array(r[far]), pa.array(r[root[far]])], ["a", "b"])
+            pair = np.unique(np.stack([r[far], r[root[far]]], 1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
 
         def run(batches):
             held, rows = [], 0
@@ -191,8 +232,8 @@ def near_duplicates(prints: DataFrame, radius: int = 4, most: int = 400_000) ->
             for b in batches:
                 if not b.num_rows:
                     continue
-                k, f, r = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "rep"))
-                held.append((k, f.view("u8"), r))
+                k, r = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep"))
+                held.append((k, np.stack([b.column(w).to_numpy(zero_copy_only=False).view("u8") for w in words], 1), r))
                 rows += len(k)
                 if rows >= most and (out := flush(True)) is not None:
                     yield out
@@ -201,7 +242,55 @@ def near_duplicates(prints: DataFrame, radius: int = 4, most: int = 400_000) ->
 
         return run
 
-    stars = map_arrow(keyed, make, "a long, b long")
-    parts = components(stars)
+    return components(map_arrow(keyed, make, "a long, b long"))
+
+
+def near_duplicates(prints: DataFrame, radius: int = 4, most: int = 400_000) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id reachable over links of at most `radius` (up to 4) differing bits.
+
+    prints: (doc_id, fp). Equal fingerprints are one class before any search; rows of a class meet only in map-side
+    combined minima. Null doc_ids link like others but name no component (a class of nulls only has component null).
+    Each shuffle partition searches its trees in runs of about `most` rows that end between keys, so its memory is
+    bounded by that and the largest single tree of distinct fingerprints; what leaves a task are star edges, one per
+    fingerprint and key at most, never the pairs of a group.
+    """
+    if not 0 <= radius <= 4:
+        raise ValueError("six blocks, two of them equal: the radius must be 0 to 4")
+    prints = checkpointed(prints.select("doc_id", "fp"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    low = [sum(BLOCKS[:i]) for i in range(6)]
+    block = [F.shiftrightunsigned("fp", low[i]).bitwiseAND((1 << BLOCKS[i]) - 1) for i in range(6)]
+    keys = [F.lit(c << 22) + block[i] * (1 << 11) + block[j] for c, (i, j) in enumerate(combinations(range(6), 2))]
+    parts = _components_of(classes, keys, ["fp"], radius, most)
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 8, bands: int = 48, band_bits: int = 16, most: int = 200_000) -> DataFrame:
+    """doc_id, component_id for near copies by similarity of word shingles rather than by a few differing bits.
+
+    Two sets of Jaccard similarity s have cosine about 2 s / (1 + s), and each SimHash bit differs with probability
+    arccos(cosine) / pi. Fingerprints are 64 * tables bits; two documents link when their differing bits are at most the
+    expected number at `similarity` plus one and a half standard deviations. They are compared when one of `bands` bands of
+    band_bits bits agrees: at the defaults a pair of similarity 0.8 shares a band with probability 0.97, one of
+    0.85 with 0.996. Trees, leaders, odd rows and memory are as in near_duplicates.
+    """
+    bits = 64 * tables
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = int(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+    prints = checkpointed(fingerprints(docs, width, tables=tables).drop("fp"))
+    classes = prints.groupBy("wide").agg(F.min("doc_id").alias("rep"))
+    words = [f"w{k}" for k in range(tables)]
+    flat = classes.select("rep", *[F.col("wide")[k].alias(w) for k, w in enumerate(words)])
+    starts = [i * (bits - band_bits) // max(1, bands - 1) for i in range(bands)]
+
+    def band(start: int):
+        word, low = divmod(start, 64)
+        value = F.shiftrightunsigned(words[word], low)
+        if low + band_bits > 64:
+            value = value.bitwiseOR(F.shiftleft(words[word + 1], 64 - low))
+        return value.bitwiseAND((1 << band_bits) - 1)
+
+    parts = _components_of(flat, [F.lit(i << 32) + band(s) for i, s in enumerate(starts)], words, radius, most)
+    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("wide").alias("wide_"), F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, F.col("wide") == F.col("wide_")).select("doc_id", "component_id")

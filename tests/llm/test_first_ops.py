@@ -219,3 +219,27 @@ def test_packing_holds_every_id_once(spark, library):
         assert at <= 2048
     assert len(fill) <= 1.01 * sum(r.length for r in rows) / 2048 + 2
     assert packing.pack_documents(empty_docs(spark), queries.tokenizer_path()).count() == 0
+
+
+def test_similar_documents_finds_near_copies(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, near, far = [], [], []
+    for g in range(60):
+        base = [word() for _ in range(rnd.randint(100, 400))]
+        rows.append((len(rows), " ".join(base)))
+        for edits, into in ((len(base) // 60, near), (len(base) // 8, far)):
+            t = list(base)
+            for i in rnd.sample(range(len(t)), max(1, edits)):
+                t[i] = word()
+            a, b = shingles(rows[3 * g][1]), shingles(" ".join(t))
+            s = len(a & b) / len(a | b)
+            if into is near and s >= 0.82 or into is far and s < 0.6:
+                into.append((3 * g, len(rows)))
+            rows.append((len(rows), " ".join(t)))
+    docs = spark.createDataFrame([*rows, (1000, None), (1001, "")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert len(got) == len(rows) + 2 and got[1001] == 1000
+    assert len(near) > 40 and len(far) > 40
+    assert sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near) and sum(got[a] == got[b] for a, b in far) == 0
