@@ -21,6 +21,16 @@ from sedimark.llm.common import checkpointed, chunks, map_arrow, without
 
 GRAM = 16
 PIECE = 1 << 20
+#: start, bytes before the anchor and size of a segment share one long: shuffled rows are short
+AHEAD, SIZE = 13, 14
+
+
+def packed(start, ahead, size):
+    return start << (AHEAD + SIZE) | ahead << SIZE | size
+
+
+def unpacked(at):
+    return at >> (AHEAD + SIZE), at >> SIZE & ((1 << AHEAD) - 1), at & ((1 << SIZE) - 1)
 
 
 def anchors(data: bytes, least: int):
@@ -143,7 +153,7 @@ def maximal_repeats(right, right_size, left, left_size, least: int, floor: int):
 
 
 def _find(docs: DataFrame, least: int) -> DataFrame:
-    """(key, seg, doc, start, ahead, size) of the segments; seg null: a span that is a repeat already.
+    """(key, seg, doc, at, span) of the segments (at: packed); span not null: one that is a repeat already, at is its start.
 
     Inside a block of about 8 MB equal segments are combined: the earliest stays, the others are spans (one row for several
     that touch). A segment common to all documents so has one row per block.
@@ -171,23 +181,23 @@ def _find(docs: DataFrame, least: int) -> DataFrame:
                 again[1:] = (key[order[1:]] == key[order[:-1]]) & (seg[order[1:]] == seg[order[:-1]])
                 copy = np.sort(order[again])
                 keep = order[~again]
-                cols = [x[keep] for x in (key, seg, doc, start, ahead, size)]
-                null = np.zeros(len(keep), bool)
+                cols = [key[keep], seg[keep], doc[keep], packed(start[keep], ahead[keep], size[keep]), np.zeros(len(keep), "i8")]
+                null = np.ones(len(keep), bool)
                 if len(copy):
                     far = doc[copy].astype("i8")
                     # documents lie in row order here; a jump of one text's length parts them
-                    bounds = np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1])))
+                    bounds, spans = np.flatnonzero(np.concatenate(([True], far[1:] != far[:-1]))), []
                     for a, z in zip(bounds, [*bounds[1:], len(copy)]):
                         s, e = merged(start[copy[a:z]], start[copy[a:z]] + size[copy[a:z]])
-                        for i, v in enumerate((s * 0x9E3779B1 + far[a], s, np.full(len(s), far[a]), s, np.full(len(s), -1), e - s)):
-                            cols[i] = np.concatenate((cols[i], v))
-                        null = np.concatenate((null, np.ones(len(s), bool)))
-                arrays = [pa.array(c, mask=null if i == 1 else None) for i, c in enumerate(cols)]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "seg", "doc", "start", "ahead", "size"])
+                        spans.append((s * 0x9E3779B1 + far[a], s, np.full(len(s), far[a]), s, e - s))
+                    cols = [np.concatenate([c, *x]) for c, *x in zip(cols, *spans)]
+                    null = np.concatenate((null, np.zeros(len(cols[0]) - len(null), bool)))
+                arrays = [pa.array(c, mask=null if i == 4 else None) for i, c in enumerate(cols)]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "seg", "doc", "at", "span"])
 
         return run
 
-    return map_arrow(docs, make, "key long, seg long, doc long, start long, ahead long, size long")
+    return map_arrow(docs, make, "key long, seg long, doc long, at long, span long")
 
 
 def _runs(batches, most: int):
@@ -213,8 +223,8 @@ def _runs(batches, most: int):
 
 
 def _first(found: DataFrame, most: int) -> DataFrame:
-    """(doc, key, start, ahead, size): spans (ahead -1) and the segments to compare: the earliest of each distinct one, where
-    an anchor has several. Other segments need nothing."""
+    """(doc, key, at, span): spans, and the segments to compare: the earliest of each distinct one, where an anchor has
+    several. Other segments need nothing."""
 
     def make():
         import numpy as np
@@ -222,32 +232,33 @@ def _first(found: DataFrame, most: int) -> DataFrame:
 
         def run(batches):
             for t in _runs(batches, most):
-                key, doc, start, ahead, size = (t.column(c).to_numpy() for c in ("key", "doc", "start", "ahead", "size"))
-                seg = t.column("seg").fill_null(0).to_numpy()
-                span = t.column("seg").is_null().to_numpy()
-                rows = np.flatnonzero(~span)
+                key, doc, at, seg = (t.column(c).to_numpy() for c in ("key", "doc", "at", "seg"))
+                span, is_span = t.column("span").fill_null(0).to_numpy(), t.column("span").is_valid().to_numpy()
+                rows = np.flatnonzero(~is_span)
                 k, s = key[rows], seg[rows]
                 newkey = np.ones(len(rows), bool)
                 newkey[1:] = k[1:] != k[:-1]
                 newseg = newkey.copy()
                 newseg[1:] |= s[1:] != s[:-1]
-                firsts = rows[newseg]
+                firsts, again = rows[newseg], rows[~newseg]
                 group = np.cumsum(newkey)[newseg] - 1
                 many = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-                ahead = ahead.copy()
-                ahead[rows[~newseg]] = -1
-                out = np.concatenate((np.flatnonzero(span), rows[~newseg], firsts[many]))
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc, key, start, ahead, size)], ["doc", "key", "start", "ahead", "size"])
+                start, _, size = unpacked(at[again])
+                old = np.flatnonzero(is_span)
+                use = firsts[many]
+                cols = [np.concatenate(x) for x in ((doc[old], doc[again], doc[use]), (key[old], key[again], key[use]), (at[old], start, at[use]), (span[old], size, span[use]))]
+                null = np.arange(len(cols[0])) >= len(old) + len(again)
+                yield pa.RecordBatch.from_arrays([pa.array(x, mask=null if i == 3 else None) for i, x in enumerate(cols)], ["doc", "key", "at", "span"])
 
         return run
 
-    return map_arrow(found.repartition("key").sortWithinPartitions("key", "seg", "doc", "start"), make, "doc long, key long, start long, ahead long, size long")
+    return map_arrow(found.repartition("key").sortWithinPartitions("key", "seg", "doc", "at"), make, "doc long, key long, at long, span long")
 
 
 def _fetch(items: DataFrame, least: int) -> DataFrame:
-    """(key, doc, start, ahead, size, side, data): per document its merged spans (data null), and its segments with their
-    bytes, once or twice: a pair that shares `least` bytes shares half of them to the right of the anchor or to the left, so
-    segments meet by (anchor, the bytes of one half)."""
+    """(key, doc, at, side, data): per document its merged spans (data null; at, side: start and size), and its segments with
+    their bytes, once or twice: a pair that shares `least` bytes shares half of them to the right of the anchor or to the left,
+    so segments meet by (anchor, the bytes of one half). side: 1 right, 0 left."""
     half = least // 2
 
     def make():
@@ -259,7 +270,7 @@ def _fetch(items: DataFrame, least: int) -> DataFrame:
         def run(batches):
             unpack = zstandard.ZstdDecompressor().decompress
             for b in batches:
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(5)]
 
                 def put(*row):
                     for o, x in zip(out, row):
@@ -268,31 +279,33 @@ def _fetch(items: DataFrame, least: int) -> DataFrame:
                 for i in range(b.num_rows):
                     doc = b.column("doc")[i].as_py()
                     parts = b.column("items")[i].values
-                    key, start, ahead, size = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("key", "start", "ahead", "size"))
-                    span = ahead < 0
-                    if span.any():
-                        for s, e in zip(*merged(start[span], start[span] + size[span])):
-                            put(doc, doc, int(s), -1, int(e - s), None, None)
-                    rest = np.flatnonzero(~span)
+                    is_span = parts.field("span").is_valid().to_numpy(zero_copy_only=False)
+                    key, at = (parts.field(c).to_numpy(zero_copy_only=False) for c in ("key", "at"))
+                    if is_span.any():
+                        size = parts.field("span").fill_null(0).to_numpy(zero_copy_only=False)[is_span]
+                        for s, e in zip(*merged(at[is_span], at[is_span] + size)):
+                            put(doc, doc, int(s), int(e - s), None)
+                    rest = np.flatnonzero(~is_span)
                     if len(rest):
                         text = unpack(b.column("z")[i].as_py())
-                        for k, s, a, n in zip(key[rest].tolist(), start[rest].tolist(), ahead[rest].tolist(), size[rest].tolist()):
+                        start, ahead, size = unpacked(at[rest])
+                        for k, x, s, a, n in zip(key[rest].tolist(), at[rest].tolist(), start.tolist(), ahead.tolist(), size.tolist()):
                             data = text[s : s + n]
                             if n - a >= half:
-                                put(_signed(xxh64_intdigest(data[a : a + half], k & 0xFFFFFFFF)), doc, s, a, n, True, data)
+                                put(_signed(xxh64_intdigest(data[a : a + half], k & 0xFFFFFFFF)), doc, x, 1, data)
                             if a >= least - half:
-                                put(_signed(xxh64_intdigest(data[a - (least - half) : a + GRAM], ~k & 0xFFFFFFFF)), doc, s, a, n, False, data)
+                                put(_signed(xxh64_intdigest(data[a - (least - half) : a + GRAM], ~k & 0xFFFFFFFF)), doc, x, 0, data)
                     if len(out[0]) > 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names)
-                        out = [[] for _ in range(7)]
+                        out = [[] for _ in range(5)]
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names)
 
-        names = ["key", "doc", "start", "ahead", "size", "side", "data"]
-        types = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
+        names = ["key", "doc", "at", "side", "data"]
+        types = [pa.int64()] * 4 + [pa.binary()]
         return run
 
-    return map_arrow(items, make, "key long, doc long, start long, ahead long, size long, side boolean, data binary")
+    return map_arrow(items, make, "key long, doc long, at long, side long, data binary")
 
 
 def _signed(x: int) -> int:
@@ -317,10 +330,11 @@ def _compare(fetched: DataFrame, least: int, most: int) -> DataFrame:
 
         def run(batches):
             for t in _runs(batches, most):
-                key, doc, start, ahead, size = (t.column(c).to_numpy() for c in ("key", "doc", "start", "ahead", "size"))
-                data, side = t.column("data").to_pylist(), t.column("side").fill_null(False).to_numpy()
+                key, doc, at, side = (t.column(c).to_numpy() for c in ("key", "doc", "at", "side"))
+                data = t.column("data").to_pylist()
                 known = np.array([x is None for x in data])
-                spans = [(doc[known], start[known], size[known])]
+                spans = [(doc[known], at[known], side[known])]
+                start, ahead, _ = unpacked(at)
                 rows = np.flatnonzero(~known)
                 if len(rows):
                     k = key[rows]
@@ -329,12 +343,14 @@ def _compare(fetched: DataFrame, least: int, most: int) -> DataFrame:
                         if b - a < 2:
                             continue
                         group = rows[a:b]
-                        for facing in (True, False):
+                        for facing in (1, 0):
                             g = group[side[group] == facing]
                             if len(g) > 1:
                                 spans += repeats(g, facing, data, doc, start, ahead)
                 d, s, n = (np.concatenate(x) for x in zip(*spans))
-                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(n)], ["doc", "start", "size"])
+                names, which = np.unique(d, return_inverse=True)
+                s, e = merged(which << 40 | s, (which << 40 | s) + n)  # nested and touching spans of a document are one
+                yield pa.RecordBatch.from_arrays([pa.array(names[s >> 40]), pa.array(s & (1 << 40) - 1), pa.array(e - s)], ["doc", "start", "size"])
 
         def repeats(g, facing, data, doc, start, ahead):
             after = [data[i][ahead[i] :] for i in g]
@@ -375,52 +391,64 @@ def remove_repeats(docs: DataFrame, least: int = 100, most: int = 200_000) -> Da
     document; of several texts with one doc_id that of the smaller hash is the earlier; null doc_ids come first. Columns with
     the new names are replaced; an empty table gives no rows.
 
-    Texts are shuffled twice, zstd-compressed; else only 48-byte rows per segment (about one per 40 bytes of text) are. What
+    Texts are shuffled twice, zstd-compressed; else only rows of four longs per segment (about one per 40 bytes of text) are,
+    and the bytes of those segments whose anchor has other segments too. What
     a task holds is a block of `most` rows and the largest group of distinct segments with equal halves around one anchor.
     """
+    if not 2 * GRAM <= least < 1 << AHEAD:
+        raise ValueError(f"least must be from {2 * GRAM} to {(1 << AHEAD) - 1} bytes")
     docs = without(docs, ["n_bytes", "spans", "kept", "__doc", "__z"])
     d, unique = _numbered(docs)
     texts = d.select(F.col("__doc").alias("doc"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).where(F.octet_length("text") >= least)
     texts = texts if unique else texts.dropDuplicates(["doc"])
     first = _first(_find(texts, least), most)
-    items = first.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "ahead", "size")).alias("items"))
-    fetched = _fetch(items.join(_compressed(texts).withColumnRenamed("doc", "__d"), F.col("doc") == F.col("__d")).select("doc", "items", "z"), least)
+    items = first.groupBy("doc").agg(F.collect_list(F.struct("key", "at", "span")).alias("items"))
+    fetched = _fetch(items.join(_compressed(texts, "z").withColumnRenamed("doc", "__d"), F.col("doc") == F.col("__d")).select("doc", "items", "z"), least)
     spans = _compare(fetched, least, most).groupBy(F.col("doc").alias("__d")).agg(F.collect_list(F.struct("start", "size")).alias("__spans"))
-    whole = d.withColumn("text", F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+    whole = _compressed(d.withColumn("text", F.encode(F.coalesce("text", F.lit("")), "utf-8")), "__z")
     return _cut(whole.join(spans, F.col("__doc") == F.col("__d"), "left").drop("__d", "__doc"), docs)
 
 
-def _compressed(texts: DataFrame) -> DataFrame:
+def _compressed(texts: DataFrame, name: str) -> DataFrame:
+    """texts with the column text replaced by its zstd-compressed bytes."""
+    from pyspark.sql.types import StructType
+
+    others = [c for c in texts.columns if c != "text"]
+
     def make():
         import pyarrow as pa
         import zstandard
 
         def run(batches):
-            pack = zstandard.ZstdCompressor(level=1).compress
+            pack = zstandard.ZstdCompressor(level=3).compress
             for b in batches:
-                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([pack(x) for x in b.column("text").to_pylist()], pa.binary())], ["doc", "z"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in others], pa.array([pack(x) for x in b.column("text").to_pylist()], pa.binary())], [*others, name])
 
         return run
 
-    return map_arrow(texts, make, "doc long, z binary")
+    return map_arrow(texts, make, StructType([texts.schema[c] for c in others]).add(name, "binary"))
 
 
 def _cut(rows: DataFrame, docs: DataFrame) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, LongType, StructType
 
-    names = [c for c in rows.columns if c != "__spans"]
+    names = docs.columns
     schema = StructType([docs.schema[c] for c in names]).add("n_bytes", "long").add("spans", ArrayType(StructType().add("start", LongType()).add("size", LongType()))).add("kept", "binary")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
 
     def make():
         import numpy as np
+        import zstandard
 
         def run(batches):
+            unpack = zstandard.ZstdDecompressor().decompress
             for b in batches:
-                total, spans, kept = [], [], []
+                texts, total, spans, kept = [], [], [], []
                 given = b.column("__spans")
-                for i, data in enumerate(b.column("text").to_pylist()):
+                for i, z in enumerate(b.column("__z").to_pylist()):
+                    data = unpack(z)
+                    texts.append(data)
                     total.append(len(data))
                     if not given[i].is_valid:
                         spans.append([])
@@ -432,7 +460,7 @@ def _cut(rows: DataFrame, docs: DataFrame) -> DataFrame:
                     spans.append([{"start": int(x), "size": int(y - x)} for x, y in zip(s, e)])
                     ends = [0, *e.tolist()]
                     kept.append(b"".join([data[x:y] for x, y in zip(ends, [*s.tolist(), len(data)])]))
-                cols = [b.column(c) if c != "text" else b.column(c).cast(pa.string()) for c in names]
+                cols = [b.column(c) if c != "text" else pa.array(texts, pa.binary()).cast(pa.string()) for c in names]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], [*names, "n_bytes", "spans", "kept"])
 
         return run
