@@ -1,4 +1,31 @@
-"""Registry of the engine's queries: name -> (Spark callable, DuckDB SQL)."""
+"""Registry of the engine's queries: name -> Spark callable, and DuckDB SQL for the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of (spark, tables), tables being a reader of the driver's tables by name."""
+
+    def add(f: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+for _m in ("selection", "relational", "text", "evaluation"):
+    importlib.import_module(f"sedimark.plans.{_m}")
