@@ -105,7 +105,7 @@ def canonical_pairs(flat: Column, least_gap: int = 6) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; two empty ones are alike."""
     union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    return F.when(union == 0, 1.0).otherwise(F.try_divide(F.size(F.array_intersect(a, b)), union))
 
 
 def group_key(cluster_ids: Column, sequence_sha1: Column) -> Column:

@@ -102,7 +102,7 @@ def set_scores(predicted: Column, truth: Column) -> Column:
     """struct<precision,recall,f1> of two arrays as sets; no prediction gives 0, no truth NaN for all."""
     p, t = F.size(F.array_distinct(predicted)), F.size(F.array_distinct(truth))
     hit = F.size(F.array_intersect(predicted, truth))
-    score = lambda n, d: F.when(t == 0, float("nan")).when(d == 0, 0.0).otherwise(n / d)
+    score = lambda n, d: F.when(t == 0, float("nan")).when(d == 0, 0.0).otherwise(F.try_divide(n, d))
     return F.struct(score(hit, p).alias("precision"), score(hit, t).alias("recall"), score(2 * hit, p + t).alias("f1"))
 
 
@@ -111,8 +111,8 @@ def best_prefix_f1(scored: DataFrame, keys: Sequence[str], score: str, tie: str,
     order = W.partitionBy(*keys).orderBy(F.desc(score), tie)
     hits = F.sum(F.col(truth).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
     total = F.sum(F.col(truth).cast("int")).over(W.partitionBy(*keys))
-    f = scored.withColumn("k", F.row_number().over(order)).withColumn("f1", 2.0 * hits / (F.col("k") + total))
-    return f.groupBy(*keys).agg(F.max("f1").alias("best_f1"), F.min_by("k", F.struct(-F.col("f1"), F.col("k"))).alias("best_k"))
+    f = scored.withColumn("__k", F.row_number().over(order)).withColumn("__f", 2.0 * hits / (F.col("__k") + total))
+    return f.groupBy(*keys).agg(F.max("__f").alias("best_f1"), F.min_by("__k", F.struct(-F.col("__f"), F.col("__k"))).alias("best_k"))
 
 
 def frequencies(df: DataFrame, value: str, background: DataFrame | None = None) -> DataFrame:

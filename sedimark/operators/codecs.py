@@ -149,7 +149,8 @@ def shuffled(items: Column, key: Column, *salt) -> Column:
 
 def to_parallel(contacts: Column) -> Column:
     """array<struct<seq_i,seq_j,degree>> -> struct of parallel arrays, without loss."""
-    return F.struct(*[F.transform(contacts, lambda c, f=f: c[f]).alias(f) for f in ("seq_i", "seq_j", "degree")])
+    field = lambda f: F.transform(contacts, lambda c: c[f]).alias(f)
+    return F.struct(*[field(f) for f in ("seq_i", "seq_j", "degree")])
 
 
 def from_parallel(store: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sedimark.operators.stats import correlation
+
 
 def select_best(runs: DataFrame, keys: Sequence[str], score: str, order: Sequence[str]) -> DataFrame:
     """Best run per key; the first in order wins ties. A best run whose file is missing raises, it isn't replaced."""
@@ -37,7 +39,7 @@ def r_precision(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     n = t.groupBy("entity").agg(F.count("*").alias("n_true"))
     hit = ranked.join(t.withColumn("__t", F.lit(1)), ["entity", "i", "j"], "left").join(n, "entity", "left").withColumn("n_true", F.coalesce("n_true", F.lit(0)))
     inside = F.col("rank") <= F.col("n_true")
-    value = F.sum(F.when(inside & F.col("__t").isNotNull(), 1).otherwise(0)) / F.sum(F.when(inside, 1).otherwise(0))
+    value = F.try_divide(F.sum(F.when(inside & F.col("__t").isNotNull(), 1).otherwise(0)), F.sum(F.when(inside, 1).otherwise(0)))
     return hit.groupBy("entity", "n_true").agg(F.when(F.sum(F.when(inside, 1).otherwise(0)) > 0, value).otherwise(float("nan")).alias("r_precision"))
 
 
@@ -84,7 +86,7 @@ def ratio_bias(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Of y / x: mean, p10, p50, p90, shares below .5 and from .8 on; correlation and least-squares slope of the ratio on x."""
     r = F.try_divide(F.col(y), F.col(x))
     d = df.withColumn("__q", r).where("__q is not null")
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__q").alias("mean"), *[F.percentile("__q", F.lit(p / 100)).alias(f"p{p}") for p in (10, 50, 90)], F.avg((F.col("__q") < 0.5).cast("double")).alias("below_half"), F.avg((F.col("__q") >= 0.8).cast("double")).alias("from_080"), F.corr(x, "__q").alias("corr"), F.regr_slope("__q", x).alias("slope"))
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__q").alias("mean"), *[F.percentile("__q", F.lit(p / 100)).alias(f"p{p}") for p in (10, 50, 90)], F.avg((F.col("__q") < 0.5).cast("double")).alias("below_half"), F.avg((F.col("__q") >= 0.8).cast("double")).alias("from_080"), correlation(x, "__q").alias("corr"), F.try_divide(F.covar_pop(x, "__q"), F.var_pop(x)).alias("slope"))
 
 
 def throughput(df: DataFrame, keys: Sequence[str], amount: str, seconds: str, full: float) -> DataFrame:
@@ -102,7 +104,7 @@ def band_scores(predicted: DataFrame, truth: DataFrame, bands: Sequence[tuple[st
     names = d.select("entity").distinct().withColumn("band", F.explode(F.array(*[F.lit(b[0]) for b in bands])))
     g = d.groupBy("entity", "band").agg(F.count("p").alias("np"), F.count("t").alias("nt"), F.sum(F.when(F.col("p").isNotNull() & F.col("t").isNotNull(), 1).otherwise(0)).alias("hit"))
     g = names.join(g, ["entity", "band"], "left").fillna(0)
-    score = lambda n, m: F.when(F.col("nt") == 0, float("nan")).when(m == 0, 0.0).otherwise(n / m)
+    score = lambda n, m: F.when(F.col("nt") == 0, float("nan")).when(m == 0, 0.0).otherwise(F.try_divide(n, m))
     return g.select("entity", "band", score(F.col("hit"), F.col("np")).alias("precision"), score(F.col("hit"), F.col("nt")).alias("recall"), score(2 * F.col("hit"), F.col("np") + F.col("nt")).alias("f1"))
 
 

@@ -41,6 +41,11 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], entity: str, value: str,
     return out.withColumns({"low": F.when(few, None).otherwise(F.col("low")), "high": F.when(few, None).otherwise(F.col("high"))}).withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; null where a side is constant (the built-in raises there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; rows with a missing side go first; fewer than three rows or a constant side: NaN."""
     d = df.select(*keys, finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
@@ -48,7 +53,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
         rank = F.rank().over(W.partitionBy(*keys).orderBy(c)) + (F.count("*").over(W.partitionBy(*keys, c)) - 1) / 2.0
         d = d.withColumn(f"{c}r", rank)
     ok = (F.count("*") >= 3) & (F.count_distinct("__x") > 1) & (F.count_distinct("__y") > 1)
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.when(ok, F.corr("__xr", "__yr")).otherwise(float("nan")).alias("rho"))
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.when(ok, correlation("__xr", "__yr")).otherwise(float("nan")).alias("rho"))
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
@@ -56,7 +61,7 @@ def auc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame
     rank = F.rank().over(W.partitionBy(*keys).orderBy(score)) + (F.count("*").over(W.partitionBy(*keys, score)) - 1) / 2.0
     d = df.select(*keys, F.col(score), F.col(label).cast("int").alias("__l")).withColumn("__r", rank)
     p, n = F.sum("__l"), F.sum(1 - F.col("__l"))
-    area = (F.sum(F.col("__r") * F.col("__l")) - p * (p + 1) / 2) / (p * n)
+    area = F.try_divide(F.sum(F.col("__r") * F.col("__l")) - p * (p + 1) / 2, p * n)
     return d.groupBy(*keys).agg(p.alias("n_pos"), n.alias("n_neg"), F.when((p > 0) & (n > 0), area).otherwise(float("nan")).alias("auc"))
 
 

@@ -30,10 +30,11 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     return g.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def live_pairs(statements: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
+def live_pairs(statements: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """Live pairs of an edit stream (key, n, kind, a, b), one row per key and batch with its number of live pairs, emits and retracts.
 
-    State is the key's live pairs and counters; keys without news for ttl_ms are forgotten, which bounds it."""
+    State is the key's live pairs and counters; keys without news for ttl_ms are forgotten, which bounds it (None: kept for good, for
+    streams that end)."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def fold(key, frames, state: GroupState):
@@ -54,10 +55,11 @@ def live_pairs(statements: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
                     pairs.discard(pair)
                     retracts += 1
         state.update(([list(p) for p in sorted(pairs)], emits, retracts))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame([[key[0], len(pairs), emits, retracts]], columns=["key", "n_live", "emits", "retracts"])
 
-    return statements.groupBy("key").applyInPandasWithState(fold, "key long, n_live long, emits long, retracts long", "live array<array<int>>, emits long, retracts long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return statements.groupBy("key").applyInPandasWithState(fold, "key long, n_live long, emits long, retracts long", "live array<array<int>>, emits long, retracts long", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def running_average(values: DataFrame, decay: float = 0.9) -> DataFrame:

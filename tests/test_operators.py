@@ -245,7 +245,7 @@ def test_streams(spark, tmp_path):
     rows = [("k", 1, "contact", 1, 2), ("k", 2, "contact", 3, 4), ("k", 3, "retract", 2, 1), ("j", 1, "retract", 5, 6)]
     spark.createDataFrame(rows, "key string, n long, kind string, a int, b int").selectExpr("hash(key) as h", "*").selectExpr("cast(case key when 'k' then 1 else 2 end as long) as key", "n", "kind", "a", "b").write.parquet(f"{tmp_path}/s")
     stream = spark.readStream.schema("key long, n long, kind string, a int, b int").parquet(f"{tmp_path}/s")
-    got = {r.key: (r.n_live, r.emits, r.retracts) for r in X.drain(X.live_pairs(stream), "live_pairs", "update", f"{tmp_path}/c").collect()}
+    got = {r.key: (r.n_live, r.emits, r.retracts) for r in X.drain(X.live_pairs(stream, None), "live_pairs", "update", f"{tmp_path}/c").collect()}
     assert got == {1: (1, 2, 1), 2: (0, 0, 1)}
     mean = X.drain(X.running_average(stream.selectExpr("key", "n", "cast(a as double) as value"), 0.5), "means", "update", f"{tmp_path}/c2")
     assert {r.key: r["mean"] for r in mean.collect()} == {1: 2.0, 2: 5.0}
