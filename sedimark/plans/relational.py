@@ -181,11 +181,11 @@ def interval_join(spark, t):
     return J.interval_join(e, spans, ["user_id"], "at", "s", "e", 3600.0).select("event_id", "span_id")
 
 
-@query("""SELECT a.s_suppkey AS a_id, b.c_custkey AS b_id, round(sqrt(pow(a.s_acctbal - b.c_acctbal, 2) + pow(20.0 * (a.s_nationkey - b.c_nationkey), 2)), 6) AS distance FROM supplier a, customer b WHERE sqrt(pow(a.s_acctbal - b.c_acctbal, 2) + pow(20.0 * (a.s_nationkey - b.c_nationkey), 2)) <= 30""")
+@query("""SELECT a.s_suppkey AS a_id, b.c_custkey AS b_id, round(sqrt(pow(a.s_acctbal - b.c_acctbal, 2) + pow(20.0 * (a.s_nationkey - b.c_nationkey), 2)), 6) AS distance FROM supplier a, customer b WHERE sqrt(pow(a.s_acctbal - b.c_acctbal, 2) + pow(20.0 * (a.s_nationkey - b.c_nationkey), 2)) <= 300""")
 def spatial_join(spark, t):
     a = t("supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), (F.col("s_nationkey") * 20.0).alias("y"))
     b = t("customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 20.0).alias("y"))
-    return J.within_distance(a, b, 30.0, ("x", "y"), ("s_suppkey", "c_custkey")).select("a_id", "b_id", r("distance"))
+    return J.within_distance(a, b, 300.0, ("x", "y"), ("s_suppkey", "c_custkey")).select("a_id", "b_id", r("distance"))
 
 
 @query("""SELECT DISTINCT a.l_orderkey, a.l_linenumber AS i, b.l_linenumber AS j FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber - a.l_linenumber >= 3""")

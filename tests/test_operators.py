@@ -249,3 +249,24 @@ def test_streams(spark, tmp_path):
     assert got == {1: (1, 2, 1), 2: (0, 0, 1)}
     mean = X.drain(X.running_average(stream.selectExpr("key", "n", "cast(a as double) as value"), 0.5), "means", "update", f"{tmp_path}/c2")
     assert {r.key: r["mean"] for r in mean.collect()} == {1: 2.0, 2: 5.0}
+
+
+def test_builders(spark):
+    from sedimark.operators import builders as B
+
+    chains = spark.createDataFrame([(f"e{k}", c, 20 + 3 * c) for k in range(20) for c in range(k % 4 + 1)] + [("big", 0, 90), ("big", 1, 90)], "entry_id string, chain int, length int")
+    rows = B.layout_chains(chains, 150, 5).collect()
+    assert {r.entry_id for r in rows} == {f"e{k}" for k in range(20)}
+    for k in range(20):
+        mine = sorted((r for r in rows if r.entry_id == f"e{k}"), key=lambda r: r.slot)
+        used = [(r.start + x) % 150 for r in mine for x in range(r.length)]
+        assert len(set(used)) == len(used)
+        if len(mine) > 1:
+            gaps = [(b.start - a.start - a.length) % 150 for a, b in zip(mine, [*mine[1:], mine[0]])]
+            assert min(gaps) >= 5 and sum(gaps) + sum(r.length for r in mine) == 150
+    draws = spark.createDataFrame([("g", i, float(w), 0.5) for i, w in enumerate((1, 0, 3, 4))], "k string, i int, w double, u double")
+    assert B.weighted_draw(draws, ["k"], ["i"], "w", "u").first().i == 3
+    res = spark.createDataFrame([("e", i, "GLY", 2.0 * math.cos(i), 2.0 * math.sin(i), 0.1 * i, 80.0) for i in range(40)] + [("one", 0, "GLY", 0.0, 0.0, 0.0, 80.0)], "entry_id string, i int, name string, x double, y double, z double, quality double")
+    r = B.distance_documents(res, 200).collect()
+    assert len(r) == 1 and r[0].document.count("<contact>") == r[0].n_contacts > 0 and r[0].document.count("<distance>") == r[0].n_distances > 0
+    assert len(r[0].document.split()) <= 200 and r[0].document.split()[-2] == "<q2>"
