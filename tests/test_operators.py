@@ -270,3 +270,18 @@ def test_builders(spark):
     r = B.distance_documents(res, 200).collect()
     assert len(r) == 1 and r[0].document.count("<contact>") == r[0].n_contacts > 0 and r[0].document.count("<distance>") == r[0].n_distances > 0
     assert len(r[0].document.split()) <= 200 and r[0].document.split()[-2] == "<q2>"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sedimark.__main__ import main
+
+    main(["list"])
+    assert "round_selection" in capsys.readouterr().out
+    main(["run", "round_selection", "--tables", "/root/testdata/sf0.001", "--out", f"{tmp_path}/o"])
+    assert spark.read.parquet(f"{tmp_path}/o").count() > 0
+    main(["explain", "round_selection", "--tables", "/root/testdata/sf0.001"])
+    assert "PushedFilters" in capsys.readouterr().out
+    main(["sql", "round_selection"])
+    assert "row_number" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["run", "nothing", "--tables", "x"])
