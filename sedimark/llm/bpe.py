@@ -16,7 +16,7 @@ from struct import pack
 
 from pyspark.sql import DataFrame
 
-from sedimark.llm.common import chunks, map_arrow
+from sedimark.llm.common import KEPT, chunks, map_arrow
 
 #: Fixed values of the tokenizer file's format: its white space and its contractions.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -238,12 +238,14 @@ class Bpe:
 
 
 _LOADED: dict[tuple, Bpe] = {}
+KEPT["bpe"] = _LOADED.clear
 
 
 def loaded(path: str, most: int = 600_000, decodes: bool = True) -> Bpe:
     """One encoder per Python worker, file and use."""
     key = (path, most, decodes)
     if key not in _LOADED:
+        _LOADED.clear()
         _LOADED[key] = Bpe(path, most, decodes)
     return _LOADED[key]
 
@@ -271,4 +273,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
         return run
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, ids binary, decoded string")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, ids binary, decoded string", "bpe")

@@ -55,10 +55,31 @@ def chunks(batches: Iterator, column: str, limit: int = 2 << 20) -> Iterator:
             yield batch.slice(start)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+#: What operators keep in a Python worker from task to task: a function that frees it, by operator.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def tidy(owner: str | None) -> None:
+    """At a task's start: frees what other operators keep in this worker and hands free memory back to the system, so that a
+    worker holds one operator's tables at a time."""
+    import ctypes
+    import gc
+
+    for name, free in KEPT.items():
+        if name != owner:
+            free()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass  # not glibc: nothing to hand back
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable], schema, owner: str | None = None) -> DataFrame:
     """mapInArrow with a per-task initialiser: make() runs once in the worker and returns batches -> batches."""
 
     def run(batches):
+        tidy(owner)
         yield from make()(batches)
 
     return df.mapInArrow(run, schema)

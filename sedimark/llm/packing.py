@@ -114,4 +114,4 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
 
         return run
 
-    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long", "bpe")

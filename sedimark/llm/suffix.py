@@ -384,7 +384,8 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def remove_repeats(docs: DataFrame, least: int = 100, most: int = 200_000) -> DataFrame:
-    """All columns of docs and: n_bytes long, spans array<struct<start,size>> (removed runs, in order), kept binary.
+    """All columns of docs and: n_bytes long, spans array<struct<start,size>> (removed runs, in order), kept binary, rest string:
+    the text that is left if spans are cut back so that no character is split.
 
     Texts are UTF-8 bytes (null: empty). Removed is every byte of a `least`-byte string that also starts earlier: in a
     smaller doc_id, or before in the same document; matches never cross documents. Rows equal in doc_id and text are one
@@ -397,7 +398,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, most: int = 200_000) -> Da
     """
     if not 2 * GRAM <= least < 1 << AHEAD:
         raise ValueError(f"least must be from {2 * GRAM} to {(1 << AHEAD) - 1} bytes")
-    docs = without(docs, ["n_bytes", "spans", "kept", "__doc", "__z"])
+    docs = without(docs, ["n_bytes", "spans", "kept", "rest", "__doc", "__z"])
     d, unique = _numbered(docs)
     texts = d.select(F.col("__doc").alias("doc"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).where(F.octet_length("text") >= least)
     texts = texts if unique else texts.dropDuplicates(["doc"])
@@ -429,12 +430,25 @@ def _compressed(texts: DataFrame, name: str) -> DataFrame:
     return map_arrow(texts, make, StructType([texts.schema[c] for c in others]).add(name, "binary"))
 
 
+def whole_characters(data: bytes, starts: list[int], ends: list[int]) -> bytes:
+    """UTF-8 data without the spans, each cut back to whole characters."""
+    kept, at = [], 0
+    for a, b in zip(starts, ends):
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        kept.append(data[at:a])
+        at = b
+    return b"".join([*kept, data[at:]])
+
+
 def _cut(rows: DataFrame, docs: DataFrame) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, LongType, StructType
 
     names = docs.columns
-    schema = StructType([docs.schema[c] for c in names]).add("n_bytes", "long").add("spans", ArrayType(StructType().add("start", LongType()).add("size", LongType()))).add("kept", "binary")
+    schema = StructType([docs.schema[c] for c in names]).add("n_bytes", "long").add("spans", ArrayType(StructType().add("start", LongType()).add("size", LongType()))).add("kept", "binary").add("rest", "string")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())]))
 
     def make():
@@ -444,7 +458,7 @@ def _cut(rows: DataFrame, docs: DataFrame) -> DataFrame:
         def run(batches):
             unpack = zstandard.ZstdDecompressor().decompress
             for b in batches:
-                texts, total, spans, kept = [], [], [], []
+                texts, total, spans, kept, rest = [], [], [], [], []
                 given = b.column("__spans")
                 for i, z in enumerate(b.column("__z").to_pylist()):
                     data = unpack(z)
@@ -453,15 +467,17 @@ def _cut(rows: DataFrame, docs: DataFrame) -> DataFrame:
                     if not given[i].is_valid:
                         spans.append([])
                         kept.append(data)
+                        rest.append(data)
                         continue
                     parts = given[i].values
                     s = parts.field("start").to_numpy(zero_copy_only=False)
                     s, e = merged(s, s + parts.field("size").to_numpy(zero_copy_only=False))
                     spans.append([{"start": int(x), "size": int(y - x)} for x, y in zip(s, e)])
+                    rest.append(whole_characters(data, s.tolist(), e.tolist()))
                     ends = [0, *e.tolist()]
                     kept.append(b"".join([data[x:y] for x, y in zip(ends, [*s.tolist(), len(data)])]))
                 cols = [b.column(c) if c != "text" else pa.array(texts, pa.binary()).cast(pa.string()) for c in names]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], [*names, "n_bytes", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(total, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(rest, pa.binary()).cast(pa.string())], [*names, "n_bytes", "spans", "kept", "rest"])
 
         return run
 
