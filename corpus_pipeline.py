@@ -10,10 +10,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sedimark.llm import langid, packing, quality, simhash, suffix
 from sedimark.llm.queries import tokenizer_path
@@ -57,29 +55,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Removes every passage of 100 bytes or more that also starts earlier, cut back to whole characters; documents of which
     nothing is left but white space go. n_chars is that of the new text."""
     out = suffix.remove_repeats(docs.select(*COLUMNS))
-    rest = _whole_characters("text", "spans")
-    out = out.select("doc_id", rest.alias("text"), "lang", "source")
+    out = out.select("doc_id", F.col("rest").alias("text"), "lang", "source")
     return out.where(F.length(F.trim("text")) > 0).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-@F.pandas_udf(T.StringType())
-def _whole_characters(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """texts without the spans (of UTF-8 bytes), each cut back so that no character is split."""
-    out = []
-    for text, parts in zip(texts, spans):
-        data, at, kept = text.encode(), 0, []
-        for part in parts:
-            a, b = part["start"], part["start"] + part["size"]
-            while a < b and a < len(data) and data[a] & 0xC0 == 0x80:
-                a += 1
-            while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
-                b -= 1
-            kept.append(data[at:a])
-            at = b
-        out.append(b"".join([*kept, data[at:]]).decode())
-    return pd.Series(out)
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of up to 2048 tokens: one row per piece, with its ids."""
     return packing.pack_documents(docs.select(*COLUMNS), tokenizer_path())
