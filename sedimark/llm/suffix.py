@@ -125,21 +125,21 @@ class Least:
         return out
 
 
-def maximal_repeats(right, right_size, left, left_size, least: int, floor: int):
+def maximal_repeats(right, right_size, left, left_size, least: int, core: int, back: int):
     """(rows, bytes to the left, bytes to the right) of every maximal repeat of at least `least` bytes around the common anchor of
-    some suffixes, at least `floor` of them to the right. right: suffixes in order (a byte matrix), left: the reversed
-    bytes before them."""
+    some suffixes. right: what follows the `core` bytes that all have in common (a byte matrix, rows in order); left: the
+    reversed bytes before them, after `back` common ones."""
     import numpy as np
 
-    prefixes = common(right, right_size)
+    prefixes = common(right, right_size) + core
     by_left = np.lexsort(left.T[::-1])
     place = np.empty(len(by_left), "i8")
     place[by_left] = np.arange(len(by_left))
-    before = common(left[by_left], left_size[by_left])
+    before = common(left[by_left], left_size[by_left]) + back
     if not len(before) or before.max() + prefixes.max() < least:
         return
     least_before = Least(before)
-    for size, a, b in intervals(prefixes.tolist(), floor):
+    for size, a, b in intervals(prefixes.tolist(), core):
         ranks = np.sort(place[a : b + 1])
         shared = least_before(ranks[:-1], ranks[1:])
         if shared.max() < least - size:
@@ -256,9 +256,10 @@ def _first(found: DataFrame, most: int) -> DataFrame:
 
 
 def _fetch(items: DataFrame, least: int) -> DataFrame:
-    """(key, doc, at, side, data): per document its merged spans (data null; at, side: start and size), and its segments with
-    their bytes, once or twice: a pair that shares `least` bytes shares half of them to the right of the anchor or to the left,
-    so segments meet by (anchor, the bytes of one half). side: 1 right, 0 left."""
+    """(key, check, doc, at, side, data): per document its merged spans (data null; at, side: start and size), and its segments
+    with their bytes, once or twice: a pair that shares `least` bytes shares half of them to the right of the anchor or to the
+    left, so segments meet by two hashes of these bytes (128 bits), which needn't travel themselves: data is the rest. side: 1
+    right, 0 left."""
     half = least // 2
 
     def make():
@@ -270,7 +271,7 @@ def _fetch(items: DataFrame, least: int) -> DataFrame:
         def run(batches):
             unpack = zstandard.ZstdDecompressor().decompress
             for b in batches:
-                out: list[list] = [[] for _ in range(5)]
+                out: list[list] = [[] for _ in range(6)]
 
                 def put(*row):
                     for o, x in zip(out, row):
@@ -284,28 +285,28 @@ def _fetch(items: DataFrame, least: int) -> DataFrame:
                     if is_span.any():
                         size = parts.field("span").fill_null(0).to_numpy(zero_copy_only=False)[is_span]
                         for s, e in zip(*merged(at[is_span], at[is_span] + size)):
-                            put(doc, doc, int(s), int(e - s), None)
+                            put(doc, 0, doc, int(s), int(e - s), None)
                     rest = np.flatnonzero(~is_span)
                     if len(rest):
                         text = unpack(b.column("z")[i].as_py())
                         start, ahead, size = unpacked(at[rest])
                         for k, x, s, a, n in zip(key[rest].tolist(), at[rest].tolist(), start.tolist(), ahead.tolist(), size.tolist()):
                             data = text[s : s + n]
-                            if n - a >= half:
-                                put(_signed(xxh64_intdigest(data[a : a + half], k & 0xFFFFFFFF)), doc, x, 1, data)
-                            if a >= least - half:
-                                put(_signed(xxh64_intdigest(data[a - (least - half) : a + GRAM], ~k & 0xFFFFFFFF)), doc, x, 0, data)
+                            for side, low, high in ((1, a, a + half), (0, a - (least - half), a + GRAM)):
+                                if low >= 0 and high <= n:
+                                    core = data[low:high]
+                                    put(_signed(xxh64_intdigest(core, 2 * (k & 0xFFFFFFFF) + side)), _signed(xxh64_intdigest(core, side)), doc, x, side, data[:low] + data[high:])
                     if len(out[0]) > 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names)
-                        out = [[] for _ in range(5)]
+                        out = [[] for _ in range(6)]
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names)
 
-        names = ["key", "doc", "at", "side", "data"]
-        types = [pa.int64()] * 4 + [pa.binary()]
+        names = ["key", "check", "doc", "at", "side", "data"]
+        types = [pa.int64()] * 5 + [pa.binary()]
         return run
 
-    return map_arrow(items, make, "key long, doc long, at long, side long, data binary")
+    return map_arrow(items, make, "key long, check long, doc long, at long, side long, data binary")
 
 
 def _signed(x: int) -> int:
@@ -330,15 +331,15 @@ def _compare(fetched: DataFrame, least: int, most: int) -> DataFrame:
 
         def run(batches):
             for t in _runs(batches, most):
-                key, doc, at, side = (t.column(c).to_numpy() for c in ("key", "doc", "at", "side"))
+                key, check, doc, at, side = (t.column(c).to_numpy() for c in ("key", "check", "doc", "at", "side"))
                 data = t.column("data").to_pylist()
                 known = np.array([x is None for x in data])
                 spans = [(doc[known], at[known], side[known])]
                 start, ahead, _ = unpacked(at)
                 rows = np.flatnonzero(~known)
                 if len(rows):
-                    k = key[rows]
-                    edge = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
+                    k, c = key[rows], check[rows]
+                    edge = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]), [True])))
                     for a, b in zip(edge[:-1], edge[1:]):
                         if b - a < 2:
                             continue
@@ -353,15 +354,15 @@ def _compare(fetched: DataFrame, least: int, most: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names[s >> 40]), pa.array(s & (1 << 40) - 1), pa.array(e - s)], ["doc", "start", "size"])
 
         def repeats(g, facing, data, doc, start, ahead):
-            after = [data[i][ahead[i] :] for i in g]
-            before = [data[i][: ahead[i]][::-1] for i in g]
+            cut = ahead if facing else ahead - (least - half)
+            after, before = [data[i][cut[i] :] for i in g], [data[i][: cut[i]][::-1] for i in g]
             if not facing:
                 after, before = before, after
             order = sorted(range(len(g)), key=after.__getitem__)
             g = g[order]
-            right, right_size = matrix(np, [after[i] for i in order], max(map(len, after)))
+            right, right_size = matrix(np, [after[i] for i in order], max(1, max(map(len, after))))
             left, left_size = matrix(np, [before[i] for i in order], max(1, max(map(len, before))))
-            for rows, left_bytes, right_bytes in maximal_repeats(right, right_size, left, left_size, least, half if facing else least - half):
+            for rows, left_bytes, right_bytes in maximal_repeats(right, right_size, left, left_size, least, half if facing else least - half, 0 if facing else GRAM):
                 who = g[rows]
                 others = who[np.lexsort((start[who] + ahead[who], doc[who]))[1:]]
                 pre, post = (left_bytes, right_bytes) if facing else (right_bytes, left_bytes)
@@ -369,7 +370,7 @@ def _compare(fetched: DataFrame, least: int, most: int) -> DataFrame:
 
         return run
 
-    return map_arrow(fetched.repartition("key").sortWithinPartitions("key"), make, "doc long, start long, size long")
+    return map_arrow(fetched.repartition("key").sortWithinPartitions("key", "check"), make, "doc long, start long, size long")
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
