@@ -63,7 +63,8 @@ def majority(hashes) -> int:
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, tables: int = 0) -> DataFrame:
     """doc_id, fp long (the 64 bits, signed) of every row; a null or word-less text has fingerprint 0.
 
-    With tables, also wide array<long>: as many fingerprints of independent hashes (the first is fp)."""
+    With tables, also wide array<long>: as many fingerprints of independent hashes (the first is fp), each distinct shingle
+    counted once."""
 
     def make():
         import numpy as np
@@ -73,6 +74,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, tables: int =
             for b in chunks(batches, "text"):
                 texts = b.column("text").cast(pa.binary()).to_pylist()
                 hashes = (shingle_hashes(t or b"", width, seed) for t in texts)
+                hashes = map(np.unique, hashes) if tables else hashes
                 fp = np.array([[majority(remixed(h, k)) for k in range(max(1, tables))] for h in hashes], "u8").view("i8").reshape(len(texts), -1)
                 cols = [b.column("doc_id"), pa.array(fp[:, 0].copy())]
                 if tables:
@@ -266,22 +268,160 @@ def near_duplicates(prints: DataFrame, radius: int = 4, most: int = 400_000) ->
     return prints.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 8, bands: int = 48, band_bits: int = 16, most: int = 200_000) -> DataFrame:
-    """doc_id, component_id for near copies by similarity of word shingles rather than by a few differing bits.
+def similarity(a, b) -> float:
+    """Jaccard similarity of sorted distinct hashes; of two empty sets 1."""
+    import numpy as np
+
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _by_key(keyed: DataFrame, columns: list[str], words: list[str], search, most: int) -> DataFrame:
+    """(a, b) of search(keys, fps, columns...) over runs of about `most` rows of each partition that end between keys."""
+    keyed = keyed.repartition("key").sortWithinPartitions("key", words[0])
+
+    def make():
+        import numpy as np
+        import pyarrow as pa
+
+        def run(batches):
+            held, rows = [], 0
+
+            def flush(upto_last_key: bool):
+                nonlocal held, rows
+                all_ = [np.concatenate([h[i] for h in held]) for i in range(2 + len(columns))]
+                cut = int(np.searchsorted(all_[0], all_[0][-1], "left")) if upto_last_key else len(all_[0])
+                held, rows = [[c[cut:] for c in all_]], len(all_[0]) - cut
+                k = all_[0][:cut]
+                alone = np.ones(cut, bool)
+                alone[1:] &= k[1:] != k[:-1]
+                alone[:-1] &= k[:-1] != k[1:]
+                if not alone.all():
+                    for a, b in search(*[c[:cut][~alone] for c in all_]):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+            for x in batches:
+                if not x.num_rows:
+                    continue
+                col = lambda c, x=x: x.column(c).to_numpy(zero_copy_only=False)
+                held.append([col("key"), np.stack([col(w).view("u8") for w in words], 1), *map(col, columns)])
+                rows += x.num_rows
+                if rows >= most:
+                    yield from flush(True)
+            if held and rows:
+                yield from flush(False)
+
+        return run
+
+    return map_arrow(keyed, make, "a long, b long")
+
+
+def first_partners(radius: int):
+    """A search: of every row that has another of its key within the radius, one such pair (with the key's leader where it can)."""
+
+    def search(keys, fps, nodes):
+        import numpy as np
+
+        rows, lead, led = leaders(keys, fps, radius)
+        yield nodes[rows[rows != lead]], nodes[lead[rows != lead]]
+        if not led.all():
+            for q, other in Forest(keys, fps).links(radius, np.flatnonzero(~led)):
+                named = np.unique(nodes[other])
+                order = np.lexsort((nodes[other], q))
+                q, other = q[order], other[order]
+                head = np.ones(len(q), bool)
+                head[1:] = q[1:] != q[:-1]
+                yield nodes[q[head]], nodes[other[head]]
+                yield named, named  # so that they take part from here on
+
+    return search
+
+
+def open_pairs(radius: int):
+    """A search: all pairs of a key within the radius whose parts differ, each once. One end of such a pair lies outside the
+    key's largest part, so the rows of that part start no search."""
+
+    def search(keys, fps, nodes, parts):
+        import numpy as np
+
+        order = np.lexsort((parts, keys))
+        k, p = keys[order], parts[order]
+        head = np.ones(len(k), bool)
+        head[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+        at = np.flatnonzero(head)
+        n = np.diff(np.append(at, len(k)))
+        best = np.lexsort((n, k[at]))
+        last = np.ones(len(best), bool)
+        last[:-1] = k[at][best][1:] != k[at][best][:-1]
+        largest = p[at][best][last]  # one per key, in the order of keys
+        number = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1])))
+        rows = np.flatnonzero(parts != largest[number])
+        if not len(rows):
+            return
+        mixed = np.zeros(len(largest), bool)
+        mixed[number[rows]] = True
+        keep = mixed[number]
+        at = np.cumsum(keep) - 1
+        parts, nodes, fps, keys, rows = parts[keep], nodes[keep], fps[keep], keys[keep], at[rows]
+        for q, other in Forest(keys, fps).links(radius, rows):
+            differ = parts[q] != parts[other]
+            a, b = nodes[q[differ]], nodes[other[differ]]
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            yield pair[:, 0].copy(), pair[:, 1].copy()
+
+    return search
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int, seed: int = 42) -> DataFrame:
+    """The pairs (a, b) whose whole texts (node, text) have shingle sets of Jaccard similarity `least` or more."""
+    side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+
+    def make():
+        import numpy as np
+        import pyarrow as pa
+
+        def run(batches):
+            known: dict[bytes, object] = {}
+
+            def shingles(text):
+                if text not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    known[text] = np.unique(shingle_hashes(text, width, seed))
+                return known[text]
+
+            for x in chunks(batches, "ta"):
+                ta, tb = (x.column(c).cast(pa.binary()).to_pylist() for c in ("ta", "tb"))
+                yes = [similarity(shingles(p), shingles(q)) >= least for p, q in zip(ta, tb)]
+                yield x.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+
+        return run
+
+    return map_arrow(both, make, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 8, bands: int = 80, band_bits: int = 15, most: int = 200_000) -> DataFrame:
+    """doc_id, node, component_id for near copies: texts whose sets of `width`-word shingles have Jaccard similarity
+    `similarity` or more, and what is reachable over such links. node is the hash of the row's text (equal texts are one),
+    component_id the smallest doc_id of the component (null: no row of it has one).
+
+    Candidates come from SimHash over the distinct shingles: two sets of Jaccard similarity s have cosine about
+    2 s / (1 + s), and each bit differs with probability arccos(cosine) / pi. Documents are compared when one of `bands`
+    bands of band_bits of the 64 * tables bits agrees, and are candidates when of the bits that travel (half of them) at most
+    the expected number at `similarity` plus four standard deviations differ. Every link is decided on the whole texts.
 
-    Two sets of Jaccard similarity s have cosine about 2 s / (1 + s), and each SimHash bit differs with probability
-    arccos(cosine) / pi. Fingerprints are 64 * tables bits; two documents link when their differing bits are at most the
-    expected number at `similarity` plus one and a half standard deviations. They are compared when one of `bands` bands of
-    band_bits bits agrees: at the defaults a pair of similarity 0.8 shares a band with probability 0.97, one of
-    0.85 with 0.996. Trees, leaders, odd rows and memory are as in near_duplicates.
+    First each document is verified against up to two candidates, leaders before others, which joins the tight groups. Then
+    all candidate pairs whose ends are still in different parts are verified: what travels are pairs across parts only, and
+    no pair of candidates stays undecided. Runs and memory are as in near_duplicates.
     """
-    bits = 64 * tables
+    bits, sent = 64 * tables, max(1, tables // 2)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
-    prints = checkpointed(fingerprints(docs, width, tables=tables).drop("fp"))
-    classes = prints.groupBy("wide").agg(F.min("doc_id").alias("rep"))
+    radius = int(64 * sent * p + 4 * math.sqrt(64 * sent * p * (1 - p)))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
+    prints = fingerprints(rows.select(F.col("node").alias("doc_id"), "text"), width, tables=tables)
+    prints = checkpointed(prints.groupBy(F.col("doc_id").alias("node")).agg(F.first("wide").alias("wide")))
     words = [f"w{k}" for k in range(tables)]
-    flat = classes.select("rep", *[F.col("wide")[k].alias(w) for k, w in enumerate(words)])
     starts = [i * (bits - band_bits) // max(1, bands - 1) for i in range(bands)]
 
     def band(start: int):
@@ -291,6 +431,26 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
             value = value.bitwiseOR(F.shiftleft(words[word + 1], 64 - low))
         return value.bitwiseAND((1 << band_bits) - 1)
 
-    parts = _components_of(flat, [F.lit(i << 32) + band(s) for i, s in enumerate(starts)], words, radius, most)
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("wide").alias("wide_"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, F.col("wide") == F.col("wide_")).select("doc_id", "component_id")
+    def keyed(of: DataFrame, *more: str) -> DataFrame:
+        flat = of.select("node", *more, *[F.col("wide")[k].alias(w) for k, w in enumerate(words)])
+        return flat.select(F.explode(F.array(*[F.lit(i << 32) + band(s) for i, s in enumerate(starts)])).alias("key"), *words[:sent], "node", *more)
+
+    first = _by_key(keyed(prints), ["node"], words[:sent], first_partners(radius), most)
+    first = checkpointed(first.groupBy("a").agg(F.min(F.when(F.col("a") != F.col("b"), F.col("b"))).alias("low"), F.max(F.when(F.col("a") != F.col("b"), F.col("b"))).alias("high")))
+    pairs = first.select("a", F.explode(F.array("low", "high")).alias("b")).where("b is not null")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    active = pairs.select(F.col("a").alias("__n")).union(pairs.select(F.col("b").alias("__n"))).union(first.select(F.col("a").alias("__n"))).distinct()
+    texts = checkpointed(rows.join(active, F.col("node") == F.col("__n"), "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    sure = checkpointed(verified(pairs, texts, similarity, width))
+    parts = components(sure)
+    among = prints.join(active, F.col("node") == F.col("__n"), "left_semi").join(parts.withColumnRenamed("node", "__p"), F.col("node") == F.col("__p"), "left")
+    among = checkpointed(among.select("node", "wide", F.coalesce("component", "node").alias("part")))
+    more = _by_key(keyed(among, "part"), ["node", "part"], words[:sent], open_pairs(radius), most).distinct()
+    more = checkpointed(verified(more, texts, similarity, width))
+    linked = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    found = components(linked).withColumnRenamed("node", "__p")
+    ids = rows.groupBy("node").agg(F.min("doc_id").alias("id")).join(found, F.col("node") == F.col("__p"), "left").select("node", F.coalesce("component", "node").alias("part"), "id")
+    ids = checkpointed(ids)
+    least = ids.groupBy(F.col("part").alias("__q")).agg(F.min("id").alias("component_id"))
+    named = ids.join(least, F.col("part") == F.col("__q")).select(F.col("node").alias("__m"), "component_id")
+    return rows.join(named, F.col("node") == F.col("__m")).select("doc_id", "node", "component_id")

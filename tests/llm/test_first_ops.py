@@ -243,3 +243,25 @@ def test_similar_documents_finds_near_copies(spark):
     assert len(got) == len(rows) + 2 and got[1001] == 1000
     assert len(near) > 40 and len(far) > 40
     assert sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near) and sum(got[a] == got[b] for a, b in far) == 0
+
+
+def test_similar_documents_are_decided_by_their_shingles(spark):
+    import numpy as np
+
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    rows, near, far = [], [], []
+    for g in range(400):
+        base = [word() for _ in range(300)]
+        t = list(base)
+        for k in range(6 if g % 2 else 9):  # one edit changes five of 296 shingles
+            t[10 + 30 * k] = word()
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(t))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        (near if len(a & b) / len(a | b) >= 0.8 else far).append(2 * g)
+    rows.append((9000, " ".join(rows[0][1].split()[:40] * 9)))  # a repeated passage counts once
+    rows.append((9001, " ".join(rows[0][1].split()[:40] * 2)))
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) == 200 and len(far) == 200 and got[9001] == 9000
+    assert np.mean([got[i] == got[i + 1] for i in near]) >= 0.98 and not any(got[i] == got[i + 1] for i in far)
