@@ -37,18 +37,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: the smallest doc_id's.
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays: the first by (doc_id, nulls
+    last, then the text's hash).
 
-    Rows that repeat a doc_id count as one group with its first; rows without doc_id stay unless near a row with one.
+    Decided per (doc_id, text): texts that share a doc_id stay or go each by its own group. Rows equal in both are one, the
+    smallest by the other columns.
     """
     docs = docs.select(*COLUMNS)
-    groups = simhash.similar_documents(docs)
-    stay = groups.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where("doc_id is not null").join(stay.where("__id is not null"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    if groups.where("doc_id is null and component_id is null").isEmpty():
-        return named
-    nameless = docs.where("doc_id is null").groupBy("text").agg(*[F.first(c).alias(c) for c in COLUMNS if c != "text"]).select(*COLUMNS)
-    return named.unionByName(nameless)
+    stay = simhash.similar_documents(docs).where("leads").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
+    docs = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__node")), "left_semi")
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    return kept.groupBy("doc_id", "__text").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *[F.col(f"row.{c}").alias(c) for c in rest])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

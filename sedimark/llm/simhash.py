@@ -402,9 +402,10 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int, seed:
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 8, bands: int = 80, band_bits: int = 15, most: int = 200_000) -> DataFrame:
-    """doc_id, node, component_id for near copies: texts whose sets of `width`-word shingles have Jaccard similarity
+    """doc_id, node, component_id, leads for near copies: texts whose sets of `width`-word shingles have Jaccard similarity
     `similarity` or more, and what is reachable over such links. node is the hash of the row's text (equal texts are one),
-    component_id the smallest doc_id of the component (null: no row of it has one).
+    component_id the smallest doc_id of the component (null: no row of it has one). leads marks the component's first row by
+    (doc_id, nulls last, then node); equal rows lead together.
 
     Candidates come from SimHash over the distinct shingles: two sets of Jaccard similarity s have cosine about
     2 s / (1 + s), and each bit differs with probability arccos(cosine) / pi. Documents are compared when one of `bands`
@@ -451,6 +452,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     found = components(linked).withColumnRenamed("node", "__p")
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("id")).join(found, F.col("node") == F.col("__p"), "left").select("node", F.coalesce("component", "node").alias("part"), "id")
     ids = checkpointed(ids)
-    least = ids.groupBy(F.col("part").alias("__q")).agg(F.min("id").alias("component_id"))
-    named = ids.join(least, F.col("part") == F.col("__q")).select(F.col("node").alias("__m"), "component_id")
-    return rows.join(named, F.col("node") == F.col("__m")).select("doc_id", "node", "component_id")
+    head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col("node").alias("first"))).alias("head")
+    named = ids.join(ids.groupBy(F.col("part").alias("__q")).agg(head), F.col("part") == F.col("__q")).select(F.col("node").alias("__m"), "head")
+    leads = (F.col("node") == F.col("head.first")) & F.col("doc_id").eqNullSafe(F.col("head.id"))
+    return rows.join(named, F.col("node") == F.col("__m")).select("doc_id", "node", F.col("head.id").alias("component_id"), leads.alias("leads"))

@@ -113,3 +113,11 @@ def test_removed_passages_leave_whole_characters(spark):
     docs = spark.createDataFrame([(1, "x" + text, "fr", "a", 81), (2, "ab" + text + "ü", "fr", "a", 83)], DOCS)
     out = {r.doc_id: r.text for r in corpus_pipeline.repeated_passages(spark, docs, "").collect()}
     assert out[1] == "xé" and out[2].encode().decode() == out[2] and out[2].startswith("ab") and len(out[2]) < 10
+
+
+def test_near_duplicates_decide_per_id_and_text(spark):
+    text = lambda tag, n=200: " ".join(f"{tag}{k}" for k in range(n))
+    rows = [(1, text("a")), (2, text("a", 199)), (2, text("b")), (2, text("b")), (3, text("c")), (3, text("d")), (None, text("e")), (None, text("e", 199)), (None, text("d", 199))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    out = [(r.doc_id, r.text[0]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(map(str, out)) == sorted(map(str, [(1, "a"), (2, "b"), (3, "c"), (3, "d"), (None, "e")]))
