@@ -4,11 +4,14 @@ Distinct vectors of a label are dealt to overlapping shards, each to those of it
 nearest candidates, pruned so that a neighbour is left out when a nearer one leads to it (alpha), and the reverse edges.
 The adjacency lists of a vector from all its shards are united. Then every shard searches for each of its vectors: greedily
 from the shard's medoid and from the vector itself, and on from everything within a widened range until nothing new
-comes up. Pairs found are verified in double precision. A sample is audited against brute force.
+comes up. Where a vector has more others in range than a list of the graph holds, it and its neighbours are compared with the whole
+shard instead. Pairs found are verified in double precision. A sample is audited against brute force.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -134,6 +137,31 @@ def expand(x, first, to, least: float, wide: float, beam: int = 8, steps: int =
             q, node = q[s >= wide], node[s >= wide]
 
 
+def dense_rows(x, least: float, degree: int = 24, rows: int = 256):
+    """(mask, blocks of (row, other)): the rows that have `degree` or more others in range or such a row in range, for whose
+    neighbourhoods the graph's bounded lists are too short, with all pairs that may be within `least` cosine from them."""
+    import numpy as np
+
+    def near(a):
+        s = x[a : a + rows] @ x.T >= least - 1e-4
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = False
+        return s
+
+    n = len(x)
+    crowded = np.concatenate([near(a).sum(axis=1) >= degree for a in range(0, n, rows)])
+    mask = np.zeros(n, bool)
+    if crowded.any():
+        mask = np.concatenate([crowded[a : a + rows] | near(a)[:, crowded].any(axis=1) for a in range(0, n, rows)])
+
+    def pairs():
+        for a in range(0, n, rows):
+            if mask[a : a + rows].any():
+                p, q = np.nonzero(near(a) & mask[a : a + rows, None])
+                yield p + a, q
+
+    return mask, pairs()
+
+
 def cosines(v, a, b):
     import numpy as np
 
@@ -253,7 +281,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, size: int = 2048, o
         width = int(np.diff(shards.offsets.to_numpy()).max())
         own = np.array([s + [-1 - i for i in range(width - len(s))] for s in shards.to_pylist()])
         links, blocks = np.zeros(len(ids), "i8"), []
-        for a, b in expand(unit(v).astype("f4"), first, to, least, least - 0.6 * (1 - least)):
+        x = unit(v).astype("f4")
+        dense, pairs = dense_rows(x, least)
+        walked = ((a[~dense[a]], b[~dense[a]]) for a, b in expand(x, first, to, least, least - 0.6 * (1 - least))) if not dense.all() else ()
+        for a, b in chain(pairs, walked):
             yes = cosines(v, a, b) >= least
             a, b = a[yes], b[yes]
             blocks.append((a, b))

@@ -121,3 +121,18 @@ def test_near_duplicates_decide_per_id_and_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     out = [(r.doc_id, r.text[0]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(map(str, out)) == sorted(map(str, [(1, "a"), (2, "b"), (3, "c"), (3, "d"), (None, "e")]))
+
+
+def test_vector_groups_larger_than_a_list_are_linked(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    u, w = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+    group = lambda base: base + rng.normal(size=(200, 64)) * 1e-3
+    x = np.concatenate([group(u), group(0.985 * u + np.sqrt(1 - 0.985**2) * w), rng.normal(size=(200, 64))])
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = v @ v.T >= 0.98
+    assert near[:200, 200:400].all()
+    frame = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vecdedup.near_duplicates(frame).collect()}
+    assert all(got[i] == (near[i].sum() - 1, 0 if i < 400 else i) for i in range(600))
