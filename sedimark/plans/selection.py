@@ -87,13 +87,21 @@ def decontam_ngram_overlap(spark, t):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON instr(d.text, b.text) > 0")
 def decontam_exact_substring(spark, t):
-    """Exact passages: candidates share an n-gram with the item (an equi-join), then the passage is looked for. Items shorter than the gram
-    have no candidates of this kind and are compared as whole words of the document."""
-    docs, items = t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("item"))
-    inner = F.regexp_replace("item", r"^\S*\s+|\s+\S*$", "")  # the outer words may be parts of longer words in a document
-    grams = N.word_grams(items.withColumn("inner", inner), "item_id", "inner", 5).groupBy("item_id").agg(F.min("gram").alias("gram"))
-    pairs = N.word_grams(docs, "doc_id", "text", 5).join(grams, "gram").select("doc_id", "item_id").distinct()
-    return pairs.join(docs, "doc_id").join(items, "item_id").where(F.instr("text", F.col("item")) > 0).select("doc_id", "item_id")
+    """Exact passages: candidates share an n-gram with the item (an equi-join), then the passage is looked for. The gram has five words, or as
+    many as the item has without its outer words; items of one or two words have none and are looked for in every document."""
+    return exact_passages(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("item")))
+
+
+def exact_passages(docs, items):
+    parts = F.split("item", r"\s+")  # the outer ones may be parts of longer words in a document
+    n = F.greatest(F.size("parts") - 2, F.lit(0))
+    items = items.withColumn("parts", parts).withColumn("n", n).withColumn("inner", F.array_join(F.slice("parts", 2, n), " "))
+    found = docs.join(items.where("n = 0"), F.instr("text", F.col("item")) > 0).select("doc_id", "item_id")
+    for n in range(1, 6):
+        grams = N.word_grams(items.where(F.least("n", F.lit(5)) == n), "item_id", "inner", n).groupBy("item_id").agg(F.min("gram").alias("gram"))
+        pairs = N.word_grams(docs, "doc_id", "text", n).join(grams, "gram").select("doc_id", "item_id").distinct()
+        found = found.unionByName(pairs.join(docs, "doc_id").join(items, "item_id").where(F.instr("text", F.col("item")) > 0).select("doc_id", "item_id"))
+    return found
 
 
 def droplist_hits(t):

@@ -285,3 +285,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert "row_number" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["run", "nothing", "--tables", "x"])
+
+
+def test_short_passages_are_found_like_long_ones(spark):
+    from sedimark.plans.selection import exact_passages
+
+    words = "the quick brown fox jumps over the lazy dog again".split()
+    texts = [" ".join(words), "xx" + " ".join(words) + "yy", "lazy  dog", "", "un" + " ".join(words[3:7])]
+    items = [" ".join(words[a : a + n]) for n in range(1, 9) for a in (0, 2)] + ["nothing", " fox ", "og ag", "azy dog a", "ick brown fox ju"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id long, item string")
+    got = sorted((r.doc_id, r.item_id) for r in exact_passages(docs, frame).collect())
+    assert got == sorted((d, i) for d, x in enumerate(texts) for i, y in enumerate(items) if y in x)
