@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,13 +15,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir. Only a local master (tests) may do without: a folder of this
+    machine then; on a cluster a machine's own folder would be read in parts, so that raises."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+    return os.path.join(tempfile.gettempdir(), f"sedimark-checkpoints-{os.getpid()}")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; only where none is named (tests on one machine) choose one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"sedimark-checkpoints-{os.getpid()}"))
+    """Use the shared folder that the session names."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -29,6 +38,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table of its own in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without the columns that an operator is about to add (case-insensitively, as Spark resolves names)."""
     taken = {n.lower() for n in names}

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sedimark.llm import ann, bpe, chat, packing, queries, sharding, simhash
 
@@ -59,6 +60,29 @@ def test_sharding_splits_a_group_of_equal_texts(spark):
     assert len(load) == 40 and max(load.values()) < 1.1 * min(load.values())
 
 
+def test_sharding_deals_rows_that_are_equal_in_everything(spark):
+    docs = spark.range(12_000).selectExpr("case when id < 10000 then cast(null as long) else id end as doc_id", "case when id < 10000 then null else concat('text ', id) end as text", "id as __e")
+    rows = sharding.shard(docs.repartition(3), 40).select("shard", "size", "slot").collect()
+    load, slots = Counter(), defaultdict(list)
+    for r in rows:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert len(rows) == 12_000 and len(load) == 40 and max(load.values()) < 1.1 * min(load.values())
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_sharding_follows_a_plain_sort(spark):
+    docs = small_docs(spark)
+    rows = sharding.shard(docs, 5).select("doc_id", "shard", "slot", "size", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    plain = sorted(rows, key=lambda r: (r.h, r.doc_id))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot))] == [r.doc_id for r in plain]
+    total, below = sum(r.size for r in rows), 0
+    for r in plain:  # each row lies where its bytes lie, to within the tolerance and one row
+        ideal = 5 * below / total
+        assert abs(r.shard + 0.5 - ideal) <= 0.5 + 5 * (0.005 / 5 + max(x.size for x in rows) / total)
+        below += r.size
+
+
 def test_sharding_odd_rows(spark):
     out = sharding.shard(odd_docs(spark), 3)
     assert out.count() == 12 and dict(out.dtypes)["shard"] == "int"
