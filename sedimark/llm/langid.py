@@ -7,6 +7,7 @@ ridge regression on that map gives a score per language. Scoring is two matrix p
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,98 +16,85 @@ from pyspark.sql import Window as W
 
 from sedimark.llm.common import chunks, map_arrow, without
 
-CODES = 64  # symbols of the n-gram alphabet: 0 anything but a letter, 1 a letter outside the alphabet, then letters
-ALPHABET = CODES - 2
+#: An n-gram is a number: 21 bits for each of its symbols. Symbols are code points plus one for letters and the marks that belong to
+#: them, and 1 for anything else, so no symbol is 0 and lengths are told apart.
+BITS, OTHER = 21, 1
 
 
 @dataclass
 class Model:
-    """alphabet: letters in order; columns: n-gram -> column (-1: in no landmark); landmarks: presence, columns x texts;
-    sizes: |G| of each landmark; weights: landmarks x languages, Nystroem whitening included."""
+    """columns: sorted n-grams of the landmarks; landmarks: presence, columns x texts; sizes: |G| of each landmark; weights:
+    landmarks x languages, Nystroem whitening included."""
 
-    alphabet: str
     columns: object
     landmarks: object
     sizes: object
     weights: object
     languages: list[str]
 
-    def table(self):
-        """Code of every code point of the basic plane (others: 1 if a letter, decided in codes())."""
-        import numpy as np
 
-        out = np.zeros(1 << 16, "u1")
-        for i in range(1 << 16):
-            if chr(i).isalpha():
-                out[i] = 1
-        for i, c in enumerate(self.alphabet):
-            out[ord(c)] = i + 2
-        return out
+def _is_letter(point: int) -> bool:
+    return chr(point).isalpha() or unicodedata.category(chr(point))[0] == "M"
 
 
 class Presence:
-    """Texts -> (presence over the model's columns, |G|), a block at a time."""
+    """Texts -> (presence over the given n-grams, |G|), a block at a time."""
+
+    def __init__(self, columns) -> None:
+        import numpy as np
 
-    def __init__(self, alphabet: str, columns) -> None:
-        self.model = Model(alphabet, columns, None, None, None, [])
-        self.table = self.model.table()
         self.columns = columns
+        letter = np.fromiter(map(_is_letter, range(1 << 16)), bool, 1 << 16)
+        self.table = np.where(letter, np.arange(1 << 16) + 1, OTHER).astype("i8")
 
     def codes(self, text: str):
         import numpy as np
 
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        if len(points) and int(points.max()) > 0xFFFF:
-            out = self.table[np.minimum(points, 0xFFFF)]
-            far = points > 0xFFFF
-            out[far] = [chr(p).isalpha() for p in points[far]]
-            return out
-        return self.table[points]
+        out = self.table[np.minimum(points, 0xFFFF)]
+        far = np.flatnonzero(points > 0xFFFF)
+        if len(far):
+            out[far] = [p + 1 if _is_letter(p) else OTHER for p in points[far].tolist()]
+        return out
 
     def grams(self, text: str):
-        """Sorted distinct n-gram numbers of the whole text; long texts are unions of overlapping pieces. Runs of
-        non-letters count as one symbol, and texts are taken as if between two such symbols."""
+        """Sorted distinct n-grams of the whole text. Runs of other symbols count as one, and texts are taken as if between two of
+        them. Shorter n-grams are the beginnings of longer ones, so only the longest are sorted at full length."""
         import numpy as np
 
-        seen = np.zeros(CODES + CODES**2 + CODES**3, bool)
-        c = np.concatenate(([0], self.codes(text), [0])).astype("i4")
-        c = c[np.concatenate(([True], (c[1:] > 0) | (c[:-1] > 0)))]
-        seen[c] = True
-        two = c[:-1] * CODES + c[1:]
-        seen[CODES + two] = True
-        seen[CODES + CODES**2 + two[:-1] * CODES + c[2:]] = True
-        return np.flatnonzero(seen)
+        c = np.concatenate(([OTHER], self.codes(text), [OTHER]))
+        c = c[np.concatenate(([True], (c[1:] != OTHER) | (c[:-1] != OTHER)))]
+        three = np.unique(c[:-2] << 2 * BITS | c[1:-1] << BITS | c[2:])
+        two = np.unique(np.append(three >> BITS, c[-2:-1] << BITS | c[-1:]))
+        return np.concatenate((np.unique(np.append(two >> BITS, c[-1])), two, three))
 
     def block(self, texts: list[str]):
         import numpy as np
 
-        width = int(self.columns.max()) + 1
-        out, sizes = np.zeros((len(texts), width), "f4"), np.zeros(len(texts))
+        out, sizes = np.zeros((len(texts), len(self.columns)), "f4"), np.zeros(len(texts))
         for i, t in enumerate(texts):
             g = self.grams(t)
             sizes[i] = len(g)
-            at = self.columns[g]
-            out[i, at[at >= 0]] = 1
+            at = np.minimum(np.searchsorted(self.columns, g), len(self.columns) - 1)
+            out[i, at[self.columns[at] == g]] = 1
         return out, sizes
 
 
-def train(rows: list[tuple[str, str]], landmarks_per_language: int = 24, ridge: float = 1e-2) -> Model | None:
-    """rows: (lang, text). The first landmarks_per_language texts of each language are its landmarks; all rows train."""
+def train(rows: list[tuple[str, str]], landmarks_per_language: int = 24, ridge: float = 1e-2, most_entries: int = 1 << 25) -> Model | None:
+    """rows: (lang, text). The first landmarks_per_language texts of each language are its landmarks, or fewer (one at least) where
+    n-grams times landmarks would pass most_entries; all rows train."""
     import numpy as np
-    from collections import Counter
 
     languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None
-    common = Counter(c for _, t in rows for c in t.lower() if c.isalpha() and ord(c) < 1 << 16)
-    alphabet = "".join(sorted(c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]))
-    chosen = [t for lang in languages for t in [t for x, t in rows if x == lang][:landmarks_per_language]]
-    total = CODES + CODES**2 + CODES**3
-    maker = Presence(alphabet, np.full(total, -1, "i4"))
-    grams = [maker.grams(t) for t in chosen]
-    used = np.unique(np.concatenate(grams))
-    columns = np.full(total, -1, "i4")
-    columns[used] = np.arange(len(used))
+    maker, columns, chosen = Presence(None), np.zeros(0, "i8"), []
+    for k in range(landmarks_per_language):  # a further text of every language, as long as the table of landmarks stays small
+        more = [t for lang in languages for t in [t for x, t in rows if x == lang][k : k + 1]]
+        wider = np.unique(np.concatenate([columns, *map(maker.grams, more)]))
+        if not more or chosen and len(wider) * (len(chosen) + len(more)) > most_entries:
+            break
+        columns, chosen = wider, chosen + more
     maker.columns = columns
     land, land_sizes = maker.block(chosen)
     kernel = lambda p, n: (p @ land.T) / np.sqrt(np.maximum(n, 1)[:, None] * land_sizes)
@@ -124,37 +112,37 @@ def train(rows: list[tuple[str, str]], landmarks_per_language: int = 24, ridge:
     target = np.where(y[:, None] == np.arange(len(languages)), 1.0, 0.0)
     gram = (phi * weight[:, None]).T @ phi + ridge * np.eye(phi.shape[1])
     beta = np.linalg.solve(gram, (phi * weight[:, None]).T @ target)
-    return Model(alphabet, columns, land.T.copy(), land_sizes, whiten @ beta, languages)
+    return Model(columns, land.T.copy(), land_sizes, whiten @ beta, languages)
 
 
-def sample(docs: DataFrame, per_language: int, longest: int) -> list[tuple[str, str]]:
-    """(lang, text) of at most per_language rows of each language: those of the smallest hash of doc_id and text among texts
-    of at most `longest` characters with a letter. Two scans: languages are counted without the texts, then a fraction that
-    should hold twice the rows asked for is read; only those rows are ranked, so what is collected has a bound."""
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}
-    if not counts:
-        return []
+def sample(docs: DataFrame, per_language: int, longest: int, most_languages: int) -> list[tuple[str, str]]:
+    """(lang, text) of at most per_language rows of each of the most_languages most frequent languages: those of the smallest hash
+    of doc_id among texts of at most `longest` characters with a letter. Two scans: languages are counted without the texts,
+    then a fraction that should hold twice the rows asked for is read; only those rows are ranked, so what is collected has a bound."""
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     key = F.xxhash64(F.col("doc_id"), F.lit("langid"))
-    share = {lang: min(1.0, 4 * per_language / n + 200 / n) for lang, n in counts.items()}
-    parts = F.create_map(*[F.lit(x) for lang, s in share.items() for x in (lang, int(s * (1 << 62)))])
-    some = docs.where(F.shiftrightunsigned(key, 2) <= parts[F.col("lang")])
+    share = F.least(F.lit(1.0), (4 * per_language + 200) / F.col("count"))
+    parts = F.broadcast(counts.select("lang", (share * float(1 << 62)).cast("long").alias("__s")))  # bounded: most_languages rows
+    some = docs.join(parts, "lang").where(F.shiftrightunsigned(key, 2) <= F.col("__s"))
     some = some.where(F.col("text").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}")).withColumn("__k", key)
     w = F.row_number().over(W.partitionBy("lang").orderBy("__k", "doc_id", "text"))
     return [(r[0], r[1]) for r in some.withColumn("__r", w).where(F.col("__r") <= per_language).orderBy("lang", "__r").select("lang", "text").collect()]
 
 
-def fit(labelled: DataFrame, per_language: int = 300, longest: int = 20_000, landmarks_per_language: int = 24, ridge: float = 1e-2) -> Model | None:
+def fit(labelled: DataFrame, per_language: int = 300, longest: int = 20_000, landmarks_per_language: int = 24, ridge: float = 1e-2, most_languages: int = 200, most_entries: int = 1 << 25) -> Model | None:
     """Learn from (doc_id, text, lang); rows of null text or lang, and texts without a letter, are left out. Bounded sample:
-    per_language texts of at most `longest` characters."""
-    rows = sample(labelled.select("doc_id", "text", "lang").where("lang is not null"), per_language, longest)
-    return train(rows, landmarks_per_language, ridge)
+    per_language texts of at most `longest` characters of each of the most_languages most frequent values of lang. Ties of the
+    sampling hash are settled by doc_id, then text; repeated rows count each. None if nothing is left, as of an empty table."""
+    rows = sample(labelled.select("doc_id", "text", "lang").where("lang is not null"), per_language, longest, most_languages)
+    return train(rows, landmarks_per_language, ridge, most_entries)
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of docs, with lang_pred and score (0 to 1; columns of these names are replaced).
 
     Whole texts are scored. `und` with score 0 for a null text, a text without a letter, and for all rows if nothing could be
-    learned. The score is the best language's share of the positive regression values. Empty tables give no rows.
+    learned. The score is the best language's share of the positive regression values; equal values go to the first language in order.
+    Repeated rows are scored each. Empty tables give no rows.
     No shuffle; memory is a block of about 1 MB of text.
     """
     import pyarrow as pa
@@ -168,7 +156,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
         import numpy as np
 
         m = shared.value
-        maker = Presence(m.alphabet, m.columns) if m else None
+        maker = Presence(m.columns) if m else None
 
         def run(batches):
             for b in chunks(batches, "text", 1 << 20):

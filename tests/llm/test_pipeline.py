@@ -37,6 +37,43 @@ def test_language_odd_rows(spark, tables):
     assert {r.lang_pred for r in langid.classify(odd(spark), None).collect()} == {"und"}
 
 
+def test_language_of_large_scripts(spark):
+    """Six scripts of 400 letters each beside Latin and Cyrillic; texts of several thousand letters too."""
+    import random
+
+    rnd, rows = random.Random(3), []
+    for k, first in enumerate((0x61, 0x430, 0x4E00, 0x5200, 0xAC00, 0xB000, 0x20000, 0x20400)):
+        letters = [chr(first + i) for i in range(26 if k < 2 else 400)]
+        for i in range(60):
+            n = 5000 if i == 0 else 120
+            rows.append((len(rows), " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 6))) for _ in range(n)), f"l{k}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id % 60 < 30"))
+    out = langid.classify(docs.where("doc_id % 60 >= 30 or doc_id % 60 = 0"), model).collect()
+    assert all(r.lang_pred == r.lang for r in out)
+
+
+def test_language_kernel_by_brute_force():
+    """Presence, kernel and scores of the blocks against sets of n-grams."""
+    import numpy as np
+
+    rows = [("a", "Straße und Haus"), ("a", "das Haus, 12 Häuser"), ("b", "the house and street"), ("b", "houses!! of a street"), ("a", "Haus"), ("b", "street")]
+    model = langid.train(rows)
+
+    def grams(t):
+        s = "".join(c if c.isalpha() else " " for c in t.lower())
+        s = " " + " ".join(s.split()) + " "
+        return {s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)}
+
+    maker = langid.Presence(model.columns)
+    chosen = [rows[i][1] for i in (0, 2, 1, 3, 4, 5)]  # a text of each language in turn
+    for t in ["Haus an der Straße", "house 7", "x"]:
+        p, n = maker.block([t])
+        got = ((p @ model.landmarks) / np.sqrt(n[:, None] * model.sizes))[0]
+        want = [len(grams(t) & grams(c)) / (len(grams(t)) * len(grams(c))) ** 0.5 for c in chosen]
+        assert np.allclose(got, want)
+
+
 def test_quality_separates_labelled_rows(spark):
     sf = "/root/testdata/sf0.1"
     out = queries.op2_co_training(spark, sf).join(queries.load(spark, sf, "labels"), "doc_id").select("keep", "quality", "toxic").collect()
