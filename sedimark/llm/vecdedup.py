@@ -4,13 +4,13 @@ Distinct vectors of a label are dealt to overlapping shards, each to those of it
 nearest candidates, pruned so that a neighbour is left out when a nearer one leads to it (alpha), and the reverse edges.
 The adjacency lists of a vector from all its shards are united. Then every shard searches for each of its vectors: greedily
 from the shard's medoid and from the vector itself, and on from everything within a widened range until nothing new
-comes up. Where a vector has more others in range than a list of the graph holds, it and its neighbours are compared with the whole
-shard instead. Pairs found are verified in double precision. A sample is audited against brute force.
+comes up. Pairs found are verified in double precision. Where a vector has more others in range than a list of the graph holds, its
+pairs come from tiles of matrix products with all that a bound on angles leaves. A sample is audited against brute force.
 """
 
 from __future__ import annotations
 
-from itertools import chain
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,17 +26,19 @@ def unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def candidates(x, k: int, rows: int = 1024):
-    """The k nearest others of each row (unit vectors), nearest first, by blocks of a matrix product."""
+def candidates(x, k: int, least: float, rows: int = 1024):
+    """(the k nearest others of each row of unit vectors, nearest first; how many others may be within `least` cosine), by blocks
+    of a matrix product."""
     import numpy as np
 
-    near = []
+    near, crowd = [], []
     for a in range(0, len(x), rows):
         s = x[a : a + rows] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
+        crowd.append((s >= least - 1e-4).sum(axis=1))
         top = np.argpartition(-s, k - 1, axis=1)[:, :k]
         near.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1))
-    return np.concatenate(near)
+    return np.concatenate(near), np.concatenate(crowd)
 
 
 def robust_prune(x, near, alpha: float, degree: int, rows: int = 2048):
@@ -58,18 +60,19 @@ def robust_prune(x, near, alpha: float, degree: int, rows: int = 2048):
     return np.concatenate(masks)
 
 
-def build(x, alpha: float = 1.2, degree: int = 24, k: int = 48):
-    """Edges (from, to) of the pruned graph with reverse edges, each once."""
+def build(x, least: float, alpha: float = 1.2, degree: int = 24, k: int = 48):
+    """Edges (from, to) of the pruned graph with reverse edges, each once, and which rows are dense: those with `degree` or more
+    others in range, for which the bounded lists are too short."""
     import numpy as np
 
     n = len(x)
     if n < 2:
-        return np.zeros(0, "i8"), np.zeros(0, "i8")
-    near = candidates(x, min(k, n - 1))
+        return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(n, bool)
+    near, crowd = candidates(x, min(k, n - 1), least)
     keep = robust_prune(x, near, alpha, degree)
     a, b = np.repeat(np.arange(n), keep.sum(axis=1)), near[keep]
     pair = np.unique(np.concatenate([a * n + b, b * n + a]))
-    return pair // n, pair % n
+    return pair // n, pair % n, crowd >= degree
 
 
 def expand(x, first, to, least: float, wide: float, beam: int = 8, steps: int = 12, rows: int = 512):
@@ -137,29 +140,32 @@ def expand(x, first, to, least: float, wide: float, beam: int = 8, steps: int =
             q, node = q[s >= wide], node[s >= wide]
 
 
-def dense_rows(x, least: float, degree: int = 24, rows: int = 256):
-    """(mask, blocks of (row, other)): the rows that have `degree` or more others in range or such a row in range, for whose
-    neighbourhoods the graph's bounded lists are too short, with all pairs that may be within `least` cosine from them."""
+def tile(x, asked, others, n, same, least: float, rows: int = 512):
+    """(links of each asked row, links of each other row, root of each asked and of each other row) between unit vectors: `asked`
+    and `others` number rows of x, n weighs them, `same` tells which others are asked somewhere. Pairs live only as a block of
+    a matrix product in double precision; the components of a block come from minima passed to and fro over it."""
     import numpy as np
 
-    def near(a):
-        s = x[a : a + rows] @ x.T >= least - 1e-4
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = False
-        return s
-
-    n = len(x)
-    crowded = np.concatenate([near(a).sum(axis=1) >= degree for a in range(0, n, rows)])
-    mask = np.zeros(n, bool)
-    if crowded.any():
-        mask = np.concatenate([crowded[a : a + rows] | near(a)[:, crowded].any(axis=1) for a in range(0, n, rows)])
-
-    def pairs():
-        for a in range(0, n, rows):
-            if mask[a : a + rows].any():
-                p, q = np.nonzero(near(a) & mask[a : a + rows, None])
-                yield p + a, q
-
-    return mask, pairs()
+    links, back = np.zeros(len(asked), "i8"), np.zeros(len(others), "i8")
+    root = np.arange(len(x))
+    for a in range(0, len(asked), rows):
+        q = asked[a : a + rows]
+        s = x[q] @ x[others].T
+        hit = s >= least
+        close = np.argwhere(np.abs(s - least) < 1e-9)  # sums in another order: settled by the plain formula
+        hit[close[:, 0], close[:, 1]] = cosines(x, q[close[:, 0]], others[close[:, 1]]) >= least
+        hit &= q[:, None] != others
+        links[a : a + rows] = hit @ n[others]
+        back += np.where(same, 0, n[q] @ hit)
+        while True:
+            low = np.minimum(root[q], np.where(hit, root[others], len(x)).min(axis=1))
+            up = np.minimum(root[others], np.where(hit, low[:, None], len(x)).min(axis=0))
+            if (low == root[q]).all() and (up == root[others]).all():
+                break
+            root[q] = low
+            root[others] = np.minimum(root[others], up)  # a row may be on both sides
+            root = root[root]
+    return links, back, root
 
 
 def cosines(v, a, b):
@@ -175,19 +181,14 @@ def _matrix(table):
     return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
 
 
-def _shards(reps: DataFrame, size: int, overlap: int, most_centres: int) -> DataFrame:
-    """rep, n, label, dim, v, shards array<int>: the numbers of the `overlap` nearest centres of the row's (label, dim).
-
-    Groups of at most twice `size` rows have one shard and no centres. Centres are rows of smallest hash, one per `size`/overlap
-    rows, and at most `most_centres` in all: their broadcast has that bound (beyond it shards grow).
-    """
-    import pyarrow as pa
-
+def _centres(reps: DataFrame, size: int, overlap: int, most_centres: int) -> dict:
+    """(label, dim) -> centres, for groups of more than twice `size` rows: rows of smallest hash, one per size/overlap rows and at
+    most most_centres in all, which bounds their broadcast (beyond it shards grow)."""
     counts = [r for r in reps.groupBy("label", "dim").count().where(F.col("count") > 2 * size).collect()]
     total = sum(r["count"] for r in counts)
     each = max(1, size // overlap, -(-total // most_centres))
     wanted = {(r.label, r.dim): -(-r["count"] // each) for r in counts}
-    centres = {}
+    centres: dict = {}
     if wanted:
         hash_ = F.xxhash64("rep", F.lit("centre"))
         share = F.create_map(*[F.lit(x) for (lab, dim), c in wanted.items() for x in (f"{lab} {dim}", c)])
@@ -197,35 +198,108 @@ def _shards(reps: DataFrame, size: int, overlap: int, most_centres: int) -> Data
         some = some.where(F.shiftrightunsigned(hash_, 2) <= low[F.concat_ws(" ", "label", "dim")])
         for r in some.withColumn("__r", rank).where("__r <= __c").select("label", "dim", "v").collect():
             centres.setdefault((r.label, r.dim), []).append(r.v)
-    shared = reps.sparkSession.sparkContext.broadcast(centres)
+    return centres
+
+
+def _with_cells(rows: DataFrame, shared, name: str, choose) -> DataFrame:
+    """rows and `name` array<int>: what choose(cosines to the centres of their (label, dim), known) lists for each row; rows of
+    groups without centres get [0]. known: what else the broadcast holds for the group."""
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+    schema = StructType(list(rows.schema.fields)).add(name, ArrayType(IntegerType()))
 
     def make():
         import numpy as np
 
-        known = {k: unit(np.array(v)) for k, v in shared.value.items()}
+        known = {k: (unit(np.array(v)), more) for k, (v, more) in shared.value.items()}
 
         def run(batches):
             for b in batches:
-                labels, dims, out = b.column("label").to_pylist(), b.column("dim").to_pylist(), [None] * b.num_rows
+                labels, dims, out = b.column("label").to_pylist(), b.column("dim").to_pylist(), [[0]] * b.num_rows
                 groups: dict = {}
                 for i, k in enumerate(zip(labels, dims)):
                     groups.setdefault(k, []).append(i)
-                vectors = b.column("v")
-                for k, rows in groups.items():
-                    if k not in known:
-                        for i in rows:
-                            out[i] = [0]
-                        continue
-                    x = unit(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
-                    near = x @ known[k].T
-                    top = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
-                    for i, t in zip(rows, top):
-                        out[i] = sorted(t.tolist())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*b.schema.names, "shards"])
+                for k, at in groups.items():
+                    if k in known:
+                        x = unit(b.column("v").take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
+                        centres, more = known[k]
+                        for i, cells in zip(at, choose(x @ centres.T, more)):
+                            out[i] = cells
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.int32()))], [*b.schema.names, name])
 
         return run
 
-    return map_arrow(reps.select("rep", "n", "label", "dim", "v"), make, "rep long, n long, label int, dim int, v array<double>, shards array<int>")
+    return map_arrow(rows, make, schema)
+
+
+def _nearest(overlap: int):
+    def choose(near, _):
+        import numpy as np
+
+        top = np.argsort(-near, axis=1, kind="stable")[:, :overlap]
+        return [t.tolist() for t in top]  # nearest first
+
+    return choose
+
+
+def _in_reach(least: float):
+    """Cells whose dense rows may be within `least` of a row: by the triangle inequality of angles, those whose centre is no further
+    than the cell's radius and the range together."""
+
+    def choose(near, radius):
+        import numpy as np
+
+        reach = np.array([radius.get(c, -1.0) for c in range(near.shape[1])])
+        angle = np.arccos(np.clip(near, -1, 1))
+        inside = (reach >= 0) & (angle <= reach + np.arccos(least) + 1e-6)
+        return [np.flatnonzero(x).tolist() for x in inside]
+
+    return choose
+
+
+def _dense_links(placed: DataFrame, flags: DataFrame, shared_centres: dict, least: float, size: int) -> DataFrame:
+    """(rep, links, root) of all pairs that have a dense row.
+
+    flags: rep of the dense rows. They are dealt to cells by nearest centre; every row of the label goes to the cells that can
+    hold a partner of it, found by a bound on angles, so no link is lost. A cell's asked rows and the others meet in tiles of
+    about size x 4 size rows: an index of each side's part is all that is repeated, so a hot cell is many tasks."""
+    import pyarrow as pa
+
+    asked = placed.join(flags.select(F.col("rep").alias("__f")), F.col("rep") == F.col("__f"), "left").withColumn("asked", F.col("__f").isNotNull()).drop("__f")
+    asked = checkpointed(asked.withColumn("cell", F.col("shards")[0]).select("label", "dim", "rep", "n", "v", "cell", "asked", "cosine"))
+    cells = checkpointed(asked.where("asked").groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"), F.min("cosine").alias("low")))
+    radius: dict = {}
+    for r in cells.where("low > -1").collect():  # bounded by the number of centres
+        radius.setdefault((r.label, r.dim), {})[r.cell] = math.acos(min(1.0, r.low))
+    shared = placed.sparkSession.sparkContext.broadcast({k: (v, radius.get(k, {})) for k, v in shared_centres.items()})
+    home = cells.drop("low")
+    others = _with_cells(asked.drop("cell", "cosine"), shared, "cells", _in_reach(least)).withColumn("cell", F.explode("cells")).drop("cells")
+    others = checkpointed(others.join(home, ["label", "dim", "cell"]))
+    counts = others.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / (4 * size)).cast("int").alias("blocks"))
+    deal = lambda n: F.pmod(F.xxhash64("rep", F.lit("deal")), F.col(n)).cast("int")
+    right = others.join(counts, ["label", "dim", "cell"]).withColumns({"block": deal("blocks"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1))})
+    left = asked.where("asked").drop("cosine").join(home, ["label", "dim", "cell"]).join(counts, ["label", "dim", "cell"]).withColumns({"part": deal("parts"), "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    keys = ["label", "dim", "cell", "part", "block"]
+    cols = [*keys, "rep", "n", "v", "asked"]
+
+    def meet(a, b):
+        import numpy as np
+
+        if not a.num_rows or not b.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("rep", "links", "root")})
+        ids = np.concatenate([t.column("rep").to_numpy() for t in (a, b)])
+        names, first, which = np.unique(ids, return_index=True, return_inverse=True)
+        x = unit(np.concatenate([_matrix(a), _matrix(b)])[first])
+        n = np.concatenate([t.column("n").to_numpy() for t in (a, b)])[first]
+        q, o = which[: a.num_rows], which[a.num_rows :]
+        links, back, root = tile(x, q, o, n, b.column("asked").to_numpy(), least)
+        rep, count = np.concatenate([names[q], names[o]]), np.concatenate([links, back])
+        top = names[np.concatenate([root[q], root[o]])]
+        some = (count > 0) | (top != rep)
+        return pa.table({"rep": pa.array(rep[some]), "links": pa.array(count[some]), "root": pa.array(top[some])})
+
+    return left.select(*cols).groupBy(*keys).cogroup(right.select(*cols).groupBy(*keys)).applyInArrow(meet, "rep long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, size: int = 2048, overlap: int = 3, most_centres: int = 16384, audit: int = 100) -> DataFrame:
@@ -236,9 +310,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, size: int = 2048, o
     zero or hold null or non-finite components, and null labels or ids, link with nothing. Equal vectors of a label are one
     class before any search. Repeated vec_ids count as rows of their class. An empty table gives no rows.
 
-    What leaves a task is, per vector, a count and star edges; a pair in several shards counts in the first that both
-    share. audit_recall is the share found of the links of `audit` sampled classes, by brute force over all vectors
-    of their labels (null: the sample has no link); the sample is all that is broadcast.
+    Pairs of a dense row (one with more others in range than a list of the graph holds) are found exactly, see _dense_links; the
+    others by the graph, where a pair in several shards counts in the first that found it. What leaves a task is, per vector, a
+    count and star edges, and for graph pairs that lie in several shards the pairs (a few per vector, as neither end is dense).
+    audit_recall is the share found of the links of `audit` sampled classes, by brute force over all vectors of their labels
+    (null: the sample has no link); the sample is all that is broadcast. Labels in which the audit misses a link are searched
+    again with all their rows as dense ones, which misses none.
     """
     import pyarrow as pa
 
@@ -247,60 +324,65 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, size: int = 2048, o
     ok = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0)
     fit = rows.where("vec_id is not null and label is not null and embedding is not null").where(ok).select("vec_id", "label", v.alias("v"))
     reps = checkpointed(fit.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("v")))
-    placed = checkpointed(_shards(reps, size, overlap, most_centres))
+    centres = _centres(reps, size, overlap, most_centres)
+    shared = reps.sparkSession.sparkContext.broadcast({k: (v_, None) for k, v_ in centres.items()})
+    placed = _with_cells(reps.select("rep", "n", "label", "dim", "v"), shared, "shards", _nearest(overlap))
+    placed = checkpointed(_with_cosine(placed, shared))
     members = placed.withColumn("shard", F.explode("shards"))
 
     def graph(table):
         import numpy as np
 
         ids = table.column("rep").to_numpy()
-        a, b = build(unit(_matrix(table)).astype("f4"))
+        a, b, dense = build(unit(_matrix(table)).astype("f4"), least)
         first = np.searchsorted(a, np.arange(len(ids) + 1))
         lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids[b]))
-        return pa.table({"rep": pa.array(ids), "near": lists})
+        return pa.table({"rep": pa.array(ids), "near": lists, "dense": pa.array(dense)})
 
-    lists = members.select("label", "dim", "shard", "rep", "v").groupBy("label", "dim", "shard").applyInArrow(graph, "rep long, near array<long>")
-    united = lists.groupBy(F.col("rep").alias("__rep")).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # bounded: overlap lists per vector
-    linked = members.join(united, F.col("rep") == F.col("__rep")).select("label", "dim", "shard", "rep", "n", "v", "shards", "near")
+    lists = members.select("label", "dim", "shard", "rep", "v").groupBy("label", "dim", "shard").applyInArrow(graph, "rep long, near array<long>, dense boolean")
+    united = lists.groupBy(F.col("rep").alias("__rep")).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.bool_or("dense").alias("dense"))  # bounded: overlap lists per vector
+    linked = checkpointed(members.join(united, F.col("rep") == F.col("__rep")).select("label", "dim", "shard", "rep", "n", "v", "near", "dense", (F.size("shards") > 1).alias("shares")))
 
     def search(table):
         import numpy as np
 
-        from sedimark.llm.simhash import joined
-
         table = table.sort_by("rep")
-        ids, n, here = table.column("rep").to_numpy(), table.column("n").to_numpy(), table.column("shard")[0].as_py()
-        v = _matrix(table)
+        ids, dense = table.column("rep").to_numpy(), table.column("dense").to_numpy()
+        x64 = unit(_matrix(table))
         near = table.column("near").combine_chunks()
         owner = np.repeat(np.arange(len(ids)), np.diff(near.offsets.to_numpy()))
         to = np.searchsorted(ids, flat := near.flatten().to_numpy(zero_copy_only=False))
         inside = (to < len(ids)) & (ids[np.minimum(to, len(ids) - 1)] == flat)  # lists also name vectors of other shards
         owner, to = owner[inside], to[inside]
         first = np.searchsorted(owner, np.arange(len(ids) + 1))
-        shards = table.column("shards").combine_chunks()
-        width = int(np.diff(shards.offsets.to_numpy()).max())
-        own = np.array([s + [-1 - i for i in range(width - len(s))] for s in shards.to_pylist()])
-        links, blocks = np.zeros(len(ids), "i8"), []
-        x = unit(v).astype("f4")
-        dense, pairs = dense_rows(x, least)
-        walked = ((a[~dense[a]], b[~dense[a]]) for a, b in expand(x, first, to, least, least - 0.6 * (1 - least))) if not dense.all() else ()
-        for a, b in chain(pairs, walked):
-            yes = cosines(v, a, b) >= least
-            a, b = a[yes], b[yes]
-            blocks.append((a, b))
-            for i in range(0, len(a), 1 << 18):
-                p, q = a[i : i + (1 << 18)], b[i : i + (1 << 18)]
-                common = np.where((own[p][:, :, None] == own[q][:, None, :]).any(axis=2), own[p], 1 << 30).min(axis=1)
-                at = common == here
-                np.add.at(links, p[at], n[q[at]])
-        root = joined(len(ids), blocks)
-        return pa.table({"rep": pa.array(ids), "links": pa.array(links), "root": pa.array(ids[root])})
-
-    found = checkpointed(linked.groupBy("label", "dim", "shard").applyInArrow(search, "rep long, links long, root long"))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = components(found.where("rep <> root"), "rep", "root")
-    recall = _audit(reps, counts, least, audit) if audit else None
-    named = reps.join(counts.withColumnRenamed("rep", "__r"), F.col("rep") == F.col("__r")).join(parts, F.col("rep") == F.col("node"), "left")
+        found = [np.zeros((0, 2), "i8")]
+        for a, b in expand(x64.astype("f4"), first, to, least, least - 0.6 * (1 - least)):
+            use = ~dense[a] & ~dense[b]
+            a, b = a[use], b[use]
+            yes = cosines(x64, a, b) >= least
+            found.append(np.stack([a[yes], b[yes]], 1))
+        pair = np.concatenate(found)
+        return pa.table({"a": pa.array(ids[pair[:, 0]]), "b": pa.array(ids[pair[:, 1]])})
+
+    # rows below the graph's degree: at most a few pairs per row and shard
+    pairs = linked.groupBy("label", "dim", "shard").applyInArrow(search, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = checkpointed(pairs)
+    weight = reps.select(F.col("rep").alias("__b"), F.col("n").alias("__n"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sparse = both.join(weight, F.col("b") == F.col("__b")).groupBy(F.col("a").alias("rep")).agg(F.sum("__n").alias("links"))
+    flags = linked.where("dense").select("rep", "label").distinct()
+    recall = None
+    for last in (False, True):
+        dense = checkpointed(_dense_links(placed, flags, centres, least, size))
+        counts = checkpointed(reps.select("rep", "label").join(sparse.unionByName(dense.select("rep", "links")).groupBy(F.col("rep").alias("__s")).agg(F.sum("links").alias("links")), F.col("rep") == F.col("__s"), "left").select("rep", "label", F.coalesce("links", F.lit(0)).alias("links")))
+        recall, missed = _audit(reps, counts, least, audit) if audit else (None, [])
+        if last or not missed:
+            break
+        again = F.col("label").isin(missed)
+        flags = flags.unionByName(reps.where(again).select("rep", "label")).distinct()
+        sparse = sparse.join(reps.where(again).select(F.col("rep").alias("__s")), F.col("rep") == F.col("__s"), "left_anti")
+    parts = components(dense.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(pairs))
+    named = reps.join(counts.select(F.col("rep").alias("__r"), "links"), F.col("rep") == F.col("__r")).join(parts, F.col("rep") == F.col("node"), "left")
     named = named.select(F.col("label").alias("__label"), F.col("v").alias("__v"), (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     full = rows.select("vec_id", "label", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(ok, F.lit(False)), v).alias("v"))
     out = full.join(named, (F.col("label") == F.col("__label")) & (F.col("v") == F.col("__v")), "left")
@@ -308,14 +390,38 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, size: int = 2048, o
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audit_recall", F.lit(recall).cast("double"))
 
 
-def _audit(reps: DataFrame, counts: DataFrame, least: float, sample: int) -> float | None:
-    """Share of the links of sampled linked classes that the search has counted."""
+def _with_cosine(placed: DataFrame, shared) -> DataFrame:
+    """placed with the cosine to the nearest centre (its home), -1 where a group has no centres: the whole group is in its reach."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    def make():
+        import numpy as np
+
+        known = {k: unit(np.array(v)) for k, (v, _) in shared.value.items()}
+
+        def run(batches):
+            for b in batches:
+                out = [-1.0] * b.num_rows
+                for i, (label, dim, shards) in enumerate(zip(b.column("label").to_pylist(), b.column("dim").to_pylist(), b.column("shards").to_pylist())):
+                    if (label, dim) in known:
+                        x = b.column("v")[i].values.to_numpy(zero_copy_only=False)
+                        out[i] = float(unit(x[None])[0] @ known[(label, dim)][shards[0]])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "cosine"])
+
+        return run
+
+    return map_arrow(placed, make, StructType(list(placed.schema.fields)).add("cosine", "double"))
+
+
+def _audit(reps: DataFrame, counts: DataFrame, least: float, sample: int) -> tuple[float | None, list[int]]:
+    """(share of the links of sampled classes that the search has counted, labels of those with a link missed)."""
     import pyarrow as pa
 
     chosen = counts.where("links > 0").orderBy(F.xxhash64("rep", F.lit("audit")), "rep").limit(sample // 2).unionByName(counts.orderBy(F.xxhash64("rep", F.lit("any")), "rep").limit(sample // 2)).dropDuplicates(["rep"])
-    asked = reps.join(F.broadcast(chosen.withColumnRenamed("rep", "__r")), F.col("rep") == F.col("__r")).select("rep", "label", "dim", "v", "links").collect()  # bounded by the sample
+    asked = reps.join(F.broadcast(chosen.select(F.col("rep").alias("__r"), "links")), F.col("rep") == F.col("__r")).select("rep", "label", "dim", "v", "links").collect()  # bounded by the sample
     if not asked:
-        return None
+        return None, []
     questions = [(r.rep, r.label, r.dim, r.v) for r in asked]
 
     def make():
@@ -344,4 +450,5 @@ def _audit(reps: DataFrame, counts: DataFrame, least: float, sample: int) -> flo
 
     truth = {r[0]: r[1] for r in map_arrow(reps.select("rep", "label", "dim", "v", "n"), make, "rep long, links long").groupBy("rep").agg(F.sum("links")).collect()}
     want = sum(truth.values())
-    return sum(min(r.links, truth.get(r.rep, 0)) for r in asked) / want if want else None
+    missed = sorted({r.label for r in asked if r.links < truth.get(r.rep, 0)})
+    return sum(min(r.links, truth.get(r.rep, 0)) for r in asked) / want if want else None, missed

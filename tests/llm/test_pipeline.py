@@ -173,3 +173,36 @@ def test_vector_groups_larger_than_a_list_are_linked(spark):
     frame = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in vecdedup.near_duplicates(frame).collect()}
     assert all(got[i] == (near[i].sum() - 1, 0 if i < 400 else i) for i in range(600))
+
+
+def test_a_dense_group_larger_than_its_shards_loses_no_link(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=48)
+    x = np.concatenate([base + rng.normal(size=(5400, 48)) * 0.142 * np.linalg.norm(base) / 48**0.5, rng.normal(size=(600, 48))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    share = near[:5400, :5400].mean()
+    assert 0.2 < share < 0.999
+    frame = spark.createDataFrame([(i, r.tolist(), 1) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vecdedup.near_duplicates(frame).collect()}
+    assert all(got[i].n_links == near[i].sum() - 1 for i in range(6000)) and got[0].audit_recall == 1.0
+    linked = np.flatnonzero(near.sum(axis=1) > 1)
+    assert {got[i].component_id for i in linked.tolist()} == {int(linked[0])} and all(got[i].component_id == i for i in set(range(6000)) - set(linked.tolist()))
+
+
+def test_audit_makes_a_label_exact(spark):
+    """Shards too small for their groups and without overlap lose pairs; the audit sees it and the label is compared in full."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    base = np.repeat(rng.normal(size=(40, 32)), 8, axis=0)
+    x = base + rng.normal(size=base.shape) * 0.09
+    rows = [(i, r.tolist(), i % 2) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = linked(rows)
+    got = {r.vec_id: r for r in vecdedup.near_duplicates(frame, size=4, overlap=1).collect()}
+    assert all((got[i].n_links, got[i].component_id) == want[i] for i in want) and got[0].audit_recall == 1.0
+    loose = vecdedup.near_duplicates(frame, size=4, overlap=1, audit=0).agg({"n_links": "sum"}).first()[0]
+    assert loose < sum(n for n, _ in want.values())
