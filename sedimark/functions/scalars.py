@@ -138,6 +138,23 @@ def parse_mutations(variants: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(F.substring(p, 1, 1).alias("wild"), (F.substr(p, F.lit(2), F.length(p) - 2).cast("int") - 1).alias("position"), F.substr(p, F.length(p), F.lit(1)).alias("mutant")))
 
 
+def low_entropy_share(letters: Column, width: int, least: float) -> Column:
+    """Share of the sliding windows of `width` elements of an array whose Shannon entropy, in bits, is below `least`; 0 without a full
+    window. Each window is n log2 n summed over its letters: H = log2(width) - sum(n log2 n) / width, and an element with n
+    equals in its window brings log2 n."""
+    import math
+
+    starts = F.when(F.size(letters) >= width, F.sequence(F.lit(1), F.size(letters) - (width - 1))).otherwise(F.array().cast("array<int>"))
+
+    def entropy(s: Column) -> Column:
+        window = F.slice(letters, s, width)
+        total = F.aggregate(window, F.lit(0.0), lambda acc, c: acc + F.log2(F.size(F.filter(window, lambda x: x == c)).cast("double")))
+        return math.log2(width) - total / width
+
+    low = F.size(F.filter(starts, lambda s: entropy(s) < least))
+    return low / F.greatest(F.size(starts), F.lit(1))
+
+
 def quota(total: int, finite: int, others: int) -> list[int]:
     """A finite source first, then the rest split evenly (earlier sources get the remainder)."""
     first = min(total, finite)

@@ -155,60 +155,74 @@ def output_audit(df: DataFrame, key: str, shard: str, n_shards: int, expected: i
     return found
 
 
-def retraction_summary(diagnoses: DataFrame) -> DataFrame:
-    """Over documents with kept_tp, kept_fp, retracted_tp, retracted_fp: base rate of false pairs, precision and recall of
-    retractions, and enrichment = precision / base rate; all ratios of sums."""
-    s = {c: F.sum(c) for c in ("kept_tp", "kept_fp", "retracted_tp", "retracted_fp")}
-    total = s["kept_tp"] + s["kept_fp"] + s["retracted_tp"] + s["retracted_fp"]
-    false = s["kept_fp"] + s["retracted_fp"]
-    precision, base = F.try_divide(s["retracted_fp"], s["retracted_fp"] + s["retracted_tp"]), F.try_divide(false, total)
-    return diagnoses.agg(base.alias("base_rate"), precision.alias("precision"), F.try_divide(s["retracted_fp"], false).alias("recall"), F.try_divide(precision, base).alias("enrichment"))
+def _edit_steps(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Statements as (key, i, j, n, contact, gone, distance): gone where a live pair is taken back, distance the statements since its
+    last emission. A pair is live if its statement before this one was a contact."""
+    e = events.select(key, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), (F.col("kind") == "contact").alias("contact"), F.row_number().over(W.partitionBy(key).orderBy(*order)).alias("n"))
+    w = W.partitionBy(key, "i", "j").orderBy("n")
+    gone = ~F.col("contact") & F.coalesce(F.lag("contact").over(w), F.lit(False))
+    return e.withColumns({"gone": gone, "before": F.lag("n").over(w)}).withColumn("distance", F.when(F.col("gone"), F.col("n") - F.col("before"))).drop("before")
 
 
 def diagnose_edits(events: DataFrame, truth: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Per document: kept and retracted pairs, true and false; distance is the mean number of statements between a retract and
-    the pair's last emit before it."""
-    e = events.withColumns({"i": F.least("a", "b"), "j": F.greatest("a", "b"), "n": F.row_number().over(W.partitionBy(key).orderBy(*order))})
-    w = W.partitionBy(key, "i", "j").orderBy("n")
-    e = e.withColumn("emit", F.last(F.when(F.col("kind") == "contact", F.col("n")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    last = e.withColumn("__l", F.row_number().over(W.partitionBy(key, "i", "j").orderBy(F.desc("n")))).where("__l = 1")
-    last = last.join(truth.select(key, "i", "j").distinct().withColumn("t", F.lit(True)), [key, "i", "j"], "left").withColumn("t", F.coalesce("t", F.lit(False)))
+    """Per document: statements, contacts, retracts, those of pairs that weren't live (absent), pairs kept and pairs retracted at any
+    time, true and false, and the mean distance of a live retract from the emission it takes back. A pair emitted again after
+    a retract still counts as retracted."""
+    e = _edit_steps(events, key, order)
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    live, gone = F.col("kind") == "contact", (F.col("kind") == "retract") & F.col("emit").isNotNull()
-    counts = last.groupBy(key).agg(n(live & F.col("t")).alias("kept_tp"), n(live & ~F.col("t")).alias("kept_fp"), n(gone & F.col("t")).alias("retracted_tp"), n(gone & ~F.col("t")).alias("retracted_fp"))
-    far = e.where("kind = 'retract'").groupBy(key).agg(F.avg(F.col("n") - F.col("emit")).alias("distance"), n(F.col("emit").isNull()).alias("absent_retracts"))
-    return counts.join(far, key, "left")
+    counts = e.groupBy(key).agg(F.count("*").alias("n_statements"), n(F.col("contact")).alias("n_contacts"), n(~F.col("contact")).alias("n_retracts"), n(F.col("gone")).alias("n_retracted"), n(~F.col("contact") & ~F.col("gone")).alias("absent_retracts"), F.avg("distance").alias("distance"))
+    pairs = e.groupBy(key, "i", "j").agg(F.bool_or("contact").alias("__c"), F.bool_or("gone").alias("__g")).where("__c")
+    pairs = pairs.join(truth.select(key, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().withColumn("__t", F.lit(True)), [key, "i", "j"], "left")
+    t, g = F.col("__t").isNotNull(), F.col("__g")
+    kinds = pairs.groupBy(key).agg(n(~g & t).alias("kept_tp"), n(~g & ~t).alias("kept_fp"), n(g & t).alias("retracted_tp"), n(g & ~t).alias("retracted_fp"))
+    return counts.join(kinds, key, "left").fillna(0, ["kept_tp", "kept_fp", "retracted_tp", "retracted_fp"])
+
+
+def edit_distances(events: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """(distance, n): how many live retracts lie that many statements after the emission."""
+    return _edit_steps(events, key, order).where("gone").groupBy("distance").agg(F.count("*").alias("n"))
+
+
+def retraction_summary(diagnoses: DataFrame, distances: DataFrame, recovered: DataFrame | None = None) -> DataFrame:
+    """One row over all documents, ratios of sums throughout: share of documents with a retract, base rate of false pairs, precision and
+    recall of retracts, enrichment (precision over base rate), mean and upper-middle median distance, share of immediate retracts
+    (distance 1 at most), and with `recovered` (n_recoveries by document) the recovery rate. NaN where a divisor is 0."""
+    s = {c: F.sum(c) for c in ("kept_tp", "kept_fp", "retracted_tp", "retracted_fp", "n_retracted", "absent_retracts")}
+    false, taken = s["kept_fp"] + s["retracted_fp"], s["retracted_fp"] + s["retracted_tp"]
+    emitted = false + s["kept_tp"] + s["retracted_tp"]
+    nan = lambda x: F.coalesce(x, F.lit(float("nan")))
+    precision, base = F.try_divide(s["retracted_fp"], taken), F.try_divide(false, emitted)
+    out = diagnoses.agg(
+        F.count("*").alias("n_documents"), F.avg((F.col("n_retracts") > 0).cast("double")).alias("share_with_retract"), F.avg("n_retracts").alias("mean_retracts"), F.avg("n_contacts").alias("mean_contacts"), emitted.alias("n_emitted"),
+        nan(base).alias("base_rate"), nan(precision).alias("precision"), nan(F.try_divide(s["retracted_fp"], false)).alias("recall"), nan(F.try_divide(precision, base)).alias("enrichment"), s["retracted_tp"].alias("retracted_tp"), s["n_retracted"].alias("n_retracted"), s["absent_retracts"].alias("absent_retracts"),
+    )
+    w = W.orderBy("distance")  # a row per distinct distance
+    d = distances.withColumns({"__below": F.sum("n").over(w.rowsBetween(W.unboundedPreceding, 0)), "__all": F.sum("n").over(W.partitionBy())})
+    far = d.agg(nan(F.try_divide(F.sum(F.col("distance") * F.col("n")), F.sum("n"))).alias("mean_distance"), F.min(F.when(F.col("__below") > F.floor(F.col("__all") / 2), F.col("distance"))).alias("median_distance"), nan(F.try_divide(F.sum(F.when(F.col("distance") <= 1, F.col("n")).otherwise(0)), F.sum("n"))).alias("immediate_share"))
+    out = out.join(far, F.lit(True))  # one row each
+    if recovered is None:
+        return out
+    return out.join(recovered.agg(F.sum("n_recoveries").alias("__r")), F.lit(True)).withColumn("recovery_rate", nan(F.try_divide("__r", "n_retracted"))).drop("__r")
 
 
 def recoveries(events: DataFrame, truth: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """(key, n_recoveries): greedy one-to-one matching, in order, of later true contacts to earlier retracted pairs that share a
-    residue. A document's statements are matched in one call."""
-    name, kind = events.select(key).dtypes[0]
-    rows = events.select(key, F.struct(*order, "kind", "a", "b").alias("e")).groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    t = truth.groupBy(key).agg(F.collect_set(F.struct("i", "j")).alias("ts"))
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for k, es, ts in zip(pdf[name], pdf["es"], pdf["ts"]):
-                true, freed, done, n = {(x["i"], x["j"]) for x in (ts if ts is not None else [])}, [], set(), 0
-                for e in es:
-                    i, j = min(e["a"], e["b"]), max(e["a"], e["b"])
-                    if e["kind"] == "retract":
-                        freed.append((i, j))
-                    elif (i, j) in true and (i, j) not in done:
-                        for at, f in enumerate(freed):
-                            if f != (i, j) and {i, j} & set(f):
-                                freed.pop(at)
-                                done.add((i, j))
-                                n += 1
-                                break
-                out.append(n)
-            yield pd.DataFrame({name: pdf[name], "n_recoveries": out})
-
-    return rows.join(t, key, "left").mapInPandas(run, f"{name} {kind}, n_recoveries long")
+    """(key, n_recoveries): each true contact, in order, makes good the first retract before it that is still open and shares a
+    residue with it, the same pair's own included. Only live retracts open one. A fold over the document's statements."""
+    e = _edit_steps(events, key, order).where(F.col("contact") | F.col("gone"))
+    t = truth.select(key, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().withColumn("__t", F.lit(True))
+    e = e.join(t, [key, "i", "j"], "left").where(F.col("gone") | F.col("__t"))
+    steps = e.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "gone", "i", "j"))).alias("steps"))
+    none = F.struct(F.array().cast("array<struct<i:int,j:int>>").alias("open"), F.lit(0).cast("long").alias("done"))
+
+    def fold(acc, x):
+        meets = lambda p: (p["i"] == x["i"]) | (p["j"] == x["j"]) | (p["i"] == x["j"]) | (p["j"] == x["i"])
+        at = F.array_position(F.transform(acc["open"], meets), True).cast("int")
+        rest = F.concat(F.slice(acc["open"], F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(acc["open"], at + 1, F.greatest(F.size(acc["open"]) - at, F.lit(0))))
+        opened = F.concat(acc["open"], F.array(F.struct(x["i"].cast("int").alias("i"), x["j"].cast("int").alias("j"))))
+        return F.when(x["gone"], F.struct(opened.alias("open"), acc["done"].alias("done"))).when(at > 0, F.struct(rest.alias("open"), (acc["done"] + 1).alias("done"))).otherwise(acc)
+
+    names = events.select(key).distinct()
+    return names.join(steps.select(key, F.aggregate("steps", none, fold, lambda acc: acc["done"]).alias("n_recoveries")), key, "left").fillna(0, ["n_recoveries"])
 
 
 def contact_features(contacts: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -184,3 +184,131 @@ def superposition_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         return pd.DataFrame([[*pdf[list(keys)].iloc[0], rmsd, lddt]], columns=[*keys, "rmsd", "lddt"])
 
     return df.groupBy(*keys).applyInPandas(one, f"{fields}, rmsd double, lddt double")
+
+
+def _replicated(df: DataFrame, keys: Sequence[str], entity: str, value: str, replicates: int, salt: str) -> DataFrame:
+    """(keys, rep, m): the mean of each Poisson bootstrap replicate, one map-side combined aggregate."""
+    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", poisson_weight(F.col(entity), F.col("rep"), salt)).where("__w > 0")
+    return reps.groupBy(*keys, "rep").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("m"))
+
+
+def two_sample_gap(df: DataFrame, keys: Sequence[str], side: Column, entity: str, value: str, replicates: int, salt: str, level: float = 0.95, least: int = 1) -> DataFrame:
+    """(keys, n_a, n_b, mean_a, mean_b, gap, low, high, significant): mean of the rows where `side` holds less that of the others, with a
+    percentile interval; either side is resampled by itself, as their entities differ. Non-finite values are left out, and keys with fewer
+    than `least` rows on a side."""
+    d = df.select(*keys, entity, finite(F.col(value)).alias("__v"), side.alias("__a")).where("__v is not null and __a is not null")
+    flag = F.col("__a")
+    g = d.groupBy(*keys).agg(F.count(F.when(flag, 1)).alias("n_a"), F.count(F.when(~flag, 1)).alias("n_b"), F.avg(F.when(flag, F.col("__v"))).alias("mean_a"), F.avg(F.when(~flag, F.col("__v"))).alias("mean_b")).where((F.col("n_a") >= least) & (F.col("n_b") >= least))
+    m = _replicated(d, [*keys, "__a"], entity, "__v", replicates, salt).groupBy(*keys, "rep").agg((F.max(F.when(flag, F.col("m"))) - F.max(F.when(~flag, F.col("m")))).alias("d"))
+    tail = (1 - level) / 2
+    ci = m.groupBy(*keys).agg(F.percentile("d", F.lit(tail)).alias("low"), F.percentile("d", F.lit(1 - tail)).alias("high"))
+    out = g.join(ci, list(keys)) if keys else g.join(ci, F.lit(True))
+    return out.withColumns({"gap": F.col("mean_a") - F.col("mean_b"), "significant": (F.col("low") > 0) | (F.col("high") < 0)})
+
+
+def interaction(df: DataFrame, keys: Sequence[str], entity: str, model: str, baseline: str, group: Column, replicates: int, salt: str) -> DataFrame:
+    """Difference of differences: the paired difference of two value columns, compared between the entities of a group and the others
+    (n_a, n_b, mean_a, mean_b, gap, low, high, significant); three rows a side at least."""
+    return two_sample_gap(df.withColumn("__d", F.col(model) - F.col(baseline)), keys, group, entity, "__d", replicates, salt, least=3)
+
+
+def slopes(df: DataFrame, splits: Sequence[tuple[str, Column]], keys: Sequence[str], x: str, values: Sequence[str], least: int = 10) -> DataFrame:
+    """(split, keys, value, n, rho): rank correlation of x with each value column in overlapping splits; fewer than `least` rows: left out."""
+    from sedimark.operators.aggregates import overlapping
+
+    long = overlapping(df.where(F.col(x).isNotNull()), splits, "split").unpivot(["split", *keys, x], list(values), "value", "__y")
+    return spearman(long, ["split", *keys, "value"], x, "__y").where(F.col("n") >= least)
+
+
+def fold_of(key: Column, folds: int, salt: str = "fold") -> Column:
+    from sedimark.functions.scalars import keyed_uniform
+
+    return F.floor(keyed_uniform(key, salt) * folds).cast("int")
+
+
+def _moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> list:
+    """Sums of products of all pairs of columns (and 1) by key: the normal equations, one map-side combined aggregate."""
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    aggs = [F.sum(a * b).alias(f"s{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    return df.groupBy(*keys).agg(*aggs).collect()  # a row per fold
+
+
+def cross_validated_ridge(df: DataFrame, key: str, features: Sequence[str], target: str, folds: int = 5, ridge: float = 1.0) -> tuple[DataFrame, dict[str, float]]:
+    """(df with fold and prediction from the model of the other folds, importances): ridge regression on standardised features. The normal
+    equations of a fold are those of all rows less its own, so the data are read once to fit all folds; predictions are column expressions.
+    The importance of a feature is the loss of R squared when its values are those of the row before in keyed order."""
+    import numpy as np
+
+    d = df.where(" and ".join(f"{c} is not null" for c in [*features, target])).withColumn("fold", fold_of(F.col(key), folds))
+    names, p = [*features, target], len(features)
+    sums = {}
+    for r in _moments(d, ["fold"], names):
+        m = np.zeros((p + 2, p + 2))
+        for i in range(p + 2):
+            for j in range(i, p + 2):
+                m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        sums[r["fold"]] = m
+    whole = sum(sums.values())
+    weights = {}
+    for f, own in sums.items():
+        m = whole - own
+        n = m[0, 0]
+        mean = m[0, 1:] / n
+        cov = m[1:, 1:] / n - np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(cov)[:p], 1e-12))
+        a = cov[:p, :p] / np.outer(scale, scale) * n
+        beta = np.linalg.solve(a + ridge * np.eye(p), cov[:p, p] / scale * n) / scale
+        weights[f] = (float(mean[p] - beta @ mean[:p]), beta.tolist())
+
+    def predict(columns):
+        out = F.lit(None).cast("double")
+        for f, (base, beta) in weights.items():
+            out = F.when(F.col("fold") == f, sum((F.lit(b) * c for b, c in zip(beta, columns)), F.lit(base))).otherwise(out)
+        return out
+
+    from sedimark.functions.scalars import keyed_hash
+
+    scored = d.withColumn("prediction", predict([F.col(c) for c in features]))
+    part = F.pmod(F.xxhash64(key), F.lit(64))  # neighbours are taken inside 64 keyed parts of a fold, not in one sort of it
+    w = W.partitionBy("fold", part).orderBy(keyed_hash(F.col(key), "shuffle"), key)
+    moved = d.withColumns({f"__{c}": F.coalesce(F.lag(c).over(w), F.col(c)) for c in features})
+    loss = lambda x: F.sum((F.col(target) - x) ** 2)
+    row = moved.agg(loss(predict([F.col(c) for c in features])).alias("base"), F.var_pop(target).alias("var"), F.count("*").alias("n"), *[loss(predict([F.col(f"__{c}" if c == k else c) for c in features])).alias(f"without {k}") for k in features]).first()
+    total = (row["var"] or 0) * row["n"]
+    return scored, {"r2": 1 - row["base"] / total if total else float("nan"), **{k: (row[f"without {k}"] - row["base"]) / total if total else float("nan") for k in features}}
+
+
+def all_identity(rows: DataFrame, group: str, item: str, aligned: str, threshold: float = 0.8, size: int = 512, gap: str = "-") -> DataFrame:
+    """(group, item, n_neighbours): how many rows of the group's alignment, itself included, agree at `threshold` or more of the places where
+    both have a letter (no such place: identity 0). Rows are dealt to blocks, and blocks of a group meet two by two in tiles: what
+    leaves a tile is a count per row, never a pair."""
+    fields = dict(rows.select(group, item).dtypes)
+    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("__k"))
+    d = rows.select(group, item, aligned).join(counts, group).withColumn("__b", F.pmod(F.xxhash64(item), F.col("__k")).cast("int"))
+    left = d.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    right = d.select(F.col(group).alias("__g"), F.col(aligned).alias("__s"), F.col("__b").alias("__r"), F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__l"))
+
+    def tile(a, b):
+        import numpy as np
+        import pyarrow as pa
+
+        if not a.num_rows or not b.num_rows:
+            return pa.table({group: a.column(group), item: a.column(item), "n": pa.array(np.zeros(a.num_rows, "i8"))})
+        matrix = lambda t, c: np.frombuffer("".join(t.column(c).to_pylist()).encode("ascii", "replace"), "u1").reshape(t.num_rows, -1)
+        x, y = matrix(a, aligned), matrix(b, "__s")
+        nx, ny = (x != ord(gap)).astype("f4"), (y != ord(gap)).astype("f4")
+        both = nx @ ny.T
+        same = np.zeros(both.shape, "f4")
+        for c in np.unique(x):
+            if c != ord(gap):
+                same += (x == c).astype("f4") @ (y == c).astype("f4").T
+        near = np.where(both > 0, same / np.maximum(both, 1), 0) >= threshold
+        return pa.table({group: a.column(group), item: a.column(item), "n": pa.array(near.sum(axis=1).astype("i8"))})
+
+    out = left.groupBy(group, "__b", "__o").cogroup(right.groupBy("__g", "__l", "__r")).applyInArrow(tile, f"{group} {fields[group]}, {item} {fields[item]}, n long")
+    return out.groupBy(group, item).agg(F.sum("n").alias("n_neighbours"))
+
+
+def effective_depth(rows: DataFrame, group: str, item: str, aligned: str, threshold: float = 0.8) -> DataFrame:
+    """(group, neff): sum over the rows of an alignment of 1 / (number of neighbours)."""
+    return all_identity(rows, group, item, aligned, threshold).groupBy(group).agg(F.sum(1 / F.col("n_neighbours")).alias("neff"))

@@ -88,17 +88,17 @@ def novelty_strata(spark, t):
 
 
 #: Lines stand for ballots: an order's parts and suppliers are the voters and the pairs they name.
-BALLOTS = """u AS (SELECT n_nationkey AS entity, i, i + d AS j FROM nation, (SELECT unnest(range(0, 12)) AS i), (SELECT unnest(range(1, 12)) AS d) WHERE i + d < 12),
-b AS (SELECT DISTINCT s_nationkey AS entity, (l_linenumber % 4)::INT AS voter, least(l_partkey % 12, l_orderkey % 12)::INT AS i, greatest(l_partkey % 12, l_orderkey % 12)::INT AS j FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 12 <> l_orderkey % 12 AND l_orderkey % 17 = 0),
-t AS (SELECT DISTINCT c_nationkey AS entity, (c_custkey % 11)::INT AS i, (c_custkey % 11 + 1)::INT AS j FROM customer WHERE c_mktsegment = 'BUILDING')"""
+BALLOTS = """u AS (SELECT n_nationkey AS entity, i, i + d AS j FROM nation, (SELECT unnest(range(0, 60)) AS i), (SELECT unnest(range(1, 60)) AS d) WHERE i + d < 60),
+b AS (SELECT DISTINCT s_nationkey AS entity, (l_linenumber % 4)::INT AS voter, least(l_partkey % 60, l_orderkey % 60)::INT AS i, greatest(l_partkey % 60, l_orderkey % 60)::INT AS j FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 60 <> l_orderkey % 60),
+t AS (SELECT DISTINCT c_nationkey AS entity, (c_custkey % 59)::INT AS i, (c_custkey % 59 + 1)::INT AS j FROM customer WHERE c_mktsegment = 'BUILDING')"""
 
 
 def ballots(t):
-    universe = V.candidate_universe(t("nation").select(F.col("n_nationkey").alias("entity"), F.lit(12).alias("length")), 1)
-    x, y = F.col("l_partkey") % 12, F.col("l_orderkey") % 12
-    b = t("lineitem").where("l_orderkey % 17 = 0").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where(x != y)  # a sparse vote
+    universe = V.candidate_universe(t("nation").select(F.col("n_nationkey").alias("entity"), F.lit(60).alias("length")), 1)
+    x, y = F.col("l_partkey") % 60, F.col("l_orderkey") % 60
+    b = t("lineitem").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where(x != y)
     b = b.select(F.col("s_nationkey").alias("entity"), (F.col("l_linenumber") % 4).alias("voter"), F.least(x, y).cast("int").alias("i"), F.greatest(x, y).cast("int").alias("j")).distinct()
-    truth = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("entity"), (F.col("c_custkey") % 11).cast("int").alias("i"), (F.col("c_custkey") % 11 + 1).cast("int").alias("j")).distinct()
+    truth = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_nationkey").alias("entity"), (F.col("c_custkey") % 59).cast("int").alias("i"), (F.col("c_custkey") % 59 + 1).cast("int").alias("j")).distinct()
     return universe, b, truth
 
 
@@ -188,14 +188,6 @@ def contact_features(spark, t):
     return out.select("entity", "n", *[F.round(x, 9).alias(x) for x in ("relative_order", "short", "medium", "long")], "median_gap")
 
 
-@query()
-def retraction_summary(spark, t):
-    """Ratios of sums over the edit streams' diagnoses."""
-    from sedimark.plans.text import edit_truth, edits
-
-    return V.retraction_summary(V.diagnose_edits(edits(t), edit_truth(t), "key", ["n"]))
-
-
 @query(f"""WITH {BALLOTS}, c AS (SELECT entity, i, j, count(*) AS votes, sum(voter)::DOUBLE AS w FROM b GROUP BY ALL) SELECT entity, i, j, round(votes + coalesce((w - min(w) OVER x) / nullif(max(w) OVER x - min(w) OVER x, 0), 0) * 0.5, 9) AS score FROM c WINDOW x AS (PARTITION BY entity)""")
 def tie_broken_votes(spark, t):
     _, b, _ = ballots(t)

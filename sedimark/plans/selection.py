@@ -194,13 +194,14 @@ def first_survivors(spark, t):
     return R.first_n_surviving(t("documents").select("doc_id"), t("labels").where("toxic = 1"), "doc_id", 50, "take")
 
 
-@query("""WITH a AS (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id < 600), b AS (SELECT doc_id, lang, CASE WHEN doc_id % 50 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id >= 300)
+@query("""WITH b AS (SELECT doc_id, CASE WHEN quality = 0 THEN 'und' ELSE lang END AS lang, n_chars + coalesce(toxic, 0) AS n_chars FROM documents LEFT JOIN labels USING (doc_id) WHERE n_chars >= 100), a AS (SELECT doc_id, lang, n_chars FROM documents WHERE lang <> 'fr')
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.lang AS lang_left, b.lang AS lang_right, a.n_chars AS n_chars_left, b.n_chars AS n_chars_right, a.doc_id IS NOT NULL AS in_left, b.doc_id IS NOT NULL AS in_right,
 a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL AND a.lang IS NOT DISTINCT FROM b.lang AND a.n_chars IS NOT DISTINCT FROM b.n_chars AS agrees FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def disagreement_report(spark, t):
-    """Two overlapping versions of a table (versions are the feature here)."""
+    """Two curations of the same table: one without French, one without short texts and with the labels' corrections."""
     d = t("documents").select("doc_id", "lang", "n_chars")
-    return J.compare(d.where("doc_id < 600"), d.where("doc_id >= 300").withColumn("n_chars", F.when(F.col("doc_id") % 50 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))), ["doc_id"], ["lang", "n_chars"])
+    b = d.where("n_chars >= 100").join(t("labels"), "doc_id", "left").select("doc_id", F.when(F.col("quality") == 0, "und").otherwise(F.col("lang")).alias("lang"), (F.col("n_chars") + F.coalesce("toxic", F.lit(0))).alias("n_chars"))
+    return J.compare(d.where("lang <> 'fr'"), b, ["doc_id"], ["lang", "n_chars"])
 
 
 @query("""WITH old AS (SELECT doc_id, lang FROM documents WHERE lang <> 'fr'), new AS (SELECT doc_id, upper(lang) AS lang FROM documents WHERE lang IN ('fr', 'es'))

@@ -25,26 +25,41 @@ def statement_fold(spark, t):
     return D.fold_statements(edits(t), "key", ["n"])
 
 
-TRUTH = "t AS (SELECT DISTINCT user_id AS key, (user_id % 5)::INT AS i, (user_id % 7 + 2)::INT AS j FROM events)"
+TRUTH = "t AS (SELECT DISTINCT user_id AS key, least(user_id % 5, user_id % 7 + 2)::INT AS i, greatest(user_id % 5, user_id % 7 + 2)::INT AS j FROM events)"
 
 
 def edit_truth(t):
     return t("events").select(F.col("user_id").alias("key"), (F.col("user_id") % 5).cast("int").alias("i"), (F.col("user_id") % 7 + 2).cast("int").alias("j")).distinct()
 
 
-@query(f"""WITH {EVENTS}, {TRUTH}, p AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY n) AS n, kind, least(a, b) AS i, greatest(a, b) AS j FROM e),
-q AS (SELECT *, max(CASE WHEN kind = 'contact' THEN n END) OVER (PARTITION BY key, i, j ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS emit FROM p),
-l AS (SELECT q.*, t.key IS NOT NULL AS t FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY key, i, j ORDER BY n DESC) = 1) q LEFT JOIN t USING (key, i, j)),
-c AS (SELECT key, sum((kind = 'contact' AND t)::INT)::BIGINT AS kept_tp, sum((kind = 'contact' AND NOT t)::INT)::BIGINT AS kept_fp, sum((kind = 'retract' AND emit IS NOT NULL AND t)::INT)::BIGINT AS retracted_tp, sum((kind = 'retract' AND emit IS NOT NULL AND NOT t)::INT)::BIGINT AS retracted_fp FROM l GROUP BY 1),
-d AS (SELECT key, round(avg(n - emit), 6) AS distance, sum((emit IS NULL)::INT)::BIGINT AS absent_retracts FROM q WHERE kind = 'retract' GROUP BY 1)
-SELECT c.*, d.distance, d.absent_retracts FROM c LEFT JOIN d USING (key)""")
+#: Statements with their pair's statement before them: `gone` takes back a live pair.
+STEPS = f"""{EVENTS}, {TRUTH}, p AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY n) AS n, kind = 'contact' AS c, least(a, b) AS i, greatest(a, b) AS j FROM e),
+s AS (SELECT *, NOT c AND coalesce(lag(c) OVER w, false) AS gone, n - lag(n) OVER w AS far FROM p WINDOW w AS (PARTITION BY key, i, j ORDER BY n)),
+d AS (SELECT key, count(*) AS n_statements, sum(c::INT)::BIGINT AS n_contacts, sum((NOT c)::INT)::BIGINT AS n_retracts, sum(gone::INT)::BIGINT AS n_retracted, sum((NOT c AND NOT gone)::INT)::BIGINT AS absent_retracts, avg(far) FILTER (WHERE gone) AS distance FROM s GROUP BY 1),
+q AS (SELECT x.key, x.g, t.key IS NOT NULL AS t FROM (SELECT key, i, j, bool_or(gone) AS g FROM s GROUP BY 1, 2, 3 HAVING bool_or(c)) x LEFT JOIN t USING (key, i, j)),
+k AS (SELECT key, sum((NOT g AND t)::INT)::BIGINT AS kept_tp, sum((NOT g AND NOT t)::INT)::BIGINT AS kept_fp, sum((g AND t)::INT)::BIGINT AS retracted_tp, sum((g AND NOT t)::INT)::BIGINT AS retracted_fp FROM q GROUP BY 1),
+diag AS (SELECT d.* REPLACE (round(distance, 6) AS distance), coalesce(kept_tp, 0) AS kept_tp, coalesce(kept_fp, 0) AS kept_fp, coalesce(retracted_tp, 0) AS retracted_tp, coalesce(retracted_fp, 0) AS retracted_fp FROM d LEFT JOIN k USING (key))"""
+
+
+@query(f"WITH {STEPS} SELECT * FROM diag")
 def edit_diagnosis(spark, t):
     return V.diagnose_edits(edits(t), edit_truth(t), "key", ["n"]).withColumn("distance", F.round("distance", 6))
 
 
+@query(f"""WITH {STEPS}, a AS (SELECT count(*) AS n_documents, avg((n_retracts > 0)::INT) AS share_with_retract, avg(n_retracts) AS mean_retracts, avg(n_contacts) AS mean_contacts, sum(kept_tp + kept_fp + retracted_tp + retracted_fp)::BIGINT AS n_emitted,
+sum(kept_fp + retracted_fp) / sum(kept_tp + kept_fp + retracted_tp + retracted_fp) AS base_rate, sum(retracted_fp) / sum(retracted_fp + retracted_tp) AS "precision", sum(retracted_fp) / sum(kept_fp + retracted_fp) AS recall, sum(retracted_tp)::BIGINT AS retracted_tp, sum(n_retracted)::BIGINT AS n_retracted, sum(absent_retracts)::BIGINT AS absent_retracts FROM diag),
+f AS (SELECT avg(far) AS mean_distance, max(far) FILTER (WHERE r = n // 2)::INT AS median_distance, avg((far <= 1)::INT) AS immediate_share FROM (SELECT far, row_number() OVER (ORDER BY far) - 1 AS r, count(*) OVER () AS n FROM s WHERE gone))
+SELECT a.* REPLACE (round(share_with_retract, 6) AS share_with_retract, round(mean_retracts, 6) AS mean_retracts, round(mean_contacts, 6) AS mean_contacts, round(base_rate, 6) AS base_rate, round("precision", 6) AS "precision", round(recall, 6) AS recall),
+round("precision" / base_rate, 6) AS enrichment, round(mean_distance, 6) AS mean_distance, median_distance, round(immediate_share, 6) AS immediate_share FROM a, f""")
+def retraction_summary(spark, t):
+    """Ratios of sums over the edit streams' diagnoses."""
+    out = V.retraction_summary(V.diagnose_edits(edits(t), edit_truth(t), "key", ["n"]), V.edit_distances(edits(t), "key", ["n"]))
+    return out.withColumns({c: F.round(c, 6) for c in ("share_with_retract", "mean_retracts", "mean_contacts", "base_rate", "precision", "recall", "enrichment", "mean_distance", "immediate_share")})
+
+
 @query()
 def edit_recovery(spark, t):
-    """Greedy one-to-one matching of later true pairs to retracted ones."""
+    """Greedy matching of true pairs to the retracts before them."""
     return V.recoveries(edits(t), edit_truth(t), "key", ["n"])
 
 
@@ -64,17 +79,17 @@ def section_split(spark, t):
 WORDS = "list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')"
 
 
-@query(f"""SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY 1 HAVING count(*) >= 100""")
+@query(f"""SELECT word, count(*) AS n FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY 1""")
 def token_vocab_count(spark, t):
     words = F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
-    return t("documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 100")
+    return t("documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, turn, len(w) + 1 AS n_ids, list_sum(list_transform(w, lambda x: CASE WHEN x = 'the' THEN 2 WHEN x = 'of' THEN 3 WHEN x = 'and' THEN 4 ELSE 0 END))::BIGINT + 1 AS total FROM (SELECT conv_id, turn, [0] || [0] AS z, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations WHERE len(trim(text)) > 0)""")
+@query("""SELECT conv_id, turn, len(w) + 1 AS n_ids, coalesce(list_sum(list_transform(w, lambda x: CASE WHEN x = 'the' THEN 2 WHEN x = 'of' THEN 3 WHEN x = 'and' THEN 4 ELSE 0 END)), 0)::BIGINT + 1 AS total FROM (SELECT conv_id, turn, [0] || [0] AS z, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM conversations)""")
 def word_level_tokens(spark, t):
     """Ids through a vocabulary table: the, of and and; unknown 0, end 1."""
     vocabulary = spark.createDataFrame([("the", 2), ("of", 3), ("and", 4)], "token string, id int")
-    d = t("conversations").where(F.length(F.trim("text")) > 0).withColumn("k", F.concat_ws(":", "conv_id", "turn"))
+    d = t("conversations").withColumn("k", F.concat_ws(":", "conv_id", "turn"))
     ids = D.word_level(d, "k", F.col("text"), vocabulary, 0, 1)
     out = ids.select(F.split("k", ":")[0].cast("long").alias("conv_id"), F.split("k", ":")[1].cast("long").alias("turn"), F.size("ids").cast("long").alias("n_ids"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
     return out
@@ -92,17 +107,14 @@ def char_composition(spark, t):
     return t("conversations").select("role", F.explode(F.split(F.lower("text"), "")).alias("letter")).where("letter <> ''").groupBy("role", "letter").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT item_id, s, substr(lower(text), s, 12) AS w FROM (SELECT item_id, text, unnest(range(1, greatest(length(text) - 10, 1), 12)) AS s FROM benchmark)),
-k AS (SELECT item_id, s, letter, count(*) AS n FROM (SELECT item_id, s, unnest(string_split(w, '')) AS letter FROM c) GROUP BY ALL)
-SELECT item_id, s::BIGINT AS start, round(-sum(n / t * ln(n / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY item_id, s) AS t FROM k) GROUP BY 1, 2""")
+@query("""WITH l AS (SELECT item_id, list_filter(string_split(lower(text), ''), lambda c: regexp_matches(c, '[a-z]')) AS l FROM benchmark),
+w AS (SELECT item_id, s, l[s:s+11] AS w FROM (SELECT item_id, l, unnest(range(1, len(l) - 10)) AS s FROM l)),
+h AS (SELECT item_id, s, -sum(n / 12 * log2(n / 12)) AS h FROM (SELECT item_id, s, c, count(*) AS n FROM (SELECT item_id, s, unnest(w) AS c FROM w) GROUP BY ALL) GROUP BY 1, 2)
+SELECT l.item_id, greatest(len(l) - 11, 1)::BIGINT AS n_windows, round(coalesce(k.low, 0) / greatest(len(l) - 11, 1), 9) AS low_share FROM l LEFT JOIN (SELECT item_id, sum((h < 2.9)::INT) AS low FROM h GROUP BY 1) k USING (item_id)""")
 def window_entropy(spark, t):
-    """Shannon entropy of the letters of windows of twelve characters."""
-    w = t("benchmark").select("item_id", F.lower("text").alias("lower"), F.explode(F.filter(F.sequence(F.lit(1), F.greatest(F.length("text") - 11, F.lit(1)), F.lit(12)), lambda s: s < F.greatest(F.length("text") - 10, F.lit(2)))).alias("start"))
-    letters = w.select("item_id", "start", F.explode(F.split(F.substr("lower", F.col("start"), F.lit(12)), "")).alias("letter")).where("letter <> ''")
-    k = letters.groupBy("item_id", "start", "letter").agg(F.count("*").alias("n"))
-    total = k.groupBy("item_id", "start").agg(F.sum("n").alias("total"))
-    p = F.col("n") / F.col("total")
-    return k.join(total, ["item_id", "start"]).groupBy("item_id", F.col("start").cast("long").alias("start")).agg(F.round(-F.sum(p * F.log(p)), 6).alias("entropy"))
+    """Share of sliding windows of twelve letters whose entropy (in bits) is low."""
+    letters = F.filter(F.split(F.lower("text"), ""), lambda c: c.rlike("[a-z]"))
+    return t("benchmark").select("item_id", letters.alias("l")).select("item_id", F.greatest(F.size("l") - 11, F.lit(1)).cast("long").alias("n_windows"), F.round(S.low_entropy_share(F.col("l"), 12, 2.9), 9).alias("low_share"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<p[ >]'))::BIGINT AS n_paragraphs, len(regexp_extract_all(html, 'href="([^"]*)"', 1))::BIGINT AS n_links FROM pages""")

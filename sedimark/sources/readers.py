@@ -123,10 +123,18 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    """(key, cluster): a line of keys is a cluster, numbered from 0 in the order of (file, line)."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("n")).where(F.trim("value") != "")
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1], x[0].value)).toDF("cluster long, line string")
-    return numbered.select(F.explode(F.split(F.trim("line"), r"\s+")).alias("key"), "cluster")
+    """(key, cluster): a line of keys is a cluster, numbered from 0 in the order of (file name, line).
+
+    Lines are placed by file and the split's order inside it (a split's row numbers grow, and splits are ordered by their first
+    byte); numbers come from counts by split and their prefix sums, so no window holds more than a split's lines."""
+    from pyspark.sql import Window as W
+
+    part = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")]
+    lines = spark.read.text(path).select("value", *part, F.monotonically_increasing_id().alias("n")).where(F.trim("value") != "")
+    sizes = lines.groupBy("f", "b").agg(F.count("*").alias("k"))
+    first = sizes.withColumn("first", F.sum("k").over(W.orderBy("f", "b")) - F.col("k")).drop("k")  # a row per file split
+    numbered = lines.withColumn("r", F.row_number().over(W.partitionBy("f", "b").orderBy("n")) - 1).join(first, ["f", "b"])
+    return numbered.select(F.explode(F.split(F.trim("value"), r"\s+")).alias("key"), (F.col("first") + F.col("r")).cast("long").alias("cluster"))
 
 
 def read_a3m(spark: SparkSession, path: str) -> DataFrame:
