@@ -45,6 +45,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session wrote and nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without the columns that an operator is about to add (case-insensitively, as Spark resolves names)."""
     taken = {n.lower() for n in names}
@@ -71,6 +77,33 @@ def chunks(batches: Iterator, column: str, limit: int = 2 << 20) -> Iterator:
             yield batch.slice(start)
 
 
+def key_runs(batches: Iterator, columns: list[str], most: int) -> Iterator[list]:
+    """Arrow batches sorted by the first column -> lists of arrays, one per column, of about `most` rows that end between keys. A key
+    larger than that is held alone; its batches are put together once."""
+    import numpy as np
+
+    held: list[list] = []
+    rows, last = 0, None
+
+    def whole():
+        return [np.concatenate(x) for x in zip(*held)]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        part = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if rows >= most and part[0][-1] != last:  # what is held can go: it ends where this batch's first new key begins
+            cut = int(np.searchsorted(part[0], last, "right"))
+            held.append([c[:cut] for c in part])
+            yield whole()
+            held, rows, part = [], 0, [c[cut:] for c in part]
+        held.append(part)
+        rows += len(part[0])
+        last = part[0][-1]
+    if rows:
+        yield whole()
+
+
 #: What operators keep in a Python worker from task to task: a function that frees it, by operator.
 KEPT: dict[str, Callable[[], None]] = {}
 

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import checkpointed, chunks, components, map_arrow
+from sedimark.llm.common import checkpointed, chunks, components, key_runs, map_arrow
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
@@ -193,58 +193,75 @@ def joined(n: int, blocks) -> object:
     return root
 
 
-def _components_of(classes: DataFrame, keys: list, words: list[str], radius: int, most: int) -> DataFrame:
-    """(node, component) of the reps of `classes` that link with another under one of the keys."""
-    keyed = classes.where("rep is not null").select(F.explode(F.array_distinct(F.array(*keys))).alias("key"), *words, "rep")
+def _alone(keys):
+    import numpy as np
+
+    alone = np.ones(len(keys), bool)
+    alone[1:] &= keys[1:] != keys[:-1]
+    alone[:-1] &= keys[:-1] != keys[1:]
+    return alone
+
+
+def _by_key(keyed: DataFrame, columns: list[str], words: list[str], search, most: int) -> DataFrame:
+    """(a, b) of search(keys, fps, columns...) over runs of about `most` rows of each partition that end between keys."""
     keyed = keyed.repartition("key").sortWithinPartitions("key", words[0])
 
     def make():
         import numpy as np
         import pyarrow as pa
 
-        def search(keys, fps, reps):
-            alone = np.ones(len(keys), bool)
-            alone[1:] &= keys[1:] != keys[:-1]
-            alone[:-1] &= keys[:-1] != keys[1:]
-            k, f, r = keys[~alone], fps[~alone], reps[~alone]
-            if not len(k):
-                return None
-            rows, lead, led = leaders(k, f, radius)
-            forest = Forest(k, f)
-
-            def blocks():
-                yield rows, lead
-                yield from forest.links(radius, np.flatnonzero(~led))
-
-            root = joined(len(k), blocks())
-            far = root != np.arange(len(k))
-            pair = np.unique(np.stack([r[far], r[root[far]]], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"])
-
         def run(batches):
-            held, rows = [], 0
-
-            def flush(upto_last_key: bool):
-                nonlocal held, rows
-                k, f, r = (np.concatenate([h[i] for h in held]) for i in range(3))
-                cut = int(np.searchsorted(k, k[-1], "left")) if upto_last_key else len(k)
-                held, rows = [(k[cut:], f[cut:], r[cut:])], len(k) - cut
-                return search(k[:cut], f[:cut], r[:cut]) if cut else None
-
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                k, r = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep"))
-                held.append((k, np.stack([b.column(w).to_numpy(zero_copy_only=False).view("u8") for w in words], 1), r))
-                rows += len(k)
-                if rows >= most and (out := flush(True)) is not None:
-                    yield out
-            if held and rows and (out := flush(False)) is not None:
-                yield out
+            for k, *rest in key_runs(batches, ["key", *words, *columns], most):
+                use = ~_alone(k)
+                if use.any():
+                    fps = np.stack([w[use].view("u8") for w in rest[: len(words)]], 1)
+                    for a, b in search(k[use], fps, *[c[use] for c in rest[len(words) :]]):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         return run
 
-    return components(map_arrow(keyed, make, "a long, b long"))
+    return map_arrow(keyed, make, "a long, b long")
+
+
+def stars(radius: int):
+    """A search: the components of each key's rows under links within the radius, as edges to their smallest row."""
+
+    def search(keys, fps, reps):
+        import numpy as np
+
+        rows, lead, led = leaders(keys, fps, radius)
+        forest = Forest(keys, fps)
+
+        def blocks():
+            yield rows, lead
+            yield from forest.links(radius, np.flatnonzero(~led))
+
+        root = joined(len(keys), blocks())
+        far = root != np.arange(len(keys))
+        pair = np.unique(np.stack([reps[far], reps[root[far]]], 1), axis=0)
+        yield pair[:, 0].copy(), pair[:, 1].copy()
+
+    return search
+
+
+def _pair_keys(word) -> list:
+    """A key for each two of six bit blocks of a word: two words within four bits agree in one of them."""
+    low = [sum(BLOCKS[:i]) for i in range(6)]
+    block = [F.shiftrightunsigned(word, low[i]).bitwiseAND((1 << BLOCKS[i]) - 1) for i in range(6)]
+    return [F.lit(c << 22) + block[i] * (1 << 11) + block[j] for c, (i, j) in enumerate(combinations(range(6), 2))]
+
+
+def split_hot(keyed: DataFrame, word: str, most: int) -> DataFrame:
+    """keyed with the rows of keys of more than `most` rows under finer keys: the same pigeonhole once more, over six sets of bits that
+    cut across the blocks (every sixth bit), so that two rows of a hot key within four bits still share one: some 36 bits in all.
+    Keys are hashes from here on."""
+    hot = keyed.groupBy(F.col("key").alias("__k")).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("__k")
+    mask = [sum(1 << i for i in range(k, 64, 6)) for k in range(6)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    finer = [F.xxhash64(F.lit(c), F.col(word).bitwiseAND(signed(mask[i] | mask[j]))) for c, (i, j) in enumerate(combinations(range(6), 2))]
+    flagged = keyed.join(hot, F.col("key") == F.col("__k"), "left")
+    fine = F.when(F.col("__k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(*finer))
+    return flagged.withColumn("__f", F.explode(fine)).withColumn("key", F.xxhash64("key", "__f")).drop("__k", "__f")
 
 
 def near_duplicates(prints: DataFrame, radius: int = 4, most: int = 400_000) -> DataFrame:
@@ -252,18 +269,16 @@ def near_duplicates(prints: DataFrame, radius: int = 4, most: int = 400_000) ->
 
     prints: (doc_id, fp). Equal fingerprints are one class before any search; rows of a class meet only in map-side
     combined minima. Null doc_ids link like others but name no component (a class of nulls only has component null).
-    Each shuffle partition searches its trees in runs of about `most` rows that end between keys, so its memory is
-    bounded by that and the largest single tree of distinct fingerprints; what leaves a task are star edges, one per
-    fingerprint and key at most, never the pairs of a group.
+    Each shuffle partition searches its trees in runs of about `most` rows that end between keys. A key of more than `most`
+    distinct fingerprints is dealt to finer keys first, so that a tree's rows have some 36 bits in common; what
+    leaves a task are star edges, one per fingerprint and key at most, never the pairs of a group.
     """
     if not 0 <= radius <= 4:
         raise ValueError("six blocks, two of them equal: the radius must be 0 to 4")
     prints = checkpointed(prints.select("doc_id", "fp"))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    low = [sum(BLOCKS[:i]) for i in range(6)]
-    block = [F.shiftrightunsigned("fp", low[i]).bitwiseAND((1 << BLOCKS[i]) - 1) for i in range(6)]
-    keys = [F.lit(c << 22) + block[i] * (1 << 11) + block[j] for c, (i, j) in enumerate(combinations(range(6), 2))]
-    parts = _components_of(classes, keys, ["fp"], radius, most)
+    keyed = classes.where("rep is not null").select(F.explode(F.array_distinct(F.array(*_pair_keys("fp")))).alias("key"), "fp", "rep")
+    parts = components(_by_key(split_hot(keyed, "fp", most), ["rep"], ["fp"], stars(radius), most))
     named = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
@@ -276,46 +291,6 @@ def similarity(a, b) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _by_key(keyed: DataFrame, columns: list[str], words: list[str], search, most: int) -> DataFrame:
-    """(a, b) of search(keys, fps, columns...) over runs of about `most` rows of each partition that end between keys."""
-    keyed = keyed.repartition("key").sortWithinPartitions("key", words[0])
-
-    def make():
-        import numpy as np
-        import pyarrow as pa
-
-        def run(batches):
-            held, rows = [], 0
-
-            def flush(upto_last_key: bool):
-                nonlocal held, rows
-                all_ = [np.concatenate([h[i] for h in held]) for i in range(2 + len(columns))]
-                cut = int(np.searchsorted(all_[0], all_[0][-1], "left")) if upto_last_key else len(all_[0])
-                held, rows = [[c[cut:] for c in all_]], len(all_[0]) - cut
-                k = all_[0][:cut]
-                alone = np.ones(cut, bool)
-                alone[1:] &= k[1:] != k[:-1]
-                alone[:-1] &= k[:-1] != k[1:]
-                if not alone.all():
-                    for a, b in search(*[c[:cut][~alone] for c in all_]):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-            for x in batches:
-                if not x.num_rows:
-                    continue
-                col = lambda c, x=x: x.column(c).to_numpy(zero_copy_only=False)
-                held.append([col("key"), np.stack([col(w).view("u8") for w in words], 1), *map(col, columns)])
-                rows += x.num_rows
-                if rows >= most:
-                    yield from flush(True)
-            if held and rows:
-                yield from flush(False)
-
-        return run
-
-    return map_arrow(keyed, make, "a long, b long")
-
-
 def first_partners(radius: int):
     """A search: of every row that has another of its key within the radius, one such pair (with the key's leader where it can)."""
 
@@ -418,7 +393,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     """
     bits, sent = 64 * tables, max(1, tables // 2)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(64 * sent * p + 4 * math.sqrt(64 * sent * p * (1 - p)))
+    within = lambda n: int(n * p + 4 * math.sqrt(n * p * (1 - p)))
+    radius = within(64 * sent)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     prints = fingerprints(rows.select(F.col("node").alias("doc_id"), "text"), width, tables=tables)
     prints = checkpointed(prints.groupBy(F.col("doc_id").alias("node")).agg(F.first("wide").alias("wide")))
@@ -432,11 +408,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
             value = value.bitwiseOR(F.shiftleft(words[word + 1], 64 - low))
         return value.bitwiseAND((1 << band_bits) - 1)
 
-    def keyed(of: DataFrame, *more: str) -> DataFrame:
+    def keyed(of: DataFrame, travel: int, *more: str) -> DataFrame:
         flat = of.select("node", *more, *[F.col("wide")[k].alias(w) for k, w in enumerate(words)])
-        return flat.select(F.explode(F.array(*[F.lit(i << 32) + band(s) for i, s in enumerate(starts)])).alias("key"), *words[:sent], "node", *more)
+        return flat.select(F.explode(F.array(*[F.lit(i << 32) + band(s) for i, s in enumerate(starts)])).alias("key"), *words[:travel], "node", *more)
 
-    first = _by_key(keyed(prints), ["node"], words[:sent], first_partners(radius), most)
+    first = _by_key(keyed(prints, sent), ["node"], words[:sent], first_partners(radius), most)
     first = checkpointed(first.groupBy("a").agg(F.min(F.when(F.col("a") != F.col("b"), F.col("b"))).alias("low"), F.max(F.when(F.col("a") != F.col("b"), F.col("b"))).alias("high")))
     pairs = first.select("a", F.explode(F.array("low", "high")).alias("b")).where("b is not null")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -446,7 +422,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     parts = components(sure)
     among = prints.join(active, F.col("node") == F.col("__n"), "left_semi").join(parts.withColumnRenamed("node", "__p"), F.col("node") == F.col("__p"), "left")
     among = checkpointed(among.select("node", "wide", F.coalesce("component", "node").alias("part")))
-    more = _by_key(keyed(among, "part"), ["node", "part"], words[:sent], open_pairs(radius), most).distinct()
+    more = _by_key(keyed(among, tables, "part"), ["node", "part"], words, open_pairs(within(bits)), most).distinct()
     more = checkpointed(verified(more, texts, similarity, width))
     linked = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     found = components(linked).withColumnRenamed("node", "__p")

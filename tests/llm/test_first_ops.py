@@ -289,3 +289,38 @@ def test_similar_documents_are_decided_by_their_shingles(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(near) == 200 and len(far) == 200 and got[9001] == 9000
     assert np.mean([got[i] == got[i + 1] for i in near]) >= 0.98 and not any(got[i] == got[i + 1] for i in far)
+
+
+def test_simhash_splits_hot_keys(spark):
+    """Fingerprints around a few centres with `most` far below the size of their keys: links as by brute force."""
+    rnd, rows = random.Random(12), []
+    for c in range(3):
+        base = rnd.getrandbits(64)
+        for _ in range(150):
+            x = base
+            for b in rnd.sample(range(64), rnd.choice([0, 1, 2, 3, 5, 9])):
+                x ^= 1 << b
+            rows.append((len(rows), x - (1 << 64) if x >> 63 else x))
+    frame = spark.createDataFrame(rows, "doc_id long, fp long")
+    word = np.array([r[1] for r in rows]).view("u8")
+    root, near = np.arange(len(rows)), np.bitwise_count(word[:, None] ^ word) <= 4
+    while True:
+        low = np.where(near, root, len(rows)).min(axis=1)
+        if (low == root).all():
+            break
+        root = low
+    for most in (20, 400_000):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame, most=most).collect()}
+        assert [got[i] for i in range(len(rows))] == root.tolist()
+
+
+def test_key_runs_hold_a_large_key_once():
+    import pyarrow as pa
+
+    from sedimark.llm.common import key_runs
+
+    keys = np.sort(np.concatenate([np.full(5000, 7), np.arange(100), np.full(900, 50)]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 64]), pa.array(np.arange(i, min(i + 64, len(keys))))], ["k", "v"]) for i in range(0, len(keys), 64)]
+    runs = list(key_runs(iter(batches), ["k", "v"], 200))
+    assert np.array_equal(np.concatenate([r[0] for r in runs]), keys) and np.array_equal(np.concatenate([r[1] for r in runs]), np.arange(len(keys)))
+    assert len(runs) > 2 and all(a[0][-1] < b[0][0] for a, b in zip(runs, runs[1:]))
