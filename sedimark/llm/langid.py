@@ -141,7 +141,8 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of docs, with lang_pred and score (0 to 1; columns of these names are replaced).
 
     Whole texts are scored. `und` with score 0 for a null text, a text without a letter, and for all rows if nothing could be
-    learned. The score is the best language's share of the positive regression values; equal values go to the first language in order.
+    learned. The score is the best language's regression value, cut to 0 to 1 (about 0 for a text unlike all of them); equal values go to the first
+    language in order.
     Repeated rows are scored each. Empty tables give no rows.
     No shuffle; memory is a block of about 1 MB of text.
     """
@@ -168,9 +169,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
                     p, n = maker.block([texts[i] for i in rows])
                     values = ((p @ m.landmarks) / np.sqrt(np.maximum(n, 1)[:, None] * m.sizes)) @ m.weights
                     best = values.argmax(axis=1)
-                    part = np.maximum(values, 0)
-                    total = part.sum(axis=1)
-                    score[rows] = np.where(total > 0, part[np.arange(len(rows)), best] / np.where(total > 0, total, 1), 1 / len(m.languages))
+                    score[rows] = np.clip(values[np.arange(len(rows)), best], 0, 1)
                     for i, k in zip(rows, best):
                         named[i] = m.languages[k]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(named, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])

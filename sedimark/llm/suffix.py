@@ -201,23 +201,22 @@ def _find(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _runs(batches, most: int):
-    """Blocks of whole keys (batches sorted by `key`), of about `most` rows: tables."""
+    """Blocks of whole keys (batches sorted by `key`), of about `most` rows: tables. A larger key's batches are put together once."""
     import numpy as np
     import pyarrow as pa
 
-    held, rows = [], 0
+    held, rows, last = [], 0, None
     for b in batches:
         if not b.num_rows:
             continue
+        key = b.column("key").to_numpy()
+        if rows >= most and key[-1] != last:
+            cut = int(np.searchsorted(key, last, "right"))
+            yield pa.Table.from_batches([*held, b.slice(0, cut)]).combine_chunks()
+            held, rows, b = [], 0, b.slice(cut)
         held.append(b)
         rows += b.num_rows
-        if rows >= most:
-            table = pa.Table.from_batches(held).combine_chunks()
-            key = table.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield table.slice(0, cut)
-                held, rows = table.slice(cut).combine_chunks().to_batches(), len(key) - cut
+        last = key[-1]
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -399,7 +398,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, most: int = 200_000) -> Da
     """
     if not 2 * GRAM <= least < 1 << AHEAD:
         raise ValueError(f"least must be from {2 * GRAM} to {(1 << AHEAD) - 1} bytes")
-    docs = without(docs, ["n_bytes", "spans", "kept", "rest", "__doc", "__z"])
+    docs = without(docs, ["n_bytes", "spans", "kept", "rest", "__doc", "__z", "__d", "__spans", "__id", "__h", "__hash"])
     d, unique = _numbered(docs)
     texts = d.select(F.col("__doc").alias("doc"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("text")).where(F.octet_length("text") >= least)
     texts = texts if unique else texts.dropDuplicates(["doc"])

@@ -206,3 +206,23 @@ def test_audit_makes_a_label_exact(spark):
     assert all((got[i].n_links, got[i].component_id) == want[i] for i in want) and got[0].audit_recall == 1.0
     loose = vecdedup.near_duplicates(frame, size=4, overlap=1, audit=0).agg({"n_links": "sum"}).first()[0]
     assert loose < sum(n for n, _ in want.values())
+
+
+def test_language_stage_without_languages_and_with_a_foreign_text(spark, tables):
+    bare = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "123", None, "s", 3), (3, None, None, "s", 0)], DOCS)
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, bare, "").collect()] == [1]
+    foreign = spark.createDataFrame([(-1, "".join(chr(0x1000 + i % 37) for i in range(400)), None, "s", 400)], DOCS)
+    out = corpus_pipeline.language_id(spark, tables["documents"].unionByName(foreign), "").select("doc_id").collect()
+    assert -1 not in {r.doc_id for r in out} and len(out) >= 0.999 * tables["documents"].where("text rlike '[a-z]'").count()
+
+
+def test_pipeline_leaves_one_folder(spark, tmp_path):
+    import os
+
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+        (folder,) = [d for d in os.listdir(tmp_path) if d.startswith("pipeline-")]
+        assert os.listdir(tmp_path / folder) == ["repeated_passages"]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
