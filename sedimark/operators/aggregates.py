@@ -92,10 +92,12 @@ def votes(ballots: DataFrame, item: Sequence[str], voter: str, weight: str | Non
 
 
 def softmax_weights(df: DataFrame, keys: Sequence[str], loss: str, temperature: float) -> DataFrame:
-    """Adds weight = softmax over the group of -loss / temperature."""
-    w = W.partitionBy(*keys)
-    e = F.exp(-(F.col(loss) - F.min(loss).over(w)) / temperature)
-    return df.withColumn("__e", e).withColumn("weight", F.col("__e") / F.sum("__e").over(w)).drop("__e")
+    """Adds weight = softmax over the group of -loss / temperature: two aggregates joined back, so a large group isn't one task."""
+    k = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]
+    gone = [f"__k{i}" for i in range(len(keys))]
+    d = df.join(df.groupBy(*k).agg(F.min(loss).alias("__m")), on).drop(*gone).withColumn("__e", F.exp(-(F.col(loss) - F.col("__m")) / temperature))
+    return d.join(d.groupBy(*k).agg(F.sum("__e").alias("__s")), on).withColumn("weight", F.col("__e") / F.col("__s")).drop("__e", "__m", "__s", *gone)
 
 
 def set_scores(predicted: Column, truth: Column) -> Column:

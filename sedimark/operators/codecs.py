@@ -127,12 +127,14 @@ def _seen(marks: Column, i: Column) -> Column:
     return F.aggregate(F.slice(marks, F.lit(1), i + 1), F.lit(0), lambda a, m: a + m)
 
 
-def word_level(df: DataFrame, key: str, text: str, vocabulary: DataFrame, unknown: int, end: int) -> DataFrame:
-    """(key, ids) by whitespace words through a (token, id) table; unknown words get `unknown`, `end` closes."""
-    words = df.select(F.col(key), F.posexplode(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")).alias("pos", "token"))
-    ids = words.join(vocabulary, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("__i"))
-    out = df.select(key).distinct().join(ids, key, "left")
-    return out.select(key, F.concat(F.coalesce(F.transform("__i", lambda x: x["id"].cast("int")), F.array().cast("array<int>")), F.array(F.lit(end))).alias("ids"))
+def word_level(df: DataFrame, key: str, text: str | Column, vocabulary: DataFrame, unknown: int, end: int) -> DataFrame:
+    """(key, ids) of each row by whitespace words through a (token, id) table; unknown words get `unknown`, `end` closes. Rows that share a
+    key stay apart."""
+    text = F.col(text) if isinstance(text, str) else text
+    rows = df.select(F.col(key), F.monotonically_increasing_id().alias("__row"), text.alias("__t"))
+    words = rows.select("__row", F.posexplode(F.filter(F.split(F.coalesce("__t", F.lit("")), r"\s+"), lambda w: w != "")).alias("pos", "token"))
+    ids = words.join(vocabulary, "token", "left").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("__i"))
+    return rows.join(ids, "__row", "left").select(key, F.concat(F.coalesce(F.transform("__i", lambda x: x["id"].cast("int")), F.array().cast("array<int>")), F.array(F.lit(end))).alias("ids"))
 
 
 def token_faults(ids: Column, vocabulary: int, unknown: int, end: int, least: int, most: int) -> Column:

@@ -87,17 +87,21 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value
 
 
 def array_members(df: DataFrame, array: str, members: DataFrame, member: str) -> DataFrame:
-    """Rows of which some array element is a member, each once, with the number of such elements."""
-    hit = df.withColumn("__m", F.explode(F.array_distinct(array))).join(members.select(F.col(member).alias("__m")).distinct(), "__m", "left_semi")
-    return hit.groupBy(*[c for c in df.columns]).agg(F.count("*").alias("n_members"))
+    """Rows of which some array element is a member, each row for itself, with the number of its distinct member elements. Only row
+    numbers and elements are shuffled by element; rows meet their counts by number."""
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    hit = rows.select("__row", F.explode(F.array_distinct(array)).alias("__m")).join(members.select(F.col(member).alias("__m")).distinct(), "__m", "left_semi")
+    return rows.join(hit.groupBy("__row").agg(F.count("*").alias("n_members")), "__row").drop("__row")
 
 
 def longest_prefix(df: DataFrame, names: DataFrame, column: str, prefix: str) -> DataFrame:
-    """The longest name that column starts with and that only digits follow: prefixes of each value are joined by equality."""
-    v = df.withColumn("__p", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(column), F.lit(1))), lambda n: F.substr(F.col(column), F.lit(1), n))))
-    hit = v.join(names.select(F.col(prefix).alias("__p")).distinct(), "__p").where(F.regexp_like(F.substr(F.col(column), F.length("__p") + 1), F.lit("^[0-9]*$")))
-    best = hit.groupBy(*df.columns).agg(F.max_by("__p", F.length("__p")).alias("matched"))
-    return df.join(best, df.columns, "left") if df.columns else best
+    """df with `matched`, the longest name that column starts with and that only digits follow (null: none). Prefixes of each distinct value
+    are joined by equality; rows meet the answer by their value."""
+    v = df.select(F.col(column).alias("__v")).where("__v is not null").distinct()
+    parts = v.withColumn("__p", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__v"), F.lit(1))), lambda n: F.substr(F.col("__v"), F.lit(1), n))))
+    hit = parts.join(names.select(F.col(prefix).alias("__p")).distinct(), "__p").where(F.regexp_like(F.substr(F.col("__v"), F.length("__p") + 1), F.lit("^[0-9]*$")))
+    best = hit.groupBy("__v").agg(F.max_by("__p", F.length("__p")).alias("matched"))
+    return df.join(best, F.col(column) == F.col("__v"), "left").drop("__v")
 
 
 def is_subsequence(query: Column, target: Column) -> Column:

@@ -27,10 +27,10 @@ def drop_list(hits: DataFrame, keys: Sequence[str], least_identity: float = 0.30
     by_id = (F.col("fident") >= least_identity) & (F.col("cov") >= least_coverage)
     by_e = F.lit(False) if most_evalue is None else F.col("evalue") <= most_evalue
     h = h.where(is_contaminant(F.col("fident"), F.col("cov"), F.col("evalue"), least_identity, least_coverage, most_evalue)).withColumns({"__i": by_id, "__e": by_e})
-    rules = h.groupBy(*keys).agg(F.bool_or("__i").alias("__i"), F.bool_or("__e").alias("__e"), F.count("*").alias("n_hits"))
-    best = best_evidence(h, keys, "fident", ["query"], ["cov", "evalue"])
+    each = h.groupBy(*keys, "fident").agg(F.min(F.struct("query", "cov", "evalue")).alias("__p"), F.bool_or("__i").alias("__i"), F.bool_or("__e").alias("__e"), F.count("*").alias("__n"))
+    best = each.groupBy(*keys).agg(F.max_by(F.struct("fident", "__p"), F.struct(F.col("fident").isNotNull(), "fident")).alias("__b"), F.bool_or("__i").alias("__i"), F.bool_or("__e").alias("__e"), F.sum("__n").alias("n_hits"))
     rule = F.when(F.col("__i") & F.col("__e"), "both").when(F.col("__e"), "evalue").otherwise("identity_coverage")
-    return best.join(rules, list(keys)).withColumn("rule", rule).drop("__i", "__e")
+    return best.select(*keys, F.col("__b.fident").alias("fident"), F.col("__b.__p.query").alias("query"), F.col("__b.__p.cov").alias("cov"), F.col("__b.__p.evalue").alias("evalue"), "n_hits", rule.alias("rule"))
 
 
 def union_drop_lists(lists: dict[str, DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -114,9 +114,15 @@ def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
 
 
 def gram_overlap(corpus: DataFrame, reference: DataFrame, key: str, text: str, ref_key: str, ref_text: str, n: int) -> DataFrame:
-    """(key, ref_key, shared, coverage of the reference's grams) of every pair that shares a gram. Grams of the reference are
-    the small side; a corpus gram that isn't among them doesn't leave its task when that side is broadcast."""
-    ref = word_grams(reference, ref_key, ref_text, n)
+    """(key, ref_key, shared, coverage of the reference's grams) of every pair that shares a gram.
+
+    A corpus gram is a 64-bit hash of its words until it meets the reference, which the planner broadcasts if it is small: grams that
+    aren't in it never become text, nor leave their task. Those that are get compared word for word."""
+    ref = word_grams(reference, ref_key, ref_text, n).withColumn("__h", F.xxhash64(F.split("gram", " ")))
     size = ref.groupBy(ref_key).agg(F.count("*").alias("n_grams"))
-    shared = word_grams(corpus, key, text, n).join(ref, "gram").groupBy(key, ref_key).agg(F.count("*").alias("shared"))
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    c = corpus.select(F.col(key), words.alias("__w")).where(F.size("__w") >= n)
+    hashes = F.transform(F.sequence(F.lit(1), F.size("__w") - (n - 1)), lambda i: F.xxhash64(F.slice("__w", i, n)))
+    met = c.select(key, "__w", F.posexplode(hashes).alias("__i", "__h")).join(ref, "__h").where(F.array_join(F.slice("__w", F.col("__i") + 1, n), " ") == F.col("gram"))
+    shared = met.select(key, ref_key, "gram").distinct().groupBy(key, ref_key).agg(F.count("*").alias("shared"))
     return shared.join(size, ref_key).select(key, ref_key, "shared", (F.col("shared") / F.col("n_grams")).alias("coverage"))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from sedimark.operators.aggregates import finite
 from sedimark.operators.sampling import poisson_weight
+from sedimark.operators.windows import average_rank
 
 
 def paired_difference(df: DataFrame, entity: str, model: str, value: str) -> DataFrame:
@@ -50,16 +51,14 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks; rows with a missing side go first; fewer than three rows or a constant side: NaN."""
     d = df.select(*keys, finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
     for c in ("__x", "__y"):
-        rank = F.rank().over(W.partitionBy(*keys).orderBy(c)) + (F.count("*").over(W.partitionBy(*keys, c)) - 1) / 2.0
-        d = d.withColumn(f"{c}r", rank)
+        d = average_rank(d, keys, c, f"{c}r")
     ok = (F.count("*") >= 3) & (F.count_distinct("__x") > 1) & (F.count_distinct("__y") > 1)
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.when(ok, correlation("__xr", "__yr")).otherwise(float("nan")).alias("rho"))
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve by the rank sum with average ranks; NaN where a class is absent."""
-    rank = F.rank().over(W.partitionBy(*keys).orderBy(score)) + (F.count("*").over(W.partitionBy(*keys, score)) - 1) / 2.0
-    d = df.select(*keys, F.col(score), F.col(label).cast("int").alias("__l")).withColumn("__r", rank)
+    d = average_rank(df.select(*keys, F.col(score), F.col(label).cast("int").alias("__l")), keys, score, "__r")
     p, n = F.sum("__l"), F.sum(1 - F.col("__l"))
     area = F.try_divide(F.sum(F.col("__r") * F.col("__l")) - p * (p + 1) / 2, p * n)
     return d.groupBy(*keys).agg(p.alias("n_pos"), n.alias("n_neg"), F.when((p > 0) & (n > 0), area).otherwise(float("nan")).alias("auc"))
@@ -124,7 +123,7 @@ def parity(found: DataFrame, expected: DataFrame, keys: Sequence[str], value: st
 def rank_ensemble(df: DataFrame, group: Sequence[str], a: str, b: str, weight: float, column: str = "ensemble") -> DataFrame:
     """weight times the average rank of a plus (1 - weight) times that of b, within each group."""
     for c in (a, b):
-        df = df.withColumn(f"__{c}", F.rank().over(W.partitionBy(*group).orderBy(c)) + (F.count("*").over(W.partitionBy(*group, c)) - 1) / 2.0)
+        df = average_rank(df, group, c, f"__{c}")
     return df.withColumn(column, weight * F.col(f"__{a}") + (1 - weight) * F.col(f"__{b}")).drop(f"__{a}", f"__{b}")
 
 

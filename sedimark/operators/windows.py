@@ -23,11 +23,22 @@ def select_rounds(df: DataFrame, cluster: str, score: str, tie: str, least_size:
     return top.join(sizes, cluster)
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, column: str = "rank") -> DataFrame:
-    """Ranks from 1 with the mean rank for ties."""
-    rank = F.rank().over(W.partitionBy(*keys).orderBy(value))
-    peers = F.count("*").over(W.partitionBy(*keys, value))
-    return df.withColumn(column, rank + (peers - 1) / 2.0)
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, column: str = "rank", parts: int = 256) -> DataFrame:
+    """Ranks from 1 with the mean rank for ties.
+
+    A key's rows are cut at up to `parts` of its approximate quantiles, ranked inside a cut and shifted by the counts of the cuts before,
+    so a key that holds most of the rows is many tasks. Equal values share a cut; nulls come first, as in an ascending order."""
+    edges = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("__e"))
+    k = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
+    meets = lambda other: [F.col(c).eqNullSafe(other[f"__k{i}"]) for i, c in enumerate(keys)] or [F.lit(True)]
+    edges = edges.select(*k, "__e")
+    d = df.join(edges, meets(edges)).withColumn("__c", F.when(F.col(value).isNull() | F.col("__e").isNull(), -1).otherwise(F.size(F.filter("__e", lambda e: e < F.col(value))))).drop("__e", *[f"__k{i}" for i in range(len(keys))])
+    sizes = d.groupBy(*keys, "__c").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__b", F.sum("__n").over(W.partitionBy(*keys).orderBy("__c")) - F.col("__n")).select(*k, F.col("__c").alias("__d"), "__b")  # `parts` rows a key
+    d = d.join(before, [*meets(before), F.col("__c") == F.col("__d")]).drop("__d", *[f"__k{i}" for i in range(len(keys))])
+    rank = F.rank().over(W.partitionBy(*keys, "__c").orderBy(value))
+    peers = F.count("*").over(W.partitionBy(*keys, "__c", value))
+    return d.withColumn(column, F.col("__b") + rank + (peers - 1) / 2.0).drop("__b", "__c")
 
 
 def quartile(df: DataFrame, keys: Sequence[str], value: str, tie: str, parts: int = 4, column: str = "quartile") -> DataFrame:
@@ -42,8 +53,10 @@ def normalised_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], co
 
 
 def z_score(df: DataFrame, keys: Sequence[str], value: str, column: str = "z") -> DataFrame:
-    w = W.partitionBy(*keys)
-    return df.withColumn(column, F.try_divide(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
+    """(x - mean) / std in the group, null without a spread: an aggregate joined back, so a large group isn't one task."""
+    g = df.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]).agg(F.avg(value).alias("__m"), F.stddev_samp(value).alias("__s"))
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)]
+    return df.join(g, on).withColumn(column, F.try_divide(F.col(value) - F.col("__m"), F.col("__s"))).drop("__m", "__s", *[f"__k{i}" for i in range(len(keys))])
 
 
 def rolling_median(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int, least: int, column: str = "rolling") -> DataFrame:

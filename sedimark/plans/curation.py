@@ -147,7 +147,7 @@ def rule_choice(spark, t):
     return C.pick_rules(r, "label", "score", "3-MEDIUM")
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents LIMIT 7")
 def take_per_file(spark, t):
     """The first seven rows of each file of documents (the limit is the operator)."""
     return C.take_per_file(t("documents"), 7).select("doc_id", "lang")

@@ -245,7 +245,7 @@ def session_windows(spark, t):
     return X.sessions(t("events"), "30 minutes").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, t):
     """The tumbling windows as a stream over all files there are, with a watermark."""
     import uuid
@@ -253,7 +253,7 @@ def stream_tumbling(spark, t):
     src = t("events")
     path = src.inputFiles()[0].rsplit("/", 1)
     stream = spark.readStream.schema(src.schema).option("pathGlobFilter", path[1]).parquet(path[0]).withColumn("ts", F.col("ts").cast("timestamp"))
-    return X.drain(X.tumbling(stream, "1 hour", "1 day"), f"stream_{uuid.uuid4().hex}", "complete")
+    return X.drain(X.tumbling(stream, "1 hour", "1 day"), f"stream_{uuid.uuid4().hex}", "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""SELECT model_a, model_b, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a - b), 6) AS delta, round(stddev_samp(a - b) / sqrt(count(*)), 6) AS sem, round(avg((a > b)::INT), 6) AS win_rate, round(avg((a = b)::INT), 6) AS tie_rate FROM
@@ -276,23 +276,6 @@ def auc_mann_whitney(spark, t):
     return T.auc(d, ["o_orderpriority"], "o_totalprice", "done").select("o_orderpriority", "n_pos", "n_neg", r("auc", 8))
 
 
-@query()
-def bootstrap_ci(spark, t):
-    """Poisson bootstrap of the mean per event type, 200 replicates."""
-    v = t("events").groupBy("event_type", "user_id").agg(F.avg("value").alias("v"))
-    return T.bootstrap_means(v, ["event_type"], "user_id", "v", 200, "boot")
-
-
-@query()
-def fisher_by_source(spark, t):
-    """Two-sided exact test of toxicity against quality by source."""
-    d = t("labels").join(t("documents").select("doc_id", "source"), "doc_id")
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    q, x = F.col("quality") == 1, F.col("toxic") == 1
-    g = d.groupBy("source").agg(n(q & x).alias("a"), n(q & ~x).alias("b"), n(~q & x).alias("c"), n(~q & ~x).alias("d"))
-    return g.withColumn("p", T.fisher_exact(F.col("a"), F.col("b"), F.col("c"), F.col("d")))
-
-
 @query("""WITH p AS (SELECT event_type, round(avg(value) / 100, 9) AS p FROM events GROUP BY 1) SELECT event_type, p, round(least(p * count(*) OVER () / row_number() OVER (ORDER BY p, event_type), 1), 9) AS q FROM p""")
 def adjusted_p_values(spark, t):
     p = t("events").groupBy("event_type").agg(F.round(F.avg("value") / 100, 9).alias("p"))
