@@ -95,6 +95,12 @@ def grid_cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
+def neighbour_cells(x: Column, y: Column, z: Column, with_own: bool = False) -> Column:
+    """array<struct<x,y,z>> of the 26 cells around a grid cell, or 27 with its own."""
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if with_own or (i, j, k) != (0, 0, 0)]
+    return F.array(*[F.struct((x + i).alias("x"), (y + j).alias("y"), (z + k).alias("z")) for i, j, k in steps])
+
+
 def canonical_pairs(flat: Column, least_gap: int = 6) -> Column:
     """array<int> of flat pairs -> sorted distinct array<struct<i,j>> with i < j and j - i >= least_gap."""
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(flat) / 2).cast("int") - 1), lambda k: F.struct(F.least(flat[2 * k], flat[2 * k + 1]).alias("i"), F.greatest(flat[2 * k], flat[2 * k + 1]).alias("j")))
@@ -132,6 +138,11 @@ def base_entry(name: Column) -> Column:
     return F.upper(F.substring_index(name, "-", 1))
 
 
+def base_chain(name: Column) -> Column:
+    """A chain's name without the number of a symmetry copy (`A-2` is chain A)."""
+    return F.regexp_replace(name, r"-\d+$", "")
+
+
 def parse_mutations(variants: Column) -> Column:
     """`A24G:D30N` -> array<struct<wild,position (from 0),mutant>>; empty or null gives an empty array."""
     parts = F.filter(F.split(F.coalesce(variants, F.lit("")), ":"), lambda p: p != "")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sedimark.functions.scalars import AMINO, keyed_hash, keyed_uniform
+from sedimark.functions.scalars import AMINO, bucket_size, keyed_hash, keyed_uniform
 
 #: Fixed values of the document format: its section and statement words.
 SEQUENCE, STATEMENTS, END, CONTACT, RETRACT = "<begin_sequence>", "<begin_statements>", "<end>", "<contact>", "<retract>"
@@ -157,3 +157,11 @@ def to_parallel(contacts: Column) -> Column:
 
 def from_parallel(store: Column) -> Column:
     return F.transform(F.arrays_zip(store["seq_i"], store["seq_j"], store["degree"]), lambda c: F.struct(c["seq_i"].alias("seq_i"), c["seq_j"].alias("seq_j"), c["degree"].alias("degree")))
+
+
+def budget_batches(df: DataFrame, size: str, order: Sequence[str], buckets: Sequence[int], budget: int) -> DataFrame:
+    """df with bucket (the smallest of at least `size`, else the size) and batch: rows of a bucket in order, budget // bucket of them (one
+    at least) a batch."""
+    d = df.withColumn("bucket", bucket_size(F.col(size), buckets))
+    place = F.row_number().over(W.partitionBy("bucket").orderBy(*order)) - 1
+    return d.withColumn("batch", F.floor(place / F.greatest(F.floor(F.lit(budget) / F.col("bucket")), F.lit(1))))

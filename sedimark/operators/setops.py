@@ -55,3 +55,10 @@ def exact_duplicates(df: DataFrame, text: str, key: str) -> DataFrame:
 def best_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int = 1) -> DataFrame:
     """The best k representatives of each group."""
     return df.withColumn("__r", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
+
+
+def layered(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Rows of all frames, the last frame that has a key giving its rows; columns are those of the first, missing ones null."""
+    first = frames[0].columns
+    rows = [f.select(*[F.col(c) if c in f.columns else F.lit(None).alias(c) for c in first]) for f in frames]
+    return prefer(rows[::-1], keys)

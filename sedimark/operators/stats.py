@@ -185,6 +185,14 @@ def superposition_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).applyInPandas(one, f"{fields}, rmsd double, lddt double")
 
 
+def paired_wins(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, n, wins, losses, ties, delta) of left against right over the keys both have; missing values are left out."""
+    p = left.select(*keys, *by, finite(F.col(value)).alias("__a")).join(right.select(*keys, finite(F.col(value)).alias("__b")), list(keys)).where("__a is not null and __b is not null")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    a, b = F.col("__a"), F.col("__b")
+    return p.groupBy(*by).agg(F.count("*").alias("n"), n(a > b).alias("wins"), n(a < b).alias("losses"), n(a == b).alias("ties"), F.avg(a - b).alias("delta"))
+
+
 def _replicated(df: DataFrame, keys: Sequence[str], entity: str, value: str, replicates: int, salt: str) -> DataFrame:
     """(keys, rep, m): the mean of each Poisson bootstrap replicate, one map-side combined aggregate."""
     reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", poisson_weight(F.col(entity), F.col("rep"), salt)).where("__w > 0")

@@ -148,26 +148,45 @@ def pack_until_budget(spark, t):
     return D.pack_until_budget(t("documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 20000)
 
 
+NAMES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL"
+ENTRIES = f"""o AS (SELECT o_orderkey, o_orderkey::VARCHAR AS k, (o_orderkey % 6 + 13)::BIGINT AS n FROM orders), c AS (SELECT l_orderkey AS o_orderkey, l_linenumber AS i, l_linenumber + 6 AS j, max(l_quantity) AS degree FROM lineitem GROUP BY ALL),
+q AS (SELECT o_orderkey, k, n, list_transform(range(0, n), lambda x: string_split('{NAMES}', ' ')[(o_orderkey + x) % 20 + 1]) AS names FROM o)"""
+
+
 def _entries(t):
-    """Orders stand for entries (their lines for residues), lines for contacts."""
-    o = t("orders").select(F.col("o_orderkey").cast("string").alias("entry_id"), F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 6 + 3).cast("int")), lambda x: F.lit("GLY")).alias("sequence"))
+    """Orders stand for entries, their lines for contacts."""
+    names = F.split(F.lit(NAMES), " ")
+    o = t("orders").select(F.col("o_orderkey").cast("string").alias("entry_id"), F.transform(F.sequence(F.lit(0), F.col("o_orderkey") % 6 + 12), lambda x: F.get(names, ((F.col("o_orderkey") + x) % 20).cast("int"))).alias("sequence"))
     c = t("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("entry_id"), F.col("l_linenumber").alias("i")).agg(F.max("l_quantity").alias("degree")).withColumn("j", F.col("i") + 6).select("entry_id", "i", "j", "degree")
     return o, c
 
 
-@query("""WITH c AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS degree FROM lineitem GROUP BY ALL HAVING max(l_quantity) >= 5), n AS (SELECT l_orderkey, count(*) AS n FROM c GROUP BY 1)
-SELECT o_orderkey::VARCHAR AS entry_id, least(coalesce(n, 0), greatest(floor((28 - 2 * (o_orderkey % 6 + 3) - 3) / 3), 0))::BIGINT AS n_contacts, coalesce(n, 0) > greatest(floor((28 - 2 * (o_orderkey % 6 + 3) - 3) / 3), 0) AS truncated FROM orders LEFT JOIN n ON o_orderkey = l_orderkey""")
+def _u(*salt: str) -> str:
+    return "(('0x' || substr(sha1(" + " || '|' || ".join(salt) + "), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+@query(f"""WITH {ENTRIES}, s AS (SELECT *, floor({_u("k", "'start'")} * 2000)::BIGINT AS start, greatest(floor((48 - 2 * n - 3) / 3), 0) AS budget FROM q),
+r AS (SELECT s.o_orderkey, k, start, i, j, budget, row_number() OVER (PARTITION BY s.o_orderkey ORDER BY degree DESC, i, j) AS r FROM c JOIN s USING (o_orderkey) WHERE degree >= 5),
+l AS (SELECT o_orderkey, string_agg('<contact> <p' || CASE WHEN coin THEN p ELSE q END || '> <p' || CASE WHEN coin THEN q ELSE p END || '>', ' ' ORDER BY h) AS body, count(*) AS n_contacts FROM
+(SELECT o_orderkey, {_u("k", "'coin'", "i", "j")} < 0.5 AS coin, (i + start) % 2000 AS p, (j + start) % 2000 AS q, sha1(k || '|order|' || i || '|' || j) AS h FROM r WHERE r <= budget) GROUP BY 1), t AS (SELECT o_orderkey, count(*) AS total FROM r GROUP BY 1)
+SELECT k AS entry_id, '<begin_sequence> ' || list_aggregate(list_transform(names, lambda x, i: '<p' || ((i - 1 + start) % 2000) || '> <' || x || '>'), 'string_agg', ' ') || ' <begin_statements>' || coalesce(' ' || body, '') || ' <end>' AS document,
+coalesce(n_contacts, 0) AS n_contacts, coalesce(total, 0) > coalesce(n_contacts, 0) AS truncated FROM s LEFT JOIN l USING (o_orderkey) LEFT JOIN t USING (o_orderkey)""")
 def doc_build_budget(spark, t):
-    return D.build_documents(*_entries(t), context=28, least_degree=5.0).select("entry_id", F.col("n_contacts").cast("long").alias("n_contacts"), "truncated")
+    return D.build_documents(*_entries(t), context=48, least_degree=5.0).select("entry_id", "document", F.col("n_contacts").cast("long").alias("n_contacts"), "truncated")
+
+
+LETTERS = "ARNDCQEGHILKMFPSTWYV"
 
 
-@query("""SELECT o_orderkey::VARCHAR AS entry_id, repeat('G', (o_orderkey % 6 + 3)::INT) AS sequence FROM orders""")
+@query(f"""WITH {ENTRIES}, p AS (SELECT o_orderkey, string_agg(i || '-' || j, ',' ORDER BY i) AS pairs FROM c JOIN o USING (o_orderkey) WHERE j < n GROUP BY 1)
+SELECT k AS entry_id, list_aggregate(list_transform(range(0, n), lambda x: '{LETTERS}'[(o_orderkey + x) % 20 + 1]), 'string_agg', '') AS sequence, coalesce(pairs, '') AS pairs FROM q LEFT JOIN p USING (o_orderkey)""")
 def doc_parse_round_trip(spark, t):
-    """Documents built and read back: the sequence comes out as it went in."""
+    """Documents built and read back: sequence and pairs come out as they went in."""
     o, c = _entries(t)
-    docs = D.build_documents(o, c, context=60).join(o.withColumn("n", F.size("sequence")), "entry_id")
+    docs = D.build_documents(o, c, context=200).join(o.withColumn("n", F.size("sequence")), "entry_id")
     start = F.floor(S.keyed_uniform(F.col("entry_id"), "start") * 2000).cast("int")
-    return docs.select("entry_id", D.parse_document(F.col("document"), F.col("n"), start)["sequence"].alias("sequence"))
+    d = docs.select("entry_id", D.parse_document(F.col("document"), F.col("n"), start).alias("d"))
+    return d.select("entry_id", "d.sequence", F.array_join(F.transform("d.pairs", lambda p: F.concat_ws("-", p["i"], p["j"])), ",").alias("pairs"))
 
 
 @query("""SELECT user_id, n::BIGINT AS ordinal, count(*) AS n_new FROM (SELECT user_id, props, min(rn) AS n FROM (SELECT user_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) GROUP BY 1, 2) GROUP BY 1, 2""")

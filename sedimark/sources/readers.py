@@ -73,6 +73,49 @@ def map_rows(df: DataFrame, function: Callable[[dict], dict | None], schema: str
     return df.mapInArrow(run, schema)
 
 
+def flat_map_rows(df: DataFrame, make: Callable[[], Callable[[dict], list[dict] | None]], schema: str, threads: int = 1) -> DataFrame:
+    """A Python function from a row to any number of rows. make() runs once per task and returns the function, so that what it needs is
+    set up once. With threads (for functions that wait for other systems) a batch's rows run side by side and results keep the rows'
+    order. None drops a row; an error stops the task."""
+
+    def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        import pyarrow as pa
+
+        function = make()
+        with ThreadPoolExecutor(threads) as pool:
+            for b in batches:
+                rows = b.to_pylist()
+                made = list(pool.map(function, rows)) if threads > 1 else list(map(function, rows))
+                out = [r for rs in made if rs is not None for r in rs]
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    return df.mapInArrow(run, schema)
+
+
+def query_files(spark: SparkSession, sql: str, tables: dict[str, str]) -> DataFrame:
+    """SQL over Parquet at any path that Spark's file systems reach; a table's name stands in braces. Projections and filters go to the scan."""
+    return spark.sql(sql, **{name: spark.read.parquet(path if path.endswith(".parquet") else as_glob(path)) for name, path in tables.items()})
+
+
+def batches_of(df: DataFrame, size: int):
+    """Lists of up to `size` rows; partitions are computed one at a time as they are asked for, so a reader that stops early leaves the
+    rest unread."""
+    held = []
+    for row in df.toLocalIterator():
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def structure_files(spark: SparkSession, path: str, suffixes: Sequence[str] = STRUCTURES) -> DataFrame:
     """(path, content) of the structure files below a folder."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -64,20 +64,77 @@ def write_sorted(df: DataFrame, path: str, order: Sequence[str] = ("arm", "shard
     df.orderBy(*order).write.mode("overwrite").parquet(path)
 
 
-def rewrite_without(corpus: DataFrame, dropped: DataFrame, key: str, path: str, file: str = "file") -> dict[str, int]:
-    """Filtered copy in the order of (file, row_index), partitioned by source file; kept = total - dropped is checked with counts that the
-    write observes. Files of which nothing is left are in the returned `empty` list."""
-    total, kept = Observation("total"), Observation("kept")
-    n = corpus.select(key).observe(total, F.count(F.lit(1)).alias("n"))
-    gone = n.join(dropped.select(key).distinct(), key, "left_semi").count()
-    out = corpus.join(dropped.select(key).distinct(), key, "left_anti").observe(kept, F.count(F.lit(1)).alias("n"))
-    out.sortWithinPartitions(file, "row_index").write.mode("overwrite").partitionBy(file).parquet(path)
-    whole = corpus.count()
-    if kept.get["n"] != whole - gone:
-        raise ValueError(f"{whole} rows less {gone} aren't {kept.get['n']}")
-    left = corpus.sparkSession.read.parquet(path).select(file).distinct()
-    empty = [r[0] for r in corpus.select(file).distinct().join(left, file, "left_anti").collect()]
-    return {"total": whole, "dropped": gone, "kept": kept.get["n"], "empty": sorted(empty)}
+def shard_name(shard: int, total: int) -> str:
+    return f"{shard:05d}-of-{total:05d}.parquet"
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, {name: path}) of a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, {f.getPath().getName(): f.getPath() for f in (fs.listStatus(at) if fs.exists(at) else [])}
+
+
+def write_shards(df: DataFrame, path: str, shard: str, total: int, order: Sequence[str], wanted: Sequence[int] | None = None, codec: str = "zstd", drop: Sequence[str] = ()) -> list[int]:
+    """One file per shard, `{shard:05d}-of-{total:05d}.parquet`, rows in order, shards without rows as empty files; returns those.
+
+    A shard's rows meet in one task, as they become one file. Files appear under their names only when all are written: they are
+    renamed from a folder beside, so a run that broke off leaves no part of a file. wanted: the shards to write (default all); drop: columns
+    that serve the order only."""
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    beside = f"{path.rstrip('/')}/_shards"
+    wanted = list(range(total) if wanted is None else wanted)
+    out = df.withColumn("__shard", F.col(shard).cast("int")).repartition(max(1, len(wanted)), "__shard").sortWithinPartitions("__shard", *order).drop(*drop)
+    out.write.mode("overwrite").option("compression", codec).partitionBy("__shard").parquet(beside)
+    fs, dirs = _files(spark, beside)
+    empty = []
+    for k in wanted:  # names only: rows don't pass through the driver
+        target = hadoop(f"{path.rstrip('/')}/{shard_name(k, total)}")
+        if f"__shard={k}" in dirs:
+            (made,) = [p for n, p in _files(spark, f"{beside}/__shard={k}")[1].items() if n.endswith(".parquet")]
+            fs.rename(made, target)
+        else:
+            empty.append(k)
+    if empty:
+        df.drop(*drop).limit(0).coalesce(1).write.mode("overwrite").option("compression", codec).parquet(f"{beside}-empty")
+        (made,) = [p for n, p in _files(spark, f"{beside}-empty")[1].items() if n.endswith(".parquet")]
+        for k in empty:
+            spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, made, fs, hadoop(f"{path.rstrip('/')}/{shard_name(k, total)}"), False, spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(hadoop(f"{beside}-empty"), True)
+    fs.delete(hadoop(beside), True)
+    return empty
+
+
+def rewrite_without(spark: SparkSession, files: Sequence[str], dropped: DataFrame, key: str, path: str, codec: str = "zstd") -> DataFrame:
+    """(file, total, dropped, kept) of a filtered copy: each source file becomes one file of the same rank, in its order, empty ones too.
+    Files that a former run has written are left as they are. kept = total - dropped is checked for each file, kept being counted in
+    what was written."""
+    files = sorted(files, key=lambda f: f.rsplit("/", 1)[-1])
+    number = {f.rsplit("/", 1)[-1]: i for i, f in enumerate(files)}
+    done = _files(spark, path)[1]
+    todo = [f for f in files if shard_name(number[f.rsplit("/", 1)[-1]], len(files)) not in done]
+    ranks = spark.createDataFrame(list(number.items()), "file string, __rank int")  # a row per file
+    gone = dropped.select(key).distinct()
+    if todo:
+        rows = spark.read.parquet(*todo).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("__row")).join(ranks, "file").drop("file")
+        kept = rows.join(gone, key, "left_anti")
+        columns = spark.read.parquet(todo[0]).columns
+        write_shards(kept.select(*columns, F.col("__rank").alias("__k"), "__row"), f"{path.rstrip('/')}/_new", "__k", len(files), ["__row"], sorted(number[f.rsplit("/", 1)[-1]] for f in todo), codec, ["__k", "__row"])
+        fs, made = _files(spark, f"{path.rstrip('/')}/_new")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for name, at in made.items():
+            if name.endswith(".parquet"):
+                fs.rename(at, hadoop(f"{path.rstrip('/')}/{name}"))
+        fs.delete(hadoop(f"{path.rstrip('/')}/_new"), True)
+    before = spark.read.parquet(*files).select(key, F.col("_metadata.file_name").alias("file")).join(gone.withColumn("__d", F.lit(1)), key, "left").groupBy("file").agg(F.count("*").alias("total"), F.count("__d").alias("dropped"))
+    after = spark.read.parquet(*[f"{path.rstrip('/')}/{shard_name(i, len(files))}" for i in range(len(files))]).groupBy(F.col("_metadata.file_name").alias("__f")).agg(F.count("*").alias("kept"))
+    names = ranks.withColumn("__f", F.concat(F.lpad(F.col("__rank").cast("string"), 5, "0"), F.lit(f"-of-{len(files):05d}.parquet")))
+    out = names.join(before, "file", "left").join(after, "__f", "left").fillna(0, ["total", "dropped", "kept"]).orderBy("file").select("file", "total", "dropped", "kept")
+    wrong = out.where("kept <> total - dropped").limit(1).collect()
+    if wrong:
+        raise ValueError(f"{wrong[0]}: kept rows aren't the total less those dropped")
+    return out
 
 
 def pending(parts: DataFrame, spark: SparkSession, path: str, key: str) -> DataFrame:

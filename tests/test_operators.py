@@ -231,16 +231,78 @@ def test_sinks(spark, tmp_path):
         sinks.write_documents(df.limit(0), f"{tmp_path}/e", "v1")
     sinks.write_evaluation(spark, f"{tmp_path}/ev", "v1", {"p": 0.5}, {"n": 3, "deep": {"a": 1}}, df)
     assert spark.read.parquet(f"{tmp_path}/ev/summary.parquet").first().extras_json == '{"deep": {"a": 1}}'
-    table = spark.createDataFrame([("f1", i, i) for i in range(5)] + [("f2", 0, 100)], "file string, row_index int, id int")
-    out = sinks.rewrite_without(table, spark.createDataFrame([(1,), (100,)], "id int"), "id", f"{tmp_path}/r")
-    assert out == {"total": 6, "dropped": 2, "kept": 4, "empty": ["f2"]}
-    assert sinks.pending(spark.createDataFrame([("f1",), ("f3",)], "file string"), spark, f"{tmp_path}/r", "file").collect()[0].file == "f3"
+    df.where("half = 1").write.parquet(f"{tmp_path}/r")
+    assert {r.id for r in sinks.pending(df, spark, f"{tmp_path}/r", "id").collect()} == {0, 2, 4, 6, 8}
     assert sinks.pending(df, spark, f"{tmp_path}/nothing", "id").count() == 10
     sel = spark.range(23).selectExpr("'train' as split", "cast(id % 3 as int) as round", "id")
     shards = sinks.write_rounds(sel, f"{tmp_path}/w", "split", 4, "id").orderBy("shard").collect()
     assert [r["round"] for r in shards] == sorted((r["round"] for r in shards), reverse=True) and max(r.n for r in shards) <= 4 and sum(r.n for r in shards) == 23
 
 
+def test_filtered_rewrite_keeps_files_and_order_and_resumes(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    files = [f"{tmp_path}/in-{i}.parquet" for i in range(4)]
+    ids = [[5, 3, 9, 1], [2, 4], [], [8, 7, 6, 11, 10]]
+    for f, x in zip(files, ids):
+        pq.write_table(pa.table({"id": pa.array(x, pa.int64()), "text": [f"t{i}" for i in x]}), f)
+    dropped = spark.createDataFrame([(9,), (2,), (4,), (8,), (99,)], "id long")
+    out = sinks.rewrite_without(spark, files, dropped, "id", f"{tmp_path}/out").collect()
+    assert [(r.total, r.dropped, r.kept) for r in out] == [(4, 1, 3), (2, 2, 0), (0, 0, 0), (5, 1, 4)]
+    names = [f"{i:05d}-of-00004.parquet" for i in range(4)]
+    assert sorted(n for n in os.listdir(f"{tmp_path}/out") if not n.startswith(".")) == names
+    read = lambda n: pq.read_table(f"{tmp_path}/out/{n}")
+    assert [read(n).column("id").to_pylist() for n in names] == [[5, 3, 1], [], [], [7, 6, 11, 10]] and read(names[1]).schema.names == ["id", "text"]
+    stamp = os.stat(f"{tmp_path}/out/{names[0]}").st_mtime_ns
+    os.remove(f"{tmp_path}/out/{names[3]}")
+    sinks.rewrite_without(spark, files, dropped, "id", f"{tmp_path}/out")
+    assert os.stat(f"{tmp_path}/out/{names[0]}").st_mtime_ns == stamp and read(names[3]).column("id").to_pylist() == [7, 6, 11, 10]
+    os.remove(f"{tmp_path}/out/.{names[0]}.crc")
+    pq.write_table(pa.table({"id": pa.array([1], pa.int64()), "text": ["x"]}), f"{tmp_path}/out/{names[0]}")
+    with pytest.raises(ValueError, match="kept rows"):
+        sinks.rewrite_without(spark, files, dropped, "id", f"{tmp_path}/out")
+    assert sinks.write_shards(spark.range(9).selectExpr("id", "id % 2 * 2 as s"), f"{tmp_path}/k", "s", 4, ["id"]) == [1, 3]
+    assert spark.read.parquet(f"{tmp_path}/k").count() == 9
+
+
+def test_row_functions_and_early_stop(spark, tmp_path):
+    df = spark.range(20, numPartitions=4)
+
+    def make():
+        made = []
+
+        def one(row):
+            made.append(row["id"])
+            return None if row["id"] % 3 == 0 else [{"id": row["id"], "n": len(made)} for _ in range(row["id"] % 3)]
+
+        return one
+
+    for threads in (1, 4):
+        rows = readers.flat_map_rows(df, make, "id long, n long", threads).collect()
+        assert [r.id for r in rows] == [i for i in range(20) for _ in range(i % 3)] and max(r.n for r in rows) <= 5
+
+    def bad():
+        return lambda row: 1 // 0
+
+    with pytest.raises(Exception, match="division"):
+        readers.flat_map_rows(df, bad, "id long", 2).count()
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    stream = readers.batches_of(spark.range(1000, numPartitions=10).mapInArrow(watch, "id long"), 30)
+    assert [r.id for r in next(stream)] == list(range(30)) and seen.value <= 200
+    stream.close()
+    df.write.parquet(f"{tmp_path}/t")
+    assert readers.query_files(spark, "select sum(id) as s from {t} where id > 17", {"t": f"{tmp_path}/t"}).first().s == 37
+
+
 def test_streams(spark, tmp_path):
     rows = [("k", 1, "contact", 1, 2), ("k", 2, "contact", 3, 4), ("k", 3, "retract", 2, 1), ("j", 1, "retract", 5, 6)]
     spark.createDataFrame(rows, "key string, n long, kind string, a int, b int").selectExpr("hash(key) as h", "*").selectExpr("cast(case key when 'k' then 1 else 2 end as long) as key", "n", "kind", "a", "b").write.parquet(f"{tmp_path}/s")
