@@ -216,13 +216,10 @@ def test_language_stage_without_languages_and_with_a_foreign_text(spark, tables)
     assert -1 not in {r.doc_id for r in out} and len(out) >= 0.999 * tables["documents"].where("text rlike '[a-z]'").count()
 
 
-def test_pipeline_leaves_one_folder(spark, tmp_path):
+def test_pipeline_leaves_one_folder(spark, tmp_path, monkeypatch):
     import os
 
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
-        (folder,) = [d for d in os.listdir(tmp_path) if d.startswith("pipeline-")]
-        assert os.listdir(tmp_path / folder) == ["repeated_passages"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+    (folder,) = [d for d in os.listdir(tmp_path) if d.startswith("pipeline-")]
+    assert os.listdir(tmp_path / folder) == ["repeated_passages"]
