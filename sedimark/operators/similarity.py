@@ -86,6 +86,48 @@ def residual_category(df: DataFrame, key: str, ordered: Sequence[tuple[str, Colu
     return flags.select(key, out.alias("category"))
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, size: int = 8192, block: int = 4096) -> DataFrame:
+    """(query, vec_id, score, rank): the k vectors of largest inner product (rounded, equal ones by smaller id) for each query, itself left out.
+
+    queries: query long, q array; vectors: vec_id long, v array. Queries are dealt to blocks and vectors to parts of bounded size, both
+    counted first; a block meets a part as a matrix product, a few rows of it at a time, and leaves k rows per query. Vectors travel once
+    per block, so a question set of up to `block` rows sends each vector once."""
+    from sedimark.operators.windows import top_k
+
+    nq, nv = queries.count(), vectors.count()
+    blocks, parts = max(1, -(-nq // block)), max(1, -(-nv // size))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col("query").cast("long").alias("query"), F.col("q").cast("array<double>").alias("q"), deal("query", blocks).alias("block"), every(parts).alias("part"))
+    right = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"), deal("vec_id", parts).alias("part"), every(blocks).alias("block"))
+
+    def tile(a, b):
+        import numpy as np
+        import pyarrow as pa
+
+        out: list[list] = [[], [], []]
+        if a.num_rows and b.num_rows:
+            matrix = lambda c, n: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            q, v = matrix(a.column("q"), a.num_rows), matrix(b.column("v"), b.num_rows)
+            ids, cid = a.column("query").to_numpy(), b.column("vec_id").to_numpy()
+            for at in range(0, len(ids), 256):
+                s = np.round(q[at : at + 256] @ v.T, digits)
+                s[ids[at : at + 256, None] == cid] = -np.inf
+                least = -np.partition(-s, k - 1, axis=1)[:, k - 1] if s.shape[1] > k else np.full(len(s), -np.inf)
+                row, col = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+                order = np.lexsort((cid[col], -s[row, col], row))
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, np.arange(len(s)))
+                keep = np.arange(len(row)) - first[row] < k
+                for o, x in zip(out, (ids[at + row[keep]], cid[col[keep]], s[row[keep], col[keep]])):
+                    o.append(x)
+        cat = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0), t)
+        return pa.table({"query": cat(out[0], pa.int64()), "vec_id": cat(out[1], pa.int64()), "score": cat(out[2], pa.float64())})
+
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(tile, "query long, vec_id long, score double")
+    return top_k(hits, ["query"], [F.desc("score"), "vec_id"], k)
+
+
 def neighbour_votes(neighbours: DataFrame, labels: DataFrame, ks: Sequence[int], with_self: bool = False) -> DataFrame:
     """(query, k, label, votes, weight) for each k of a sweep. neighbours: query, vec_id, rank, score; labels: vec_id, label."""
     n = neighbours if with_self else neighbours.where("query <> vec_id")

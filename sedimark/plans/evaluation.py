@@ -1,6 +1,6 @@
 """Queries of nearest neighbours, votes, rankings and their metrics, over the embeddings and the star schema.
 
-Neighbours come from a bounded question set: vectors whose id is divisible by 50 against all of their own label.
+Neighbours come from a stated question set: vectors whose id is divisible by 50, against all vectors.
 """
 
 from pyspark.sql import functions as F
@@ -17,38 +17,18 @@ FROM embeddings a JOIN embeddings b ON b.vec_id <> a.vec_id WHERE a.vec_id % 50
 
 
 def neighbours(spark, t, k=10):
-    """The k nearest of a stated question set against all vectors, in blocks: each block of questions meets each Arrow batch of
-    vectors as a matrix product and leaves k rows per question and batch."""
-    vectors = t("embeddings").select("vec_id", "embedding")
-    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.floor(F.col("vec_id") / 50 / 512).cast("int").alias("block"))
-    blocks = asked.groupBy("block").agg(F.collect_list("query").alias("ids"), F.flatten(F.collect_list("q")).alias("flat"))  # 512 questions each
-    n = asked.agg(F.max("block")).first()[0]
-    cand = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n or 0)))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-
-    def tile(key, left, right):
-        import numpy as np
-        import pyarrow as pa
-
-        out: list[list] = [[], [], []]
-        for ids, flat in zip(left.column("ids").to_pylist(), left.column("flat").to_pylist()):
-            q = np.array(flat, "f8").reshape(len(ids), -1)
-            v = np.array(right.column("embedding").to_pylist(), "f8").reshape(right.num_rows, -1)
-            cid = right.column("vec_id").to_numpy()
-            if not right.num_rows:
-                continue
-            s = np.round(q @ v.T, 6)
-            s[np.array(ids)[:, None] == cid] = -np.inf
-            order = np.lexsort((np.broadcast_to(cid, s.shape), -s), axis=1)[:, :k]
-            for i, top in zip(range(len(ids)), order):
-                good = top[s[i, top] > -np.inf]
-                out[0] += [ids[i]] * len(good)
-                out[1] += cid[good].tolist()
-                out[2] += s[i, good].tolist()
-        return pa.table({"query": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    parts = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    hits = parts.groupBy("block", "part").cogroup(cand.select("block", F.col("part").cast("int").alias("part"), "vec_id", "embedding").groupBy("block", "part")).applyInArrow(tile, "query long, vec_id long, score double")
-    return W.top_k(hits, ["query"], [F.desc("score"), "vec_id"], k)
+    """The k nearest of a stated question set against all vectors."""
+    vectors = t("embeddings").select("vec_id", F.col("embedding").alias("v"))
+    return N.nearest(vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q")), vectors, k)
+
+
+@query(f"""WITH {NEAR}, h AS (SELECT query, vec_id, score FROM near WHERE score >= 0.3) SELECT e.vec_id AS query, count(h.vec_id) AS n_hits, arg_min(h.vec_id, (-h.score, h.vec_id)) AS best, round(max(h.score), 3) AS score, coalesce((count(h.vec_id) >= 10)::INT, 0) AS censored FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) e LEFT JOIN h ON h.query = e.vec_id GROUP BY 1""")
+def structural_hits(spark, t):
+    """Similarity search of a question set with a floor on the score: one row per question, hit-less ones too."""
+    h = neighbours(spark, t).where("score >= 0.3")
+    g = h.groupBy("query").agg(F.count("*").alias("n_hits"), F.min_by("vec_id", "rank").alias("best"), F.round(F.max("score"), 3).alias("score"))
+    q = t("embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"))
+    return q.join(g, "query", "left").fillna(0, ["n_hits"]).withColumn("censored", (F.col("n_hits") >= 10).cast("int"))
 
 
 @query(f"WITH {NEAR} SELECT query, vec_id, rank, round(score, 3) AS score FROM near")
