@@ -91,6 +91,12 @@ def bucket_size(n: Column, buckets: Sequence[int]) -> Column:
     return out.otherwise(n)
 
 
+def half_precision(x: Column) -> Column:
+    """x rounded to the eleven significant bits of a half-precision float (normal range), ties to even."""
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))) - 10)
+    return F.when(x == 0, x.cast("double")).otherwise(F.rint(x / unit) * unit)
+
+
 def grid_cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 

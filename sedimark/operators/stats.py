@@ -92,6 +92,28 @@ def normal_cdf(z: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
+#: Coefficients, highest power first, of the exponent's polynomial in a published fit of the complementary error function.
+ERFC = (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368)
+
+
+def two_sided_p(z: Column) -> Column:
+    """Two-sided normal p of a statistic, to about 1e-7 relative."""
+    u = F.abs(z) / math.sqrt(2)
+    k = 1 / (1 + 0.5 * u)
+    poly = F.lit(ERFC[0])
+    for c in ERFC[1:]:
+        poly = poly * k + c
+    return F.least(k * F.exp(-u * u - 1.26551223 + poly * k), F.lit(1.0))
+
+
+def association_screen(df: DataFrame, keys: Sequence[str], x: str, features: Sequence[str]) -> DataFrame:
+    """(keys, feature, n, rho, p, q): rank correlation of x with each feature, its two-sided p by the normal approximation (to twelve digits, so
+    that equal ones are), and q adjusted over all tests."""
+    long = df.unpivot([*keys, x], list(features), "feature", "__f")
+    rho = spearman(long, [*keys, "feature"], x, "__f").where(~F.isnan("rho"))
+    return adjusted_p(rho.withColumn("p", F.round(two_sided_p(F.col("rho") * F.sqrt(F.col("n") - 1)), 12)), "p", [*keys, "feature"])
+
+
 def wilcoxon(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Paired signed-rank test: n non-zero differences, w (smaller rank sum), two-sided p by the normal approximation with
     tie correction."""
@@ -104,14 +126,7 @@ def wilcoxon(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     w = F.least(F.col("plus"), F.col("all") - F.col("plus"))
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
     z = (w - n * (n + 1) / 4) / F.sqrt(var)
-    # the complementary error function to 1e-7 relative, for a negative argument's tail
-    u = F.abs(z) / math.sqrt(2)
-    k = 1 / (1 + 0.5 * u)
-    poly = F.lit(0.17087277)
-    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368):
-        poly = poly * k + c
-    p = k * F.exp(-u * u - 1.26551223 + poly * k)
-    return g.select(*keys, "n", w.alias("w"), F.least(p, F.lit(1.0)).alias("p"))
+    return g.select(*keys, "n", w.alias("w"), two_sided_p(z).alias("p"))
 
 
 def parity(found: DataFrame, expected: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:

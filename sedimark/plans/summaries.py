@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 from sedimark.functions import scalars as S
 from sedimark.operators import aggregates as A
 from sedimark.operators import codecs as D
+from sedimark.operators import filters as P
 from sedimark.operators import joins as J
 from sedimark.operators import setops as U
+from sedimark.operators import similarity as N
 from sedimark.operators import stats as T
+from sedimark.operators import windows as W
 from sedimark.plans.registry import query
 from sedimark.plans.rewards import _poisson_sql
 
@@ -96,3 +99,74 @@ def paired_bootstrap(spark, t):
     of = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
     d = t("events").groupBy("user_id").agg((of("view") - of("click")).alias("d")).withColumn("g", F.col("user_id") % 3)
     return T.bootstrap_means(d, ["g"], "user_id", "d", 60, "pair").select("g", "n", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")], "significant")
+
+
+@query("SELECT event_id, round(value * 137 / pow(2.0, floor(log2(abs(value * 137))) - 10)) * pow(2.0, floor(log2(abs(value * 137))) - 10) AS half, rank() OVER (PARTITION BY user_id ORDER BY round(value * 137 / pow(2.0, floor(log2(abs(value * 137))) - 10)) * pow(2.0, floor(log2(abs(value * 137))) - 10)) AS place FROM events WHERE value <> 0")
+def half_precision_ranks(spark, t):
+    """Ranks after rounding to half precision: the rounding makes ties."""
+    d = t("events").where("value <> 0").select("event_id", "user_id", S.half_precision(F.col("value") * 137).alias("half"))
+    from pyspark.sql import Window
+
+    return d.withColumn("place", F.rank().over(Window.partitionBy("user_id").orderBy("half")).cast("long")).drop("user_id")
+
+
+def _p_sql(z: str) -> str:
+    k = f"(1 / (1 + 0.5 * abs({z}) / sqrt(2)))"
+    poly = repr(T.ERFC[0]) + "::DOUBLE"
+    for c in T.ERFC[1:]:
+        poly = f"({poly} * {k} + {c!r}::DOUBLE)"
+    return f"least({k} * exp(-({z}) * ({z}) / 2 - 1.26551223 + {poly} * {k}), 1)"
+
+
+@query(f"""WITH v AS (SELECT p_brand, p_size AS x, 'p_retailprice' AS feature, p_retailprice AS y FROM part UNION ALL SELECT p_brand, p_size, 'p_partkey', p_partkey FROM part),
+r AS (SELECT p_brand, feature, rank() OVER (PARTITION BY p_brand, feature ORDER BY x) + (count(*) OVER (PARTITION BY p_brand, feature, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY p_brand, feature ORDER BY y) + (count(*) OVER (PARTITION BY p_brand, feature, y) - 1) / 2 AS ry FROM v),
+c AS (SELECT p_brand, feature, count(*) AS n, corr(rx, ry) AS rho FROM r GROUP BY ALL HAVING count(*) >= 3), s AS (SELECT *, round({_p_sql('rho * sqrt(n - 1)')}, 12) AS p FROM c)
+SELECT p_brand, feature, n, round(rho, 7) AS rho, round(p, 7) AS p, round(least(p * count(*) OVER () / row_number() OVER (ORDER BY p, p_brand, feature), 1), 6) AS q FROM s""")
+def association_screen(spark, t):
+    d = t("part").select("p_brand", "p_size", "p_retailprice", F.col("p_partkey").cast("double").alias("p_partkey"))
+    out = T.association_screen(d, ["p_brand"], "p_size", ["p_retailprice", "p_partkey"])
+    return out.select("p_brand", "feature", "n", F.round("rho", 7).alias("rho"), F.round("p", 7).alias("p"), F.round("q", 6).alias("q"))
+
+
+@query("""WITH b AS (SELECT l_suppkey, CASE WHEN l_linenumber < 3 THEN 'near' WHEN l_linenumber < 5 THEN 'mid' ELSE 'far' END AS band, l_returnflag = 'R' AS hit, row_number() OVER (PARTITION BY l_suppkey, CASE WHEN l_linenumber < 3 THEN 'near' WHEN l_linenumber < 5 THEN 'mid' ELSE 'far' END ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem)
+SELECT l_suppkey, band, round(avg(hit::INT) FILTER (WHERE r <= 20), 9) AS "p_L", round(avg(hit::INT) FILTER (WHERE r <= 10), 9) AS "p_L_2", round(avg(hit::INT) FILTER (WHERE r <= 4), 9) AS "p_L_5", count(*) AS n_candidates FROM b GROUP BY ALL""")
+def banded_precision(spark, t):
+    d = P.with_bands(t("lineitem"), "l_linenumber", [("near", 1, 3), ("mid", 3, 5), ("far", 5, None)]).withColumn("hit", F.col("l_returnflag") == "R").withColumn("size", F.lit(20))
+    out = W.top_precision(d, ["l_suppkey", "band"], "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey"], "hit", "size")
+    return out.select("l_suppkey", "band", *[F.round(c, 9).alias(c) for c in ("p_L", "p_L_2", "p_L_5")], "n_candidates")
+
+
+LEDGER = [("no_source", "source IS NULL"), ("no_text", "text IS NULL"), ("empty", "n_chars = 0"), ("short", "n_chars < 60"), ("long", "n_chars > 15000"), ("french", "lang = 'fr'"), ("first", "source = 'src1'"), ("second", "source = 'src2'")]
+
+
+@query("SELECT CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in LEDGER) + " ELSE 'kept' END AS reason, count(*) AS n FROM documents GROUP BY 1")
+def chain_ledger(spark, t):
+    """Eight drop rules in order; the first that applies is the reason."""
+    return P.reason_tally(P.first_reason(t("documents"), [(n, F.expr(c)) for n, c in LEDGER]))
+
+
+@query("""SELECT l_suppkey, score, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey FROM (SELECT l_suppkey, l_orderkey, l_linenumber, greatest(l_discount, l_tax) AS score, max(greatest(l_discount, l_tax)) OVER (PARTITION BY l_suppkey) AS m FROM lineitem) WHERE score = m GROUP BY 1, 2""")
+def combined_coverage(spark, t):
+    d = t("lineitem").withColumn("score", P.coverage("shorter", F.col("l_discount"), F.col("l_tax")))
+    return A.best_evidence(d, ["l_suppkey"], "score", ["l_orderkey", "l_linenumber"], []).select("l_suppkey", "score", "l_orderkey")
+
+
+@query("""SELECT lang, threshold, count(*) AS n, sum((v IS NULL OR v < threshold)::INT)::BIGINT AS survivors, round(avg((v IS NULL OR v < threshold)::INT), 9) AS share FROM (SELECT lang, CASE WHEN doc_id % 4 <> 0 THEN n_chars / 10000 END AS v FROM documents), (SELECT unnest([0.1, 0.5, 1.0]::DOUBLE[]) AS threshold) GROUP BY 1, 2""")
+def survival_by_language(spark, t):
+    d = t("documents").select("lang", F.when(F.col("doc_id") % 4 != 0, F.col("n_chars") / 10000).alias("v"))
+    return N.threshold_sweep(d, "v", [0.1, 0.5, 1.0], ["lang"]).withColumn("share", F.round("share", 9))
+
+
+@query("""WITH d AS (SELECT source, CASE WHEN n_chars < 500 THEN 'short' WHEN n_chars < 3000 THEN 'mid' ELSE 'long' END AS bin, n_chars FROM documents)
+SELECT coalesce(CASE WHEN grouping(bin) = 0 THEN 'bin ' || bin WHEN grouping(source) = 0 THEN 'source ' || source END, 'all') AS block, count(*) AS n, round(avg(n_chars), 6) AS mean FROM d GROUP BY GROUPING SETS ((), (bin), (source))""")
+def summary_blocks(spark, t):
+    d = t("documents").select("source", S.bucket_label(F.col("n_chars"), [500, 3000], ["short", "mid", "long"]).alias("bin"), "n_chars")
+    out = A.grouping_sets(d, [[], ["bin"], ["source"]], [F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean")])
+    return out.select(F.coalesce(F.when(F.col("level") == "bin", F.concat(F.lit("bin "), "bin")), F.when(F.col("level") == "source", F.concat(F.lit("source "), "source")), F.lit("all")).alias("block"), "n", "mean")
+
+
+@query("""SELECT o_custkey, max(o_totalprice) FILTER (WHERE o_orderstatus = 'F') AS finished, max(o_totalprice) FILTER (WHERE o_orderstatus = 'O') AS open, max(o_totalprice) FILTER (WHERE o_orderstatus = 'P') AS pending FROM orders GROUP BY 1""")
+def derived_labels_wide(spark, t):
+    """Labels by a dictionary (an unknown one raises), then wide."""
+    d = P.relabel(t("orders"), "o_orderstatus", {"F": "finished", "O": "open", "P": "pending"})
+    return A.wide(d, ["o_custkey"], "o_orderstatus", "o_totalprice", ["finished", "open", "pending"], F.max)
