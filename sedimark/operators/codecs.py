@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sedimark.functions.scalars import AMINO, bucket_size, keyed_hash, keyed_uniform
+from sedimark.operators.windows import running_sum
 
 #: Fixed values of the document format: its section and statement words.
 SEQUENCE, STATEMENTS, END, CONTACT, RETRACT = "<begin_sequence>", "<begin_statements>", "<end>", "<contact>", "<retract>"
@@ -101,10 +102,10 @@ def pause_overhead(key: Column, rate: float, p: float, slots: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(slots)), F.lit(0).cast("long"), lambda acc, s: acc + one(s))
 
 
-def pack_until_budget(df: DataFrame, keys: Sequence[str], order: Sequence, size: str, budget: int) -> DataFrame:
-    """Rows of each group, in order, up to the first that would pass the budget: packing stops there, it doesn't skip."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+def pack_until_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
+    """Rows of each group, in order (its first column a number or a time), up to the first that would pass the budget: packing stops
+    there, it doesn't skip."""
+    return running_sum(df, keys, order, size, "used").where(F.col("used") <= budget)
 
 
 def draft_size(m: Column, alpha: float, u: Column) -> Column:

@@ -72,18 +72,27 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at:
     return p.join(s, [*keys, "__bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__bin")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
-    """Left rows with the latest right values at or before them: both sides in one window by key, no range join. A key's
-    rows are sorted in one task, so hot keys should be cut by time first."""
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], width: str = "1 month") -> DataFrame:
+    """Left rows with the latest right values (those that aren't null) at or before them, as asof_<value>.
+
+    Both sides meet in windows by key and bucket of `width` (a calendar unit or a number of them), not in one window per key: each
+    bucket's last values are carried over to the later buckets of the key, by a window over a row per bucket."""
     from pyspark.sql import Window as W
 
+    count, unit = width.split(" ")
+    cell = F.floor((F.year(at) * 12 + F.month(at) - 1) / int(count)) if unit.startswith("month") else F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / (int(count) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]))
     tagged = left.select(*keys, F.col(at), F.struct("*").alias("__row"), *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values], F.lit(1).alias("__side"))
     other = right.select(*keys, F.col(at), F.lit(None).cast(tagged.schema["__row"].dataType).alias("__row"), *values, F.lit(0).alias("__side"))
-    w = W.partitionBy(*keys).orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
-    both = tagged.unionByName(other)
+    both = tagged.unionByName(other).withColumn("__cell", cell)
+    w = W.partitionBy(*keys, "__cell").orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
+    known = other.withColumn("__cell", cell).groupBy(*keys, "__cell").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(at))).alias(f"__last_{v}") for v in values])
+    cells = both.select(*keys, "__cell").distinct().join(known, [*keys, "__cell"], "left")
+    earlier = W.partitionBy(*keys).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
+    carried = cells.select(*keys, "__cell", *[F.last(f"__last_{v}", ignorenulls=True).over(earlier).alias(f"__carry_{v}") for v in values])
     for v in values:
         both = both.withColumn(f"__{v}", F.last(v, ignorenulls=True).over(w))
-    return both.where("__side = 1").select("__row.*", *[F.col(f"__{v}").alias(f"asof_{v}") for v in values])
+    out = both.where("__side = 1").join(carried, [*keys, "__cell"], "left")
+    return out.select("__row.*", *[F.coalesce(f"__{v}", f"__carry_{v}").alias(f"asof_{v}") for v in values])
 
 
 def array_members(df: DataFrame, array: str, members: DataFrame, member: str) -> DataFrame:

@@ -23,24 +23,49 @@ def select_rounds(df: DataFrame, cluster: str, score: str, tie: str, least_size:
     return top.join(sizes, cluster)
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, column: str = "rank", parts: int = 256) -> DataFrame:
-    """Ranks from 1 with the mean rank for ties.
+def _cut(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFrame:
+    """df with __c, how many of up to `parts` approximate quantiles of the key's values lie below the row's value (-1: null): equal values
+    share a cut, cuts follow each other in order, and a key that holds most of the rows is many of them."""
+    k = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
+    edges = df.groupBy(*k).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("__e"))
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)] or [F.lit(True)]
+    cut = F.when(F.col(value).isNull() | F.col("__e").isNull(), -1).otherwise(F.size(F.filter("__e", lambda e: e < F.col(value))))
+    return df.join(edges, on).withColumn("__c", cut).drop("__e", *[f"__k{i}" for i in range(len(keys))])
+
 
-    A key's rows are cut at up to `parts` of its approximate quantiles, ranked inside a cut and shifted by the counts of the cuts before,
-    so a key that holds most of the rows is many tasks. Equal values share a cut; nulls come first, as in an ascending order."""
-    edges = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("__e"))
+def _with_before(d: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
+    """d, cut by __c, with __b: the sum of an aggregate over the key's earlier cuts (0 before the first)."""
     k = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
-    meets = lambda other: [F.col(c).eqNullSafe(other[f"__k{i}"]) for i, c in enumerate(keys)] or [F.lit(True)]
-    edges = edges.select(*k, "__e")
-    d = df.join(edges, meets(edges)).withColumn("__c", F.when(F.col(value).isNull() | F.col("__e").isNull(), -1).otherwise(F.size(F.filter("__e", lambda e: e < F.col(value))))).drop("__e", *[f"__k{i}" for i in range(len(keys))])
-    sizes = d.groupBy(*keys, "__c").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__b", F.sum("__n").over(W.partitionBy(*keys).orderBy("__c")) - F.col("__n")).select(*k, F.col("__c").alias("__d"), "__b")  # `parts` rows a key
-    d = d.join(before, [*meets(before), F.col("__c") == F.col("__d")]).drop("__d", *[f"__k{i}" for i in range(len(keys))])
+    sizes = d.groupBy(*k, F.col("__c").alias("__d")).agg(total.alias("__t"))
+    w = W.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__d").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.withColumn("__b", F.coalesce(F.sum("__t").over(w), F.lit(0))).drop("__t")  # a row per cut
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)] + [F.col("__c") == F.col("__d")]
+    return d.join(before, on).drop("__d", *[f"__k{i}" for i in range(len(keys))])
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, column: str = "rank", parts: int = 256) -> DataFrame:
+    """Ranks from 1 with the mean rank for ties, nulls first as in an ascending order. Rows are ranked inside the cuts of their key and
+    shifted by the counts of the cuts before."""
+    d = _with_before(_cut(df, keys, value, parts), keys, F.count("*"))
     rank = F.rank().over(W.partitionBy(*keys, "__c").orderBy(value))
     peers = F.count("*").over(W.partitionBy(*keys, "__c", value))
     return d.withColumn(column, F.col("__b") + rank + (peers - 1) / 2.0).drop("__b", "__c")
 
 
+def place(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence, column: str = "place", parts: int = 256) -> DataFrame:
+    """Row numbers from 1 by (value, ties) in each key, in cuts as for average_rank."""
+    d = _with_before(_cut(df, keys, value, parts), keys, F.count("*"))
+    return d.withColumn(column, F.col("__b") + F.row_number().over(W.partitionBy(*keys, "__c").orderBy(value, *ties))).drop("__b", "__c")
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, column: str, parts: int = 256) -> DataFrame:
+    """Sum of a value over the key's rows up to and with each one, in the order of columns of which the first is a number or a time; in
+    cuts as for average_rank."""
+    d = _with_before(_cut(df, keys, order[0], parts), keys, F.sum(value))
+    w = W.partitionBy(*keys, "__c").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return d.withColumn(column, F.col("__b") + F.sum(value).over(w)).drop("__b", "__c")
+
+
 def quartile(df: DataFrame, keys: Sequence[str], value: str, tie: str, parts: int = 4, column: str = "quartile") -> DataFrame:
     """Equal-width cuts of the first-occurrence rank (1..parts), which differ from ntile where n isn't a multiple."""
     w = W.partitionBy(*keys)
@@ -134,8 +159,11 @@ def by_magnitude(df: DataFrame, value: str, tie: str, k: int) -> DataFrame:
 
 def smallest_share(df: DataFrame, keys: Sequence[str], value: str, tie: str, percent: int = 1) -> DataFrame:
     """The smallest max(1, n * percent // 100) rows of each group."""
-    w = W.partitionBy(*keys)
-    return df.withColumn("__n", F.count("*").over(w)).withColumn("__r", F.row_number().over(w.orderBy(value, tie))).where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * percent / 100))).drop("__n", "__r")
+    k = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
+    sizes = df.groupBy(*k).agg(F.count("*").alias("__n"))
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)] or [F.lit(True)]
+    d = place(df, keys, value, [tie], "__r").join(sizes, on)
+    return d.where(F.col("__r") <= F.greatest(F.lit(1), F.floor(F.col("__n") * percent / 100))).drop("__n", "__r", *[f"__k{i}" for i in range(len(keys))])
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], label: str) -> DataFrame:
