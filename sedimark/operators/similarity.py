@@ -148,23 +148,25 @@ def tie_broken(df: DataFrame, keys: Sequence[str], count: str, second: str, colu
     return df.withColumn(column, F.col(count) + F.coalesce(F.try_divide(F.col(second) - low, high - low), F.lit(0.0)) * 0.5)
 
 
+def grams(text: str | Column, n: int) -> Column:
+    """array<string> of the lower-case word n-grams of a text, in order, repeats included: one pass of a pattern that looks ahead for n
+    words from each word's start."""
+    one = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.regexp_extract_all(one, F.lit(r"(?<![^ ])(?=(" + " ".join(["[^ ]+"] * n) + r")(?![^ ]))"), F.lit(1))
+
+
 def word_grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, gram) distinct lower-case word n-grams."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    grams = F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - (n - 1)), lambda i: F.array_join(F.slice("__w", i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return df.select(F.col(key), words.alias("__w")).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    return df.select(F.col(key), F.explode(F.array_distinct(grams(text, n))).alias("gram"))
 
 
 def gram_overlap(corpus: DataFrame, reference: DataFrame, key: str, text: str, ref_key: str, ref_text: str, n: int) -> DataFrame:
     """(key, ref_key, shared, coverage of the reference's grams) of every pair that shares a gram.
 
-    A corpus gram is a 64-bit hash of its words until it meets the reference, which the planner broadcasts if it is small: grams that
-    aren't in it never become text, nor leave their task. Those that are get compared word for word."""
-    ref = word_grams(reference, ref_key, ref_text, n).withColumn("__h", F.xxhash64(F.split("gram", " ")))
+    The reference's grams are the small side, broadcast by the planner where their size allows: grams of the corpus that aren't among
+    them don't leave their task, and only those that are get counted as distinct ones."""
+    ref = word_grams(reference, ref_key, ref_text, n)
     size = ref.groupBy(ref_key).agg(F.count("*").alias("n_grams"))
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    c = corpus.select(F.col(key), words.alias("__w")).where(F.size("__w") >= n)
-    hashes = F.transform(F.sequence(F.lit(1), F.size("__w") - (n - 1)), lambda i: F.xxhash64(F.slice("__w", i, n)))
-    met = c.select(key, "__w", F.posexplode(hashes).alias("__i", "__h")).join(ref, "__h").where(F.array_join(F.slice("__w", F.col("__i") + 1, n), " ") == F.col("gram"))
+    met = corpus.select(F.col(key), F.explode(grams(text, n)).alias("gram")).join(ref, "gram")
     shared = met.select(key, ref_key, "gram").distinct().groupBy(key, ref_key).agg(F.count("*").alias("shared"))
     return shared.join(size, ref_key).select(key, ref_key, "shared", (F.col("shared") / F.col("n_grams")).alias("coverage"))
