@@ -170,3 +170,19 @@ def derived_labels_wide(spark, t):
     """Labels by a dictionary (an unknown one raises), then wide."""
     d = P.relabel(t("orders"), "o_orderstatus", {"F": "finished", "O": "open", "P": "pending"})
     return A.wide(d, ["o_custkey"], "o_orderstatus", "o_totalprice", ["finished", "open", "pending"], F.max)
+
+
+KINDS = ("click", "error", "purchase", "view")
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, (list_position(['click', 'error', 'purchase', 'view'], event_type))::INT AS b FROM events WHERE event_type IN ('click', 'error', 'purchase', 'view')), p AS (SELECT user_id, b, coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS a FROM s),
+n AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT a, sum(n) AS t FROM n GROUP BY 1) SELECT user_id, count(*) AS n_tokens, round(sum(ln((n + 1) / (t + 5))), 6) AS logprob FROM p JOIN n USING (a, b) JOIN t USING (a) GROUP BY 1""")
+def teacher_forced_scores(spark, t):
+    """Event types as tokens: log-probability of each user's sequence under a bigram model of all of them."""
+    from sedimark.operators import backends
+
+    d = t("events").where(F.col("event_type").isin(*KINDS)).withColumn("id", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event_type")).cast("int"))
+    seq = d.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "id"))), lambda x: x["id"]).alias("ids"))
+    counts = backends.bigram_counts(seq, "ids", len(KINDS) + 1, 0)
+    out = backends.teacher_forced(seq, "user_id", "ids", lambda: backends.Bigrams(counts, 0))
+    return out.select("user_id", F.size("logprobs").cast("long").alias("n_tokens"), F.round(F.aggregate("logprobs", F.lit(0.0), lambda a, x: a + x), 6).alias("logprob"))

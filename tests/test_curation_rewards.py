@@ -112,3 +112,21 @@ def test_clusters_are_numbered_by_file_and_line(spark, tmp_path):
         (tmp_path / name).write_text("".join(f"{name}{i} x{i}\n" + ("\n" if i % 2 else "") for i in range(n)))
     got = {r.key: r.cluster for r in readers.read_clusters(spark, str(tmp_path)).where(F.col("key").contains("txt")).collect()}
     assert all(got[f"a.txt{i}"] == i for i in range(3)) and all(got[f"b.txt{i}"] == 3 + i for i in range(500))
+
+
+def test_sampling_follows_the_back_end(spark):
+    import numpy as np
+
+    from sedimark.operators import backends
+
+    counts = np.zeros((4, 4))
+    counts[0, 1] = counts[1, 2] = counts[2, 1] = 1e9
+    counts[1, 3] = 1e9
+    df = spark.createDataFrame([(i, [1]) for i in range(300)], "id long, ids array<int>")
+    rows = backends.sampled(df, "id", "ids", lambda: backends.Bigrams(counts, 0), 6, 3).collect()
+    assert all(r.sampled[-1] == 3 or len(r.sampled) == 6 for r in rows) and all(a != b for r in rows for a, b in zip([1, *r.sampled], r.sampled))
+    first = [r.sampled[0] for r in rows]
+    assert 0.35 < sum(x == 3 for x in first) / 300 < 0.65
+    again = {r.id: r.sampled for r in backends.sampled(df.repartition(7), "id", "ids", lambda: backends.Bigrams(counts, 0), 6, 3).collect()}
+    assert all(again[r.id] == r.sampled for r in rows)
+    assert backends.teacher_forced(df.limit(1), "id", "ids", lambda: backends.Bigrams(counts, 0)).first().logprobs[0] > -1e-6
