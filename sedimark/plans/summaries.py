@@ -101,7 +101,7 @@ def paired_bootstrap(spark, t):
     return T.bootstrap_means(d, ["g"], "user_id", "d", 60, "pair").select("g", "n", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")], "significant")
 
 
-@query("SELECT event_id, round(value * 137 / pow(2.0, floor(log2(abs(value * 137))) - 10)) * pow(2.0, floor(log2(abs(value * 137))) - 10) AS half, rank() OVER (PARTITION BY user_id ORDER BY round(value * 137 / pow(2.0, floor(log2(abs(value * 137))) - 10)) * pow(2.0, floor(log2(abs(value * 137))) - 10)) AS place FROM events WHERE value <> 0")
+@query("SELECT event_id, round_even(value * 137 / pow(2.0, floor(log2(abs(value * 137))) - 10), 0) * pow(2.0, floor(log2(abs(value * 137))) - 10) AS half, rank() OVER (PARTITION BY user_id ORDER BY round_even(value * 137 / pow(2.0, floor(log2(abs(value * 137))) - 10), 0) * pow(2.0, floor(log2(abs(value * 137))) - 10)) AS place FROM events WHERE value <> 0")
 def half_precision_ranks(spark, t):
     """Ranks after rounding to half precision: the rounding makes ties."""
     d = t("events").where("value <> 0").select("event_id", "user_id", S.half_precision(F.col("value") * 137).alias("half"))
