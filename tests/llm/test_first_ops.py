@@ -324,3 +324,30 @@ def test_key_runs_hold_a_large_key_once():
     runs = list(key_runs(iter(batches), ["k", "v"], 200))
     assert np.array_equal(np.concatenate([r[0] for r in runs]), keys) and np.array_equal(np.concatenate([r[1] for r in runs]), np.arange(len(keys)))
     assert len(runs) > 2 and all(a[0][-1] < b[0][0] for a, b in zip(runs, runs[1:]))
+
+
+def test_similar_documents_in_a_family_of_unequal_copies(spark):
+    """A base and copies with few to many changes, some of them copies of copies: components as by all pairs."""
+    rnd, base = random.Random(21), [f"w{k}" for k in range(160)]
+
+    def changed(words, n):
+        out = list(words)
+        for i in rnd.sample(range(len(out)), n):
+            out[i] = f"x{rnd.randrange(10**9)}"
+        return out
+
+    docs = [base]
+    for k in range(260):
+        docs.append(changed(rnd.choice(docs) if k % 4 == 0 else base, rnd.choice([0, 1, 2, 3, 4, 5, 6, 8, 12])))
+    docs += [[f"y{k}x{i}" for i in range(50)] for k in range(20)]
+    sets = [{tuple(d[i : i + 5]) for i in range(len(d) - 4)} for d in docs]
+    root = list(range(len(docs)))
+    near = [[j for j in range(len(docs)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(docs))]
+    while True:
+        low = [min(root[j] for j in n) for n in near]
+        if low == root:
+            break
+        root = low
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    assert [got[i] for i in range(len(docs))] == root
