@@ -22,43 +22,52 @@ def _held_out():
 
 
 def op1_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a null doc_id is not held out, null and letterless texts are `und`. Repeated rows are classified each, an
+    empty table gives no rows."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~_held_out()))
     return langid.classify(docs.select("doc_id", "text"), model).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op2_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document, null texts as empty ones; scores are null where labels of both classes are missing."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
     model = quality.fit(docs, load(spark, sf_dir, "labels"))
     return quality.score(docs, model).drop("text", "source", "lang", "n_chars")
 
 
 def op3_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, groups and audit of every vector; null, zero and non-finite ones link with nothing."""
     return vecdedup.near_duplicates(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
 
 
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law `bytes`; a null text has no bytes, repeated rows get a slot each."""
     out = sharding.shard(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", F.crc32(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("text_crc32"), "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded text of every document; a null text is empty, repeated rows are coded each."""
     coded = bpe.encode_documents(load(spark, sf_dir, "documents"), tokenizer_path())
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
 
 def op6_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document; a null text is empty, rows equal in doc_id and text are one document and get a row each."""
     out = suffix.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_bk_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document; null and wordless texts have fingerprint zero and link like others."""
     out = simhash.near_duplicates(simhash.fingerprints(load(spark, sf_dir, "documents")))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one more, formatted and read back; null texts and roles are empty, equal turns are ordered by role and text."""
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     template = chat.Template()
@@ -69,11 +78,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_block_matrix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every query vector; null, zero and non-finite vectors take no part, ties go to the smaller vec_id."""
     vectors = load(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 20 = 0"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document; a null text is its end token alone, repeated rows are packed each."""
     packed = packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return packed.drop("ids")
 
