@@ -179,23 +179,16 @@ def partial_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, control
 
 
 def superposition_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """rmsd after optimal rotation and lddt (four thresholds, 15 Å inclusion) of paired points: rows (keys, i, x, y, z, px, py, pz)."""
+    """rmsd after optimal rotation (NaN for fewer than three points) and lddt (see structures.lddt) of paired points: rows (keys, i, x, y, z, px, py, pz)."""
     fields = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
 
     def one(pdf):
-        import numpy as np
         import pandas as pd
 
+        from sedimark.operators.structures import lddt_of, rmsd
+
         a, b = pdf[["x", "y", "z"]].to_numpy(float), pdf[["px", "py", "pz"]].to_numpy(float)
-        p, q = a - a.mean(0), b - b.mean(0)
-        u, s, vt = np.linalg.svd(p.T @ q)
-        s[-1] *= np.sign(np.linalg.det(u @ vt)) or 1.0
-        rmsd = float(np.sqrt(max(0.0, ((p**2).sum() + (q**2).sum() - 2 * s.sum()) / len(a))))
-        da, db = (np.linalg.norm(m[:, None] - m[None], axis=2) for m in (a, b))
-        use = (da < 15) & ~np.eye(len(a), dtype=bool)
-        off = np.abs(da - db)[use]
-        lddt = float(np.mean([(off < t).mean() for t in (0.5, 1.0, 2.0, 4.0)])) if len(off) else float("nan")
-        return pd.DataFrame([[*pdf[list(keys)].iloc[0], rmsd, lddt]], columns=[*keys, "rmsd", "lddt"])
+        return pd.DataFrame([[*pdf[list(keys)].iloc[0], rmsd(b, a), lddt_of(a, b)]], columns=[*keys, "rmsd", "lddt"])
 
     return df.groupBy(*keys).applyInPandas(one, f"{fields}, rmsd double, lddt double")
 
