@@ -92,9 +92,10 @@ def bucket_size(n: Column, buckets: Sequence[int]) -> Column:
 
 
 def half_precision(x: Column) -> Column:
-    """x rounded to the eleven significant bits of a half-precision float (normal range), ties to even."""
-    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))) - 10)
-    return F.when(x == 0, x.cast("double")).otherwise(F.rint(x / unit) * unit)
+    """x as a half-precision float holds it: eleven significant bits, ties to even, steps of 2^-24 below 2^-14, infinity from 65520 on."""
+    x = x.cast("double")
+    unit = F.greatest(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(x))) - 10), F.lit(2.0**-24))
+    return F.when(F.isnan(x), x).when(F.abs(x) >= 65520, F.signum(x) * float("inf")).otherwise(F.rint(x / unit) * unit)
 
 
 def grid_cell(x: Column, size: float) -> Column:

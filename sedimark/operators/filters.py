@@ -65,10 +65,13 @@ def with_bands(df: DataFrame, value: str, bands: Sequence[tuple[str, float, floa
     return df.withColumn(column, F.explode(F.filter(F.array(*flags), lambda x: x.isNotNull())))
 
 
-def relabel(df: DataFrame, column: str, names: dict[str, str]) -> DataFrame:
-    """Renames values by a dictionary; an unknown one raises."""
+def relabel(df: DataFrame, column: str, names: dict[str, str], default: str | None = None) -> DataFrame:
+    """Renames values by a dictionary. What it doesn't name, nulls too, becomes the default; without one an unknown value raises and a null
+    stays."""
     table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     known = F.try_element_at(table, F.col(column))
+    if default is not None:
+        return df.withColumn(column, F.coalesce(known, F.lit(default)))
     return df.withColumn(column, F.when(known.isNotNull() | F.col(column).isNull(), known).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.col(column)))))
 
 

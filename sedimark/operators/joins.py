@@ -73,7 +73,8 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at:
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str], width: str = "1 month") -> DataFrame:
-    """Left rows with the latest right values (those that aren't null) at or before them, as asof_<value>.
+    """Left rows with the latest right values (those that aren't null) at or before them, as asof_<value>. A null key equals nothing: such left
+    rows have no values, such right rows aren't used. A null time is before all others on the left and unused on the right.
 
     Both sides meet in windows by key and bucket of `width` (a calendar unit or a number of them), not in one window per key: each
     bucket's last values are carried over to the later buckets of the key, by a window over a row per bucket."""
@@ -82,11 +83,11 @@ def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value
     count, unit = width.split(" ")
     cell = F.floor((F.year(at) * 12 + F.month(at) - 1) / int(count)) if unit.startswith("month") else F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / (int(count) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")]))
     tagged = left.select(*keys, F.col(at), F.struct("*").alias("__row"), *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values], F.lit(1).alias("__side"))
+    right = right.where(" and ".join(f"`{k}` is not null" for k in [*keys, at]))
     other = right.select(*keys, F.col(at), F.lit(None).cast(tagged.schema["__row"].dataType).alias("__row"), *values, F.lit(0).alias("__side"))
     both = tagged.unionByName(other).withColumn("__cell", cell)
     w = W.partitionBy(*keys, "__cell").orderBy(at, "__side").rowsBetween(W.unboundedPreceding, 0)
-    known = other.withColumn("__cell", cell).groupBy(*keys, "__cell").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(at))).alias(f"__last_{v}") for v in values])
-    cells = both.select(*keys, "__cell").distinct().join(known, [*keys, "__cell"], "left")
+    cells = both.groupBy(*keys, "__cell").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(at))).alias(f"__last_{v}") for v in values])  # a left row's values are null
     earlier = W.partitionBy(*keys).orderBy("__cell").rowsBetween(W.unboundedPreceding, -1)
     carried = cells.select(*keys, "__cell", *[F.last(f"__last_{v}", ignorenulls=True).over(earlier).alias(f"__carry_{v}") for v in values])
     for v in values:

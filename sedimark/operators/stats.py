@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from sedimark.operators.aggregates import finite
 from sedimark.operators.sampling import poisson_weight
-from sedimark.operators.windows import average_rank
+from sedimark.operators.windows import average_ranks, count_ranks, value_counts
 
 
 def paired_difference(df: DataFrame, entity: str, model: str, value: str) -> DataFrame:
@@ -47,20 +47,37 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _rank_counts(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """keys, values, __n and the rank of each value (named as asked) less the key's mean rank: from one count of the rows' distinct
+    values, to which the ranks of each single value are joined back."""
+    c = out = value_counts(df, keys, list(values))
+    for i, (v, name) in enumerate(values.items()):
+        r = count_ranks(c.groupBy(*keys, v).agg(F.sum("__n").alias("__n")).where("__n > 0"), keys, v, "__r", "__all")
+        names = {x: f"__{i}_{k}" for k, x in enumerate([*keys, v])}
+        r = r.select(*[F.col(x).alias(n) for x, n in names.items()], (F.col("__r") - (F.col("__all") + 1) / 2.0).alias(name))
+        out = out.join(r, [F.col(x).eqNullSafe(F.col(n)) for x, n in names.items()]).drop(*names.values())
+    return out
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks; rows with a missing side go first; fewer than three rows or a constant side: NaN."""
+    """Rank correlation with average ranks; rows with a missing side go first; fewer than three rows or a constant side: NaN. The input is
+    read once: counts of (x, y) give both ranks, and sums of centred ranks the correlation."""
     d = df.select(*keys, finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
-    for c in ("__x", "__y"):
-        d = average_rank(d, keys, c, f"{c}r")
-    ok = (F.count("*") >= 3) & (F.count_distinct("__x") > 1) & (F.count_distinct("__y") > 1)
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.when(ok, correlation("__xr", "__yr")).otherwise(float("nan")).alias("rho"))
+    d = _rank_counts(d, keys, {"__x": "__a", "__y": "__b"})
+    s = lambda a, b: F.sum(F.col("__n") * F.col(a) * F.col(b))
+    ok = (F.sum("__n") >= 3) & (s("__a", "__a") > 0) & (s("__b", "__b") > 0)
+    rho = F.try_divide(s("__a", "__b"), F.sqrt(s("__a", "__a")) * F.sqrt(s("__b", "__b")))
+    return d.groupBy(*keys).agg(F.sum("__n").alias("n"), F.when(ok, rho).otherwise(float("nan")).alias("rho"))
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
-    """Area under the ROC curve by the rank sum with average ranks; NaN where a class is absent."""
-    d = average_rank(df.select(*keys, F.col(score), F.col(label).cast("int").alias("__l")), keys, score, "__r")
-    p, n = F.sum("__l"), F.sum(1 - F.col("__l"))
-    area = F.try_divide(F.sum(F.col("__r") * F.col("__l")) - p * (p + 1) / 2, p * n)
+    """Area under the ROC curve by the rank sum with average ranks; NaN where a class is absent. The input is read once: counts of the
+    scores, true ones beside all, are ranked."""
+    true = F.coalesce(F.sum(F.col(label).cast("int")), F.lit(0)).alias("__p")
+    c = value_counts(df.select(*keys, F.col(score).alias("__s"), F.col(label)).where(F.col(label).isNotNull()), keys, ["__s"], true)
+    d = count_ranks(c, keys, "__s", "__r")
+    p, n = F.sum("__p"), F.sum(F.col("__n") - F.col("__p"))
+    area = F.try_divide(F.sum(F.col("__r") * F.col("__p")) - p * (p + 1) / 2, p * n)
     return d.groupBy(*keys).agg(p.alias("n_pos"), n.alias("n_neg"), F.when((p > 0) & (n > 0), area).otherwise(float("nan")).alias("auc"))
 
 
@@ -117,11 +134,10 @@ def association_screen(df: DataFrame, keys: Sequence[str], x: str, features: Seq
 def wilcoxon(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Paired signed-rank test: n non-zero differences, w (smaller rank sum), two-sided p by the normal approximation with
     tie correction."""
-    d = df.select(*keys, (finite(F.col(x)) - finite(F.col(y))).alias("__d")).where("__d is not null and __d <> 0").withColumn("__m", F.abs("__d"))
-    same = F.count("*").over(W.partitionBy(*keys, "__m"))
-    d = d.withColumn("__t", same).withColumn("__r", F.rank().over(W.partitionBy(*keys).orderBy("__m")) + (F.col("__t") - 1) / 2.0)
-    t = F.col("__t").cast("double")
-    g = d.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("__d") > 0, F.col("__r")).otherwise(0.0)).alias("plus"), F.sum(F.col("__r")).alias("all"), F.sum(t * t - 1).alias("ties"))
+    d = df.select(*keys, (finite(F.col(x)) - finite(F.col(y))).alias("__d")).where("__d is not null and __d <> 0")
+    c = value_counts(d.withColumn("__m", F.abs("__d")), keys, ["__m"], F.sum(F.when(F.col("__d") > 0, 1).otherwise(0)).alias("__p"))
+    t = F.col("__n").cast("double")
+    g = count_ranks(c, keys, "__m", "__r").groupBy(*keys).agg(F.sum("__n").alias("n"), F.sum(F.col("__r") * F.col("__p")).alias("plus"), F.sum(F.col("__r") * t).alias("all"), F.sum((t * t - 1) * t).alias("ties"))
     n = F.col("n").cast("double")
     w = F.least(F.col("plus"), F.col("all") - F.col("plus"))
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
@@ -137,8 +153,7 @@ def parity(found: DataFrame, expected: DataFrame, keys: Sequence[str], value: st
 
 def rank_ensemble(df: DataFrame, group: Sequence[str], a: str, b: str, weight: float, column: str = "ensemble") -> DataFrame:
     """weight times the average rank of a plus (1 - weight) times that of b, within each group."""
-    for c in (a, b):
-        df = average_rank(df, group, c, f"__{c}")
+    df = average_ranks(df, group, {c: f"__{c}" for c in (a, b)})
     return df.withColumn(column, weight * F.col(f"__{a}") + (1 - weight) * F.col(f"__{b}")).drop(f"__{a}", f"__{b}")
 
 
@@ -159,23 +174,32 @@ def precision_weighted(df: DataFrame, keys: Sequence[str], value: str, precision
 
 
 def partial_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, controls: Sequence[str]) -> DataFrame:
-    """Correlation of the residuals of ranked x and y on ranked controls, by group."""
-    fields = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
-
-    def one(pdf):
+    """keys, n, rho: correlation of what is left of the ranks of x and y when those of the controls are fitted, by group; rows with a missing
+    value are left out; NaN for no more rows than controls and two, or where nothing is left of a side.
+
+    Ranks come from counts of the values, the groups' products of centred ranks from one aggregate; a task gets a matrix per group."""
+    names = [x, y, *controls]
+    d = df.select(*keys, *[finite(F.col(c)).alias(f"__v{i}") for i, c in enumerate(names)]).where(" and ".join(f"__v{i} is not null" for i in range(len(names))))
+    d = _rank_counts(d, keys, {f"__v{i}": f"__r{i}" for i in range(len(names))})
+    cross = F.array(*[F.sum(F.col("__n") * F.col(f"__r{i}") * F.col(f"__r{j}")) for i in range(len(names)) for j in range(len(names))])
+    g = d.groupBy(*keys).agg(F.sum("__n").alias("n"), cross.alias("__m"))
+
+    @F.pandas_udf("double")
+    def left(n, m):
         import numpy as np
         import pandas as pd
 
-        d = pdf[[x, y, *controls]].apply(pd.to_numeric).replace([np.inf, -np.inf], np.nan).dropna().rank()
-        rho = float("nan")
-        if len(d) > len(controls) + 2:
-            z = np.column_stack([np.ones(len(d)), *[d[c] for c in controls]])
-            res = [d[c].to_numpy() - z @ np.linalg.lstsq(z, d[c].to_numpy(), rcond=None)[0] for c in (x, y)]
-            if all(r.std() > 1e-9 for r in res):
-                rho = float(np.corrcoef(*res)[0, 1])
-        return pd.DataFrame([[*pdf[list(keys)].iloc[0], len(d), rho]], columns=[*keys, "n", "rho"])
+        def one(n, m):
+            c = np.array(m, float).reshape(len(names), -1)
+            a, b, z = c[:2, :2], c[:2, 2:], c[2:, 2:]
+            rest = a - b @ np.linalg.pinv(z) @ b.T
+            if n <= len(controls) + 2 or min(rest[0, 0], rest[1, 1]) <= 1e-9 * max(1.0, a.max()):
+                return float("nan")
+            return float(rest[0, 1] / np.sqrt(rest[0, 0] * rest[1, 1]))
+
+        return pd.Series([one(*v) for v in zip(n, m)])
 
-    return df.select(*keys, x, y, *controls).groupBy(*keys).applyInPandas(one, f"{fields}, n long, rho double")
+    return g.select(*keys, "n", F.coalesce(left("n", "__m"), F.lit(float("nan"))).alias("rho"))
 
 
 def superposition_scores(df: DataFrame, keys: Sequence[str]) -> DataFrame:

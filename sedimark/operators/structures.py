@@ -54,9 +54,9 @@ def soft_lddt(pairs: DataFrame, keys: Sequence[str], first: float = FIRST_CENTRE
     """keys, lddt, n_residues from rows (keys, i, j, d true distance, probs): what a pair keeps at a threshold is the probability of the bins
     whose centre is nearer to d than the threshold; counted and averaged as in `lddt`. Centres run evenly from first to last."""
     held = pairs.where((F.abs(F.col("i") - F.col("j")) >= separation) & F.col("d").isNotNull() & ~F.isnan("d") & (F.col("d") < radius))
-    each = held.select(*keys, "i", "d", F.posexplode("probs").alias("k", "p"))  # a row per bin: sums stay in generated code
-    centre = F.lit(first) + F.col("k") * F.lit((last - first) / (bins - 1))
-    each = each.groupBy(*keys, "i").agg((F.sum(F.col("p") * _kept(F.abs(centre - F.col("d")))) / F.sum(F.when(F.col("k") == 0, 1).otherwise(0))).alias("r"))
+    each = held.select(*keys, "i", "d", F.posexplode("probs").alias("__k", "__p"))  # a row per bin: sums stay in generated code
+    centre = F.lit(first) + F.col("__k") * F.lit((last - first) / (bins - 1))
+    each = each.groupBy(*keys, "i").agg((F.sum(F.col("__p") * _kept(F.abs(centre - F.col("d")))) / F.sum(F.when(F.col("__k") == 0, 1).otherwise(0))).alias("r"))
     return _over_residues(each, keys)
 
 

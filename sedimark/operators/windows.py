@@ -29,7 +29,9 @@ def _cut(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFram
     k = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
     edges = df.groupBy(*k).agg(F.percentile_approx(value, F.array(*[F.lit(i / parts) for i in range(1, parts)])).alias("__e"))
     on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)] or [F.lit(True)]
-    cut = F.when(F.col(value).isNull() | F.col("__e").isNull(), -1).otherwise(F.size(F.filter("__e", lambda e: e < F.col(value))))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(parts.bit_length()))])  # the edges are in order: a search by halves
+    below = F.aggregate(steps, F.lit(0), lambda n, s: n + F.when(F.get("__e", n + s - 1) < F.col(value), s).otherwise(0))
+    cut = F.when(F.col(value).isNull() | F.col("__e").isNull(), -1).otherwise(below)
     return df.join(edges, on).withColumn("__c", cut).drop("__e", *[f"__k{i}" for i in range(len(keys))])
 
 
@@ -43,13 +45,41 @@ def _with_before(d: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
     return d.join(before, on).drop("__d", *[f"__k{i}" for i in range(len(keys))])
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], values: Sequence[str], *more: Column) -> DataFrame:
+    """keys, values, __n rows (and further aggregates): equal rows are counted map-side. The condition, always true, keeps __n in every use of
+    the result, so that uses share one exchange."""
+    return df.groupBy(*keys, *values).agg(F.count("*").alias("__n"), *more).where("__n > 0")
+
+
+def count_ranks(counts: DataFrame, keys: Sequence[str], value: str, column: str, total: str | None = None, parts: int = 256) -> DataFrame:
+    """counts (keys, value, __n, one row for each of a key's values) with the mean rank of the value's rows, nulls first, and the key's rows as
+    `total` if named. Distinct values are summed up inside cuts of their key, then shifted by the cuts before."""
+    d = _with_before(_cut(counts, keys, value, parts), keys, F.sum("__n"))
+    inside = F.sum("__n").over(W.partitionBy(*keys, "__c").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    d = d.withColumn(column, F.col("__b") + inside - (F.col("__n") - 1) / 2.0)
+    if total:
+        sizes = counts.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]).agg(F.sum("__n").alias(total))
+        d = d.join(sizes, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)] or [F.lit(True)])
+    return d.select(*counts.columns, column, *([total] if total else []))
+
+
+def average_ranks(df: DataFrame, keys: Sequence[str], columns: dict[str, str], parts: int = 256) -> DataFrame:
+    """df with ranks from 1 in each key, the mean rank for ties, nulls first as in an ascending order: columns maps a value to its rank's name.
+
+    Each value's distinct values are counted (ties vanish before the shuffle), ranked, and joined back: the input is read once for each
+    value and once more, and a value that most rows share is one row of the counts."""
+    out = df
+    for i, (value, column) in enumerate(columns.items()):
+        r = count_ranks(value_counts(df.select(*dict.fromkeys([*keys, value])), keys, [value]), keys, value, column, parts=parts)
+        names = {c: f"__{i}_{k}" for k, c in enumerate([*keys, value])}
+        r = r.select(*[F.col(c).alias(n) for c, n in names.items()], F.col(column))
+        out = out.join(r, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).drop(*names.values())
+    return out
+
+
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, column: str = "rank", parts: int = 256) -> DataFrame:
-    """Ranks from 1 with the mean rank for ties, nulls first as in an ascending order. Rows are ranked inside the cuts of their key and
-    shifted by the counts of the cuts before."""
-    d = _with_before(_cut(df, keys, value, parts), keys, F.count("*"))
-    rank = F.rank().over(W.partitionBy(*keys, "__c").orderBy(value))
-    peers = F.count("*").over(W.partitionBy(*keys, "__c", value))
-    return d.withColumn(column, F.col("__b") + rank + (peers - 1) / 2.0).drop("__b", "__c")
+    """df with the mean rank of one value (see average_ranks)."""
+    return average_ranks(df, keys, {value: column}, parts)
 
 
 def place(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence, column: str = "place", parts: int = 256) -> DataFrame:
@@ -58,6 +88,15 @@ def place(df: DataFrame, keys: Sequence[str], value: str, ties: Sequence, column
     return d.withColumn(column, F.col("__b") + F.row_number().over(W.partitionBy(*keys, "__c").orderBy(value, *ties))).drop("__b", "__c")
 
 
+def place_in_order(df: DataFrame, lead: str, value: str, ties: Sequence, column: str = "place", parts: int = 256) -> DataFrame:
+    """Row numbers from 1 over the whole table by (lead, nulls last; value; ties): places inside each value of lead, a column of few values,
+    shifted by the rows of the values before it."""
+    sizes = df.groupBy(F.col(lead).alias("__l")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy(F.asc_nulls_last("__l")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    d = place(df, [lead], value, ties, "__p", parts).join(sizes.select("__l", before.alias("__before")), F.col(lead).eqNullSafe(F.col("__l")))
+    return d.withColumn(column, F.col("__p") + F.col("__before")).drop("__p", "__l", "__before")
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, column: str, parts: int = 256) -> DataFrame:
     """Sum of a value over the key's rows up to and with each one, in the order of columns of which the first is a number or a time; in
     cuts as for average_rank."""

@@ -97,9 +97,10 @@ def exact_passages(docs, items):
     n = F.greatest(F.size("parts") - 2, F.lit(0))
     items = items.withColumn("parts", parts).withColumn("n", n).withColumn("inner", F.array_join(F.slice("parts", 2, n), " "))
     found = docs.join(items.where("n = 0"), F.instr("text", F.col("item")) > 0).select("doc_id", "item_id")
-    for n in range(1, 6):
+    sizes = [r[0] for r in items.select(F.least("n", F.lit(5)).alias("n")).where("n > 0").distinct().collect()]  # five at most
+    for n in sorted(sizes):  # a document's grams meet the items' before they are made distinct
         grams = N.word_grams(items.where(F.least("n", F.lit(5)) == n), "item_id", "inner", n).groupBy("item_id").agg(F.min("gram").alias("gram"))
-        pairs = N.word_grams(docs, "doc_id", "text", n).join(grams, "gram").select("doc_id", "item_id").distinct()
+        pairs = docs.select("doc_id", F.explode(N.grams("text", n)).alias("gram")).join(grams, "gram").select("doc_id", "item_id").distinct()
         found = found.unionByName(pairs.join(docs, "doc_id").join(items, "item_id").where(F.instr("text", F.col("item")) > 0).select("doc_id", "item_id"))
     return found
 

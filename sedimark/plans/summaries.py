@@ -101,10 +101,13 @@ def paired_bootstrap(spark, t):
     return T.bootstrap_means(d, ["g"], "user_id", "d", 60, "pair").select("g", "n", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")], "significant")
 
 
-@query("SELECT event_id, round_even(value * 137 / pow(2.0, floor(log2(abs(value * 137))) - 10), 0) * pow(2.0, floor(log2(abs(value * 137))) - 10) AS half, rank() OVER (PARTITION BY user_id ORDER BY round_even(value * 137 / pow(2.0, floor(log2(abs(value * 137))) - 10), 0) * pow(2.0, floor(log2(abs(value * 137))) - 10)) AS place FROM events WHERE value <> 0")
+@query("""WITH v AS (SELECT event_id, user_id, value * 137 / pow(10.0, event_id % 3 * 4) AS x FROM events),
+u AS (SELECT *, CASE WHEN x = 0 THEN pow(2.0, -24) ELSE greatest(pow(2.0, floor(log2(abs(x))) - 10), pow(2.0, -24)) END AS unit FROM v),
+h AS (SELECT event_id, user_id, CASE WHEN abs(x) >= 65520 THEN sign(x) * 'inf'::DOUBLE ELSE round_even(x / unit, 0) * unit END AS half FROM u)
+SELECT event_id, half, rank() OVER (PARTITION BY user_id ORDER BY half) AS place FROM h""")
 def half_precision_ranks(spark, t):
-    """Ranks after rounding to half precision: the rounding makes ties."""
-    d = t("events").where("value <> 0").select("event_id", "user_id", S.half_precision(F.col("value") * 137).alias("half"))
+    """Ranks after rounding to half precision, over its normal and its smallest range: the rounding makes ties."""
+    d = t("events").select("event_id", "user_id", S.half_precision(F.col("value") * 137 / F.pow(F.lit(10.0), F.col("event_id") % 3 * 4)).alias("half"))
     from pyspark.sql import Window
 
     return d.withColumn("place", F.rank().over(Window.partitionBy("user_id").orderBy("half")).cast("long")).drop("user_id")
@@ -175,14 +178,15 @@ def derived_labels_wide(spark, t):
 KINDS = ("click", "error", "purchase", "view")
 
 
-@query("""WITH s AS (SELECT user_id, ts, event_id, (list_position(['click', 'error', 'purchase', 'view'], event_type))::INT AS b FROM events WHERE event_type IN ('click', 'error', 'purchase', 'view')), p AS (SELECT user_id, b, coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS a FROM s),
-n AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT a, sum(n) AS t FROM n GROUP BY 1) SELECT user_id, count(*) AS n_tokens, round(sum(ln((n + 1) / (t + 5))), 6) AS logprob FROM p JOIN n USING (a, b) JOIN t USING (a) GROUP BY 1""")
+@query("""WITH s AS (SELECT user_id, ts, event_id, coalesce(nullif(list_position(['click', 'error', 'purchase', 'view'], event_type), 0), 5)::INT AS b FROM events), p AS (SELECT user_id, b, coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS a FROM s),
+n AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT a, sum(n) AS t FROM n GROUP BY 1) SELECT user_id, count(*) AS n_tokens, round(sum(ln((n + 1) / (t + 6))), 6) AS logprob FROM p JOIN n USING (a, b) JOIN t USING (a) GROUP BY 1""")
 def teacher_forced_scores(spark, t):
-    """Event types as tokens: log-probability of each user's sequence under a bigram model of all of them."""
+    """Event types as tokens, those outside the vocabulary as an unknown one: log-probability of each user's sequence under a bigram model of all."""
     from sedimark.operators import backends
 
-    d = t("events").where(F.col("event_type").isin(*KINDS)).withColumn("id", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event_type")).cast("int"))
+    at = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event_type"))
+    d = t("events").withColumn("id", F.when(at > 0, at).otherwise(len(KINDS) + 1).cast("int"))
     seq = d.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "id"))), lambda x: x["id"]).alias("ids"))
-    counts = backends.bigram_counts(seq, "ids", len(KINDS) + 1, 0)
+    counts = backends.bigram_counts(seq, "ids", len(KINDS) + 2, 0)
     out = backends.teacher_forced(seq, "user_id", "ids", lambda: backends.Bigrams(counts, 0))
     return out.select("user_id", F.size("logprobs").cast("long").alias("n_tokens"), F.round(F.aggregate("logprobs", F.lit(0.0), lambda a, x: a + x), 6).alias("logprob"))

@@ -75,6 +75,12 @@ def _files(spark: SparkSession, path: str):
     return fs, {f.getPath().getName(): f.getPath() for f in (fs.listStatus(at) if fs.exists(at) else [])}
 
 
+def _renamed(fs, at, target) -> None:
+    """A rename that failed is an error: a file system may say so by its answer alone."""
+    if not fs.rename(at, target):
+        raise OSError(f"{at} could not be renamed to {target}")
+
+
 def write_shards(df: DataFrame, path: str, shard: str, total: int, order: Sequence[str], wanted: Sequence[int] | None = None, codec: str = "zstd", drop: Sequence[str] = ()) -> list[int]:
     """One file per shard, `{shard:05d}-of-{total:05d}.parquet`, rows in order, shards without rows as empty files; returns those.
 
@@ -93,7 +99,7 @@ def write_shards(df: DataFrame, path: str, shard: str, total: int, order: Sequen
         target = hadoop(f"{path.rstrip('/')}/{shard_name(k, total)}")
         if f"__shard={k}" in dirs:
             (made,) = [p for n, p in _files(spark, f"{beside}/__shard={k}")[1].items() if n.endswith(".parquet")]
-            fs.rename(made, target)
+            _renamed(fs, made, target)
         else:
             empty.append(k)
     if empty:
@@ -107,30 +113,34 @@ def write_shards(df: DataFrame, path: str, shard: str, total: int, order: Sequen
 
 
 def rewrite_without(spark: SparkSession, files: Sequence[str], dropped: DataFrame, key: str, path: str, codec: str = "zstd") -> DataFrame:
-    """(file, total, dropped, kept) of a filtered copy: each source file becomes one file of the same rank, in its order, empty ones too.
-    Files that a former run has written are left as they are. kept = total - dropped is checked for each file, kept being counted in
-    what was written."""
-    files = sorted(files, key=lambda f: f.rsplit("/", 1)[-1])
-    number = {f.rsplit("/", 1)[-1]: i for i, f in enumerate(files)}
+    """(file, total, dropped, kept) of a filtered copy: each source file becomes one file of the same rank, in its order, empty ones too. Ranks
+    are by file name, then by whole path, so files of one name in different folders are told apart. Files that a former run has written
+    are left as they are. kept = total - dropped is checked for each file, kept being counted in what was written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    whole = lambda f: (p := hadoop(f)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+    files = sorted(dict.fromkeys(map(whole, files)), key=lambda f: (f.rsplit("/", 1)[-1], f))
+    number = {f: i for i, f in enumerate(files)}
     done = _files(spark, path)[1]
-    todo = [f for f in files if shard_name(number[f.rsplit("/", 1)[-1]], len(files)) not in done]
+    todo = [f for f in files if shard_name(number[f], len(files)) not in done]
+    read = lambda names: spark.read.parquet(*[hadoop(spark.sparkContext._jvm.java.net.URI(f)).toString() for f in names])
     ranks = spark.createDataFrame(list(number.items()), "file string, __rank int")  # a row per file
+    source = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("__source")
+    ranks = ranks.withColumn("__source", F.regexp_replace("file", "^file:/+", "file:/"))
     gone = dropped.select(key).distinct()
     if todo:
-        rows = spark.read.parquet(*todo).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("__row")).join(ranks, "file").drop("file")
-        kept = rows.join(gone, key, "left_anti")
-        columns = spark.read.parquet(todo[0]).columns
-        write_shards(kept.select(*columns, F.col("__rank").alias("__k"), "__row"), f"{path.rstrip('/')}/_new", "__k", len(files), ["__row"], sorted(number[f.rsplit("/", 1)[-1]] for f in todo), codec, ["__k", "__row"])
+        columns = read(todo[:1]).columns
+        rows = read(todo).select("*", source, F.col("_metadata.row_index").alias("__row_in_source")).join(ranks.select("__source", "__rank"), "__source")
+        kept = rows.join(gone, key, "left_anti").select(*columns, F.col("__rank").alias("__rank_of_source"), "__row_in_source")
+        write_shards(kept, f"{path.rstrip('/')}/_new", "__rank_of_source", len(files), ["__row_in_source"], sorted(number[f] for f in todo), codec, ["__rank_of_source", "__row_in_source"])
         fs, made = _files(spark, f"{path.rstrip('/')}/_new")
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         for name, at in made.items():
             if name.endswith(".parquet"):
-                fs.rename(at, hadoop(f"{path.rstrip('/')}/{name}"))
+                _renamed(fs, at, hadoop(f"{path.rstrip('/')}/{name}"))
         fs.delete(hadoop(f"{path.rstrip('/')}/_new"), True)
-    before = spark.read.parquet(*files).select(key, F.col("_metadata.file_name").alias("file")).join(gone.withColumn("__d", F.lit(1)), key, "left").groupBy("file").agg(F.count("*").alias("total"), F.count("__d").alias("dropped"))
+    before = read(files).select(key, source).join(gone.withColumn("__d", F.lit(1)), key, "left").groupBy("__source").agg(F.count("*").alias("total"), F.count("__d").alias("dropped"))
     after = spark.read.parquet(*[f"{path.rstrip('/')}/{shard_name(i, len(files))}" for i in range(len(files))]).groupBy(F.col("_metadata.file_name").alias("__f")).agg(F.count("*").alias("kept"))
     names = ranks.withColumn("__f", F.concat(F.lpad(F.col("__rank").cast("string"), 5, "0"), F.lit(f"-of-{len(files):05d}.parquet")))
-    out = names.join(before, "file", "left").join(after, "__f", "left").fillna(0, ["total", "dropped", "kept"]).orderBy("file").select("file", "total", "dropped", "kept")
+    out = names.join(before, "__source", "left").join(after, "__f", "left").fillna(0, ["total", "dropped", "kept"]).orderBy("__rank").select("file", "total", "dropped", "kept")
     wrong = out.where("kept <> total - dropped").limit(1).collect()
     if wrong:
         raise ValueError(f"{wrong[0]}: kept rows aren't the total less those dropped")

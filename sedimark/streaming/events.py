@@ -30,7 +30,7 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
     return g.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def live_pairs(statements: DataFrame, ttl_ms: int | None = 3_600_000) -> DataFrame:
+def live_pairs(statements: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Live pairs of an edit stream (key, n, kind, a, b), one row per key and batch with its number of live pairs, emits and retracts.
 
     State is the key's live pairs and counters; keys without news for ttl_ms are forgotten, which bounds it (None: kept for good, for
