@@ -140,6 +140,17 @@ def cross_validated_ridge(spark, t):
     return ridge(d, "o_orderkey", ["q", "n", "d"], "o_totalprice")[0].select("o_orderkey", "fold", "prediction")
 
 
+@query()
+def boosted_importances(spark, t):
+    """Price of an order from its lines by boosted trees: R squared on each fold's own rows, and what every feature's loss costs there."""
+    from sedimark.operators import boosting
+
+    x = t("lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.count("*").cast("double").alias("n"), F.avg("l_discount").alias("d"))
+    d = t("orders").join(x, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "q", "n", "d", "o_totalprice")
+    report = boosting.cross_validated(d, "o_orderkey", ["q", "n", "d"], "o_totalprice", rounds=12, rate=0.2)[1]
+    return report.select("fold", "feature", "n", F.round("r2", 9).alias("r2"), F.round("importance", 9).alias("importance"))
+
+
 @query("""WITH a AS (SELECT c_nationkey AS g, c_custkey AS id, string_split(lpad((c_custkey * 7919 % 1000)::VARCHAR, 3, '0') || CASE WHEN c_custkey % 5 = 0 THEN '---' ELSE lpad((c_custkey % 50)::VARCHAR, 3, '-') END, '') AS s FROM customer),
 p AS (SELECT g, id, unnest(range(1, 7)) AS k, unnest(s) AS c FROM a), m AS (SELECT x.g, x.id, y.id AS other, sum((x.c = y.c)::INT) AS same, count(*) AS met FROM p x JOIN p y ON x.g = y.g AND x.k = y.k WHERE x.c <> '-' AND y.c <> '-' GROUP BY ALL),
 n AS (SELECT g, id, sum((same / met >= 0.6)::INT) AS n FROM m GROUP BY ALL) SELECT g, round(sum(1 / n), 6) AS neff FROM n GROUP BY 1""")
