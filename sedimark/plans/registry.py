@@ -27,5 +27,5 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-for _m in ("selection", "relational", "text", "evaluation", "curation", "rewards", "catalogue", "summaries", "homology"):
+for _m in ("selection", "relational", "text", "evaluation", "curation", "rewards", "catalogue", "summaries", "homology", "spatial"):
     importlib.import_module(f"sedimark.plans.{_m}")
