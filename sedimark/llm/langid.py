@@ -117,21 +117,22 @@ def train(rows: list[tuple[str, str]], landmarks_per_language: int = 24, ridge:
 
 def sample(docs: DataFrame, per_language: int, longest: int, most_languages: int) -> list[tuple[str, str]]:
     """(lang, text) of at most per_language rows of each of the most_languages most frequent languages: those of the smallest hash
-    of doc_id among texts of at most `longest` characters with a letter. Two scans: languages are counted without the texts,
+    of doc_id with a letter, a longer text by a piece of `longest` characters from a keyed place. Two scans: languages are counted without the texts,
     then a fraction that should hold twice the rows asked for is read; only those rows are ranked, so what is collected has a bound."""
     counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
     key = F.xxhash64(F.col("doc_id"), F.lit("langid"))
     share = F.least(F.lit(1.0), (4 * per_language + 200) / F.col("count"))
     parts = F.broadcast(counts.select("lang", (share * float(1 << 62)).cast("long").alias("__s")))  # bounded: most_languages rows
     some = docs.join(parts, "lang").where(F.shiftrightunsigned(key, 2) <= F.col("__s"))
-    some = some.where(F.col("text").isNotNull() & (F.length("text") <= longest) & F.col("text").rlike(r"\p{L}")).withColumn("__k", key)
+    at = F.pmod(key, F.greatest(F.length("text") - longest + 1, F.lit(1))).cast("int") + 1
+    some = some.withColumn("__k", key).withColumn("text", F.substring(F.col("text"), at, F.lit(longest))).where(F.col("text").rlike(r"\p{L}"))
     w = F.row_number().over(W.partitionBy("lang").orderBy("__k", "doc_id", "text"))
     return [(r[0], r[1]) for r in some.withColumn("__r", w).where(F.col("__r") <= per_language).orderBy("lang", "__r").select("lang", "text").collect()]
 
 
 def fit(labelled: DataFrame, per_language: int = 300, longest: int = 20_000, landmarks_per_language: int = 24, ridge: float = 1e-2, most_languages: int = 200, most_entries: int = 1 << 25) -> Model | None:
     """Learn from (doc_id, text, lang); rows of null text or lang, and texts without a letter, are left out. Bounded sample:
-    per_language texts of at most `longest` characters of each of the most_languages most frequent values of lang. Ties of the
+    per_language texts, longer ones by a piece of `longest` characters, of each of the most_languages most frequent values of lang. Ties of the
     sampling hash are settled by doc_id, then text; repeated rows count each. None if nothing is left, as of an empty table."""
     rows = sample(labelled.select("doc_id", "text", "lang").where("lang is not null"), per_language, longest, most_languages)
     return train(rows, landmarks_per_language, ridge, most_entries)

@@ -268,18 +268,21 @@ def near_duplicates(prints: DataFrame, radius: int = 4, most: int = 400_000) ->
     """doc_id, fp, component_id: the smallest doc_id reachable over links of at most `radius` (up to 4) differing bits.
 
     prints: (doc_id, fp). Equal fingerprints are one class before any search; rows of a class meet only in map-side
-    combined minima. Null doc_ids link like others but name no component (a class of nulls only has component null).
-    Each shuffle partition searches its trees in runs of about `most` rows that end between keys. A key of more than `most`
-    distinct fingerprints is dealt to finer keys first, so that a tree's rows have some 36 bits in common; what
+    combined minima. Rows of null doc_id link like others, also in the middle of a chain, but name no component (one of nulls only has
+    component null). Each shuffle partition searches its trees in runs of about `most` rows that end between keys. A key of more than
+    `most` distinct fingerprints is dealt to finer keys first, so that a tree's rows have some 36 bits in common; what
     leaves a task are star edges, one per fingerprint and key at most, never the pairs of a group.
     """
     if not 0 <= radius <= 4:
         raise ValueError("six blocks, two of them equal: the radius must be 0 to 4")
     prints = checkpointed(prints.select("doc_id", "fp"))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    keyed = classes.where("rep is not null").select(F.explode(F.array_distinct(F.array(*_pair_keys("fp")))).alias("key"), "fp", "rep")
-    parts = components(_by_key(split_hot(keyed, "fp", most), ["rep"], ["fp"], stars(radius), most))
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
+    keyed = classes.select(F.explode(F.array_distinct(F.array(*_pair_keys("fp")))).alias("key"), "fp", F.col("fp").alias("node"))
+    parts = components(_by_key(split_hot(keyed, "fp", most), ["node"], ["fp"], stars(radius), most))
+    parts = classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
+    parts = checkpointed(parts)
+    least = parts.groupBy(F.col("part").alias("__p")).agg(F.min("rep").alias("component_id"))
+    named = parts.join(least, F.col("part") == F.col("__p")).select(F.col("fp").alias("fp_"), "component_id")
     return prints.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "fp", "component_id")
 
 

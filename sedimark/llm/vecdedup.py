@@ -190,7 +190,7 @@ def _centres(reps: DataFrame, size: int, overlap: int, most_centres: int) -> dic
     wanted = {(r.label, r.dim): -(-r["count"] // each) for r in counts}
     centres: dict = {}
     if wanted:
-        hash_ = F.xxhash64("rep", F.lit("centre"))
+        hash_ = F.xxhash64("v", F.lit("centre"))
         share = F.create_map(*[F.lit(x) for (lab, dim), c in wanted.items() for x in (f"{lab} {dim}", c)])
         some = reps.withColumn("__c", share[F.concat_ws(" ", "label", "dim")]).where("__c is not null")
         rank = F.row_number().over(W.partitionBy("label", "dim").orderBy(hash_, "rep"))
@@ -308,7 +308,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, size: int = 2048, o
     Links: two vectors of equal non-null label (and length) with cosine >= least. n_links counts the other rows linked,
     component_id is the smallest vec_id reachable, kept says whether that is the row's own. Vectors that are null,
     zero or hold null or non-finite components, and null labels or ids, link with nothing. Equal vectors of a label are one
-    class before any search. Repeated vec_ids count as rows of their class. An empty table gives no rows.
+    class before any search. Repeated vec_ids are rows of their own, of one class or of several, each with its vector's links. An empty table gives no rows.
 
     Pairs of a dense row (one with more others in range than a list of the graph holds) are found exactly, see _dense_links; the
     others by the graph, where a pair in several shards counts in the first that found it. What leaves a task is, per vector, a
@@ -323,7 +323,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, size: int = 2048, o
     v = F.transform("embedding", lambda x: x.cast("double"))
     ok = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))) & F.exists(v, lambda x: x != 0)
     fit = rows.where("vec_id is not null and label is not null and embedding is not null").where(ok).select("vec_id", "label", v.alias("v"))
-    reps = checkpointed(fit.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("v")))
+    reps = fit.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("dim", F.size("v"))
+    reps = checkpointed(reps.withColumn("rep", F.monotonically_increasing_id()))  # a class's own number: classes may share a vec_id
     centres = _centres(reps, size, overlap, most_centres)
     shared = reps.sparkSession.sparkContext.broadcast({k: (v_, None) for k, v_ in centres.items()})
     placed = _with_cells(reps.select("rep", "n", "label", "dim", "v"), shared, "shards", _nearest(overlap))
@@ -383,7 +384,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, size: int = 2048, o
         sparse = sparse.join(reps.where(again).select(F.col("rep").alias("__s")), F.col("rep") == F.col("__s"), "left_anti")
     parts = components(dense.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(pairs))
     named = reps.join(counts.select(F.col("rep").alias("__r"), "links"), F.col("rep") == F.col("__r")).join(parts, F.col("rep") == F.col("node"), "left")
-    named = named.select(F.col("label").alias("__label"), F.col("v").alias("__v"), (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    named = checkpointed(named.select(F.col("label").alias("__label"), F.col("v").alias("__v"), (F.col("links") + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("__part"), "least"))
+    first = named.groupBy(F.col("__part").alias("__q")).agg(F.min("least").alias("component_id"))
+    named = named.join(first, F.col("__part") == F.col("__q")).select("__label", "__v", "n_links", "component_id")
     full = rows.select("vec_id", "label", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(ok, F.lit(False)), v).alias("v"))
     out = full.join(named, (F.col("label") == F.col("__label")) & (F.col("v") == F.col("__v")), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
