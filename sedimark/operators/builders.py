@@ -82,3 +82,48 @@ def distance_documents(residues: DataFrame, context: int, fractions: tuple[float
     head = F.array_join(F.transform("all", lambda r: F.concat(F.lit("<"), r["name"], F.lit(">"))), " ")
     text = F.concat_ws(" ", F.lit("<contacts-and-distances> <begin_sequence>"), head, F.lit("<begin_statements>"), F.when(body != "", body), F.concat(F.lit("<q"), quality_bin(F.col("q"), quality_edges), F.lit(">")), F.lit("<end>"))
     return e.select("entry_id", text.alias("document"), F.size("contacts").alias("n_contacts"), F.size("distances").alias("n_distances"))
+
+
+def multi_draft_documents(entries: DataFrame, rollouts: DataFrame, budget: int, alpha: float, least_gap: int = 6, modulus: int = 2000) -> DataFrame:
+    """entry_id, document, n_residues, n_true, n_drafts, n_tokens, mean_f1: drafts of keyed sizes from an entry's rollouts, then its true pairs,
+    under one token budget.
+
+    entries: entry_id, residues array<string>, pairs array<int> (flat true pairs); rollouts: entry_id, rollout, pairs array<int>, f1. A document is
+    its kind, the sequence section (a mark and two tokens a residue), a section per draft (a mark, three tokens a pair), the final
+    section of true pairs, and the end. True pairs come first: only what they leave is packed with drafts, and they are cut by keyed
+    order only where they alone pass the budget. Drafts are tried in keyed order; a draft's size is a power law draw on its rollout's
+    pairs, none is shrunk to fit, and the first that doesn't fit ends the packing. Rollouts without a pair inside the sequence are passed
+    over. Entries without residues, or whose sequence alone passes the budget, have no document; mean_f1 is null without drafts. Pairs
+    repeated in an array count once; draws are functions of keys."""
+    from sedimark.functions.scalars import canonical_pairs
+    from sedimark.operators.codecs import draft_size
+
+    n, e = F.size("residues"), F.col("entry_id")
+    start = F.floor(keyed_uniform(e, "start") * modulus).cast("int")
+    inside = lambda flat, size: F.filter(canonical_pairs(flat, least_gap), lambda p: (p["i"] >= 0) & (p["j"] < size))
+    shuffled = lambda pairs, *salt: F.transform(F.array_sort(F.transform(pairs, lambda p: F.struct(keyed_hash(e, *salt, p["i"], p["j"]).alias("h"), p.alias("p")))), lambda s: s["p"])
+    base = entries.where("residues is not null and size(residues) > 0").select("entry_id", "residues", n.alias("n"), start.alias("start"), (F.lit(budget - 4) - 2 * n).alias("room"), F.col("pairs").alias("flat"))
+    base = base.where("room >= 0 and n <= " + str(modulus)).withColumn("true", F.slice(shuffled(inside(F.coalesce("flat", F.array().cast("array<int>")), F.col("n")), "true"), F.lit(1), F.floor(F.col("room") / 3).cast("int")))
+    base = base.withColumn("left", F.col("room") - 3 * F.size("true")).drop("flat")
+    r = rollouts.where("pairs is not null").join(base.select("entry_id", "n", "left", "start"), "entry_id")
+    r = r.withColumn("own", inside(F.col("pairs"), F.col("n"))).where("size(own) > 0")
+    r = r.withColumn("k", draft_size(F.size("own"), alpha, keyed_uniform(e, "size", F.col("rollout"))))
+    w = W.partitionBy("entry_id").orderBy(keyed_hash(e, "slot", F.col("rollout")), "rollout").rowsBetween(W.unboundedPreceding, 0)  # a few rollouts per entry
+    r = r.withColumn("used", F.sum(3 * F.col("k") + 1).over(w)).where(F.col("used") <= F.col("left"))
+    told = lambda pairs, *salt: F.transform(pairs, lambda p: _statement(e, p, F.col("start"), modulus, *salt))
+    draft = F.array_join(told(F.slice(shuffled(F.col("own"), "draft", F.col("rollout")), F.lit(1), F.col("k")), "turn", F.col("rollout")), " ")
+    packed = r.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("used", "k", draft.alias("text")))).alias("drafts"), F.avg("f1").alias("mean_f1"))  # bounded by the budget
+    out = base.join(packed, "entry_id", "left").withColumn("drafts", F.coalesce("drafts", F.array().cast("array<struct<used:bigint,k:int,text:string>>")))
+    head = F.array_join(F.transform("residues", lambda x, i: F.concat(F.lit("<p"), F.pmod(i + F.col("start"), F.lit(modulus)), F.lit("> <"), x, F.lit(">"))), " ")
+    sections = F.transform("drafts", lambda d: F.concat(F.lit("<begin_statements> "), d["text"]))
+    final = F.array_join(told(F.col("true"), "turn"), " ")
+    text = F.concat_ws(" ", F.lit("<contacts-multi> <begin_sequence>"), head, F.array_compact(sections), F.lit("<begin_statements>"), F.when(final != "", final), F.lit("<end>"))
+    tokens = 4 + 2 * F.col("n") + 3 * F.size("true") + F.aggregate("drafts", F.lit(0), lambda a, d: a + 1 + 3 * d["k"])
+    return out.select("entry_id", text.alias("document"), F.col("n").alias("n_residues"), F.size("true").alias("n_true"), F.size("drafts").alias("n_drafts"), tokens.alias("n_tokens"), "mean_f1")
+
+
+def _statement(entry, pair, start, modulus: int, *salt):
+    """A contact of a pair at its positions, its ends turned by a keyed coin."""
+    p = lambda x: F.concat(F.lit("<p"), F.pmod(x + start, F.lit(modulus)).cast("string"), F.lit(">"))
+    turn = keyed_uniform(entry, *salt, pair["i"], pair["j"]) < 0.5
+    return F.concat_ws(" ", F.lit("<contact>"), F.when(turn, p(pair["j"])).otherwise(p(pair["i"])), F.when(turn, p(pair["i"])).otherwise(p(pair["j"])))

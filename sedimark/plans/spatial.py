@@ -77,3 +77,23 @@ def crops_read_back(spark, t):
     got = unframed(told).join(centred(r), ["entry_id", "i"])
     near = (F.col("atom") == F.col("own")) & (F.greatest(*[F.abs(F.col(f"o{c}") - F.col(f"c{c}")) for c in "xyz"]) <= 0.1)
     return got.groupBy("entry_id").agg(F.count_distinct("i").alias("n_atoms"), F.bool_and(near).alias("near"))
+
+
+@query("""WITH e AS (SELECT vec_id, 40 AS n, list_filter(range(0, 32), lambda i: embedding[i + 1] > 0) AS own FROM embeddings),
+b AS (SELECT vec_id, least(len(own), (360 - 4 - 80) // 3) AS n_true, 360 - 4 - 80 - 3 * least(len(own), (360 - 4 - 80) // 3) AS room FROM e),
+r AS (SELECT vec_id, k AS rollout, len(list_distinct(list_transform(range(0, 6 + k * 4), lambda i: i * (k + 3) % 30))) AS m, (vec_id * (k + 7) % 100) / 100.0 AS f1 FROM embeddings, (SELECT unnest(range(0, 6)) AS k)),
+s AS (SELECT *, greatest(least(floor(pow(1 + (('0x' || substr(sha1(vec_id::VARCHAR || '|size|' || rollout), 1, 13))::BIGINT / 4503599627370496.0) * (pow(m + 1.0, 0.5) - 1), 2.0)), m), 1)::INT AS size FROM r),
+w AS (SELECT s.*, room, sum(3 * size + 1) OVER (PARTITION BY vec_id ORDER BY sha1(vec_id::VARCHAR || '|slot|' || rollout), rollout) AS used FROM s JOIN b USING (vec_id)),
+p AS (SELECT vec_id, count(*) AS n_drafts, sum(3 * size + 1) AS tokens, avg(f1) AS f1 FROM w WHERE used <= room GROUP BY 1)
+SELECT vec_id AS entry_id, 40 AS n_residues, n_true, coalesce(n_drafts, 0) AS n_drafts, 84 + 3 * n_true + coalesce(tokens, 0) AS n_tokens, round(f1, 9) AS mean_f1 FROM b LEFT JOIN p USING (vec_id)""")
+def multi_draft_counts(spark, t):
+    """What documents of several drafts hold: true pairs, drafts that fit before the first that doesn't, tokens."""
+    from sedimark.operators.builders import multi_draft_documents
+
+    seq = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.filter(seq(F.lit(32)), lambda i: F.get("embedding", i) > 0)
+    entries = t("embeddings").select(F.col("vec_id").alias("entry_id"), F.array_repeat(F.lit("GLY"), 40).alias("residues"), F.flatten(F.transform(own, lambda i: F.array(i, i + 8))).alias("pairs"))
+    v, k = F.col("vec_id"), F.col("rollout")
+    rollouts = t("embeddings").select("vec_id", F.explode(seq(F.lit(6))).alias("rollout"))
+    rollouts = rollouts.select(v.alias("entry_id"), "rollout", F.flatten(F.transform(seq(6 + k * 4), lambda i: F.array(i * (k + 3) % 30 + 9, i * (k + 3) % 30))).alias("pairs"), (v * (k + 7) % 100 / 100.0).alias("f1"))
+    return multi_draft_documents(entries, rollouts, 360, 0.5).select("entry_id", "n_residues", "n_true", "n_drafts", "n_tokens", F.round("mean_f1", 9).alias("mean_f1"))
