@@ -178,15 +178,37 @@ def derived_labels_wide(spark, t):
 KINDS = ("click", "error", "purchase", "view")
 
 
+def kind_sequences(t):
+    """(user_id, ids): each user's event types in order as tokens from 1, the last one standing for types outside the vocabulary."""
+    at = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event_type"))
+    d = t("events").withColumn("id", F.when(at > 0, at).otherwise(len(KINDS) + 1).cast("int"))
+    return d.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "id"))), lambda x: x["id"]).alias("ids"))
+
+
 @query("""WITH s AS (SELECT user_id, ts, event_id, coalesce(nullif(list_position(['click', 'error', 'purchase', 'view'], event_type), 0), 5)::INT AS b FROM events), p AS (SELECT user_id, b, coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS a FROM s),
 n AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT a, sum(n) AS t FROM n GROUP BY 1) SELECT user_id, count(*) AS n_tokens, round(sum(ln((n + 1) / (t + 6))), 6) AS logprob FROM p JOIN n USING (a, b) JOIN t USING (a) GROUP BY 1""")
 def teacher_forced_scores(spark, t):
     """Event types as tokens, those outside the vocabulary as an unknown one: log-probability of each user's sequence under a bigram model of all."""
     from sedimark.operators import backends
 
-    at = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("event_type"))
-    d = t("events").withColumn("id", F.when(at > 0, at).otherwise(len(KINDS) + 1).cast("int"))
-    seq = d.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "id"))), lambda x: x["id"]).alias("ids"))
+    seq = kind_sequences(t)
     counts = backends.bigram_counts(seq, "ids", len(KINDS) + 2, 0)
     out = backends.teacher_forced(seq, "user_id", "ids", lambda: backends.Bigrams(counts, 0))
     return out.select("user_id", F.size("logprobs").cast("long").alias("n_tokens"), F.round(F.aggregate("logprobs", F.lit(0.0), lambda a, x: a + x), 6).alias("logprob"))
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, coalesce(nullif(list_position(['click', 'error', 'purchase', 'view'], event_type), 0), 5)::INT AS b FROM events),
+p AS (SELECT user_id, row_number() OVER w - 1 AS pos, b, coalesce(lag(b) OVER w, 0) AS a, lead(b) OVER w AS c FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL), v AS (SELECT unnest(range(0, 6))::INT AS x), t AS (SELECT x AS a, coalesce(sum(n), 0) AS t FROM v LEFT JOIN n ON n.a = v.x GROUP BY 1),
+m AS (SELECT y.x AS a, z.x AS b, (coalesce(n, 0) + 1) / (t + 6) AS q FROM v y JOIN v z ON true LEFT JOIN n ON n.a = y.x AND n.b = z.x JOIN t ON t.a = y.x),
+f AS (SELECT user_id, pos, p.b AS wild, v.x AS token, one.q * coalesce(two.q, 1) AS f FROM p JOIN v ON true JOIN m one ON one.a = p.a AND one.b = v.x LEFT JOIN m two ON two.a = v.x AND two.b = p.c)
+SELECT user_id, f.pos, token, round(ln(f.f) - ln(own.f), 6) AS log_ratio FROM f JOIN (SELECT user_id, pos, f FROM f WHERE token = wild) own USING (user_id, pos)""")
+def masked_substitutions(spark, t):
+    """Log ratio of every token to a place's own when the place is hidden, under the bigram model of all sequences."""
+    from sedimark.operators import backends, stats
+
+    seq = kind_sequences(t)
+    counts = backends.bigram_counts(seq, "ids", len(KINDS) + 2, 0)
+    m = backends.masked_marginals(seq, "user_id", "ids", lambda: backends.Bigrams(counts, 0)).select(F.col("user_id").alias("entity"), "pos", "wild", F.col("token").alias("aa"), "logp")
+    out = stats.substitution_scores(m.drop("wild"), m.select("entity", "pos", "wild").distinct())
+    return out.select(F.col("entity").alias("user_id"), F.col("pos").cast("long").alias("pos"), F.col("aa").alias("token"), F.round("log_ratio", 6).alias("log_ratio"))
