@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -169,6 +169,21 @@ def first_file_with(df: DataFrame, column: str, value) -> DataFrame:
     return files.where((F.col("low") <= value) & (F.col("high") >= value)).orderBy("file").limit(1)
 
 
+def first_file_where(spark: SparkSession, files: Sequence[str], holds: Column, probe: Callable[[str], DataFrame] | None = None) -> str | None:
+    """The first of files in order in which some row holds, by bisection: what holds in a file must hold in all that follow (as in shards written
+    in the order of the column asked about). About log2(n) files are opened, each by a query that stops at its first such row; null if
+    none holds. An empty file is taken for one in which nothing holds. probe: how a file is read (default Parquet)."""
+    read = probe or spark.read.parquet
+    low, high = 0, len(files)
+    while low < high:
+        middle = (low + high) // 2
+        if read(files[middle]).where(holds).limit(1).count():
+            high = middle
+        else:
+            low = middle + 1
+    return files[low] if low < len(files) else None
+
+
 def ordered_contacts(tokens: Column, least_gap: int = 6) -> Column:
     """array<struct<i,j,k>> of `<contact> <pA> <pB>` triples in a token array, the first occurrence of each pair (i < j, at least
     least_gap apart) with the index k of its contact token; malformed triples are skipped."""

@@ -125,3 +125,21 @@ def test_places_over_the_whole_table(spark):
     got = windows.place_in_order(spark.createDataFrame(rows, "i long, a int, v double").repartition(4), "a", "v", ["i"], parts=4).collect()
     want = sorted(rows, key=lambda x: (x[1] is None, x[1] or 0, x[2], x[0]))
     assert [x.i for x in sorted(got, key=lambda x: x.place)] == [x[0] for x in want] and sorted(x.place for x in got) == list(range(1, 501))
+
+
+def test_bisection_opens_few_files(spark, tmp_path):
+    from sedimark.operators.curation import first_file_where
+
+    for k in range(40):
+        spark.range(3).selectExpr("id", f"{40 - k} as round").coalesce(1).write.parquet(f"{tmp_path}/{k:05d}")
+    files = [f"{tmp_path}/{k:05d}" for k in range(40)]
+    for round_ in (40, 39, 17, 2, 1):
+        opened = []
+
+        def probe(f):
+            opened.append(f)
+            return spark.read.parquet(f)
+
+        assert first_file_where(spark, files, F.col("round") <= round_, probe) == files[40 - round_]
+        assert len(opened) <= 6
+    assert first_file_where(spark, files, F.col("round") <= 0) is None and first_file_where(spark, [], F.col("round") <= 0) is None
