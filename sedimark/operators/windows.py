@@ -35,12 +35,16 @@ def _cut(df: DataFrame, keys: Sequence[str], value: str, parts: int) -> DataFram
     return df.join(edges, on).withColumn("__c", cut).drop("__e", *[f"__k{i}" for i in range(len(keys))])
 
 
-def _with_before(d: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
-    """d, cut by __c, with __b: the sum of an aggregate over the key's earlier cuts (0 before the first)."""
+def _with_before(d: DataFrame, keys: Sequence[str], total: Column, whole: str | None = None) -> DataFrame:
+    """d, cut by __c, with __b: the sum of an aggregate over the key's earlier cuts (0 before the first), and its sum over all of them as
+    `whole` if named."""
     k = [F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]
     sizes = d.groupBy(*k, F.col("__c").alias("__d")).agg(total.alias("__t"))
     w = W.partitionBy(*[f"__k{i}" for i in range(len(keys))]).orderBy("__d").rowsBetween(W.unboundedPreceding, -1)
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__t").over(w), F.lit(0))).drop("__t")  # a row per cut
+    before = sizes.withColumn("__b", F.coalesce(F.sum("__t").over(w), F.lit(0)))  # a row per cut
+    if whole:
+        before = before.withColumn(whole, F.sum("__t").over(W.partitionBy(*[f"__k{i}" for i in range(len(keys))])))
+    before = before.drop("__t")
     on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)] + [F.col("__c") == F.col("__d")]
     return d.join(before, on).drop("__d", *[f"__k{i}" for i in range(len(keys))])
 
@@ -54,12 +58,9 @@ def value_counts(df: DataFrame, keys: Sequence[str], values: Sequence[str], *mor
 def count_ranks(counts: DataFrame, keys: Sequence[str], value: str, column: str, total: str | None = None, parts: int = 256) -> DataFrame:
     """counts (keys, value, __n, one row for each of a key's values) with the mean rank of the value's rows, nulls first, and the key's rows as
     `total` if named. Distinct values are summed up inside cuts of their key, then shifted by the cuts before."""
-    d = _with_before(_cut(counts, keys, value, parts), keys, F.sum("__n"))
+    d = _with_before(_cut(counts, keys, value, parts), keys, F.sum("__n"), total)
     inside = F.sum("__n").over(W.partitionBy(*keys, "__c").orderBy(value).rowsBetween(W.unboundedPreceding, 0))
     d = d.withColumn(column, F.col("__b") + inside - (F.col("__n") - 1) / 2.0)
-    if total:
-        sizes = counts.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)]).agg(F.sum("__n").alias(total))
-        d = d.join(sizes, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(keys)] or [F.lit(True)])
     return d.select(*counts.columns, column, *([total] if total else []))
 
 
