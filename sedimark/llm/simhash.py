@@ -202,8 +202,8 @@ def _alone(keys):
     return alone
 
 
-def _by_key(keyed: DataFrame, columns: list[str], words: list[str], search, most: int) -> DataFrame:
-    """(a, b) of search(keys, fps, columns...) over runs of about `most` rows of each partition that end between keys."""
+def _by_key(keyed: DataFrame, columns: list[str], words: list[str], search, most: int, names: tuple[str, ...] = ("a", "b")) -> DataFrame:
+    """The long columns `names` of search(keys, fps, columns...) over runs of about `most` rows of each partition that end between keys."""
     keyed = keyed.repartition("key").sortWithinPartitions("key", words[0])
 
     def make():
@@ -215,12 +215,12 @@ def _by_key(keyed: DataFrame, columns: list[str], words: list[str], search, most
                 use = ~_alone(k)
                 if use.any():
                     fps = np.stack([w[use].view("u8") for w in rest[: len(words)]], 1)
-                    for a, b in search(k[use], fps, *[c[use] for c in rest[len(words) :]]):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    for out in search(k[use], fps, *[c[use] for c in rest[len(words) :]]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], list(names))
 
         return run
 
-    return map_arrow(keyed, make, "a long, b long")
+    return map_arrow(keyed, make, ", ".join(f"{n} long" for n in names))
 
 
 def stars(radius: int):
@@ -315,11 +315,12 @@ def first_partners(radius: int):
     return search
 
 
-def open_pairs(radius: int):
-    """A search: all pairs of a key within the radius whose parts differ, each once. One end of such a pair lies outside the
-    key's largest part, so the rows of that part start no search."""
+def open_cells(radius: int):
+    """A search: (x, y, node) for both ends of all pairs of a key within the radius whose parts differ; x <= y are the blocks of the
+    two ends, and a node is named once for each two blocks. One end of such a pair lies outside the key's largest part, so the
+    rows of that part start no search."""
 
-    def search(keys, fps, nodes, parts):
+    def search(keys, fps, nodes, parts, blocks):
         import numpy as np
 
         order = np.lexsort((parts, keys))
@@ -340,16 +341,69 @@ def open_pairs(radius: int):
         mixed[number[rows]] = True
         keep = mixed[number]
         at = np.cumsum(keep) - 1
-        parts, nodes, fps, keys, rows = parts[keep], nodes[keep], fps[keep], keys[keep], at[rows]
+        parts, nodes, blocks, fps, keys, rows = parts[keep], nodes[keep], blocks[keep], fps[keep], keys[keep], at[rows]
+        ends = np.empty((0, 3), "i8")
         for q, other in Forest(keys, fps).links(radius, rows):
             differ = parts[q] != parts[other]
-            a, b = nodes[q[differ]], nodes[other[differ]]
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pair[:, 0].copy(), pair[:, 1].copy()
+            q, other = q[differ], other[differ]
+            x, y = np.minimum(blocks[q], blocks[other]), np.maximum(blocks[q], blocks[other])
+            ends = np.unique(np.concatenate([ends, np.stack([x, y, nodes[q]], 1), np.stack([x, y, nodes[other]], 1)]), axis=0)
+            if len(ends) > 1 << 20:
+                yield tuple(ends.T.copy())
+                ends = ends[:0]
+        yield tuple(ends.T.copy())
 
     return search
 
 
+def common_counts(sets, rows):
+    """How many hashes each of the given rows shares with every row: products of 0/1 matrices over slices of the hashes that two or more rows have."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    kept = shared[column]
+    owner, column = owner[kept], number[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(rows), len(sets)))
+    for low in range(0, int(shared.sum()), step := 1 << 12):
+        a, b = np.searchsorted(column, (low, low + step))
+        held = np.zeros((len(sets), step), "f4")
+        held[owner[a:b], column[a:b] - low] = 1
+        out += held[rows] @ held.T  # whole numbers of at most `step`: exact
+    return out
+
+
+def cell_links(least: float, width: int, seed: int = 42):
+    """A cell's rows (node, text, part) -> edges (a, b) between parts that hold texts of Jaccard similarity `least` or more: every pair
+    of the cell's rows is decided on whole shingle sets, and what leaves is a star for each set of parts so joined."""
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        texts = table.column("text").cast(pa.binary()).to_pylist()
+        sets = [np.unique(shingle_hashes(t, width, seed)) for t in texts]
+        parts, at, n = np.unique(table.column("part").to_numpy(), return_inverse=True, return_counts=True)
+        rows = np.flatnonzero(at != n.argmax())  # two rows of different parts: one of them is here
+        size = np.array([len(x) for x in sets])
+        links = []
+        for few in (rows[i : i + 512] for i in range(0, len(rows), 512)):
+            both = common_counts(sets, few)
+            either = size[few][:, None] + size - both
+            alike = np.divide(both, either, out=np.ones_like(both), where=either > 0) >= least
+            q, other = np.nonzero(alike & (at[few][:, None] != at))
+            links.append(np.unique(np.stack([at[few[q]], at[other]], 1), axis=0))
+        root = joined(len(parts), [(x[:, 0], x[:, 1]) for x in links])
+        far = root != np.arange(len(parts))
+        return pa.table({"a": parts[far], "b": parts[root[far]]})
+
+    return run
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int, seed: int = 42) -> DataFrame:
     """The pairs (a, b) whose whole texts (node, text) have shingle sets of Jaccard similarity `least` or more."""
     side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"t{n}"))
@@ -379,7 +433,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int, seed:
     return map_arrow(both, make, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 8, bands: int = 80, band_bits: int = 15, most: int = 200_000) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 8, bands: int = 80, band_bits: int = 15, most: int = 200_000, block_texts: int = 2048, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, node, component_id, leads for near copies: texts whose sets of `width`-word shingles have Jaccard similarity
     `similarity` or more, and what is reachable over such links. node is the hash of the row's text (equal texts are one),
     component_id the smallest doc_id of the component (null: no row of it has one). leads marks the component's first row by
@@ -390,9 +444,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     bands of band_bits of the 64 * tables bits agrees, and are candidates when of the bits that travel (half of them) at most
     the expected number at `similarity` plus four standard deviations differ. Every link is decided on the whole texts.
 
-    First each document is verified against up to two candidates, leaders before others, which joins the tight groups. Then
-    all candidate pairs whose ends are still in different parts are verified: what travels are pairs across parts only, and
-    no pair of candidates stays undecided. Runs and memory are as in near_duplicates.
+    First each document is verified against up to two candidates, leaders before others, which joins the tight groups. Those
+    candidates also make families, and a family's texts are dealt to blocks of about `block_texts` texts or `block_bytes` bytes. Then
+    every candidate pair whose ends are still in different parts names the cell of its two blocks; a text travels once to each
+    cell that needs it, where all pairs are decided at once. So no pair leaves a task, a cell is bounded (a longer text is alone
+    in its block), and no pair of candidates stays undecided. Runs and memory are as in near_duplicates.
     """
     bits, sent = 64 * tables, max(1, tables // 2)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -422,10 +478,19 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     texts = checkpointed(rows.join(active, F.col("node") == F.col("__n"), "left_semi").groupBy("node").agg(F.first("text").alias("text")))
     sure = checkpointed(verified(pairs, texts, similarity, width))
     parts = components(sure)
-    among = prints.join(active, F.col("node") == F.col("__n"), "left_semi").join(parts.withColumnRenamed("node", "__p"), F.col("node") == F.col("__p"), "left")
-    among = checkpointed(among.select("node", "wide", F.coalesce("component", "node").alias("part")))
-    more = _by_key(keyed(among, "part"), ["node", "part"], words[:sent], open_pairs(radius), most).distinct()
-    more = checkpointed(verified(more, texts, similarity, width))
+    by_node = lambda of, name: of.select(F.col("node").alias("__p"), F.col("component").alias(name))
+    held = texts.select("node", F.octet_length("text").alias("bytes"))
+    held = held.join(by_node(parts, "part"), F.col("node") == F.col("__p"), "left").drop("__p")
+    held = held.join(by_node(components(pairs), "family"), F.col("node") == F.col("__p"), "left")
+    held = checkpointed(held.select("node", "bytes", F.coalesce("part", "node").alias("part"), F.coalesce("family", "node").alias("family")))
+    blocks = F.ceil(F.greatest(F.count("*") / block_texts, F.sum("bytes") / block_bytes))
+    sizes = held.groupBy(F.col("family").alias("__f")).agg(F.greatest(blocks, F.lit(1)).alias("blocks"))
+    block = F.when(F.col("blocks") <= 1, F.col("family")).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks")))).alias("block")
+    held = checkpointed(held.join(sizes, F.col("family") == F.col("__f")).select(F.col("node").alias("__n"), "part", block))
+    among = prints.join(held, F.col("node") == F.col("__n")).select("node", "wide", "part", "block")
+    cells = _by_key(keyed(among, "part", "block"), ["node", "part", "block"], words[:sent], open_cells(radius), most, ("x", "y", "node")).distinct()
+    met = cells.join(texts.join(held, F.col("node") == F.col("__n")).select("node", "text", "part"), "node")
+    more = checkpointed(met.groupBy("x", "y").applyInArrow(cell_links(similarity, width), "a long, b long"))
     linked = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     found = components(linked).withColumnRenamed("node", "__p")
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("id")).join(found, F.col("node") == F.col("__p"), "left").select("node", F.coalesce("component", "node").alias("part"), "id")

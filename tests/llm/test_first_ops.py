@@ -349,5 +349,26 @@ def test_similar_documents_in_a_family_of_unequal_copies(spark):
             break
         root = low
     frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
-    assert [got[i] for i in range(len(docs))] == root
+    for limits in ({}, {"block_texts": 20}, {"block_bytes": 5000}):  # one block, and a family cut into many
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame, **limits).collect()}
+        assert [got[i] for i in range(len(docs))] == root
+
+
+def test_cells_decide_every_pair():
+    """Parts joined in a cell against sets of shingles; empty texts are alike."""
+    import pyarrow as pa
+
+    rnd = random.Random(5)
+    words = [f"w{k}" for k in range(90)]
+    texts = ["", " ", "one two"] + [" ".join(rnd.choice(words[:3]) if rnd.random() < 0.01 * (k % 9) else w for w in words[k % 4 :]) for k in range(80)]
+    part = [k // 2 if k > 20 else k for k in range(len(texts))]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
+    sets = [grams(t) for t in texts]
+    root = {p: p for p in part}
+    pairs = [(part[i], part[j]) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    out = simhash.cell_links(0.8, 5)(pa.table({"text": texts, "part": pa.array(part, pa.int64())}))
+    got = {p: p for p in part} | dict(zip(out.column("a").to_pylist(), out.column("b").to_pylist()))
+    assert got == root and 3 < len(set(root.values())) < len(root)
