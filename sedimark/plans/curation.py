@@ -113,7 +113,7 @@ def consolidated_targets(spark, t):
 @query("""SELECT c_custkey, round(log10(1 + n), 9) AS log_n, round(-log10(greatest(e, 1e-300)), 9) AS log_e, k AS events FROM customer LEFT JOIN (SELECT o_custkey AS c_custkey, count(*) AS n, min(o_totalprice) / 1e9 AS e FROM orders GROUP BY 1) USING (c_custkey) LEFT JOIN (SELECT user_id AS c_custkey, min(value) AS k FROM events GROUP BY 1) USING (c_custkey)""")
 def support_features(spark, t):
     o = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), (F.min("o_totalprice") / 1e9).alias("e"))
-    e = t("events").select(F.col("user_id").alias("c_custkey"), "value")
+    e = t("events").where("value is not null").select(F.col("user_id").alias("c_custkey"), "value")
     out = C.lookup_features(t("customer").select("c_custkey"), "c_custkey", [(o, [("log_n", C.log_count(F.col("n"))), ("log_e", C.log_evalue(F.col("e")))]), (e, [("events", F.col("value"))])])
     return out.withColumns({"log_n": F.round("log_n", 9), "log_e": F.round("log_e", 9)})
 
