@@ -25,7 +25,7 @@ OUT = "document string, n_tokens long, n_contacts long, n_mentions long, n_crops
 @dataclass(frozen=True)
 class Layout:
     """Parameters of both formats. `depth` is the number of decimal places of a coordinate mention (hundreds first); `noise` false leaves
-    places as they are; `reserve` is what the boxes leave to the crops; a crop is chosen by the box of a random atom, by a neighbour of
+    places as they are; `each` tells every atom once, as finely as can be, before any is drawn; `reserve` is what the boxes leave to the crops; a crop is chosen by the box of a random atom, by a neighbour of
     boxes seen, or else by how often a box was seen."""
 
     context: int = 8192
@@ -39,6 +39,7 @@ class Layout:
     depth: int = 3
     floor_weight: float = 0.05
     noise: bool = True
+    each: bool = False
     reserve: int = 2000
     box_noise: float = 2.0
     by_atom: float = 0.45
@@ -129,12 +130,15 @@ class _Entry:
 
 def _coordinates(e: _Entry) -> dict:
     """Mentions of atoms drawn with return. The share of the room that is used up moves the weight from the coarsest depth to the finest; the
-    first mention is as fine as can be; the first that doesn't fit ends the document."""
+    first mention (with `each` the first of every atom) is as fine as can be; the first that doesn't fit ends the document."""
     import numpy as np
 
     at, body, used, n = e.at, [], 0, len(e.xyz)
     events = e.room // 3 if n else 0
     atoms, draws, noise = e.rng.integers(max(n, 1), size=events), e.rng.random(events), e.rng.normal(size=(events, 3))
+    first = min(n, events) if at.each else 1
+    if at.each:
+        atoms[:first] = e.rng.permutation(n)[:first]
     told = [triples(digits(e.xyz[atoms] + (noise * PLACES[d] / 4 if at.noise else 0), at.depth)).T.tolist() if events else [] for d in range(at.depth)]
     centres, truncated = [d / (at.depth - 1) if at.depth > 1 else 0.0 for d in range(at.depth)], False
     for k, (atom, draw) in enumerate(zip(atoms.tolist(), draws.tolist())):
@@ -143,7 +147,7 @@ def _coordinates(e: _Entry) -> dict:
         while rest >= 0 and depth < at.depth:
             rest -= weight[depth]
             depth += 1
-        depth = at.depth if k == 0 else depth
+        depth = at.depth if k < first else depth
         if used + 2 + depth > e.room:
             truncated = True
             break

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedimark.operators import spatial_documents as D
 
@@ -135,3 +136,19 @@ def test_odd_entries(spark):
         assert f(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         D.coordinate_documents(df, D.Layout(depth=5))
+
+
+def test_documents_are_dealt_to_tasks(spark):
+    from sedimark.plans import spatial
+
+    rows = spatial.rows(lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet"))
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_each_atom_is_told_before_the_draws(spark):
+    n = 40
+    atoms = spark.createDataFrame([("e", i, "CA", 3.0 * i, 1.0, 2.0) for i in range(n)], "entry_id string, i int, atom string, x double, y double, z double")
+    residues = atoms.select("entry_id", "i", F.lit("ALA").alias("name"))
+    none = spark.createDataFrame([], "entry_id string, i int, j int, degree double")
+    told = lambda each: D.coordinate_mentions(D.coordinate_documents(D.entries(residues, atoms, none), D.Layout(context=8 + 2 * n + 6 * n + 30, depth=4, noise=False, each=each))).where("depth = 4").select("p").distinct().count()
+    assert told(True) == n and told(False) < n
