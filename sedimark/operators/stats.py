@@ -87,22 +87,27 @@ def adjusted_p(df: DataFrame, p: str, ties: Sequence[str]) -> DataFrame:
     return df.withColumn("q", F.least(F.col(p) * F.count("*").over(W.partitionBy()) / F.row_number().over(w), F.lit(1.0)))
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
-
-
 def _log_factorial(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))
+    """Logarithm of n!: the exact product's below 16, then Stirling's series (its first term left out is under 1e-13 there)."""
+    x = F.greatest(n.cast("double"), F.lit(16.0))
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (x * x)) / (x * x)) / (x * x)) / x
+    known = F.array(*[F.lit(math.log(math.factorial(k))) for k in range(16)])
+    return F.when(n < 16, F.get(known, F.greatest(n, F.lit(0)).cast("int"))).otherwise(series)
 
 
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p: the sum of all tables with the same margins that are no likelier than the one seen."""
+    """Two-sided p: the sum of all tables with the same margins that are no likelier than the one seen. The work is a fixed number of steps
+    for each such table."""
     a, b, c, d = (x.cast("long") for x in (a, b, c, d))
     row, col, n = a + b, a + c, a + b + c + d
-    prob = lambda x: F.exp(log_choose(col, x) + log_choose(n - col, row - x) - log_choose(n, row))
+    whole = lambda x: _log_factorial(x) + _log_factorial(col - x) + _log_factorial(row - x) + _log_factorial(n - col - row + x)
     low, high = F.greatest(F.lit(0).cast("long"), row - (n - col)), F.least(row, col)
-    seen = prob(a) * (1 + 1e-7)
-    return F.least(F.aggregate(F.sequence(low, high), F.lit(0.0), lambda acc, x: acc + F.when(prob(x) <= seen, prob(x)).otherwise(0.0)), F.lit(1.0))
+    margins = _log_factorial(col) + _log_factorial(n - col) + _log_factorial(row) + _log_factorial(n - row) - _log_factorial(n)
+    # what all tables share is an argument of a lambda, so that it is computed once
+    fixed = F.array(F.struct(margins.alias("m"), (F.exp(margins - whole(a)) * (1 + 1e-7)).alias("seen")))
+    term = lambda f, x: F.aggregate(F.array(F.exp(f["m"] - whole(x))), F.lit(0.0), lambda none, p: none + F.when(p <= f["seen"], p).otherwise(0.0))
+    total = F.transform(fixed, lambda f: F.aggregate(F.sequence(low, high), F.lit(0.0), lambda acc, x: acc + term(f, x)))
+    return F.least(F.get(total, F.lit(0)), F.lit(1.0))
 
 
 def normal_cdf(z: float) -> float:

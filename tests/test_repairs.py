@@ -1,7 +1,9 @@
 """Faults found in review, each with the case that showed it: half precision, null keys, name clashes, hot values, scans of rank plans."""
 
+import math
 import os
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimark.functions import scalars
-from sedimark.operators import curation, filters, joins, stats, windows
+from sedimark.operators import alignment, curation, filters, joins, stats, windows
 from sedimark.plans.selection import exact_passages
 from sedimark.sources import sinks
 
@@ -160,3 +162,26 @@ def test_lookup_expressions_see_missing_rows(spark):
     keys, found = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, 0.01)], "k int, e double")
     got = curation.lookup_features(keys, "k", [(found, [("log_e", curation.log_evalue(F.col("e"))), ("e", F.col("e"))])]).collect()
     assert sorted((r.k, round(r.log_e, 9), r.e) for r in got) == [(1, 2.0, 0.01), (2, 300.0, None)]
+
+
+def test_fisher_exact_is_linear_in_the_counts(spark):
+    def plain(a, b, c, d):
+        f = lambda k: math.lgamma(k + 1)
+        row, col, n = a + b, a + c, a + b + c + d
+        p = lambda x: math.exp(f(col) + f(n - col) + f(row) + f(n - row) - f(n) - f(x) - f(col - x) - f(row - x) - f(n - col - row + x))
+        return min(1.0, sum(q for x in range(max(0, row + col - n), min(row, col) + 1) if (q := p(x)) <= p(a) * (1 + 1e-7)))
+
+    cases = [(8, 2, 1, 5), (0, 3, 4, 0), (0, 0, 0, 0), (15, 16, 17, 14), (900, 1000, 1010, 990), (100_000, 100_400, 100_300, 100_000)]
+    start = time.time()
+    d = spark.createDataFrame(cases, "a long, b long, c long, d long")
+    got = d.select("*", stats.fisher_exact(*[F.col(c) for c in "abcd"]).alias("p")).collect()
+    assert time.time() - start < 60
+    for r in got:
+        assert r.p == pytest.approx(plain(r.a, r.b, r.c, r.d), rel=1e-6)
+
+
+def test_search_deals_targets_to_tasks(spark):
+    one = spark.range(400).select(F.col("id").alias("target"), F.lit("ACDEFGHIKL").alias("sequence")).coalesce(1)
+    found = alignment.search(one.limit(1).withColumnRenamed("target", "query"), one, 1000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 400 and "Repartition" in plan and plan.index("MapInArrow") < plan.index("Repartition")
