@@ -65,14 +65,11 @@ def poisson_weight(key: Column, replicate: Column, salt: str, most: int = 8) ->
     """Poisson(1) count of a row in a bootstrap replicate, by the inverse CDF of a keyed uniform."""
     import math
 
-    u, out, total = keyed_uniform(key, salt, replicate), F.lit(most), 0.0
-    steps = []
+    u, edges, total = keyed_uniform(key, salt, replicate), [], 0.0
     for k in range(most):
         total += math.exp(-1) / math.factorial(k)
-        steps.append((k, total))
-    for k, edge in reversed(steps):
-        out = F.when(u < edge, k).otherwise(out)
-    return out
+        edges.append(total)
+    return sum((u >= edge).cast("int") for edge in edges)  # no branches, so that the uniform is computed once
 
 
 def global_shuffle(df: DataFrame, key: str, salt: str) -> DataFrame:

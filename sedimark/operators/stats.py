@@ -33,8 +33,7 @@ def bootstrap_means(df: DataFrame, keys: Sequence[str], entity: str, value: str,
     x replicates stream through one map-side combined aggregate. Fewer than three finite values: no interval."""
     v = df.where(finite(F.col(value)).isNotNull())
     n = v.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    reps = v.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", poisson_weight(F.col(entity), F.col("rep"), salt)).where("__w > 0")
-    means = reps.groupBy(*keys, "rep").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("m"))
+    means = _replicated(v, keys, entity, value, replicates, salt)
     tail = (1 - level) / 2
     ci = means.groupBy(*keys).agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))
     out = n.join(ci, list(keys), "left") if keys else n.join(ci, F.lit(True), "left")
@@ -231,9 +230,10 @@ def paired_wins(left: DataFrame, right: DataFrame, keys: Sequence[str], value: s
 
 
 def _replicated(df: DataFrame, keys: Sequence[str], entity: str, value: str, replicates: int, salt: str) -> DataFrame:
-    """(keys, rep, m): the mean of each Poisson bootstrap replicate, one map-side combined aggregate."""
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", poisson_weight(F.col(entity), F.col("rep"), salt)).where("__w > 0")
-    return reps.groupBy(*keys, "rep").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("m"))
+    """(keys, rep, m): the mean of each Poisson bootstrap replicate of finite values (null where none is drawn), one map-side combined aggregate.
+    Rows that are not drawn count nothing; a filter would compute every weight once more."""
+    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("__w", poisson_weight(F.col(entity), F.col("rep"), salt))
+    return reps.groupBy(*keys, "rep").agg(F.try_divide(F.sum(F.col("__w") * F.col(value)), F.sum("__w")).alias("m"))
 
 
 def two_sample_gap(df: DataFrame, keys: Sequence[str], side: Column, entity: str, value: str, replicates: int, salt: str, level: float = 0.95, least: int = 1) -> DataFrame:

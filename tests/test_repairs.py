@@ -185,3 +185,11 @@ def test_search_deals_targets_to_tasks(spark):
     found = alignment.search(one.limit(1).withColumnRenamed("target", "query"), one, 1000)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 400 and "Repartition" in plan and plan.index("MapInArrow") < plan.index("Repartition")
+
+
+def test_bootstrap_weights_are_computed_once(spark):
+    d = spark.createDataFrame([(i % 2, i, float(i)) for i in range(40)], "g int, id int, v double")
+    for out in (stats.two_sample_gap(d, ["g"], F.col("id") % 3 == 0, "id", "v", 10, "s"), stats.bootstrap_means(d, ["g"], "id", "v", 10, "s")):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.split("\n") if "Filter" in line and "sha1" in line]
+        assert all(r.low <= r.high for r in out.collect())
