@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ def key_seed(key: Column) -> Column:
     return F.conv(F.substring(F.sha1(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once per row: a column that a lambda uses would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def keyed_uniform(key: Column, *salt) -> Column:
     """Uniform in [0, 1) from a key and salts: the first 13 hex digits of a sha1 over 2**52."""
     parts = F.concat_ws("|", key.cast("string"), *[F.lit(str(s)) if not isinstance(s, Column) else s.cast("string") for s in salt])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sedimark.functions.scalars import AMINO, bucket_size, keyed_hash, keyed_uniform
+from sedimark.functions.scalars import AMINO, bucket_size, keyed_hash, keyed_uniform, once
 from sedimark.operators.windows import running_sum
 
 #: Fixed values of the document format: its section and statement words.
@@ -53,14 +53,19 @@ def parse_document(document: Column, length: Column, n_term: Column, modulus: in
     names = F.create_map(*[F.lit(x) for kv in AMINO.items() for x in kv])
     head = F.element_at(F.split(document, F.lit(STATEMENTS)), 1)
     body = F.element_at(F.split(document, F.lit(STATEMENTS)), -1)
-    where = lambda p: F.pmod(p.cast("int") - n_term, F.lit(modulus))
+    where = lambda p, first: F.pmod(p.cast("int") - first, F.lit(modulus))
     rows = F.arrays_zip(F.regexp_extract_all(head, F.lit(r"<p(\d+)>\s+<([A-Z]{3})>"), F.lit(1)).alias("p"), F.regexp_extract_all(head, F.lit(r"<p(\d+)>\s+<([A-Z]{3})>"), F.lit(2)).alias("aa"))
-    placed = F.map_from_entries(F.array_distinct(F.transform(rows, lambda r: F.struct(where(r["p"]), F.coalesce(F.try_element_at(names, r["aa"]), F.lit("X"))))))
-    letters = F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.coalesce(F.try_element_at(placed, i), F.lit("X")))
-    sequence = F.when(length > 0, F.array_join(letters, "")).otherwise("")
+    placed = lambda first: F.map_from_entries(F.array_distinct(F.transform(rows, lambda r: F.struct(where(r["p"], first), F.coalesce(F.try_element_at(names, r["aa"]), F.lit("X"))))))
+    letters = lambda first: once(placed(first), lambda m: F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.coalesce(F.try_element_at(m, i), F.lit("X"))))
     ends = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(r"<contact>\s+<p(\d+)>\s+<p(\d+)>"), F.lit(g)).alias(n) for g, n in ((1, "a"), (2, "b"))])
-    pairs = F.transform(ends, lambda e: F.struct(F.least(where(e["a"]), where(e["b"])).alias("i"), F.greatest(where(e["a"]), where(e["b"])).alias("j")))
-    return F.struct(sequence.alias("sequence"), F.array_sort(F.array_distinct(F.filter(pairs, lambda p: p["j"] < length))).alias("pairs"))
+    inside = lambda pairs: F.filter(pairs, lambda p: p["j"] < length)
+    pairs = lambda first: F.transform(ends, lambda e: F.struct(F.least(where(e["a"], first), where(e["b"], first)).alias("i"), F.greatest(where(e["a"], first), where(e["b"], first)).alias("j")))
+
+    def read(first: Column) -> Column:
+        sequence = F.when(length > 0, F.array_join(letters(first), "")).otherwise("")
+        return F.struct(sequence.alias("sequence"), F.array_sort(F.array_distinct(inside(pairs(first)))).alias("pairs"))
+
+    return once(n_term, read)
 
 
 def build_documents(entries: DataFrame, contacts: DataFrame, context: int, least_degree: float = 0.0, modulus: int = 2000) -> DataFrame:
@@ -72,16 +77,17 @@ def build_documents(entries: DataFrame, contacts: DataFrame, context: int, least
     space. The hash order replaces a sequential generator, so results don't depend on partitions."""
     start = F.floor(keyed_uniform(F.col("entry_id"), "start") * modulus).cast("int")
     n = F.size("sequence")
-    head = F.array_join(F.flatten(F.transform("sequence", lambda r, i: F.array(F.concat(F.lit("<p"), F.pmod(i + start, F.lit(modulus)).cast("string"), F.lit(">")), F.concat(F.lit("<"), r, F.lit(">"))))), " ")
+    told = lambda first: F.transform("sequence", lambda r, i: F.concat_ws(" ", F.concat(F.lit("<p"), F.pmod(i + first, F.lit(modulus)).cast("string"), F.lit(">")), F.concat(F.lit("<"), r, F.lit(">"))))
+    head = F.array_join(once(start, told), " ")
     base = entries.select("entry_id", head.alias("head"), start.alias("start"), F.greatest(F.floor((F.lit(context) - 2 * n - 3) / 3), F.lit(0)).alias("budget"))
     c = contacts.where(F.col("degree") >= least_degree).withColumn("__r", F.row_number().over(W.partitionBy("entry_id").orderBy(F.desc("degree"), "i", "j")))
-    counts = c.groupBy("entry_id").agg(F.count("*").alias("__n"))
-    kept = c.join(base.select("entry_id", "start", "budget"), "entry_id").where("__r <= budget")
+    c = c.join(base.select("entry_id", "start", "budget"), "entry_id")
     p = lambda x: F.concat(F.lit("<p"), F.pmod(F.col(x) + F.col("start"), F.lit(modulus)).cast("string"), F.lit(">"))
     coin = keyed_uniform(F.col("entry_id"), "coin", F.col("i"), F.col("j")) < 0.5
-    line = F.concat_ws(" ", F.lit(CONTACT), F.when(coin, p("i")).otherwise(p("j")), F.when(coin, p("j")).otherwise(p("i")))
-    lines = kept.groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct(keyed_hash(F.col("entry_id"), "order", F.col("i"), F.col("j")).alias("h"), line.alias("line")))).alias("lines"))  # bounded by the budget
-    out = base.join(counts, "entry_id", "left").join(lines, "entry_id", "left")
+    line = F.concat_ws(" ", F.lit(CONTACT), F.when(coin, F.concat_ws(" ", p("i"), p("j"))).otherwise(F.concat_ws(" ", p("j"), p("i"))))
+    kept = F.when(F.col("__r") <= F.col("budget"), F.struct(keyed_hash(F.col("entry_id"), "order", F.col("i"), F.col("j")).alias("h"), line.alias("line")))
+    lines = c.groupBy("entry_id").agg(F.count("*").alias("__n"), F.array_sort(F.collect_list(kept)).alias("lines"))  # bounded by the budget; a list leaves nulls out
+    out = base.join(lines, "entry_id", "left")
     body = F.coalesce(F.array_join(F.transform("lines", lambda x: x["line"]), " "), F.lit(""))
     text = F.concat_ws(" ", F.lit(SEQUENCE), F.when(F.col("head") != "", F.col("head")), F.lit(STATEMENTS), F.when(body != "", body), F.lit(END))
     kept_n, total = F.coalesce(F.size("lines"), F.lit(0)), F.coalesce("__n", F.lit(0))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimark.functions import scalars
-from sedimark.operators import alignment, curation, filters, joins, stats, windows
+from sedimark.operators import alignment, codecs, curation, filters, joins, stats, windows
 from sedimark.plans.selection import exact_passages
 from sedimark.sources import sinks
 
@@ -193,3 +193,26 @@ def test_bootstrap_weights_are_computed_once(spark):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert not [line for line in plan.split("\n") if "Filter" in line and "sha1" in line]
         assert all(r.low <= r.high for r in out.collect())
+
+
+def test_documents_compute_their_offset_once(spark):
+    names = ["ALA", "GLY", None, "TRP"]
+    entries = spark.createDataFrame([("e", names)], "entry_id string, sequence array<string>")
+    contacts = spark.createDataFrame([("e", 0, 3, 2.0), ("e", 1, 3, 1.0), ("e", 0, 2, 0.5)], "entry_id string, i int, j int, degree double")
+    docs = codecs.build_documents(entries, contacts, 17, least_degree=0.6)
+    row = docs.first()
+    assert (row.n_contacts, row.n_excluded, row.truncated) == (2, 0, False) and row.document.count("<p") == 8
+    start = int(row.document.split("<p")[1].split(">")[0])
+    parsed = docs.select(codecs.parse_document(F.col("document"), F.lit(4), F.lit(start)).alias("d"))
+    assert parsed.first().d.asDict(True) == {"sequence": "AGXW", "pairs": [{"i": 0, "j": 3}, {"i": 1, "j": 3}]}
+    plan = parsed._jdf.queryExecution().analyzed().toString()
+    assert plan.index("map_from_entries") < plan.index("sequence(0")  # outside the lambda over the letters
+    tight = codecs.build_documents(entries, contacts, 14).first()
+    assert (tight.n_contacts, tight.n_excluded, tight.truncated) == (1, 2, True)
+
+
+def test_soft_lddt_bins_are_dealt_to_tasks(spark):
+    from sedimark.plans.registry import QUERIES
+
+    plan = QUERIES["soft_lddt_of_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2
