@@ -110,7 +110,7 @@ def half_precision_ranks(spark, t):
     d = t("events").select("event_id", "user_id", S.half_precision(F.col("value") * 137 / F.pow(F.lit(10.0), F.col("event_id") % 3 * 4)).alias("half"))
     from pyspark.sql import Window
 
-    return d.withColumn("place", F.rank().over(Window.partitionBy("user_id").orderBy("half")).cast("long")).drop("user_id")
+    return d.withColumn("place", F.rank().over(Window.partitionBy("user_id").orderBy(F.asc_nulls_last("half"))).cast("long")).drop("user_id")
 
 
 def _p_sql(z: str) -> str:

@@ -216,3 +216,18 @@ def test_soft_lddt_bins_are_dealt_to_tasks(spark):
 
     plan = QUERIES["soft_lddt_of_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 2
+
+
+def test_half_precision_ranks_on_odd_values(spark, tmp_path):
+    import duckdb
+
+    from sedimark.plans.registry import QUERIES, SQL
+
+    r = random.Random(3)
+    values = [None, 0.0, -0.0, 1e9, -1e9] + [r.choice((-1, 1)) * 2.0 ** r.randint(-30, 20) / 137 * (1 + r.choice((0, 1e-16, -1e-16, 2e-16, 2.0**-11))) for _ in range(3000)] + [r.expovariate(0.02) for _ in range(3000)]
+    pd.DataFrame({"event_id": range(len(values)), "user_id": [i % 7 for i in range(len(values))], "value": values}).to_parquet(tmp_path / "events.parquet", index=False)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    want = sorted(con.execute(f"SELECT event_id, half, place FROM ({SQL['half_precision_ranks']})").fetchall(), key=lambda x: x[0])
+    got = sorted(((x.event_id, x.half, x.place) for x in QUERIES["half_precision_ranks"](spark, str(tmp_path)).collect()), key=lambda x: x[0])
+    assert [(a, b) for a, b in zip(got, want) if a != b] == []
