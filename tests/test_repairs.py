@@ -231,3 +231,14 @@ def test_half_precision_ranks_on_odd_values(spark, tmp_path):
     want = sorted(con.execute(f"SELECT event_id, half, place FROM ({SQL['half_precision_ranks']})").fetchall(), key=lambda x: x[0])
     got = sorted(((x.event_id, x.half, x.place) for x in QUERIES["half_precision_ranks"](spark, str(tmp_path)).collect()), key=lambda x: x[0])
     assert [(a, b) for a, b in zip(got, want) if a != b] == []
+
+
+def test_distance_join_in_tiles_of_a_crowded_cell(spark):
+    """All rows in one grid cell, read as one partition: every pair is found, and more than one task finds them."""
+    points = [(i, (i * 37 % 100) / 100, (i * 53 % 100) / 100) for i in range(120)]
+    df = spark.createDataFrame(points, "id long, x double, y double").coalesce(1)
+    out = joins.within_distance(df, df, 0.5, ("x", "y"), size=16).withColumn("task", F.spark_partition_id())
+    got = out.collect()
+    want = {(a, b) for a, x, y in points for b, u, v in points if math.sqrt((x - u) ** 2 + (y - v) ** 2) <= 0.5}
+    assert len(got) == len(want) and {(r.a_id, r.b_id) for r in got} == want
+    assert len({r.task for r in got}) > 1
