@@ -324,20 +324,30 @@ def cross_validated_ridge(df: DataFrame, key: str, features: Sequence[str], targ
 
 def all_identity(rows: DataFrame, group: str, item: str, aligned: str, threshold: float = 0.8, size: int = 512, gap: str = "-") -> DataFrame:
     """(group, item, n_neighbours): how many rows of the group's alignment, itself included, agree at `threshold` or more of the places where
-    both have a letter (no such place: identity 0). Rows are dealt to blocks, and blocks of a group meet two by two in tiles: what
-    leaves a tile is a count per row, never a pair."""
-    fields = dict(rows.select(group, item).dtypes)
-    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("__k"))
-    d = rows.select(group, item, aligned).join(counts, group).withColumn("__b", F.pmod(F.xxhash64(item), F.col("__k")).cast("int"))
+    both have a letter (no such place: identity 0). Equal rows of a group are one class before anything is compared."""
+    classes = _class_neighbours(rows, group, aligned, threshold, size, gap)
+    c = classes.select(F.col(group).alias("__g"), F.col(aligned).alias("__s"), "n_neighbours")
+    return rows.join(c, (F.col(group) == F.col("__g")) & (F.col(aligned) == F.col("__s"))).select(group, item, "n_neighbours")
+
+
+def _class_neighbours(rows: DataFrame, group: str, aligned: str, threshold: float, size: int = 512, gap: str = "-") -> DataFrame:
+    """(group, aligned, __w, n_neighbours): the classes of equal rows of each group, how many rows they have, and how many rows of the group are
+    near them. Classes are dealt to blocks, and blocks of a group meet two by two in tiles: what leaves a tile is a count per class, never
+    a pair. The work grows with the square of a group's distinct rows."""
+    fields = dict(rows.select(group, aligned).dtypes)
+    classes = rows.groupBy(group, aligned).agg(F.count("*").alias("__w"))
+    counts = classes.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("__k"))
+    d = classes.join(counts, group).withColumn("__b", F.pmod(F.xxhash64(aligned), F.col("__k")).cast("int"))
     left = d.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    right = d.select(F.col(group).alias("__g"), F.col(aligned).alias("__s"), F.col("__b").alias("__r"), F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__l"))
+    right = d.select(F.col(group).alias("__g"), F.col(aligned).alias("__s"), F.col("__w").alias("__m"), F.col("__b").alias("__r"), F.explode(F.sequence(F.lit(0), F.col("__k") - 1)).alias("__l"))
 
     def tile(a, b):
         import numpy as np
         import pyarrow as pa
 
+        head = {c: a.column(c) for c in (group, aligned, "__w")}
         if not a.num_rows or not b.num_rows:
-            return pa.table({group: a.column(group), item: a.column(item), "n": pa.array(np.zeros(a.num_rows, "i8"))})
+            return pa.table({**head, "n": pa.array(np.zeros(a.num_rows, "i8"))})
         matrix = lambda t, c: np.frombuffer("".join(t.column(c).to_pylist()).encode("ascii", "replace"), "u1").reshape(t.num_rows, -1)
         x, y = matrix(a, aligned), matrix(b, "__s")
         nx, ny = (x != ord(gap)).astype("f4"), (y != ord(gap)).astype("f4")
@@ -347,12 +357,12 @@ def all_identity(rows: DataFrame, group: str, item: str, aligned: str, threshold
             if c != ord(gap):
                 same += (x == c).astype("f4") @ (y == c).astype("f4").T
         near = np.where(both > 0, same / np.maximum(both, 1), 0) >= threshold
-        return pa.table({group: a.column(group), item: a.column(item), "n": pa.array(near.sum(axis=1).astype("i8"))})
+        return pa.table({**head, "n": pa.array(np.where(near, b.column("__m").to_numpy(), 0).sum(axis=1))})
 
-    out = left.groupBy(group, "__b", "__o").cogroup(right.groupBy("__g", "__l", "__r")).applyInArrow(tile, f"{group} {fields[group]}, {item} {fields[item]}, n long")
-    return out.groupBy(group, item).agg(F.sum("n").alias("n_neighbours"))
+    out = left.groupBy(group, "__b", "__o").cogroup(right.groupBy("__g", "__l", "__r")).applyInArrow(tile, f"{group} {fields[group]}, {aligned} {fields[aligned]}, __w long, n long")
+    return out.groupBy(group, aligned).agg(F.first("__w").alias("__w"), F.sum("n").alias("n_neighbours"))
 
 
 def effective_depth(rows: DataFrame, group: str, item: str, aligned: str, threshold: float = 0.8) -> DataFrame:
-    """(group, neff): sum over the rows of an alignment of 1 / (number of neighbours)."""
-    return all_identity(rows, group, item, aligned, threshold).groupBy(group).agg(F.sum(1 / F.col("n_neighbours")).alias("neff"))
+    """(group, neff): sum over the rows of an alignment of 1 / (number of neighbours), from its classes of equal rows."""
+    return _class_neighbours(rows, group, aligned, threshold).groupBy(group).agg(F.sum(F.col("__w") / F.col("n_neighbours")).alias("neff"))

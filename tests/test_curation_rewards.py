@@ -130,3 +130,11 @@ def test_sampling_follows_the_back_end(spark):
     again = {r.id: r.sampled for r in backends.sampled(df.repartition(7), "id", "ids", lambda: backends.Bigrams(counts, 0), 6, 3).collect()}
     assert all(again[r.id] == r.sampled for r in rows)
     assert backends.teacher_forced(df.limit(1), "id", "ids", lambda: backends.Bigrams(counts, 0)).first().logprobs[0] > -1e-6
+
+
+def test_effective_depth_compares_classes_of_equal_rows(spark):
+    """Ten thousand rows of three kinds are three rows to compare; each row still counts."""
+    kinds = ["AAAA", "AAAC", "CCCC"]
+    df = spark.range(10_000).select(F.lit(1).alias("g"), "id", F.get(F.array(*[F.lit(k) for k in kinds]), F.pmod("id", F.lit(3)).cast("int")).alias("s"))
+    assert {r.s: (r["__w"], r.n_neighbours) for r in T._class_neighbours(df, "g", "s", 0.7, size=2).collect()} == {"AAAA": (3334, 6667), "AAAC": (3333, 6667), "CCCC": (3333, 3333)}
+    assert abs(T.effective_depth(df, "g", "id", "s", 0.7).first().neff - 2.0) < 1e-9
