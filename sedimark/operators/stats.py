@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from sedimark.operators.aggregates import finite
 from sedimark.operators.sampling import poisson_weight
-from sedimark.operators.windows import average_ranks, count_ranks, value_counts
+from sedimark.operators.windows import average_ranks, bounded, count_ranks, cut_edges, value_counts, with_cut
 
 
 def paired_difference(df: DataFrame, entity: str, model: str, value: str) -> DataFrame:
@@ -46,27 +46,42 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def _rank_counts(df: DataFrame, keys: Sequence[str], values: dict[str, str]) -> DataFrame:
-    """keys, values, __n and the rank of each value (named as asked) less the key's mean rank: from one count of the rows' distinct
-    values, to which the ranks of each single value are joined back."""
-    c = out = value_counts(df, keys, list(values))
-    for i, (v, name) in enumerate(values.items()):
-        r = count_ranks(c.groupBy(*keys, v).agg(F.sum("__n").alias("__n")).where("__n > 0"), keys, v, "__r", "__all")
+def _rank_products(df: DataFrame, keys: Sequence[str], values: Sequence[str], parts: int = 256) -> DataFrame:
+    """keys, n and __m: the sums, row by row of their matrix, of products of the values' mean ranks, each less the key's mean rank.
+
+    The ranks of all values but the last are looked up by the rows, which are then summed up by the last value; that is ranked inside
+    cuts and the cuts' sums are shifted by the rows before, so no rank of it is joined to anything. Best with the value of most
+    distinct numbers last. Ranks of few values are broadcast (`bounded`)."""
+    last, first = values[-1], list(values[:-1])
+    edges = bounded(cut_edges(df, keys, last, parts))
+    d = df
+    for i, v in enumerate(first):
+        r = count_ranks(value_counts(df.select(*keys, v), keys, [v]), keys, v, "__r", "__all")
         names = {x: f"__{i}_{k}" for k, x in enumerate([*keys, v])}
-        r = r.select(*[F.col(x).alias(n) for x, n in names.items()], (F.col("__r") - (F.col("__all") + 1) / 2.0).alias(name))
-        out = out.join(r, [F.col(x).eqNullSafe(F.col(n)) for x, n in names.items()]).drop(*names.values())
-    return out
+        r = bounded(r.select(*[F.col(x).alias(n) for x, n in names.items()], (F.col("__r") - (F.col("__all") + 1) / 2.0).alias(f"__a{i}")))
+        d = d.join(r, [F.col(x).eqNullSafe(F.col(n)) for x, n in names.items()]).drop(*names.values())
+    pairs = [(i, j) for i in range(len(first)) for j in range(i, len(first))]
+    single, product = [f"__s{i}" for i in range(len(first))], [f"__p{i}_{j}" for i, j in pairs]
+    d = d.groupBy(*keys, last).agg(F.count("*").alias("__n"), *[F.sum(f"__a{i}").alias(s) for i, s in enumerate(single)], *[F.sum(F.col(f"__a{i}") * F.col(f"__a{j}")).alias(p) for (i, j), p in zip(pairs, product)])
+    d = with_cut(d, keys, last, edges, parts)
+    inside = F.sum("__n").over(W.partitionBy(*keys, "__c").orderBy(last).rowsBetween(W.unboundedPreceding, 0)) - (F.col("__n") - 1) / 2.0
+    d = d.withColumn("__i", inside)
+    n, at = F.col("__n").cast("double"), F.col("__i")
+    cuts = d.groupBy(*keys, "__c").agg(F.sum("__n").alias("__rows"), F.sum(n * at).alias("__t1"), F.sum(n * at * at).alias("__t2"), *[F.sum(s).alias(s) for s in single], *[F.sum(F.col(s) * at).alias(f"{s}i") for s in single], *[F.sum(p).alias(p) for p in product])
+    before = F.coalesce(F.sum("__rows").over(W.partitionBy(*keys).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per cut
+    cuts = cuts.withColumn("__b", before - (F.sum("__rows").over(W.partitionBy(*keys)) + 1) / 2.0)
+    k, by = len(values), F.col("__b")
+    cell = {(i, j): F.sum(p) for (i, j), p in zip(pairs, product)} | {(i, k - 1): F.sum(F.col(f"{s}i") + by * F.col(s)) for i, s in enumerate(single)} | {(k - 1, k - 1): F.sum(F.col("__t2") + 2 * by * F.col("__t1") + by * by * F.col("__rows"))}
+    return cuts.groupBy(*keys).agg(F.sum("__rows").alias("n"), F.array(*[cell[min(i, j), max(i, j)] for i in range(k) for j in range(k)]).alias("__m"))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with average ranks; rows with a missing side go first; fewer than three rows or a constant side: NaN. The input is
-    read once: counts of (x, y) give both ranks, and sums of centred ranks the correlation."""
+    """Rank correlation with average ranks; rows with a missing side go first; fewer than three rows or a constant side: NaN (see
+    _rank_products; y is the side of more distinct numbers at best)."""
     d = df.select(*keys, finite(F.col(x)).alias("__x"), finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
-    d = _rank_counts(d, keys, {"__x": "__a", "__y": "__b"})
-    s = lambda a, b: F.sum(F.col("__n") * F.col(a) * F.col(b))
-    ok = (F.sum("__n") >= 3) & (s("__a", "__a") > 0) & (s("__b", "__b") > 0)
-    rho = F.try_divide(s("__a", "__b"), F.sqrt(s("__a", "__a")) * F.sqrt(s("__b", "__b")))
-    return d.groupBy(*keys).agg(F.sum("__n").alias("n"), F.when(ok, rho).otherwise(float("nan")).alias("rho"))
+    xx, xy, yy = (F.get("__m", F.lit(i)) for i in (0, 1, 3))
+    ok = (F.col("n") >= 3) & (xx > 0) & (yy > 0)
+    return _rank_products(d, keys, ["__x", "__y"]).select(*keys, "n", F.when(ok, F.try_divide(xy, F.sqrt(xx) * F.sqrt(yy))).otherwise(float("nan")).alias("rho"))
 
 
 def auc(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
@@ -181,12 +196,10 @@ def partial_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, control
     """keys, n, rho: correlation of what is left of the ranks of x and y when those of the controls are fitted, by group; rows with a missing
     value are left out; NaN for no more rows than controls and two, or where nothing is left of a side.
 
-    Ranks come from counts of the values, the groups' products of centred ranks from one aggregate; a task gets a matrix per group."""
-    names = [x, y, *controls]
+    Products of centred ranks come from _rank_products, y last; a task gets a matrix per group."""
+    names = [x, *controls, y]
     d = df.select(*keys, *[finite(F.col(c)).alias(f"__v{i}") for i, c in enumerate(names)]).where(" and ".join(f"__v{i} is not null" for i in range(len(names))))
-    d = _rank_counts(d, keys, {f"__v{i}": f"__r{i}" for i in range(len(names))})
-    cross = F.array(*[F.sum(F.col("__n") * F.col(f"__r{i}") * F.col(f"__r{j}")) for i in range(len(names)) for j in range(len(names))])
-    g = d.groupBy(*keys).agg(F.sum("__n").alias("n"), cross.alias("__m"))
+    g = _rank_products(d, keys, [f"__v{i}" for i in range(len(names))])
 
     @F.pandas_udf("double")
     def left(n, m):
@@ -194,7 +207,7 @@ def partial_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, control
         import pandas as pd
 
         def one(n, m):
-            c = np.array(m, float).reshape(len(names), -1)
+            c = np.roll(np.array(m, float).reshape(len(names), -1), (1, 1), (0, 1))  # y, x, controls
             a, b, z = c[:2, :2], c[:2, 2:], c[2:, 2:]
             rest = a - b @ np.linalg.pinv(z) @ b.T
             if n <= len(controls) + 2 or min(rest[0, 0], rest[1, 1]) <= 1e-9 * max(1.0, a.max()):

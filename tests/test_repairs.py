@@ -242,3 +242,12 @@ def test_distance_join_in_tiles_of_a_crowded_cell(spark):
     want = {(a, b) for a, x, y in points for b, u, v in points if math.sqrt((x - u) ** 2 + (y - v) ** 2) <= 0.5}
     assert len(got) == len(want) and {(r.a_id, r.b_id) for r in got} == want
     assert len({r.task for r in got}) > 1
+
+
+def test_rank_correlation_joins_no_ranks_to_its_last_value(spark):
+    """Rows look up ranks of the first value and cuts of the last one; the last one's own ranks are summed where they are."""
+    df = spark.createDataFrame(hot(), "k string, x double, y double")
+    for out in (stats.spearman(df, ["k"], "x", "y"), stats.partial_spearman(df, ["k"], "y", "x", ["y"])):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" not in plan and plan.count("HashJoin") <= 3
