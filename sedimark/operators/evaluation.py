@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from sedimark.operators.stats import correlation
-from sedimark.operators.windows import place
+from sedimark.operators.windows import least_rows
 
 
 def select_best(runs: DataFrame, keys: Sequence[str], score: str, order: Sequence[str]) -> DataFrame:
@@ -76,10 +76,10 @@ def group_diagnostics(ballots: DataFrame) -> DataFrame:
 
 def likelihood_selection(df: DataFrame, target: str, loss: str, quality: str, tie: str) -> DataFrame:
     """Per target: quality of the least loss, best of the lowest 1 % of losses, mean, oracle, and the gap closed by selection."""
-    sizes = df.groupBy(F.col(target).alias("__k")).agg(F.count("*").alias("__n"))
-    d = place(df, [target], loss, [tie], "__r").join(sizes, F.col(target).eqNullSafe(F.col("__k")))
-    cut = F.greatest(F.lit(1), F.floor(F.col("__n") / 100))
-    g = d.groupBy(target).agg(F.max(F.when(F.col("__r") == 1, F.col(quality))).alias("selected"), F.max(F.when(F.col("__r") <= cut, F.col(quality))).alias("best_1pct"), F.avg(quality).alias("mean"), F.max(quality).alias("oracle"))
+    whole = df.groupBy(target).agg(F.min_by(quality, F.struct(loss, tie)).alias("selected"), F.avg(quality).alias("mean"), F.max(quality).alias("oracle"))
+    below, at = least_rows(df, [target], loss, tie)
+    best = below.select(target, quality).unionByName(at.select(target, quality)).groupBy(F.col(target).alias("__k")).agg(F.max(quality).alias("best_1pct"))
+    g = whole.join(best, F.col(target).eqNullSafe(F.col("__k"))).select(target, "selected", "best_1pct", "mean", "oracle")
     return g.withColumn("gap_closed", F.try_divide(F.col("selected") - F.col("mean"), F.col("oracle") - F.col("mean")))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimark.functions import scalars
-from sedimark.operators import alignment, codecs, curation, filters, joins, stats, windows
+from sedimark.operators import alignment, codecs, curation, evaluation, filters, joins, stats, windows
 from sedimark.plans.selection import exact_passages
 from sedimark.sources import sinks
 
@@ -251,3 +251,17 @@ def test_rank_correlation_joins_no_ranks_to_its_last_value(spark):
         out.collect()
         plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert "SortMergeJoin" not in plan and plan.count("HashJoin") <= 3
+
+
+def test_smallest_share_orders_only_ties_of_the_last_value(spark):
+    """Two values, one hot: a few rows of the hot value are taken by tie, and no task is handed all rows of the value to sort."""
+    rows = [("a", 1.0, (i * 7919) % 6000, float(i)) for i in range(6000)] + [("a", 0.0, i, -1.0) for i in range(10)] + [("b", None, 5, 2.0), ("b", 3.0, 1, 4.0)]
+    df = spark.createDataFrame(rows, "k string, v double, id long, q double").select("k", "v", "q", F.struct("id", "q").alias("t")).repartition(4)
+    got = {(x.k, x.v, x.t.id) for x in windows.smallest_share(df, ["k"], "v", "t").collect()}
+    assert got == {("a", 0.0, i) for i in range(10)} | {("a", 1.0, i) for i in range(50)} | {("b", None, 5)}
+    below, at = windows.least_rows(df, ["k"], "v", "t")
+    assert below.count() == 10 and at.count() == 51
+    cuts = windows._cut(df.where("v = 1.0").withColumn("i", F.col("t.id")), ["k"], "i", 256).groupBy("__c").count()
+    assert cuts.agg(F.max("count")).first()[0] < 100
+    out = {x.a: (x.selected, x.best_1pct) for x in evaluation.likelihood_selection(df.withColumnRenamed("k", "a"), "a", "v", "q", "t").collect()}
+    assert out["a"] == (-1.0, max(q for _, v, i, q in rows[:6000] if i < 50)) and out["b"] == (2.0, 2.0)
