@@ -80,7 +80,44 @@ def binned(df: DataFrame, key: str, features: Sequence[str], target: str, edges:
 def _matrix(column, width: int):
     import numpy as np
 
-    return np.frombuffer(b"".join(column.to_pylist()), "u1").reshape(-1, width).astype("i8")
+    offsets, data = column.buffers()[1:]  # values of one width, without nulls: they lie one after the other
+    start = int(np.frombuffer(offsets, "i4", 1, column.offset * 4)[0])
+    return np.frombuffer(data, "u1", len(column) * width, start).reshape(-1, width).astype("i8")
+
+
+def packed(rows: DataFrame, key: str, width: int, folds: int, parts: int, most: int = 1 << 16, longest: int = 1024) -> DataFrame:
+    """(fold, codes, ys, sums): runs of up to `longest` targets of rows of a fold that have the same bins, and what each fold's model predicts
+    for them (0 yet). Trees are applied once to a run. Rows are dealt by range, a hot set of bins by its keys, and packed `most` at a time."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def made(held):
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            codes, fold = _matrix(b.column("codes"), width), b.column("fold").to_numpy()
+            first = np.ones(len(fold), bool)
+            first[1:] = (fold[1:] != fold[:-1]) | (codes[1:] != codes[:-1]).any(axis=1)
+            at = np.arange(len(fold))
+            first |= (at - np.maximum.accumulate(np.where(first, at, 0))) % longest == 0
+            at = np.flatnonzero(first)
+            ys = pa.ListArray.from_arrays(pa.array(np.append(at, len(fold)), pa.int32()), b.column("y"))
+            sums = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * folds, pa.int32()), pa.array(np.zeros(len(at) * folds)))
+            return pa.RecordBatch.from_arrays([b.column("fold").take(pa.array(at)), b.column("codes").take(pa.array(at)), ys, sums], ["fold", "codes", "ys", "sums"])
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+                if n >= most:
+                    yield made(held)
+                    held, n = [], 0
+        if held:
+            yield made(held)
+
+    dealt = rows.repartitionByRange(parts, "fold", "codes", F.xxhash64(key)).sortWithinPartitions("fold", "codes")
+    return dealt.select("fold", "codes", "y").mapInArrow(run, f"fold {dict(rows.dtypes)['fold']}, codes binary, ys array<double>, sums array<double>")
 
 
 @dataclass
@@ -100,7 +137,7 @@ def fit(df: DataFrame, key: str, features: Sequence[str], target: str, folds: in
     """(model, binned rows). Squared loss; rows without a target are left out, a missing feature has a bin of its own below all others.
 
     Rows of a fold are not used by its model. What the driver holds is bounded: folds * 2^depth * features * bins sums at a time, and the
-    trees. Every `every` rounds the rows are checkpointed with what the trees so far predict, so that a pass applies the newest trees only."""
+    trees. Passes read the rows packed by their bins. Every `every` rounds these are checkpointed with what the trees so far predict, so that a pass applies the newest trees only."""
     import numpy as np
 
     names, width = list(features), len(features)
@@ -108,14 +145,15 @@ def fit(df: DataFrame, key: str, features: Sequence[str], target: str, folds: in
     first = df.where(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).agg(F.avg(target).alias("m"), F.stddev_pop(target).alias("s")).first()
     # both rounded, so that the order of a sum doesn't show in them: ten digits, a power of two
     base, unit = float(f"{first['m'] or 0.0:.10g}"), 2.0 ** round(math.log2(first["s"] or 1.0) - 20)
-    rows = checkpointed(binned(df, key, names, target, edges, folds).withColumn("sums", F.array_repeat(F.lit(0.0), folds)))
+    rows = checkpointed(binned(df, key, names, target, edges, folds))
+    runs = checkpointed(packed(rows, key, width, folds, max(df.sparkSession.sparkContext.defaultParallelism, rows.count() >> 20)))
     model, fresh, n_bins = Boosted(names, edges, base, [[] for _ in range(folds)]), [[] for _ in range(folds)], bins + 1
     spark = df.sparkSession
 
     def summed(b, newest):
-        """What each fold's model predicts for a batch: (folds, rows) and the rows' bins."""
+        """The bins of a batch's runs, and what each fold's model predicts for them: (folds, runs)."""
         codes = _matrix(b.column("codes"), width)
-        made = np.array(b.column("sums").to_pylist(), float).reshape(-1, folds).T.copy()
+        made = b.column("sums").flatten().to_numpy().reshape(-1, folds).T.copy()
         for f, trees in enumerate(newest):
             for t in trees:
                 made[f] += t.predict(codes)
@@ -135,19 +173,23 @@ def fit(df: DataFrame, key: str, features: Sequence[str], target: str, folds: in
                 if not b.num_rows:
                     continue
                 codes, made = summed(b, newest)
-                y, fold = b.column("y").to_numpy(), b.column("fold").to_numpy()
+                y, fold = b.column("ys").flatten().to_numpy() - base, b.column("fold").to_numpy()
+                size = b.column("ys").value_lengths().to_numpy()
+                start = np.cumsum(size) - size
                 for f, t in enumerate(trees):
                     use = fold != f
-                    g = np.rint((y[use] - base - made[f][use]) / unit)
-                    at = t.leaves(codes[use])
+                    if not use.any():
+                        continue
+                    g = np.add.reduceat(np.rint((y - np.repeat(made[f], size)) / unit), start)[use]  # whole numbers: exact
+                    n, at = size[use], t.leaves(codes[use])
                     for k in range(width):
                         flat = (at * n_bins) + codes[use][:, k]
-                        count[f][:, k] += np.bincount(flat, minlength=len(t.cut) * n_bins).reshape(-1, n_bins)
+                        count[f][:, k] += np.bincount(flat, n, minlength=len(t.cut) * n_bins).reshape(-1, n_bins).astype("i8")
                         total[f][:, k] += np.bincount(flat, g, minlength=len(t.cut) * n_bins).reshape(-1, n_bins).astype("i8")
             parts = [(f, v, k, c, int(count[f][v, k, c]), int(total[f][v, k, c])) for f in range(folds) for v in wanted[f] for k in range(width) for c in np.flatnonzero(count[f][v, k])]
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], pa.int64()) for i in range(6)], ["f", "v", "k", "c", "n", "g"])
 
-        sums = rows.mapInArrow(run, "f long, v long, k long, c long, n long, g long").groupBy("f", "v", "k", "c").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()
+        sums = runs.mapInArrow(run, "f long, v long, k long, c long, n long, g long").groupBy("f", "v", "k", "c").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).collect()
         out: list[dict] = [{} for _ in range(folds)]
         for r in sums:
             c, g = out[r.f].setdefault(r.v, (np.zeros((width, n_bins), "i8"), np.zeros((width, n_bins), "i8")))
@@ -163,7 +205,7 @@ def fit(df: DataFrame, key: str, features: Sequence[str], target: str, folds: in
             model.trees[f].append(m.tree)
             fresh[f].append(m.tree)
         if (turn + 1) % every == 0 and turn + 1 < rounds:
-            done, schema = spark.sparkContext.broadcast([list(x) for x in fresh]), rows.schema
+            done, schema = spark.sparkContext.broadcast([list(x) for x in fresh]), runs.schema
 
             def applied(batches):
                 import pyarrow as pa
@@ -173,7 +215,7 @@ def fit(df: DataFrame, key: str, features: Sequence[str], target: str, folds: in
                         at = b.schema.names.index("sums")
                         yield b.set_column(at, b.schema.field(at), pa.array(summed(b, done.value)[1].T.tolist(), b.schema.field(at).type))
 
-            rows = checkpointed(rows.mapInArrow(applied, schema))
+            runs = checkpointed(runs.mapInArrow(applied, schema))
             fresh = [[] for _ in range(folds)]
     return model, rows
 

@@ -94,3 +94,12 @@ def test_of_nothing(spark):
     assert scored.count() == 0 and report.count() == 0
     one = spark.createDataFrame([(1, 1.0, 5.0)], "id long, a double, y double")
     assert [r.prediction for r in B.cross_validated(one, "id", ["a"], "y", folds=2, rounds=2)[0].collect()] == [5.0]
+
+
+def test_rows_are_packed_by_their_bins(spark):
+    """Five thousand rows of one set of bins and a few others: runs of bounded length hold every target once, next to its own bins."""
+    rows = [(i, i % 2, float(i), bytes([7, 7]) if i < 5000 else bytes([i % 3, 1])) for i in range(5060)]
+    df = spark.createDataFrame(rows, "id long, fold int, y double, codes binary").repartition(5)
+    got = B.packed(df, "id", 2, 2, parts=3, most=700, longest=100).collect()
+    assert sorted((y, r.fold, bytes(r.codes)) for r in got for y in r.ys) == sorted((y, f, c) for _, f, y, c in rows)
+    assert len(got) < 120 and max(len(r.ys) for r in got) <= 100 and all(r.sums == [0.0, 0.0] for r in got)
