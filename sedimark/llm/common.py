@@ -38,6 +38,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(df: DataFrame) -> DataFrame:
+    """df checkpointed, after a large shuffle. Spark deletes the shuffle files and checkpoints of frames that nobody holds any more when
+    the driver's heap is collected, so that is asked for here: otherwise the disk holds those of all steps so far."""
+    out = checkpointed(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of its own in the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimark.llm.common import checkpointed, chunks, components, key_runs, map_arrow
+from sedimark.llm.common import checkpointed, chunks, components, key_runs, map_arrow, released
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
@@ -86,6 +86,38 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, tables: int =
     return map_arrow(docs.select("doc_id", "text"), make, "doc_id long, fp long" + ", wide array<long>" * bool(tables))
 
 
+def minwise_bits(hashes, words: int):
+    """64 * words bits of a set of hashes, uint64: of as many orders of the hashes, a bit of the first in each. Bits of two sets of Jaccard
+    similarity s differ with probability (1 - s) / 2. An empty set has zeros."""
+    import numpy as np
+
+    n = 64 * words
+    factor = remixed(np.arange(1, n + 1, dtype="u8"), 1) | np.uint64(1)
+    low = np.full(n, np.iinfo("u8").max, "u8")
+    for i in range(0, len(hashes), 256):
+        low = np.minimum(low, (hashes[i : i + 256, None] * factor).min(axis=0))
+    bits = remixed(low, 2) & np.uint64(1) if len(hashes) else np.zeros(n, "u8")
+    return np.packbits(bits.astype("u1"), bitorder="little").view("<u8")
+
+
+def sketches(texts: DataFrame, width: int, words: int, seed: int = 42) -> DataFrame:
+    """node, bits array<long>: the minwise bits of each text's shingles."""
+
+    def make():
+        import numpy as np
+        import pyarrow as pa
+
+        def run(batches):
+            for b in chunks(batches, "text"):
+                found = [minwise_bits(np.unique(shingle_hashes(t, width, seed)), words) for t in b.column("text").cast(pa.binary()).to_pylist()]
+                flat = pa.array(np.concatenate(found).view("i8"))
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * words, pa.int32()), flat)], ["node", "bits"])
+
+        return run
+
+    return map_arrow(texts.select("node", "text"), make, "node long, bits array<long>")
+
+
 def apart(a, b):
     """Differing bits of fingerprints, rows of one or more words."""
     import numpy as np
@@ -433,7 +465,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int, seed:
     return map_arrow(both, make, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 8, bands: int = 80, band_bits: int = 15, most: int = 200_000, block_texts: int = 2048, block_bytes: int = 16 << 20) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5, tables: int = 8, bands: int = 80, band_bits: int = 15, minwise: int = 16, most: int = 200_000, block_texts: int = 2048, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, node, component_id, leads for near copies: texts whose sets of `width`-word shingles have Jaccard similarity
     `similarity` or more, and what is reachable over such links. node is the hash of the row's text (equal texts are one),
     component_id the smallest doc_id of the component (null: no row of it has one). leads marks the component's first row by
@@ -446,13 +478,16 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
 
     First each document is verified against up to two candidates, leaders before others, which joins the tight groups. Those
     candidates also make families, and a family's texts are dealt to blocks of about `block_texts` texts or `block_bytes` bytes. Then
-    every candidate pair whose ends are still in different parts names the cell of its two blocks; a text travels once to each
-    cell that needs it, where all pairs are decided at once. So no pair leaves a task, a cell is bounded (a longer text is alone
-    in its block), and no pair of candidates stays undecided. Runs and memory are as in near_duplicates.
+    every pair of a band whose ends are still in different parts names the cell of its two blocks, unless 64 * minwise bits of both
+    sets (minwise_bits) tell them apart: more of these differ than the expected number at `similarity` plus four standard deviations. A text
+    travels once to each cell that needs it, where all pairs are decided at once. So no pair leaves a task, a cell is bounded (a longer
+    text is alone in its block), and no pair of candidates stays undecided. Runs and memory are as in near_duplicates.
     """
     bits, sent = 64 * tables, max(1, tables // 2)
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = int(64 * sent * p + 4 * math.sqrt(64 * sent * p * (1 - p)))
+    q = (1 - similarity) / 2
+    near = int(64 * minwise * q + 4 * math.sqrt(64 * minwise * q * (1 - q)))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     prints = fingerprints(rows.select(F.col("node").alias("doc_id"), "text"), width, tables=tables)
     prints = checkpointed(prints.groupBy(F.col("doc_id").alias("node")).agg(F.first("wide").alias("wide")))
@@ -468,15 +503,15 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
 
     def keyed(of: DataFrame, *more: str) -> DataFrame:
         flat = of.select("node", *more, *[F.col("wide")[k].alias(w) for k, w in enumerate(words)])
-        return flat.select(F.explode(F.array(*[F.lit(i << 32) + band(s) for i, s in enumerate(starts)])).alias("key"), *words[:sent], "node", *more)
+        return flat.select(F.explode(F.array(*[F.lit(i << 32) + band(s) for i, s in enumerate(starts)])).alias("key"), "node", *more, *[w for w in words[:sent] if not more])
 
     first = _by_key(keyed(prints), ["node"], words[:sent], first_partners(radius), most)
-    first = checkpointed(first.groupBy("a").agg(F.min(F.when(F.col("a") != F.col("b"), F.col("b"))).alias("low"), F.max(F.when(F.col("a") != F.col("b"), F.col("b"))).alias("high")))
+    first = released(first.groupBy("a").agg(F.min(F.when(F.col("a") != F.col("b"), F.col("b"))).alias("low"), F.max(F.when(F.col("a") != F.col("b"), F.col("b"))).alias("high")))
     pairs = first.select("a", F.explode(F.array("low", "high")).alias("b")).where("b is not null")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     active = pairs.select(F.col("a").alias("__n")).union(pairs.select(F.col("b").alias("__n"))).union(first.select(F.col("a").alias("__n"))).distinct()
     texts = checkpointed(rows.join(active, F.col("node") == F.col("__n"), "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-    sure = checkpointed(verified(pairs, texts, similarity, width))
+    sure = released(verified(pairs, texts, similarity, width))
     parts = components(sure)
     by_node = lambda of, name: of.select(F.col("node").alias("__p"), F.col("component").alias(name))
     held = texts.select("node", F.octet_length("text").alias("bytes"))
@@ -486,11 +521,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, width: int = 5,
     blocks = F.ceil(F.greatest(F.count("*") / block_texts, F.sum("bytes") / block_bytes))
     sizes = held.groupBy(F.col("family").alias("__f")).agg(F.greatest(blocks, F.lit(1)).alias("blocks"))
     block = F.when(F.col("blocks") <= 1, F.col("family")).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks")))).alias("block")
-    held = checkpointed(held.join(sizes, F.col("family") == F.col("__f")).select(F.col("node").alias("__n"), "part", block))
-    among = prints.join(held, F.col("node") == F.col("__n")).select("node", "wide", "part", "block")
-    cells = _by_key(keyed(among, "part", "block"), ["node", "part", "block"], words[:sent], open_cells(radius), most, ("x", "y", "node")).distinct()
+    held = released(held.join(sizes, F.col("family") == F.col("__f")).select(F.col("node").alias("__n"), "part", block))
+    told = [f"m{k}" for k in range(minwise)]
+    among = prints.join(held, F.col("node") == F.col("__n")).join(sketches(texts, width, minwise).withColumnRenamed("node", "__m"), F.col("node") == F.col("__m"))
+    among = among.select("node", "wide", "part", "block", *[F.col("bits")[k].alias(m) for k, m in enumerate(told)])
+    cells = _by_key(keyed(among, "part", "block", *told), ["node", "part", "block"], told, open_cells(near), most, ("x", "y", "node")).distinct()
     met = cells.join(texts.join(held, F.col("node") == F.col("__n")).select("node", "text", "part"), "node")
-    more = checkpointed(met.groupBy("x", "y").applyInArrow(cell_links(similarity, width), "a long, b long"))
+    more = released(met.groupBy("x", "y").applyInArrow(cell_links(similarity, width), "a long, b long"))
     linked = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
     found = components(linked).withColumnRenamed("node", "__p")
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("id")).join(found, F.col("node") == F.col("__p"), "left").select("node", F.coalesce("component", "node").alias("part"), "id")
