@@ -75,7 +75,8 @@ class Splitter:
 class Bpe:
     """Encoder and decoder of a word-end BPE file of the tokenizers library.
 
-    `most` bounds the words (and token pairs) that are kept; beyond it the tables start anew, which costs time only.
+    `most` bounds the words that are kept (with 64 bytes each on average, of text and ids) and three times that the token pairs. Beyond
+    it only the words met in a second block stay, as most words of a large corpus never come again; that costs time only.
     """
 
     def __init__(self, path: str, most: int = 300_000, decodes: bool = True) -> None:
@@ -104,6 +105,8 @@ class Bpe:
         self.most, self.decodes = most, decodes
         self.ids: dict[str, bytes] = {}
         self.texts: dict[str, bytes] = {}
+        self.again: set[str] = set()
+        self.held = 0
         self.fits: dict[int, bool] = {}
 
     @staticmethod
@@ -152,9 +155,9 @@ class Bpe:
         """
         ids_of = self.ids
         new = [w for w in words if w not in ids_of]
-        if len(self.ids) + len(new) > self.most:
-            # the words of this block and those used lately stay; the rest is learned anew when it comes again
-            self.ids, self.texts = {w: self.ids[w] for w in words if w in self.ids}, {w: self.texts[w] for w in words if w in self.texts}
+        self.again |= words.difference(new)
+        if len(self.ids) + len(new) > self.most or self.held > 64 * self.most:
+            self._forget(words)
         if len(self.fits) > 3 * self.most:
             self.fits = {}
         by, fits, inner, final = self.bytes_as, self.fits, self.inner, self.final
@@ -199,11 +202,23 @@ class Bpe:
             ids.reverse()
             self._keep(word, ids)
 
+    def _forget(self, words: set[str]) -> None:
+        """The words of this block stay, and those met again since they were first met, unless these fill the tables themselves; the rest
+        is learned anew when it comes again."""
+        size = lambda w: len(w) + len(self.ids[w]) + len(self.texts.get(w, b""))
+        if 4 * len(self.again) > 3 * self.most or 4 * sum(map(size, self.again)) > 3 * 64 * self.most:
+            self.again = self.again & words
+        self.ids = {w: x for w, x in self.ids.items() if w in words or w in self.again}
+        self.texts = {w: x for w, x in self.texts.items() if w in self.ids}
+        self.held = sum(map(size, self.ids))
+
     def _keep(self, word: str, ids: list[int]) -> None:
         names = self.names
         self.ids[word] = pack(f"<{len(ids)}I", *ids)
+        self.held += len(word) + 4 * len(ids)
         if self.decodes:
             self.texts[word] = " ".join([names[i] for i in ids]).encode()
+            self.held += len(self.texts[word])
 
     def encode_words(self, text: str) -> list[str]:
         return self.split(text)

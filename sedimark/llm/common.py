@@ -82,7 +82,10 @@ def chunks(batches: Iterator, column: str, limit: int = 2 << 20) -> Iterator:
                 start, total = i, 0
             total += int(n)
         if start < batch.num_rows:
-            yield batch.slice(start)
+            rest = batch.slice(start)
+            del batch  # not held while the next one is read
+            yield rest
+            del rest
 
 
 def key_runs(batches: Iterator, columns: list[str], most: int) -> Iterator[list]:

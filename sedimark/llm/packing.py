@@ -12,9 +12,10 @@ from sedimark.llm.common import chunks, map_arrow
 
 class OpenWindows:
     """Open windows by remaining capacity: leaf c counts the windows with c places left; `tightest` finds the least c >= n
-    with a window, by going down from the lowest ancestor whose right part has one."""
+    with a window, by going down from the lowest ancestor whose right part has one. `opened` numbers the windows."""
 
     def __init__(self, window: int) -> None:
+        self.opened = 0
         self.leaves = 1 << window.bit_length()
         self.count = [0] * (2 * self.leaves)
         self.at: list[list[int]] = [[] for _ in range(window + 1)]
@@ -48,18 +49,19 @@ class OpenWindows:
         return i - self.leaves
 
 
-def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]]:
-    """(window number, offset) of each piece, none longer than `window`; longest first, ties in the order given."""
+def best_fit_decreasing(lengths: list[int], window: int, tree: OpenWindows | None = None) -> list[tuple[int, int]]:
+    """(window number, offset) of each piece, none longer than `window`; longest first, ties in the order given. Windows that `tree` has
+    open are filled too, and those that stay open are left in it."""
     by: list[list[int]] = [[] for _ in range(window + 1)]
     for i, n in enumerate(lengths):
         by[n].append(i)
-    out, tree, opened = [(0, 0)] * len(lengths), OpenWindows(window), 0
+    out, tree = [(0, 0)] * len(lengths), tree or OpenWindows(window)
     for n in range(window, 0, -1):
         for i in by[n]:
             left = tree.tightest(n)
             if left < 0:
-                which, left = opened, window
-                opened += 1
+                which, left = tree.opened, window
+                tree.opened += 1
             else:
                 which = tree.take(left)
             out[i] = (which, window - left)
@@ -68,49 +70,53 @@ def best_fit_decreasing(lengths: list[int], window: int) -> list[tuple[int, int]
     return out
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, run_ids: int = 2_000_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids binary (little-endian unsigned 32-bit; null without with_ids),
     ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's stream is its ids, then end_id. Streams longer than the window are cut into full windows first; rests
-    and short documents are packed best-fit decreasing. Every input partition packs its own pieces, so nothing is
-    shuffled and each partition leaves at most its last windows part-filled; sequence_id is the partition's number times
-    2**33 plus the window's number in it. A null text is empty (the end_id alone); repeated rows are packed each; a null
-    doc_id stays null; an empty table gives no rows; further columns are ignored.
-
-    Memory: (length, place) of a partition's pieces, and their ids if asked for; the input split bounds both.
+    and short documents are packed best-fit decreasing. Every input partition packs its own pieces, in runs of about
+    `run_ids` ids; windows that a run leaves open are open to the next one. So nothing is shuffled and each partition
+    leaves at most its last windows part-filled; sequence_id is the partition's number times 2**33 plus the window's
+    number in it. A null text is empty (the end_id alone); repeated rows are packed each; a null doc_id stays null; an
+    empty table gives no rows; further columns are ignored.
+
+    Memory: a run's pieces with their ids (and a block of about 2 MB of text, one document at least), a number for every
+    open window of the partition, and the encoder's bounded tables; none but the open windows follows the input split.
     """
 
     def make():
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bpe, part = loaded(path, 800_000, decodes=False), TaskContext.get().partitionId()
+        bpe, part = loaded(path, 240_000, decodes=False), TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+        def placed(rows, tree):
+            places = best_fit_decreasing([r[2] for r in rows], window, tree)
+            for a in range(0, len(rows), 1024):
+                cut = slice(a, a + 1024)
+                cols = [pa.array(x, kind) for x, kind in zip(zip(*rows[cut]), kinds)]
+                cols += [pa.array([(part << 33) + w for w, _ in places[cut]], pa.int64()), pa.array([o for _, o in places[cut]], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         def run(batches):
-            docs_, starts, lengths, crcs, totals, blobs = [], [], [], [], [], []
+            rows, held, tree = [], 0, OpenWindows(window)
             for b in chunks(batches, "text"):
-                texts = [t or "" for t in b.column("text").to_pylist()]
-                for doc, (ids, _) in zip(b.column("doc_id").to_pylist(), bpe.packed(texts)):
+                names, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
+                del b  # it holds its whole Arrow batch while the next one is read
+                for doc, (ids, _) in zip(names, bpe.packed(texts)):
                     ids += end
                     total = len(ids) // 4
                     for at in range(0, total, window):
                         piece = ids[4 * at : 4 * (at + window)]
-                        docs_.append(doc)
-                        starts.append(at)
-                        lengths.append(len(piece) // 4)
-                        crcs.append(zlib.crc32(piece))
-                        totals.append(total)
-                        blobs.append(piece if with_ids else None)
-            places = best_fit_decreasing(lengths, window)
-            step = 4096 if with_ids else 1 << 16
-            for a in range(0, len(docs_), step):
-                cut = slice(a, a + step)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(docs_[cut], pa.int64()), pa.array(starts[cut], pa.int64()), pa.array(lengths[cut], pa.int64()), pa.array(blobs[cut], pa.binary()), pa.array(crcs[cut], pa.int64()), pa.array(totals[cut], pa.int64()),
-                    pa.array([(part << 33) + w for w, _ in places[cut]], pa.int64()), pa.array([o for _, o in places[cut]], pa.int64()),
-                ], ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                        rows.append((doc, at, len(piece) // 4, piece if with_ids else None, zlib.crc32(piece), total))
+                    held += total
+                    if held >= run_ids:
+                        yield from placed(rows, tree)
+                        rows, held = [], 0
+            yield from placed(rows, tree)
 
         return run
 
