@@ -70,7 +70,7 @@ def best_fit_decreasing(lengths: list[int], window: int, tree: OpenWindows | Non
     return out
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, run_ids: int = 2_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, with_ids: bool = True, run_ids: int = 2_000_000, words: int = 240_000) -> DataFrame:
     """One row per piece: doc_id, start, length, ids binary (little-endian unsigned 32-bit; null without with_ids),
     ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -82,14 +82,14 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
     empty table gives no rows; further columns are ignored.
 
     Memory: a run's pieces with their ids (and a block of about 2 MB of text, one document at least), a number for every
-    open window of the partition, and the encoder's bounded tables; none but the open windows follows the input split.
+    open window of the partition, and the encoder's tables of `words` words; none but the open windows follows the input split.
     """
 
     def make():
         import pyarrow as pa
         from pyspark import TaskContext
 
-        bpe, part = loaded(path, 240_000, decodes=False), TaskContext.get().partitionId()
+        bpe, part = loaded(path, words, decodes=False), TaskContext.get().partitionId()
         end = end_id.to_bytes(4, "little")
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 

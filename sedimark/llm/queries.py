@@ -85,7 +85,7 @@ def op9_block_matrix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document; a null text is its end token alone, repeated rows are packed each."""
-    packed = packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    packed = packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, words=800_000)
     return packed.drop("ids")
 
 
