@@ -25,7 +25,7 @@ OUT = "document string, n_tokens long, n_contacts long, n_mentions long, n_crops
 @dataclass(frozen=True)
 class Layout:
     """Parameters of both formats. `depth` is the number of decimal places of a coordinate mention (hundreds first); `noise` false leaves
-    places as they are; `each` tells every atom once, as finely as can be, before any is drawn; `reserve` is what the boxes leave to the crops; a crop is chosen by the box of a random atom, by a neighbour of
+    places as they are; `each` tells every atom once, as finely as can be (of crops: every box that holds one), before any is drawn; `reserve` is what the boxes leave to the crops; a crop is chosen by the box of a random atom, by a neighbour of
     boxes seen, or else by how often a box was seen."""
 
     context: int = 8192
@@ -160,7 +160,7 @@ def _crops(e: _Entry) -> dict:
     """First boxes of ten units for atoms, residues seen before being rarer; then crops: a box and, in random order, what lies in it to a tenth.
 
     Atoms of the box and of its 26 neighbours are tried with noise that shrinks with the visits to the box; those that fall into it are told.
-    The last crop may be cut by the room."""
+    The last crop may be cut by the room. With `each`, the boxes that hold atoms come first, each once, in random order."""
     import numpy as np
 
     at, body, used, n = e.at, [], 0, len(e.xyz)
@@ -185,9 +185,12 @@ def _crops(e: _Entry) -> dict:
     visits: dict[tuple, int] = {}
     edge: dict[tuple, None] = {}
     n_crops, truncated = 0, False
+    first = [list(inside)[k] for k in e.rng.permutation(len(inside))] if at.each else []
     while used + 3 <= e.room and not truncated:
         coin, pick = e.rng.random(), e.rng.random()
-        if not visits or coin < at.by_atom or (coin < at.by_atom + at.by_neighbour and not edge):
+        if n_crops < len(first):
+            box = first[n_crops]
+        elif not visits or coin < at.by_atom or (coin < at.by_atom + at.by_neighbour and not edge):
             box = own[int(pick * n)]
         elif coin < at.by_atom + at.by_neighbour:
             box = list(edge)[int(pick * len(edge))]
