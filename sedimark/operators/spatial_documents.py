@@ -7,8 +7,10 @@ from a generator that its own id seeds: results don't depend on partitions. Read
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -166,22 +168,30 @@ def _crops(e: _Entry) -> dict:
     at, body, used, n = e.at, [], 0, len(e.xyz)
     if not n:
         return e.written(CROPS, body, 0, 0, False)
-    box_of = lambda d: list(map(tuple, (d[0] * 10 + d[1]).tolist()))
-    header = lambda b: [TRIPLES[b[0] // 10 * 100 + b[1] // 10 * 10 + b[2] // 10], TRIPLES[b[0] % 10 * 100 + b[1] % 10 * 10 + b[2] % 10]]
-    of, seen, chosen = np.array([i for i, _ in e.who]), np.zeros(len(e.place)), []
-    while used + 4 <= e.room - at.reserve:
-        weight = (1 / (1 + seen))[of].cumsum()
-        k = min(int(np.searchsorted(weight, e.rng.random() * weight[-1], "right")), n - 1)
-        chosen.append(k)
-        seen[of[k]] += 1
-        used += 4
-    off = e.rng.normal(size=(len(chosen), 3)) * (at.box_noise if at.noise else 0)
-    body += [e.mention(k, t) for k, t in zip(chosen, triples(digits(e.xyz[chosen] + off, 4))[:2].T.tolist())] if chosen else []
-    n_mentions, own = len(body), box_of(digits(e.xyz, 4))
+    chosen = _drawn_boxes(e, max(0, (e.room - at.reserve) // 4))
+    used += 4 * len(chosen)
+    exact = digits(e.xyz, 4)
+    own, places = list(map(tuple, (exact[0] * 10 + exact[1]).tolist())), triples(exact).T.tolist()
+    off = e.rng.normal(size=(len(chosen), 3)) * at.box_noise
+    if at.noise:
+        body += [e.mention(k, t) for k, t in zip(chosen, triples(digits(e.xyz[chosen] + off, 4))[:2].T.tolist())] if chosen else []
+    else:
+        boxes = [e.mention(k, t[:2]) for k, t in enumerate(places)]
+        body += [boxes[k] for k in chosen]
+    n_mentions, told_exactly = len(body), [e.mention(k, t[2:]) for k, t in enumerate(places)]
     inside: dict[tuple, list[int]] = {}
     for k, b in enumerate(own):
         inside.setdefault(b, []).append(k)
-    around = lambda b: [(b[0] + i, b[1] + j, b[2] + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    known: dict[tuple, tuple] = {}
+
+    def seen_from(b):
+        """Of a box: the boxes around it and its header, the atoms of both, and where its own come among those."""
+        x, y, z = b
+        around = [(i, j, k) for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for k in (z - 1, z, z + 1)]
+        met = [inside[c] if c in inside else [] for c in around]
+        head = " ".join([CROP, TRIPLES[b[0] // 10 * 100 + b[1] // 10 * 10 + b[2] // 10], TRIPLES[b[0] % 10 * 100 + b[1] % 10 * 10 + b[2] % 10]])
+        return around, head, [k for m in met for k in m], sum(map(len, met[:13]))
+
     visits: dict[tuple, int] = {}
     edge: dict[tuple, None] = {}
     n_crops, truncated = 0, False
@@ -195,25 +205,57 @@ def _crops(e: _Entry) -> dict:
         elif coin < at.by_atom + at.by_neighbour:
             box = list(edge)[int(pick * len(edge))]
         else:
-            weight = np.cumsum(list(visits.values()))
-            box = list(visits)[int(np.searchsorted(weight, pick * weight[-1], "right"))]
-        near = [k for b in around(box) for k in inside.get(b, ())]
-        off = e.rng.normal(size=(len(near), 3)) * (at.crop_noise / (visits.get(box, 0) + 1) ** 2) if at.noise else np.zeros((len(near), 3))
-        there, keep = digits((e.xyz[near] if near else e.xyz[:0]) + off, 4), e.rng.random(len(near)) < at.keep
-        told = [(k, d) for k, b, d, ok in zip(near, box_of(there), triples(there).T[:, 2:].tolist(), keep) if b == box and ok]
-        told = [told[k] for k in e.rng.permutation(len(told))]
+            weight = list(accumulate(visits.values()))
+            box = list(visits)[bisect_right(weight, pick * weight[-1])]
+        around, head, near, start = known.get(box) or known.setdefault(box, seen_from(box))
+        told: list[str] = []
+        if near and at.noise:
+            off = e.rng.normal(size=(len(near), 3)) * (at.crop_noise / (visits.get(box, 0) + 1) ** 2)
+            there, keep = digits(e.xyz[near] + off, 4), e.rng.random(len(near)) < at.keep
+            falls = ((there[0] * 10 + there[1]) == box).all(axis=1) & keep
+            if falls.any():
+                told = [e.mention(near[k], d) for k, d in zip(np.flatnonzero(falls).tolist(), triples(there[:, falls]).T[:, 2:].tolist())]
+        elif near:
+            keep = e.rng.random(len(near)).tolist()
+            told = [told_exactly[k] for k, x in zip(inside.get(box, ()), keep[start:]) if x < at.keep]
+        if len(told) > 1:
+            told = [told[k] for k in e.rng.permutation(len(told)).tolist()]
         fits = (e.room - used - 3) // 4
         truncated = len(told) > fits
-        body.append(" ".join([CROP, *header(box), *[e.mention(k, d) for k, d in told[:fits]]]))
+        body.append(" ".join([head, *told[:fits]]))
         used += 3 + 4 * min(len(told), fits)
         n_crops += 1
         visits[box] = visits.get(box, 0) + 1
         edge.pop(box, None)
-        if box in inside:
-            edge.update({b: None for b in around(box) if b not in visits and all(0 <= v < 100 for v in b)})
+        if box in inside and visits[box] == 1:  # after that those around it are visited or on the edge
+            edge.update({b: None for b in around if b not in visits and 0 <= b[0] < 100 and 0 <= b[1] < 100 and 0 <= b[2] < 100})
     return e.written(CROPS, body, n_mentions, n_crops, truncated)
 
 
+def _drawn_boxes(e: _Entry, m: int) -> list[int]:
+    """Atoms of m boxes, each drawn by 1 / (1 + how often its residue was drawn before)."""
+    import numpy as np
+
+    draws, atoms = e.rng.random(m), {}
+    for k, (i, _) in enumerate(e.who):
+        atoms.setdefault(i, []).append(k)
+    of, n, chosen, seen = [i for i, _ in e.who], len(e.who), [], {}
+    if n > 256:  # sums of long arrays
+        weight = np.ones(n)
+        summed, found = weight.cumsum, lambda s, x: int(np.searchsorted(s, x, "right"))
+    else:
+        weight = [1.0] * n
+        summed, found = lambda: list(accumulate(weight)), bisect_right
+    for x in draws.tolist():
+        sums = summed()
+        k = min(found(sums, x * sums[-1]), n - 1)
+        chosen.append(k)
+        seen[of[k]] = seen.get(of[k], 0) + 1
+        for a in atoms[of[k]]:
+            weight[a] = 1 / (1 + seen[of[k]])
+    return chosen
+
+
 def _documents(rows: DataFrame, at: Layout, make: Callable) -> DataFrame:
     kind = dict(rows.dtypes)["entry_id"]
     schema = f"entry_id {kind}, {OUT}"
