@@ -167,3 +167,12 @@ def test_scores_come_first():
         want = {(k, j) for j, b in enumerate(targets) for k, _ in seeds.candidates(b)}
         pairs = [(k, j) for k in range(len(queries)) for j in range(len(targets))]
         assert {p for p, ok in zip(pairs, A.seeded([(queries[k], targets[j]) for k, j in pairs], seeds)) if ok} == want and want
+
+
+def test_tasks_without_targets():
+    """A task that runs although no target has a letter gives no rows."""
+    class Shared:
+        value = [(1, "ACDEFGHIKLMNPQRSTVWY")]
+
+    run = A.Search(S, (0.3, 0.1))._task(Shared, 0, lambda v: S.codes(v[0]), lambda hits: [], A.HIT)
+    assert sum(b.num_rows for b in run(iter([]))) == 0
